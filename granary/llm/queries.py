@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, html, jpeg, langid, quality
+from granary.llm import bpe, gru, html, jaccard, jpeg, langid, order, packing, quality
 from granary.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -30,8 +34,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialised(table(spark, sf_dir, "documents"), key=20)
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_main_text, op5_media_columns, op6_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_ngram_jaccard, op4_main_text, op5_media_columns, op6_bpe, op7_packing, op8_training_order, op9_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
