@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, gru, html, jaccard, jpeg, langid, order, packing, quality
+from granary.llm import bpe, gru, html, jaccard, jpeg, langid, linededup, order, packing, quality
 from granary.llm.common import table
 
 
@@ -46,8 +46,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.scores(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_ngram_jaccard, op4_main_text, op5_media_columns, op6_bpe, op7_packing, op8_training_order, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_ngram_jaccard, op4_main_text, op5_media_columns, op6_bpe, op7_packing, op8_training_order, op9_lm_scores, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
