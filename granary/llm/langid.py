@@ -40,7 +40,7 @@ def gram_keys(code: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
     out = []
     h = np.zeros(len(code), np.uint64)
     for k in range(ORDER):
-        shifted = np.concatenate([np.zeros(k, np.uint64), code[: len(code) - k]]) if k else code
+        shifted = np.concatenate([np.zeros(k, np.uint64), code])[: len(code)]
         h = h * _P + (shifted + np.uint64(1))
         key = mix(h + np.uint64(k))
         key[upto < k] = 0
