@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import uuid
 import zlib
 from pathlib import Path
 
@@ -39,6 +41,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet below the shared checkpoint folder and reads it back; discard() removes it. Later reads prune columns, which those of a checkpoint don't."""
+    spark = prepare(df.sparkSession)
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+    path = f"{top.rstrip('/')}/granary-{sc.applicationId}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes stored tables that no plan needs any more; shuffle files of plans that are gone go with the driver's garbage."""
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._granary_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
