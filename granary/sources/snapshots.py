@@ -25,8 +25,9 @@ def read_collected(spark: SparkSession, path: str) -> DataFrame:
 
 def malformed(spark: SparkSession, path: str) -> DataFrame:
     """The number of lines that are no records."""
-    rows = spark.read.schema(COLLECTED + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.select("_corrupt").agg(F.count("_corrupt").alias("malformed"))
+    lines = spark.read.text(path).filter("trim(value) != ''")
+    rows = lines.select(F.from_json("value", COLLECTED + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].alias("_corrupt"))
+    return rows.agg(F.count("_corrupt").alias("malformed"))
 
 
 def to_items(z: DataFrame, zh: tuple[str, ...] = ZH_PLATFORMS) -> DataFrame:

@@ -37,13 +37,13 @@ def sliding(events: DataFrame, length: str = "72 hours", step: str = "24 hours",
 
 def _windowed(events: DataFrame, w: Column, time: str, late: str | None) -> DataFrame:
     if late:
-        events = events.withWatermark(time, late)
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", time: str = "ts", late: str | None = None) -> DataFrame:
     if late:
-        events = events.withWatermark(time, late)
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return events.groupBy(F.session_window(time, gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
