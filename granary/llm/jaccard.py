@@ -7,8 +7,8 @@ joined on equal pieces, size band by size band, and candidates are verified on t
 
 Equal sets are first put together into classes; a class is named by its smallest doc_id, a `node` below. The nodes of a
 piece (a bucket) are not paired with each other. Four rounds link them, each leaving out what is connected already:
-1. each node with the smallest node that it shares a bucket with;
-2. each node with the smallest node of each of its buckets;
+1. each node with the smallest node that it shares a bucket with, of its task or of all;
+2. each node with the smallest nodes of each of its buckets;
 3. for two components in a bucket, the two nodes whose sketches are closest;
 4. all nodes of a bucket in different components whose sketches are close enough. This makes the result exact.
 In rounds 3 and 4 sketches are compared in blocks of a bucket, so that no task holds a whole one.
@@ -29,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, cut, mix, prepare
+from granary.llm import buckets
+from granary.llm.common import WordHashes, cut, discard, mix, prepare, stored
 
 #: Nodes of a bucket that are compared with each other at once.
 BLOCK = 1024
+#: Ids that are broadcast, 8 MB at most; more are joined by a shuffle.
+FEW = 1_000_000
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _step = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -45,7 +48,7 @@ class _Hashes(WordHashes):
         return v
 
 
-_hashes = _Hashes()
+_hashes = _Hashes(200_000)
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -82,30 +85,112 @@ def sketch(h: np.ndarray, pieces: int) -> np.ndarray:
     return out
 
 
+def folded(x: np.ndarray) -> bytes:
+    """A shorter parity sketch: an eighth of the words, still some bits for each element that may differ."""
+    n = -(-len(x) // 8)
+    return np.bitwise_xor.reduce(np.concatenate([x, np.zeros(8 * n - len(x), np.uint64)]).reshape(8, n), axis=0).tobytes()
+
+
+class _Bands:
+    """Bands as far as sets have needed them."""
+
+    def __init__(self, percent: int):
+        self.percent, self.edges = percent, bands(percent, 1 << 12)
+
+    def of(self, n: int) -> int:
+        """The band of a size; -1 below the first."""
+        if self.edges[-1] <= n:
+            self.edges = bands(self.percent, 2 * n)
+        return int(np.searchsorted(self.edges, n, "right")) - 1
+
+    def pieces(self, band: int) -> int:
+        """The pieces of a band's sketches: more than the elements in which sets of it may differ."""
+        while band + 1 >= len(self.edges):
+            self.edges = bands(self.percent, 2 * self.edges[-1])
+        return 1 + differs(2 * (self.edges[band + 1] - 1), self.percent)
+
+
 def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest of the set, its band (-1: none) and its sketches for its own band and the next one."""
+    """doc_id, n, digest of the set, its band (-1: none) and folded sketches for its own band and the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = bands(percent, 1 << 12)
+        edges = _Bands(percent)
         for b in batches:
-            for x in range(0, b.num_rows, 1000):
-                part = b.slice(x, 1000)
+            for x in range(0, b.num_rows, 500):
+                part = b.slice(x, 500)
                 n, digest, band, low, high = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     h = shingles(text, width)
-                    while edges[-1] <= len(h):
-                        edges = bands(percent, 2 * len(h))
-                    i = int(np.searchsorted(edges, len(h), "right")) - 1
+                    i = edges.of(len(h))
                     n.append(len(h))
                     digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                     band.append(i)
                     for k, out in ((i, low), (i + 1, high)):
-                        while k + 1 >= len(edges):
-                            edges = bands(percent, 2 * edges[-1])
-                        out.append(sketch(h, 1 + differs(2 * (edges[k + 1] - 1), percent)).view(np.int64) if i >= 0 else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), pa.array(low, pa.list_(pa.int64())), pa.array(high, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "band", "low", "high"])
+                        out.append(folded(sketch(h, edges.pieces(k))) if i >= 0 else None)
+                cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low binary, high binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low array<long>, high array<long>")
+#: What is packed: of groups within a task all rows (sig, node, level, hub), of each group its hub (sig, node, side).
+LOCAL, GLOBAL = 0, 1
+_kinds = {LOCAL: [np.uint64, np.int64, np.int32, np.int64], GLOBAL: [np.uint64, np.int64, np.int32]}
+
+
+def _groups(sig: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows (sig, node, level, hub) of signatures that several rows have, and (sig, hub, side) of all signatures, both ascending.
+
+    An odd side is a sketch for the next band; a group of these alone has its links in the band they come from.
+    """
+    order = np.argsort(sig, kind="stable")
+    sig, node, side = sig[order], node[order], side[order]
+    first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ np.uint64(1)))
+    size = np.diff(first, append=len(sig))
+    hub, odd = np.minimum.reduceat(node, first), np.bitwise_and.reduceat(side & 1, first)
+    several = (np.maximum.reduceat(node, first) != hub) & (odd == 0)
+    rows = np.repeat(several, size)
+    return [sig[rows], node[rows], side[rows] >> 1, np.repeat(hub, size)[rows]], [sig[first], hub, side[first] // 2 * 2 + odd]
+
+
+def _shared(docs: DataFrame, percent: int, width: int, n_rows: int) -> DataFrame:
+    """(sig, node, level, hub): the buckets that a document shares with others, the band they belong to and the smallest document there, of a task or of all."""
+    n = buckets.tasks(docs, n_rows)
+    bits = buckets.bits_of(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, held, total = _Bands(percent), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                sig, size, node, side = (np.concatenate(x) for x in zip(*held, strict=True))
+                local, hubs = _groups(sig, np.repeat(node, size), np.repeat(side, size))
+                yield buckets.batch([*buckets.blocks(LOCAL, local, bits), *buckets.blocks(GLOBAL, hubs, bits)])
+                held.clear()
+
+        for part in (b.slice(x, 500) for b in batches for x in range(0, b.num_rows, 500)):
+            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                h = shingles(text, width)
+                i = edges.of(len(h))
+                if i < 0 or node is None:
+                    continue
+                for shift in (0, 1):
+                    v = sketch(h, edges.pieces(i + shift))
+                    sig = mix(v ^ mix(np.arange(len(v), dtype=np.uint64) + (np.uint64(i + shift) << np.uint64(32))))
+                    held.append((sig, np.array([len(v)]), np.array([node], np.int64), np.array([2 * (i + shift) + shift], np.int32)))
+                    total += len(v)
+                if total > 1_000_000:  # some 80 MB with all that is made of them
+                    yield from flush()
+                    total = 0
+        yield from flush()
+
+    def each(arrays: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        several = _groups(*arrays[GLOBAL])[0] if len(arrays[GLOBAL][0]) else []
+        for sig, node, level, hub in (arrays[LOCAL], several) if several else (arrays[LOCAL],):
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(level), pa.array(hub)], names=["sig", "node", "level", "hub"])
+
+    return buckets.gathered(docs.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,6 +261,32 @@ def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(state.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
+def _near(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches (rows of words) allow a link of sets with this sum of sizes."""
+    return np.bitwise_count(x ^ y).sum(axis=1) * (100 + percent) <= (100 - percent) * total
+
+
+def _allowed(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches of a common band, the level, allow a link; pairs: (a, b, level)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, total, wa, wb = batch.columns
+            total = total.to_numpy()
+            ok = np.zeros(len(total), bool)
+            sizes = np.array([len(x) for x in wa.to_pylist()]) if len(total) else np.zeros(0, int)
+            for size in np.unique(sizes):  # sketches of one band have one size
+                at = np.flatnonzero(sizes == size)
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for c in (wa, wb))
+                ok[at] = _near(x, y, total[at], percent)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    side = lambda x: words.select(F.col("node").alias(x), "level", F.col("n").alias(f"{x}_n"), F.col("words").alias(f"{x}_words"))
+    both = pairs.join(side("a"), ["a", "level"]).join(side("b"), ["b", "level"])
+    return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"), "a_words", "b_words").filter("length(a_words) = length(b_words)").mapInArrow(run, "a long, b long").distinct()
+
+
 def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components, whose sketches allow a link; if best, for two components of a block the closest pair only.
 
@@ -183,7 +294,7 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     """
     parts = F.ceil(F.col("m") / BLOCK).cast("long")
     rows = rows.withColumn("_k", parts).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")))
-    # Block pair (i, j), i <= j, holds blocks i and j; row in block x goes to (min(x, y), max(x, y)) for all y.
+    # Block pair (i, j), i <= j, holds blocks i and j; a row in block x goes to (min(x, y), max(x, y)) for all y.
     rows = rows.withColumn("_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
     rows = rows.withColumn("_group", F.xxhash64("sig", F.least("_i", "_y"), F.greatest("_i", "_y"))).withColumn("_pair", F.col("_i") != F.col("_y"))
 
@@ -220,7 +331,7 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                words = [np.array(r[4], np.int64).view(np.uint64) for r in held]
+                words = [np.frombuffer(r[4], np.uint64) for r in held]
                 # A collision of group names may mix buckets: rows of different lengths belong to different ones.
                 for size in {len(w) for w in words}:
                     at = [i for i, w in enumerate(words) if len(w) == size]
@@ -242,74 +353,90 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     return spread.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long").distinct()
 
 
+def _nearest(shared: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Round 1: each node with one smaller node."""
+    first = shared.filter("hub < node").groupBy("node").agg(F.min("hub").alias("a"), F.min_by("level", "hub").alias("level"))
+    return _allowed(first.select("a", F.col("node").alias("b"), "level"), words, percent)
+
+
+def _undecided(shared: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of buckets that have nodes of several components."""
+    own = shared.join(state, "node")
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("sig")
+    return stored(shared.join(mixed, "sig", "left_semi"))
+
+
+def _to_hubs(shared: DataFrame, state: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Round 2: each node with the smallest nodes of its buckets, if these are of other components."""
+    pairs = shared.filter("hub < node").select("hub", "node", "level").distinct()
+    pairs = pairs.join(state, "node").join(state.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp != hub_comp")
+    return _allowed(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), "level"), words, percent)
+
+
+def _across(shared: DataFrame, state: DataFrame, words: DataFrame, percent: int, best: bool, only: DataFrame | None = None) -> DataFrame:
+    """Rounds 3 and 4: nodes of a bucket that are of different components; of some components only, if given."""
+    own = shared.select("sig", "node", "level").distinct().join(state, "node")
+    if only is not None:
+        own = own.join(only, "comp", "left_semi")
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).filter("c1 != c2 and m > 1").select("sig", "m")
+    return _close(own.join(mixed, "sig").join(words, ["node", "level"]).select("sig", "node", "comp", "n", "words", "m"), percent, best)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are at most FEW."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the smallest doc_id reachable by links, itself included."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = cut(_sketched(docs, percent, width))
-    sets = rows.filter("n > 0 and doc_id is not null")
+    full = stored(_sketched(docs, percent, width))
+    rows = cut(full.select("doc_id", "n", "digest"))
+    words = full.filter("band >= 0").select(F.col("doc_id").alias("node"), "n", F.col("band").alias("level"), F.col("low").alias("words"))
+    words = words.unionAll(full.filter("band >= 0").select("doc_id", "n", F.col("band") + 1, "high"))
     # What has the same set becomes one node.
-    named = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = cut(sets.filter("band >= 0").join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "band", "low", "high"))
-
-    def sigs(pieces: str, shift: int) -> DataFrame:
-        x = nodes.select("node", (F.col("band") + shift).alias("band"), F.posexplode(pieces).alias("at", "piece"))
-        return x.select(F.xxhash64("band", "at", "piece").alias("sig"), "node", F.lit(shift).alias("shift"))
-
-    pieces = sigs("low", 0).unionAll(sigs("high", 1))
-    buckets = pieces.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min("shift").alias("low")).filter("hub != last and low = 0").select("sig", "hub")
-    shared = cut(pieces.join(buckets, "sig"))
+    named = cut(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
+    own = rows.filter("n > 0 and doc_id is not null").join(named, "digest").filter("doc_id != node").select("doc_id", "node").distinct()
+    copies = _few(cut(own))
+    found = _shared(docs, percent, width, rows.count())
+    for c in ("node", "hub"):
+        found = found.join(copies.select(F.col("doc_id").alias(c), F.col("node").alias("_node")), c, "left").withColumn(c, F.coalesce("_node", c)).drop("_node")
+    shared = stored(found.distinct())
     state = cut(shared.select("node").distinct().withColumn("comp", F.col("node")))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-
     def link(state: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
+        discard(spark)
         if pairs.isEmpty():
             return state
-        return _merged(state, cut(_verified(pairs, texts_of(pairs), percent, width)))
-
-    # Rounds 1 and 2
-    first = shared.filter("hub < node").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    state = link(state, _allowed(first, nodes, percent))
-    comp = state.select(F.col("node"), "comp")
-    hubs = shared.filter("hub < node").select("hub", "node").distinct().join(comp, "node").join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp != hub_comp")
-    state = link(state, _allowed(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, percent))
-    # Rounds 3 and 4
-    for best in (True, False):
-        own = shared.join(state, "node")
-        mixed = own.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).filter("c1 != c2 and m > 2").select("sig", "m")
-        open_ = own.join(mixed, "sig")
-        # A quarter of the words make a shorter parity sketch.
-        fold = lambda c: F.expr(f"transform(sequence(0, (size({c}) - 1) div 4), i -> {' ^ '.join(f'coalesce(get({c}, cast(i + {k} * ((size({c}) + 3) div 4) as int)), 0L)' for k in range(4))})")
-        both = nodes.select("node", "n", F.lit(0).alias("shift"), F.col("low").alias("pieces")).unionAll(nodes.select("node", "n", F.lit(1), "high"))
-        need = open_.select("node", "shift").distinct()
-        words = both.join(need, ["node", "shift"]).select("node", "shift", "n", fold("pieces").alias("words"))
-        state = link(state, _close(open_.join(words, ["node", "shift"]).select("sig", "node", "comp", "n", "words", "m"), percent, best))
-    labels = named.join(state, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
+        wanted = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        texts = docs.join(_few(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+        edges = cut(_verified(pairs, texts, percent, width))
+        discard(spark)
+        return _merged(state, edges)
+
+    state = link(state, cut(_nearest(shared, words, percent)))
+    everything, shared = shared, _undecided(shared, state)
+    discard(spark, everything)
+    state = link(state, cut(_to_hubs(shared, state, words, percent)))
+    found = cut(_across(shared, state, words, percent, True))
+    if not found.isEmpty():  # without any close pair nothing is left
+        ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
+        state = link(state, found)
+        # Components that had no close pair have none now; those that have become one go by their new name.
+        open_ = cut(ends.join(state, "node").select("comp").distinct())
+        state = link(state, cut(_across(shared, state, words, percent, False, open_)))
+    labels = cut(named.join(state, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
+    discard(spark, full, shared)
     slim = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
-    return slim.join(cut(labels), "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches of a common band allow a link."""
-    pairs = cut(pairs)
-    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    own = cut(nodes.join(need, "node", "left_semi"))
-    cols = ("n", "band", "low", "high")
-    both = pairs.join(own.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols)), "a")
-    both = both.join(own.select(F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols)), "b")
-    top = F.greatest("a_band", "b_band")
-    pick = lambda x: F.when(F.col(f"{x}_band") == top, F.col(f"{x}_low")).otherwise(F.col(f"{x}_high"))
-    far = F.aggregate(F.zip_with(pick("a"), pick("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(far * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    return slim.join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """docs without the near copies: of each component the document of the smallest doc_id stays, once. Rows with a null doc_id or no words all stay."""
-    found = classes(docs, percent, width)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    found = cut(classes(docs, percent, width))
+    gone = _few(cut(found.filter("doc_id != component_id").select("doc_id").distinct()))
+    again = _few(cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
     rest = docs.join(gone, "doc_id", "left_anti")
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null")).select(docs.columns)
+    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)

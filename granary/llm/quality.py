@@ -28,7 +28,7 @@ SPACE = " \t\n\x0b\x0c\r"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echo", "n_distinct", "n_shout", "n_stops")
 GOOD, ABSTAIN, BAD = 0, 1, 2
 _multiplier = np.random.default_rng(8).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_hashes = WordHashes()
+_hashes = WordHashes(150_000)
 
 
 def repeated_words(h: np.ndarray) -> int:
