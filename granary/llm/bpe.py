@@ -27,10 +27,13 @@ from granary.llm.common import chunks, prepare
 
 #: The pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts in which letters are [^\W\d_] and numbers \d, several times as fast.
-FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: The same for texts of PLAIN characters, several times as fast; what begins with an apostrophe is no letter, so letters may come first.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+FAST = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r 0-9{LETTERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters for which the two patterns agree.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]*")
+#: The ASCII characters for which they don't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 NONE = np.int32(2**31 - 1)
 LONG = 64
 
@@ -71,6 +74,7 @@ class Bpe:
         key = a << np.uint64(32) | b
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int32)
+        self._hash_ranks()
         self.made = np.array([vocab[x + y] for x, y in merges], np.int32)
         pair = (self.byte_id.astype(np.uint64)[:, None] << np.uint64(32) | self.byte_id.astype(np.uint64)[None, :]).ravel()
         self.byte_pair = self._rank(pair).reshape(256, 256)
@@ -85,10 +89,28 @@ class Bpe:
         self.count = np.zeros(1 << 17, np.int64)
         self.used = self.known = 0
 
+    def _hash_ranks(self) -> None:
+        """Tables of a power of two of places; keys whose place is taken go on to the next, smaller table."""
+        self.tables = []
+        keys, ranks, bits = self.keys, self.ranks, 19
+        while len(keys):
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
+            place = (keys * factor) >> np.uint64(64 - bits)
+            first = np.unique(place, return_index=True)[1]
+            held, value = np.full(1 << bits, 2**64 - 1, np.uint64), np.full(1 << bits, NONE, np.int32)
+            held[place[first]], value[place[first]] = keys[first], ranks[first]
+            self.tables.append((factor, np.uint64(64 - bits), held, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks, bits = keys[rest], ranks[rest], max(bits - 3, 8)
+
     def _rank(self, key: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        out = None
+        for factor, shift, held, value in self.tables:
+            place = (key * factor) >> shift
+            got = np.where(held[place] == key, value[place], NONE)
+            out = got if out is None else np.minimum(out, got)
+        return out
 
     def words(self, text: str) -> list[str]:
         if self.split_added is None or not any(x in text for x in self.added):
@@ -100,20 +122,19 @@ class Bpe:
         return out
 
     def _split(self, text: str) -> list[str]:
-        return self.fast(text) if PLAIN.fullmatch(text) else self.exact(text)
+        plain = not any(c in text for c in SEPARATORS) if text.isascii() else PLAIN.fullmatch(text)
+        return self.fast(text) if plain else self.exact(text)
 
-    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The parts of words of at most LONG bytes, as a matrix, and their number."""
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(n.max())
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+    def _short(self, raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of words, bytes in rows of a matrix with their lengths, as a matrix, and their number."""
+        width = raw.shape[1]
         parts = self.byte_id[raw]
-        ranks = np.full((len(words), width), NONE, np.int32)
+        ranks = np.full(raw.shape, NONE, np.int32)
         if width > 1:
             ranks[:, :-1] = self.byte_pair[raw[:, :-1], raw[:, 1:]]
         cols = np.arange(width)
         ranks[cols[None, :] >= n[:, None] - 1] = NONE
-        live = np.arange(len(words))
+        live = np.arange(len(raw))
         p, r, m = parts, ranks, n.copy()
         done_parts, done_n = np.zeros_like(parts), n.copy()
         while len(live):
@@ -183,38 +204,51 @@ class Bpe:
     def _pairs(self) -> dict[tuple[int, int], int]:
         return {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(r) for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)}
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
-        by_width: dict[int, list[int]] = {}
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
         raw = [w.encode() for w in words]
-        for i, w in enumerate(raw):
-            if w.startswith(b"\0a\0") and words[i][3:] in self.added:
-                out[i] = np.array([self.added[words[i][3:]]], np.int32)
-            elif len(w) > LONG:
-                out[i] = np.array(self._long(w), np.int32)
-            else:
-                by_width.setdefault((max(1, len(w)) - 1) // 6, []).append(i)
-        for at in by_width.values():
-            for a in range(0, len(at), 20_000):
-                own = at[a : a + 20_000]
-                parts, n = self._short([raw[i] for i in own])
-                for i, row, k in zip(own, parts, n.tolist(), strict=True):
-                    out[i] = row[:k]
-        return out
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(raw) + bytes(LONG), np.uint8)
+        # Words that are no rows of a matrix: added tokens and long ones.
+        alone = {i: self._long(raw[i]) for i in np.flatnonzero(size > LONG).tolist()}
+        if self.added:
+            zero = np.flatnonzero((size > 3) & (flat[start] == 0)).tolist()
+            alone |= {i: [self.added[words[i][3:]]] for i in zero if words[i].startswith("\0a\0") and words[i][3:] in self.added}
+        group = (np.maximum(size, 1) - 1) // 6
+        group[list(alone)] = -1
+        count = np.zeros(len(words), np.int64)
+        for i, ids in alone.items():
+            count[i] = len(ids)
+        done = []
+        for g in np.unique(group[group >= 0]).tolist():
+            own = np.flatnonzero(group == g)
+            cols = np.arange(6 * g + 6)
+            for x in range(0, len(own), 20_000):
+                at = own[x : x + 20_000]
+                parts, n = self._short(flat[start[at, None] + np.minimum(cols[None, :], np.maximum(size[at, None] - 1, 0))], size[at])
+                count[at] = n
+                done.append((at, n, parts[cols[None, :] < n[:, None]]))
+        out = np.zeros(int(count.sum()), np.int32)
+        first = np.cumsum(count) - count
+        for at, n, ids in done:
+            out[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        for i, ids in alone.items():
+            out[first[i] : first[i] + len(ids)] = ids
+        return out, count
 
     def _learn(self) -> None:
         new = self.index.new
         if not new:
             return
-        parts = self.encode_words(new)
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        total, upto = int(n.sum()), self.known + len(new)
+        ids, n = self.encode_words(new)
+        total, upto = len(ids), self.known + len(new)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while upto > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used : self.used + total] = np.concatenate(parts)
+        self.flat[self.used : self.used + total] = ids
         self.count[self.known : upto] = n
         self.start[self.known : upto] = self.used + np.cumsum(n) - n
         self.used, self.known = self.used + total, upto
