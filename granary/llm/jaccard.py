@@ -36,6 +36,8 @@ from granary.llm.common import WordHashes, cut, discard, mix, prepare, stored
 BLOCK = 1024
 #: Ids that are broadcast, 8 MB at most; more are joined by a shuffle.
 FEW = 1_000_000
+#: Pieces that a task groups at once, some 80 MB with all that is made of them.
+HELD = 1_000_000
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _step = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -133,7 +135,7 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low binary, high binary")
 
 
-#: What is packed: of groups within a task all rows (sig, node, level, hub), of each group its hub (sig, node, side).
+#: What is packed: of groups within a task all rows (sig, node, level, hub); of each group its hub (sig, node, side), of groups with odd sides alone all nodes.
 LOCAL, GLOBAL = 0, 1
 _kinds = {LOCAL: [np.uint64, np.int64, np.int32, np.int64], GLOBAL: [np.uint64, np.int64, np.int32]}
 
@@ -141,16 +143,19 @@ _kinds = {LOCAL: [np.uint64, np.int64, np.int32, np.int64], GLOBAL: [np.uint64,
 def _groups(sig: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows (sig, node, level, hub) of signatures that several rows have, and (sig, hub, side) of all signatures, both ascending.
 
-    An odd side is a sketch for the next band; a group of these alone has its links in the band they come from.
+    An odd side is a sketch for the next band; of all rows, a group of these alone has its links in the band they come
+    from. Of a part of the rows, another part may have the next band's nodes, so all nodes of such a group are passed on.
     """
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((node, sig))
     sig, node, side = sig[order], node[order], side[order]
     first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ np.uint64(1)))
     size = np.diff(first, append=len(sig))
-    hub, odd = np.minimum.reduceat(node, first), np.bitwise_and.reduceat(side & 1, first)
-    several = (np.maximum.reduceat(node, first) != hub) & (odd == 0)
+    hub, odd = node[first], np.bitwise_and.reduceat(side & 1, first)
+    several = (node[first + size - 1] != hub) & (odd == 0)
     rows = np.repeat(several, size)
-    return [sig[rows], node[rows], side[rows] >> 1, np.repeat(hub, size)[rows]], [sig[first], hub, side[first] // 2 * 2 + odd]
+    on = np.repeat(odd == 1, size) & (np.diff(node, prepend=node[:1]) != 0)  # a node once
+    on[first] = True
+    return [sig[rows], node[rows], side[rows] >> 1, np.repeat(hub, size)[rows]], [sig[on], node[on], (side // 2 * 2 + np.repeat(odd, size))[on]]
 
 
 def _shared(docs: DataFrame, percent: int, width: int, n_rows: int) -> DataFrame:
@@ -179,7 +184,7 @@ def _shared(docs: DataFrame, percent: int, width: int, n_rows: int) -> DataFrame
                     sig = mix(v ^ mix(np.arange(len(v), dtype=np.uint64) + (np.uint64(i + shift) << np.uint64(32))))
                     held.append((sig, np.array([len(v)]), np.array([node], np.int64), np.array([2 * (i + shift) + shift], np.int32)))
                     total += len(v)
-                if total > 1_000_000:  # some 80 MB with all that is made of them
+                if total > HELD:
                     yield from flush()
                     total = 0
         yield from flush()

@@ -144,6 +144,39 @@ def test_jaccard_brute_force(spark, monkeypatch, percent, width):
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, percent, width)
 
 
+def test_jaccard_links_across_bands_and_tasks():
+    """Of pieces grouped part by part, every two nodes that share one of a band stay together, whatever the parts."""
+    rng = random.Random(4)
+    for _ in range(100):
+        rows = sorted({(rng.randrange(6), rng.randrange(9), rng.randrange(2)) for _ in range(rng.randrange(1, 30))})
+        sig, node, side = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int32)))
+        part, local, passed = np.array([rng.randrange(4) for _ in rows]), set(), []
+        for k in set(part.tolist()):
+            own, on = jaccard._groups(sig[part == k], node[part == k], side[part == k])
+            local |= set(zip(own[0].tolist(), own[1].tolist()))
+            passed.append(on)
+        own = jaccard._groups(*(np.concatenate(c) for c in zip(*passed)))[0]
+        got = local | set(zip(own[0].tolist(), own[1].tolist()))
+        for s in set(sig.tolist()):
+            at = [r for r in rows if r[0] == s]
+            if len({r[1] for r in at}) > 1 and not all(r[2] for r in at):
+                assert {n for _, n, _ in at} <= {n for x, n in got if x == s}
+
+
+def test_jaccard_chains_across_bands(spark):
+    """Chains a-b-x, x of the next band, in another task than a and b, and linked to b alone."""
+    rng, percent, width = random.Random(3), 90, 3
+    edges, flat, far = jaccard.bands(percent, 600), [], []
+    for k in range(24):
+        n = (edges[-4 - k % 8] - 1) // 9 * 9  # shingles
+        b = [f"w{rng.randint(0, 10**6)}" for _ in range(n + width - 1)]
+        flat += [" ".join(["u", *b[1:]]), " ".join(b)]
+        far.append(" ".join(b + [f"v{k}_{i}" for i in range(n // 9)]))
+    df = frame(spark, flat + far).repartitionByRange(3, "doc_id")
+    got = sorted(jaccard.classes(df, percent, width).collect())
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_components(flat + far, percent, width)
+
+
 def test_jaccard_special(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B C D"), (2**62 + 5, "q r s t"), (-7, "q r s t")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.classes(df).collect()}
