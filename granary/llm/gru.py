@@ -6,8 +6,8 @@ a softmax over classes of words of similar frequency, then one within the class.
 between which the state is carried.
 
 Training is local stochastic gradient descent: in each round every task trains on its own documents from the common
-parameters, and the results are averaged. Every training document gives stretches, one for about 256 tokens and at least
-one, so what is learned from grows with the input. Counts of the KNOWN most frequent words go to all tasks, a bounded
+parameters, and the results are averaged. Each training document is trained on whole, in the windows of one round, with
+the state carried from window to window; only the gradient ends with a window. Counts of the KNOWN most frequent words go to all tasks, a bounded
 table; the counts of all other words are joined.
 
 Results in special cases: null and empty texts have the end token alone; without training documents all words are
@@ -17,6 +17,7 @@ counts as an empty text in the choice of training documents); equal texts of one
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,10 +34,11 @@ from granary.llm.jaccard import _hashes, _words
 HEAD, CLASS = 1024, 32
 KNOWN = 1 << 18
 HIDDEN = 24
-#: Tokens of a stretch, of a window of backpropagation, and stretches in a step.
-STRETCH, WINDOW, BATCH = 32, 16, 192
-PER_STRETCH = 256
-ROUNDS, LEAST_STEPS = 3, 24
+#: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
+WINDOW, BATCH, FEWEST, DEALT = 16, 192, 64, 4_000_000
+#: Tokens for an update, at least: windows of few streams are put together.
+STEP = 1024
+ROUNDS, LEAST_STEPS = 3, 48
 RATE = 0.02
 #: Tasks whose sums of parameters come to the driver, and those that sum up before them where there are many parts.
 COMBINE, BEFORE, MANY = 16, 256, 1024
@@ -222,14 +224,16 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding."""
+    """Gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding; after STOP a document begins, with an empty state."""
     rows, time = tokens.shape
     k = HIDDEN
     saved, states = [], []
     for t in range(time):
         inp = before if t == 0 else np.maximum(tokens[:, t - 1], 0)
+        fresh = inp == STOP
+        inp, h = np.where(fresh, BEGIN, inp), h * ~fresh[:, None]
         new, z, r, n = step(p, inp, h)
-        saved.append((inp, h, z, r, n))
+        saved.append((inp, h, z, r, n, fresh))
         states.append(new)
         h = new
     hs = np.stack(states, 1)
@@ -243,7 +247,7 @@ def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) ->
     dh = np.zeros((rows, k), np.float32)
     u = p["u"]
     for t in range(time - 1, -1, -1):
-        inp, h0, z, r, n = saved[t]
+        inp, h0, z, r, n, fresh = saved[t]
         dh = dh + dhs[:, t]
         dn = dh * z * (1 - n * n)
         dz = dh * (n - h0) * z * (1 - z)
@@ -253,7 +257,7 @@ def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) ->
         du[:, :k] += h0.T @ dz
         du[:, k : 2 * k] += h0.T @ dr
         du[:, 2 * k :] += (r * h0).T @ dn
-        dh = dh * (1 - z) + drh * r + dz @ u[:, :k].T + dr @ u[:, k : 2 * k].T
+        dh = (dh * (1 - z) + drh * r + dz @ u[:, :k].T + dr @ u[:, k : 2 * k].T) * ~fresh[:, None]
     inputs = np.concatenate([s[0] for s in saved])
     order = np.argsort(inputs, kind="stable")
     uniq, first = np.unique(inputs[order], return_index=True)
@@ -278,61 +282,85 @@ class Adam:
             p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
 
 
-def trained(p: dict, rows: np.ndarray, seed: int, rate: float = RATE) -> tuple[dict, int]:
-    """Parameters after passes over stretches (rows of tokens, -1 for padding; the first column is what comes before), and the steps taken."""
+def streams(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Documents, end to end, in streams of about one length, the longest first."""
+    n = min(max(sum(map(len, docs)) // max(map(len, docs)), FEWEST), BATCH, len(docs))
+    loads, out = [(0, i) for i in range(n)], [[] for _ in range(n)]
+    for d in sorted(docs, key=len, reverse=True):
+        load, i = loads[0]
+        out[i].append(d)
+        heapq.heapreplace(loads, (load + len(d), i))
+    return sorted((np.concatenate(x) for x in out), key=len, reverse=True)
+
+
+def windows(docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Windows (streams x WINDOW, -1 for padding) that cover every token once; the rows of a window go on the first ones of the window before."""
+    own = streams(docs)
+    flat, size = np.concatenate(own), np.array([len(x) for x in own])
+    start, along = np.cumsum(size) - size, np.arange(WINDOW)
+    for t in range(0, int(size[0]), WINDOW):
+        n = int(np.searchsorted(-size, -t, "left"))  # streams that go beyond t
+        at = np.minimum(start[:n, None] + t + along, len(flat) - 1)
+        yield np.where(t + along < size[:n, None], flat[at], -1).astype(np.int64)
+
+
+def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> tuple[dict, int]:
+    """Parameters after passes over whole documents (tokens, with STOP at the end), and the updates made. One pass, or as many as LEAST_STEPS take."""
     p = {k: v.copy() for k, v in p.items()}
     rng, opt, steps = np.random.default_rng(seed), Adam(p, rate), 0
-    while len(rows):
-        rows = rows[rng.permutation(len(rows))]
-        for a in range(0, len(rows), BATCH):
-            part = rows[a : a + BATCH]
-            h = np.zeros((len(part), HIDDEN), np.float32)
-            for t in range(1, part.shape[1], WINDOW):  # the state is carried, the gradient is not
-                g, h, _ = gradient(p, part[:, t : t + WINDOW], np.maximum(part[:, t - 1], 0), h)
-                opt.update(p, g)
-            steps += 1
+    total, count = None, 0
+
+    def update() -> None:
+        nonlocal total, count, steps
+        opt.update(p, {k: v / np.float32(max(count, STEP)) for k, v in total.items()})
+        total, count, steps = None, 0, steps + 1
+
+    while docs:
+        mixed, a = [docs[i] for i in rng.permutation(len(docs))], 0
+        while a < len(mixed):
+            b, n = a, 0
+            while b < len(mixed) and n < DEALT:
+                n, b = n + len(mixed[b]), b + 1
+            h, before = None, None
+            for tokens in windows(mixed[a:b]):
+                rows = len(tokens)
+                if h is None:
+                    h, before = np.zeros((rows, HIDDEN), np.float32), np.full(rows, BEGIN)
+                real = int((tokens >= 0).sum())
+                g, h, _ = gradient(p, tokens, before[:rows], h[:rows])
+                before = np.maximum(tokens[:, -1], 0)
+                total = {k: v * np.float32(real) + (total[k] if total else 0) for k, v in g.items()}
+                count += real
+                if count >= STEP:
+                    update()
+            a = b
+        if count:
+            update()
         if steps >= LEAST_STEPS:
             break
     return p, steps
 
 
-def stretches(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """Stretches of all texts as binary rows of 16-bit tokens: what comes before, then STRETCH tokens. Only what lies around a stretch is split into words."""
+def sequences(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """All tokens of each text and STOP, as a binary row of 16-bit numbers."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(known)
-    size = 12 * STRETCH  # characters that hold a stretch, as a rule
-
-    def pieces(text: str) -> Iterator[tuple[str, bool, bool]]:
-        """Parts of a text at evenly spread places, moved by a number that follows from the text; whether they are its beginning and its end."""
-        n = max(1, len(text) // (6 * PER_STRETCH))
-        shift = crc32(text.encode()) / (1 << 32)
-        for k in range(n):
-            a = int((k + shift) * max(len(text) - size, 0) / n)
-            if a:  # begin with a whole word
-                a = next((i for i in range(a, min(a + size, len(text))) if text[i] in " \n"), a)
-            yield text[a : a + size], a == 0, a + size >= len(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(held.value)
         for b in batches:
-            for x in range(0, b.num_rows, 2000):
-                parts = [p for t in b.column(0).slice(x, 2000).to_pylist() for p in pieces(t or "")]
+            texts = b.column(0).to_pylist()
+            for x, y in chunks(texts):
                 rows = []
-                for w, (_, first, last) in zip(words.of([p[0] for p in parts]), parts, strict=True):
-                    if not last and len(w) > 1:
-                        w = w[:-1]  # its last word may be cut
+                for w in words.of(texts[x:y]):
                     rank = words.rank[w]
-                    tokens = np.where((rank < 0) | (rank >= HEAD), TAIL, rank)
-                    tokens = np.concatenate([[BEGIN] * first, tokens, [STOP] * last])[: STRETCH + 1]
-                    own = np.full(STRETCH + 1, -1, "<i2")
-                    own[: len(tokens)] = tokens
-                    rows.append(own.tobytes())
+                    rows.append(np.append(np.where((rank < 0) | (rank >= HEAD), TAIL, rank), STOP).astype("<i2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
 
     return docs.select("text").mapInArrow(run, "row binary")
 
 
 def fit(rows: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The average of what the tasks have learned from their stretches, round after round."""
+    """The average of what the tasks have learned from their documents, of which each round takes its share, round after round: together they are one pass."""
     names = sorted(start)
     sc = prepare(rows.sparkSession).sparkContext
     parts = rows.rdd.getNumPartitions()
@@ -341,13 +369,13 @@ def fit(rows: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS) ->
         held = sc.broadcast(p)  # of one size, whatever the input
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, held=held) -> Iterator[pa.RecordBatch]:
-            data = b"".join(x for b in batches for i, x in enumerate(b.column(0).to_pylist()) if i % rounds == r)
+            own = [np.frombuffer(x, "<i2") for b in batches for i, x in enumerate(b.column(0).to_pylist()) if i % rounds == r]
             part = TaskContext.get().partitionId()
-            own = np.frombuffer(data, "<i2").reshape(-1, STRETCH + 1).astype(np.int64)
-            if len(own):
+            if own:
+                size = sum(map(len, own))
                 q, steps = trained(held.value, own, part * rounds + r, RATE / (1 + r))
                 flat = np.concatenate([q[k].ravel() for k in names]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(len(own))], pa.float64()), pa.array([(flat * np.float32(len(own))).tobytes()], pa.binary())], names=["part", "weight", "sum"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(size)], pa.float64()), pa.array([(flat * np.float32(size)).tobytes()], pa.binary())], names=["part", "weight", "sum"])
 
         def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, weight, part = None, 0.0, 0
@@ -386,7 +414,7 @@ def scores(docs: DataFrame) -> DataFrame:
     ends = float((counts.filter(F.col("word") == int(END)).first() or {"n": 0})["n"])
     head = float(times[:HEAD].sum())
     tail, v_tail = n_all - head - ends, v_all - min(len(times), HEAD) - (ends > 0)
-    p = fit(cut(stretches(training, known)), initial(times[:HEAD], tail, ends))
+    p = fit(cut(sequences(training, known)), initial(times[:HEAD], tail, ends))
     held = spark.sparkContext.broadcast((p, known, times))
     base_all, tail_all = n_all + SMOOTH * (v_all + 1), tail + SMOOTH * (v_tail + 1)
 

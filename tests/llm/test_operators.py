@@ -399,6 +399,28 @@ def test_gru_scores_sum_to_one_and_carry_the_state():
         assert abs(total - x) < 1e-2
 
 
+def test_lm_trains_on_every_token(spark, monkeypatch):
+    """One pass meets every token of every text once, with the state that the text before it leaves."""
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(n)) for i, n in enumerate([0, 1, 15, 16, 17, 500, 3000])]
+    known = gru._hashes.of([f"w{i}".encode() for i in range(50)])
+    rows = [np.frombuffer(r.row, "<i2") for r in gru.sequences(frame(spark, texts), known).collect()]
+    assert [len(r) for r in rows] == [len(t.split()) + 1 for t in texts]
+    monkeypatch.setattr(gru, "LEAST_STEPS", 0)
+    monkeypatch.setattr(gru, "FEWEST", 2)
+    monkeypatch.setattr(gru.Adam, "update", lambda *_: None)
+    p, real, met = gru.initial(np.ones(50), 1.0, 1.0), gru.gradient, [0, 0.0]
+
+    def gradient(p, tokens, before, h):
+        g, h, logp = real(p, tokens, before, h)
+        n = int((tokens >= 0).sum())
+        met[0], met[1] = met[0] + n, met[1] + logp * n
+        return g, h, logp
+
+    monkeypatch.setattr(gru, "gradient", gradient)
+    gru.trained(p, rows, 1)
+    assert met[0] == sum(map(len, rows)) and abs(met[1] - gru.log_likelihood(p, rows).sum()) < 1
+
+
 def test_lm_base(spark, docs):
     import collections
     import math
