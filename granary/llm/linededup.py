@@ -1,16 +1,17 @@
 """Deletion of repeated runs by winnowing over hashes of lines.
 
 Lines are split further at sentence ends into units, so that a passage is found in the middle of a line, too. The gram
-of a unit is the shortest row of units from it on, within its line, of GRAM words or more. Of the grams that begin within
-SPAN words the one with the smallest hash is a fingerprint; so each line of GRAM words or more has one, and each stretch
-of GRAM + SPAN words and its last unit has. Fingerprints are joined: the first occurrence, by doc_id and position, is the
+of a unit is the shortest row of units from it on of GRAM words or more. Of the grams that begin within SPAN words the one
+with the smallest hash is a fingerprint; they are chosen within each line and again over the whole text, across line
+ends. So each line of GRAM words or more has one, and each stretch of GRAM + SPAN words and its last unit has, however
+short its lines. Fingerprints are joined: the first occurrence, by doc_id and position, is the
 anchor of all later ones. Each later one is compared with its anchor's surroundings and the match is extended both ways,
 REACH units far, which is as far as the neighbouring fingerprints. What matches is deleted; so of each unit deleted an
 equal one stays, in an earlier document or further up.
 
 Results in special cases: null texts stay null, empty ones empty; rows with a null doc_id are passed through and are no
 one's anchor; rows with equal doc_id and text are one document and stay all alike; of texts that are equal under several
-doc_ids the smallest keeps its text and the others become empty, but for lines of fewer than GRAM words out of reach;
+doc_ids the smallest keeps its text and the others become empty, but for texts of fewer than GRAM words;
 other columns are passed through.
 """
 
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from granary.llm import buckets
 from granary.llm.common import crc32, cut, discard, prepare, stored
 
-GRAM, SPAN, REACH = 10, 15, 8
+#: REACH: units of a word each that lie between two fingerprints, or before or after one of a stretch; AHEAD: those from a place on.
+GRAM, SPAN, REACH, AHEAD = 10, 15, 16, 32
 _cuts = re.compile(r"(\n+|(?<=[.!?])[ \t]+)").split
 
 
@@ -48,16 +50,14 @@ def hashes(own: list[str]) -> np.ndarray:
 
 def fingerprints(own: list[str], seps: list[str], h: np.ndarray) -> list[tuple[int, int, int]]:
     """(hash, position, units) of the selected grams of a text."""
-    out: list[tuple[int, int, int]] = []
+    out: dict[tuple[int, int, int], None] = {}
     words = [u.count(" ") + 1 if u else 0 for u in own]
-    a, n = 0, len(own)
+    a, n, several = 0, len(own), False
     ints = h.tolist()
-    while a < n:
-        b = a
-        while b < n - 1 and "\n" not in seps[b]:
-            b += 1
-        b += 1  # units a to b are a line
-        # Grams of the line: (hash, position, units, words before it)
+
+    def select(a: int, b: int) -> None:
+        """Adds those of the units a to b, taken as one run."""
+        # Grams of the run: (hash, position, units, words before it)
         grams, e, total, before = [], a, 0, 0
         for i in range(a, b):
             while e < b and total < GRAM:
@@ -82,10 +82,20 @@ def fingerprints(own: list[str], seps: list[str], h: np.ndarray) -> list[tuple[i
                     best = x
                 x += 1
             if best > last:
-                out.append(grams[best][:3])
+                out[grams[best][:3]] = None
                 last = best
+
+    while a < n:
+        b = a
+        while b < n - 1 and "\n" not in seps[b]:
+            b += 1
+        b += 1  # units a to b are a line
+        select(a, b)
+        several = a > 0
         a = b
-    return out
+    if several:
+        select(0, n)
+    return list(out)
 
 
 #: What is packed: later places with their anchor, within a task, and the first place of each gram.
@@ -155,7 +165,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     blocks = both.filter("payload is not null").select("bucket", "kind", "n", "payload")
     later = cut(buckets.gathered(blocks, n, _kinds, each, "doc_id long, th int, at int, size int, a_doc long, a_th int, a_at int"))
     # The surroundings of each anchor, fetched once, and of each later place.
-    around = lambda at: (F.expr(f"slice(units, greatest({at} - {REACH} + 1, 1), least({at}, {REACH}))"), F.expr(f"slice(units, {at} + 1, {4 * REACH})"))
+    around = lambda at: (F.expr(f"slice(units, greatest({at} - {REACH} + 1, 1), least({at}, {REACH}))"), F.expr(f"slice(units, {at} + 1, {AHEAD})"))
     wanted = later.select("a_doc", "a_th", "a_at").distinct().groupBy("a_doc", "a_th").agg(F.collect_list("a_at").alias("ats"))
     units_of = rows.dropDuplicates(["doc_id", "th"])
     left, right = around("a_at")
@@ -182,9 +192,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                 at, size, most = (part.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4))
                 a, c = matrix(part.column(5), REACH, True), matrix(part.column(7), REACH, True)
                 i = np.cumprod((a == c) & (a != 0), axis=1).sum(axis=1)
-                a, c = matrix(part.column(6), 4 * REACH, False), matrix(part.column(8), 4 * REACH, False)
-                k = np.cumprod((a == c) & ((a != 0) | (np.arange(4 * REACH)[None, :] < size[:, None])), axis=1).sum(axis=1)
-                same = k >= np.minimum(size, 4 * REACH)  # else two grams of one hash
+                a, c = matrix(part.column(6), AHEAD, False), matrix(part.column(8), AHEAD, False)
+                k = np.cumprod((a == c) & ((a != 0) | (np.arange(AHEAD)[None, :] < size[:, None])), axis=1).sum(axis=1)
+                same = k >= np.minimum(size, AHEAD)  # else two grams of one hash
                 i = np.minimum(i, np.maximum(most - size, 0))  # a run of one document does not reach its anchor
                 k = np.minimum(np.minimum(np.maximum(k, size), size + REACH), np.maximum(most - i, 0))
                 keep = pa.array(same & (k > 0))

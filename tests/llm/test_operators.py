@@ -467,6 +467,18 @@ def test_line_dedup_finds_passages(spark):
     assert got[7] == "x"
 
 
+def test_line_dedup_finds_short_lines(spark):
+    rng = random.Random(11)
+    short = lambda n, k: "\n".join(f"{passage(rng, k)}" for _ in range(n))
+    menu, words, copy = short(8, 7), short(40, 1), short(12, 5)
+    texts = [f"{passage(rng, 30)}\n{m}\n{passage(rng, 40)}" for m in (menu, words) for _ in range(3)] + [copy, copy, "\n".join(["no end of this"] * 300)]
+    got = [r.text for r in sorted(linededup.deduplicated(frame(spark, texts)).collect())]
+    for i, t in enumerate(texts[:6]):
+        lines = t.split("\n")
+        assert got[i] == (t if i % 3 == 0 else f"{lines[0]}\n{lines[-1]}")
+    assert got[6:8] == [copy, ""] and len(got[8].split()) < linededup.GRAM + linededup.SPAN  # of a line repeated in place, less than a stretch stays
+
+
 def test_line_dedup_special(spark):
     got = sorted(linededup.cleaned(frame(spark, [*WEIRD, "same line of words that is long enough for a gram to be"] + ["same line of words that is long enough for a gram to be"])).collect())
     assert [r.text for r in got[: len(WEIRD)]] == [t if i != 8 else got[8].text for i, t in enumerate(WEIRD)] and got[-1].text == "" and got[-2].n_deleted == 0
