@@ -52,12 +52,12 @@ def adaptive_gate(items: DataFrame, keep: int = V.ADAPTIVE_KEEP, levels: tuple =
     return rows.withColumn("reason", reason).withColumn("low_confidence", F.col("level").isin("relaxed", "density")).select(*items.columns, "density", "level", "reason", "low_confidence")
 
 
-def _top(rows: DataFrame, candidate: Column, needed: Column, *order: Column) -> DataFrame:
-    """rows with _take: whether a candidate is among the `needed` first ones. Only candidates are ranked."""
+def _top(rows: DataFrame, candidate: Column, needed: Column, most: int, *order: Column) -> DataFrame:
+    """rows with _take: whether a candidate is among the `needed` first ones, `most` at most. Only candidates are ranked."""
     ranked = rows.withColumn("_c", F.when(candidate, 1))
     w = Window.partitionBy("_c").orderBy(*order, F.col("ord"))
-    best = ranked.filter(F.col("_c") == 1).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= 6).filter(F.col("_rank") <= needed).select(F.col("item_id").alias("_id"), F.col("ord").alias("_ord"))
-    return rows.join(F.broadcast(best), (F.col("item_id") == F.col("_id")) & (F.col("ord") == F.col("_ord")), "left").withColumn("_take", F.col("_id").isNotNull()).drop("_id", "_ord")  # six rows at most
+    best = ranked.filter(F.col("_c") == 1).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).filter(F.col("_rank") <= needed).select(F.col("item_id").alias("_id"), F.col("ord").alias("_ord"))
+    return rows.join(F.broadcast(best) if most <= 1000 else best, (F.col("item_id") == F.col("_id")) & (F.col("ord") == F.col("_ord")), "left").withColumn("_take", F.col("_id").isNotNull()).drop("_id", "_ord")
 
 
 def split_gate(items: DataFrame, event: tuple = V.EVENT_LEVEL, signal: tuple = V.SIGNAL_LEVEL, topic: bool = True) -> DataFrame:
@@ -77,7 +77,7 @@ def split_gate(items: DataFrame, event: tuple = V.EVENT_LEVEL, signal: tuple = V
     relax = ok & (F.col("_len") >= max(520, int(el * 0.5))) & (F.col("_n") >= max(2, es - 1)) & (d >= 42) & ~F.col("level").isin("event")
 
     def promote(rows: DataFrame, candidate: Column, needed: Column, name: str, to_event: bool) -> DataFrame:
-        got = _top(_with_counts(rows, _events=F.col("event_pass"), _signals=F.col("signal_pass")), candidate, needed, F.desc("density"))
+        got = _top(_with_counts(rows, _events=F.col("event_pass"), _signals=F.col("signal_pass")), candidate, needed, max(3, V.MIN_EVENTS, V.MIN_SIGNALS), F.desc("density"))
         got = got.withColumn("level", F.when(F.col("_take"), name).otherwise(F.col("level"))).withColumn("signal_pass", F.col("signal_pass") | F.col("_take"))
         if to_event:
             got = got.withColumn("event_pass", F.col("event_pass") | F.col("_take"))
@@ -110,7 +110,7 @@ def filter_items(items: DataFrame, as_of: Column, hours: float = 24, languages:
     rows = items.withColumn("raw_reason", reason).withColumn("_length", length)
     rows = _with_counts(rows, _kept=F.col("raw_reason").isNull())
     demoted = (F.col("raw_reason") == "lang_not_allowed") & (F.col("_length") >= least)
-    rows = _top(rows, demoted, fill - F.col("_kept"), F.desc_nulls_last("frontier_score"), F.desc("_length"))
+    rows = _top(rows, demoted, fill - F.col("_kept"), fill, F.desc_nulls_last("frontier_score"), F.desc("_length"))
     return rows.withColumn("reason", F.when(~F.col("_take"), F.col("raw_reason"))).select(*items.columns, "raw_reason", "reason")
 
 
@@ -119,6 +119,6 @@ def processing_items(gated: DataFrame, context: int = 0, fallback: int = 3) -> D
     rows = _with_counts(gated, _events=F.col("event_pass"))
     needed = F.when(F.col("_events") == 0, fallback).otherwise(context)
     extra = F.col("signal_pass") & ~F.col("event_pass")
-    out = _top(rows, extra, needed, F.col("ord"))
+    out = _top(rows, extra, needed, max(context, fallback), F.col("ord"))
     return out.filter(F.col("event_pass") | F.col("_take")).select(gated.columns)
 

@@ -241,6 +241,13 @@ def test_processing_items(spark):
     assert sorted(r.ord for r in gating.processing_items(gated, context=1).collect()) == [0, 1]
 
 
+def test_top_ups_beyond_six(spark):
+    gated = items(spark, *[item(i, LONG) for i in range(10)]).withColumn("event_pass", F.col("ord") == 0).withColumn("signal_pass", F.lit(True))
+    assert sorted(r.ord for r in gating.processing_items(gated, context=8).collect()) == list(range(9))
+    rows = [item(i, LONG, lang="fr") for i in range(9)]
+    assert gating.filter_items(items(spark, *rows), as_of(), fill=8).filter("reason is null").count() == 8
+
+
 # De-duplication -------------------------------------------------------------------------------------------------------
 def lcs(a, b):
     row = [0] * (len(b) + 1)
