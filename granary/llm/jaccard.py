@@ -7,8 +7,8 @@ joined on equal pieces, size band by size band, and candidates are verified on t
 
 Equal sets are first put together into classes; a class is named by its smallest doc_id, a `node` below. The nodes of a
 piece (a bucket) are not paired with each other. Four rounds link them, each leaving out what is connected already:
-1. each node with the smallest node that it shares a bucket with, of its task or of all;
-2. each node with the smallest nodes of each of its buckets;
+1. each node with the smallest node that it shares a bucket with;
+2. each node with the smallest nodes of each of its buckets, its hubs;
 3. for two components in a bucket, the two nodes whose sketches are closest;
 4. all nodes of a bucket in different components whose sketches are close enough. This makes the result exact.
 In rounds 3 and 4 sketches are compared in blocks of a bucket, so that no task holds a whole one.
@@ -20,12 +20,14 @@ rows that share a doc_id are one document, so what either links to is linked; ot
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ from granary.llm.common import WordHashes, cut, discard, mix, prepare, stored
 BLOCK = 1024
 #: Ids that are broadcast, 8 MB at most; more are joined by a shuffle.
 FEW = 1_000_000
-#: Pieces that a task groups at once, some 80 MB with all that is made of them.
-HELD = 1_000_000
+#: Pieces that a task groups at once, some 80 MB with all that is made of them, and nodes of one piece that stay apart from other tasks' nodes beyond this.
+HELD, HOT = 1_000_000, 4096
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _step = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -105,97 +107,147 @@ class _Bands:
             self.edges = bands(self.percent, 2 * n)
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
-    def pieces(self, band: int) -> int:
-        """The pieces of a band's sketches: more than the elements in which sets of it may differ."""
+    def differs(self, band: int) -> int:
+        """The most elements in which sets of a band, or of it and the one below, may differ that link."""
         while band + 1 >= len(self.edges):
             self.edges = bands(self.percent, 2 * self.edges[-1])
-        return 1 + differs(2 * (self.edges[band + 1] - 1), self.percent)
+        return differs(2 * (self.edges[band + 1] - 1), self.percent)
+
+    def pieces(self, band: int) -> int:
+        """The pieces of a band's sketches: more than the elements in which sets may differ, and some for blank pieces."""
+        d = self.differs(band)
+        blank = d * np.exp(-self.edges[max(band - 1, 0)] / max(d, 1))
+        return 1 + d + int(blank + 2 * blank**0.5)
+
+
+def signed(v: np.ndarray, most: int) -> np.ndarray:
+    """The pieces of a sketch to join on, where sets differ in `most` elements at most.
+
+    Sets that link have len(v) - most pieces or more in common. A set with fewer blank pieces than that has one among
+    them that is not blank, so it leaves the blank ones out; a piece that is blank in most sets joins nobody.
+    """
+    blank = v == 0
+    return np.flatnonzero(~blank) if len(v) - most > int(blank.sum()) else np.arange(len(v))
 
 
 def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest of the set, its band (-1: none) and folded sketches for its own band and the next one."""
+    """doc_id, n, digest of the set, its band (-1: none), and sketches for its own band and the next one: folded (low, high) and whole (own, after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _Bands(percent)
         for b in batches:
             for x in range(0, b.num_rows, 500):
                 part = b.slice(x, 500)
-                n, digest, band, low, high = [], [], [], [], []
+                n, digest, band, low, high, own, after = [], [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     h = shingles(text, width)
                     i = edges.of(len(h))
                     n.append(len(h))
                     digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                     band.append(i)
-                    for k, out in ((i, low), (i + 1, high)):
-                        out.append(folded(sketch(h, edges.pieces(k))) if i >= 0 else None)
-                cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high"])
+                    for k, short, whole in ((i, low, own), (i + 1, high, after)):
+                        v = sketch(h, edges.pieces(k)) if i >= 0 else None
+                        short.append(folded(v) if i >= 0 else None)
+                        whole.append(v.tobytes() if i >= 0 else None)
+                cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), *(pa.array(c, pa.binary()) for c in (low, high, own, after))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high", "own", "after"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low binary, high binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low binary, high binary, own binary, after binary")
 
 
-#: What is packed: of groups within a task all rows (sig, node, level, hub); of each group its hub (sig, node, side), of groups with odd sides alone all nodes.
-LOCAL, GLOBAL = 0, 1
-_kinds = {LOCAL: [np.uint64, np.int64, np.int32, np.int64], GLOBAL: [np.uint64, np.int64, np.int32]}
+#: What is packed: rows (sig, node, side) of all pieces, and those (key, sig, node, side) of groups beyond HOT within a
+#: task, which stay by themselves. A side is 4 * band + 2 (stands for such a group) + 1 (odd: a sketch for the next band).
+ALL, APART = 0, 1
+_kinds = {ALL: [np.uint64, np.int64, np.int32], APART: [np.uint64, np.uint64, np.int64, np.int32]}
 
 
-def _groups(sig: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows (sig, node, level, hub) of signatures that several rows have, and (sig, hub, side) of all signatures, both ascending.
-
-    An odd side is a sketch for the next band; of all rows, a group of these alone has its links in the band they come
-    from. Of a part of the rows, another part may have the next band's nodes, so all nodes of such a group are passed on.
-    """
-    order = np.lexsort((node, sig))
-    sig, node, side = sig[order], node[order], side[order]
-    first = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ np.uint64(1)))
-    size = np.diff(first, append=len(sig))
-    hub, odd = node[first], np.bitwise_and.reduceat(side & 1, first)
-    several = (node[first + size - 1] != hub) & (odd == 0)
-    rows = np.repeat(several, size)
-    on = np.repeat(odd == 1, size) & (np.diff(node, prepend=node[:1]) != 0)  # a node once
-    on[first] = True
-    return [sig[rows], node[rows], side[rows] >> 1, np.repeat(hub, size)[rows]], [sig[on], node[on], (side // 2 * 2 + np.repeat(odd, size))[on]]
+def _grouped(key: np.ndarray, node: np.ndarray, side: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each key's group begins, and the columns in order of key and node, with one row for both of them: odd if all its rows are, standing for a group if one does."""
+    order = np.lexsort((node, key))
+    key, node, side, *more = (x[order] for x in (key, node, side, *more))
+    at = np.flatnonzero((np.diff(key, prepend=key[:1] ^ np.uint64(1)) != 0) | (np.diff(node, prepend=node[:1]) != 0))
+    side = side[at] // 4 * 4 + (np.bitwise_or.reduceat(side, at) & 2) + (np.bitwise_and.reduceat(side, at) & 1)
+    key, node, *more = (x[at] for x in (key, node, *more))
+    return np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1))), key, node, side, *more
 
 
-def _shared(docs: DataFrame, percent: int, width: int, n_rows: int) -> DataFrame:
-    """(sig, node, level, hub): the buckets that a document shares with others, the band they belong to and the smallest document there, of a task or of all."""
-    n = buckets.tasks(docs, n_rows)
+def _sent(sig: np.ndarray, node: np.ndarray, side: np.ndarray, salt: int, most: int, bits: int) -> pa.RecordBatch:
+    """A task's pieces, packed. Of a group beyond `most` only the smallest node goes where all rows of the piece meet."""
+    first, sig, node, side = _grouped(sig, node, side)
+    size = np.diff(first, append=len(sig))
+    hot = np.repeat(size > most, size)
+    alone = np.ones(len(sig), bool)
+    alone[hot] = False
+    alone[first] = True
+    mark = np.zeros(len(sig), np.int32)
+    mark[first[size > most]] = 2
+    odd = np.bitwise_and.reduceat(side & 1, first)
+    meets = np.where(mark > 0, side // 4 * 4 + 2 + np.repeat(odd, size), side).astype(np.int32)
+    rows = [*buckets.blocks(ALL, [sig[alone], node[alone], meets[alone]], bits)]
+    if hot.any():
+        key = mix(sig[hot] + mix(np.array([salt], np.uint64)))
+        order = np.argsort(key, kind="stable")
+        rows += buckets.blocks(APART, [x[order] for x in (key, sig[hot], node[hot], side[hot])], bits)
+    return buckets.batch(rows)
+
+
+def _met(key: np.ndarray, node: np.ndarray, sig: np.ndarray, side: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Of each group its pairs (hub, node, level), and the members (sig, node, level) that may link with each other.
+
+    The pairs with the hub say all of two nodes, and of any number all that the hub links to, so neither groups of two
+    nor hubs are members, but where a group is a part of one (it stands for others, or whole is false). A group of odd
+    sides alone has its links in the band they come from.
+    """
+    if not len(key):
+        return
+    first, key, node, side, sig = _grouped(key, node, side, sig)
+    size = np.diff(first, append=len(key))
+    part = np.bitwise_or.reduceat(side & 2, first) > 0 if whole else np.ones(len(first), bool)
+    linked = (np.bitwise_and.reduceat(side & 1, first) == 0) | part
+    hub, level = np.repeat(node[first], size), (side >> 2).astype(np.int32)
+    at = np.repeat(linked & (size > 1), size) & (node != hub)
+    pairs = np.unique(np.stack([hub[at], node[at], level[at].astype(np.int64)], 1), axis=0)
+    none = pa.nulls(len(pairs)).cast(pa.int64())
+    yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 0])], names=["sig", "node", "level", "hub"])
+    at = np.repeat(linked & (size > 2) | part, size) & ((node != hub) | np.repeat(part, size))
+    none = pa.nulls(int(at.sum())).cast(pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(node[at]), pa.array(level[at]), none], names=["sig", "node", "level", "hub"])
+
+
+def _shared(sketches: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs (node, level, hub; no sig) and members (sig, node, level; no hub) of all pieces that nodes share, over n tasks. sketches: (doc_id, band, own, after)."""
     bits = buckets.bits_of(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, held, total = _Bands(percent), [], 0
+        edges, held, total, salt = _Bands(percent), [], 0, TaskContext.get().partitionId() << 20
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal total, salt
             if held:
                 sig, size, node, side = (np.concatenate(x) for x in zip(*held, strict=True))
-                local, hubs = _groups(sig, np.repeat(node, size), np.repeat(side, size))
-                yield buckets.batch([*buckets.blocks(LOCAL, local, bits), *buckets.blocks(GLOBAL, hubs, bits)])
+                yield _sent(sig, np.repeat(node, size), np.repeat(side, size), salt, HOT, bits)
                 held.clear()
+                total, salt = 0, salt + 1
 
-        for part in (b.slice(x, 500) for b in batches for x in range(0, b.num_rows, 500)):
-            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                h = shingles(text, width)
-                i = edges.of(len(h))
-                if i < 0 or node is None:
-                    continue
-                for shift in (0, 1):
-                    v = sketch(h, edges.pieces(i + shift))
-                    sig = mix(v ^ mix(np.arange(len(v), dtype=np.uint64) + (np.uint64(i + shift) << np.uint64(32))))
-                    held.append((sig, np.array([len(v)]), np.array([node], np.int64), np.array([2 * (i + shift) + shift], np.int32)))
-                    total += len(v)
+        for b in batches:
+            for node, band, own, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for level, odd, sketch_of in ((band, 0, own), (band + 1, 1, after)):
+                    v = np.frombuffer(sketch_of, np.uint64)
+                    at = signed(v, edges.differs(level))
+                    sig = mix(v[at] ^ mix(at.astype(np.uint64) + (np.uint64(level) << np.uint64(32))))
+                    held.append((sig, np.array([len(at)]), np.array([node], np.int64), np.array([4 * level + odd], np.int32)))
+                    total += len(at)
                 if total > HELD:
                     yield from flush()
-                    total = 0
         yield from flush()
 
     def each(arrays: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        several = _groups(*arrays[GLOBAL])[0] if len(arrays[GLOBAL][0]) else []
-        for sig, node, level, hub in (arrays[LOCAL], several) if several else (arrays[LOCAL],):
-            if len(sig):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(level), pa.array(hub)], names=["sig", "node", "level", "hub"])
+        sig, node, side = arrays[ALL]
+        yield from _met(sig, node, sig, side, True)
+        key, sig, node, side = arrays[APART]
+        yield from _met(key, node, sig, side, False)
 
-    return buckets.gathered(docs.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long")
+    return buckets.gathered(sketches.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,7 +356,7 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     rows = rows.withColumn("_group", F.xxhash64("sig", F.least("_i", "_y"), F.greatest("_i", "_y"))).withColumn("_pair", F.col("_i") != F.col("_y"))
 
     def compare(node, comp, n, words, block, crossing) -> tuple[np.ndarray, np.ndarray]:
-        ia, ib = [], []
+        ia, ib, apart = [], [], []
         for i in range(len(node) - 1):
             other = slice(i + 1, len(node))
             ok = comp[other] != comp[i]
@@ -318,15 +370,18 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
             at, far = at[near], far[near]
             if best and len(at):
                 order = np.lexsort((far, comp[at]))
-                at = at[order[np.unique(comp[at][order], return_index=True)[1]]]
+                order = order[np.unique(comp[at][order], return_index=True)[1]]
+                at, far = at[order], far[order]
             ia.append(np.full(len(at), i))
             ib.append(at)
+            apart.append(far)
         none = np.zeros(0, np.int64)
-        ia, ib = (np.concatenate(x) if x else none for x in (ia, ib))
+        ia, ib, apart = (np.concatenate(x) if x else none for x in (ia, ib, apart))
         if best and len(ia):
-            # one pair for two components: the first found; the others stay for the next round
-            key = np.stack([np.minimum(comp[ia], comp[ib]), np.maximum(comp[ia], comp[ib])], 1)
-            first = np.unique(key, axis=0, return_index=True)[1]
+            # one pair for two components, the closest; the others stay for the next round
+            low, high = np.minimum(comp[ia], comp[ib]), np.maximum(comp[ia], comp[ib])
+            order = np.lexsort((apart, high, low))
+            first = order[(np.diff(low[order], prepend=low[order[0]] - 1) != 0) | (np.diff(high[order], prepend=high[order[0]] - 1) != 0)]
             ia, ib = ia[first], ib[first]
         return np.minimum(node[ia], node[ib]), np.maximum(node[ia], node[ib])
 
@@ -358,29 +413,29 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     return spread.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long").distinct()
 
 
-def _nearest(shared: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+def _nearest(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """Round 1: each node with one smaller node."""
-    first = shared.filter("hub < node").groupBy("node").agg(F.min("hub").alias("a"), F.min_by("level", "hub").alias("level"))
+    first = pairs.groupBy("node").agg(F.min("hub").alias("a"), F.min_by("level", "hub").alias("level"))
     return _allowed(first.select("a", F.col("node").alias("b"), "level"), words, percent)
 
 
-def _undecided(shared: DataFrame, state: DataFrame) -> DataFrame:
-    """The rows of buckets that have nodes of several components."""
-    own = shared.join(state, "node")
+def _undecided(members: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of buckets that have members of several components."""
+    own = members.join(state, "node")
     mixed = own.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("sig")
-    return stored(shared.join(mixed, "sig", "left_semi"))
+    return stored(members.join(mixed, "sig", "left_semi"))
 
 
-def _to_hubs(shared: DataFrame, state: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+def _to_hubs(pairs: DataFrame, state: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """Round 2: each node with the smallest nodes of its buckets, if these are of other components."""
-    pairs = shared.filter("hub < node").select("hub", "node", "level").distinct()
+    pairs = pairs.select("hub", "node", "level").distinct()
     pairs = pairs.join(state, "node").join(state.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").filter("comp != hub_comp")
     return _allowed(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), "level"), words, percent)
 
 
-def _across(shared: DataFrame, state: DataFrame, words: DataFrame, percent: int, best: bool, only: DataFrame | None = None) -> DataFrame:
+def _across(members: DataFrame, state: DataFrame, words: DataFrame, percent: int, best: bool, only: DataFrame | None = None) -> DataFrame:
     """Rounds 3 and 4: nodes of a bucket that are of different components; of some components only, if given."""
-    own = shared.select("sig", "node", "level").distinct().join(state, "node")
+    own = members.select("sig", "node", "level").distinct().join(state, "node")
     if only is not None:
         own = own.join(only, "comp", "left_semi")
     mixed = own.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).filter("c1 != c2 and m > 1").select("sig", "m")
@@ -401,14 +456,20 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     words = full.filter("band >= 0").select(F.col("doc_id").alias("node"), "n", F.col("band").alias("level"), F.col("low").alias("words"))
     words = words.unionAll(full.filter("band >= 0").select("doc_id", "n", F.col("band") + 1, "high"))
     # What has the same set becomes one node.
-    named = cut(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
-    own = rows.filter("n > 0 and doc_id is not null").join(named, "digest").filter("doc_id != node").select("doc_id", "node").distinct()
-    copies = _few(cut(own))
-    found = _shared(docs, percent, width, rows.count())
-    for c in ("node", "hub"):
-        found = found.join(copies.select(F.col("doc_id").alias(c), F.col("node").alias("_node")), c, "left").withColumn(c, F.coalesce("_node", c)).drop("_node")
-    shared = stored(found.distinct())
-    state = cut(shared.select("node").distinct().withColumn("comp", F.col("node")))
+    known = rows.filter("n > 0 and doc_id is not null")
+    named = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
+    nodes_of = cut(known.join(named, "digest").filter("doc_id != node").select("doc_id", "digest", "node").distinct())
+    sketches = full.filter("band >= 0 and doc_id is not null").join(_few(nodes_of.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
+    shared = stored(_shared(sketches.select("doc_id", "band", "own", "after"), percent, buckets.tasks(docs, rows.count())))
+    pairs, members = shared.filter("sig is null").select("node", "level", "hub"), shared.filter("sig is not null").select("sig", "node", "level")
+    # Rows of one doc_id with several sets connect these.
+    several = known.join(known.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select("doc_id"), "doc_id", "left_semi")
+    several = several.join(named, "digest").select("doc_id", "node").distinct()
+    several = cut(several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a != node").select("a", F.col("node").alias("b")).distinct())
+    ends = [shared.select("node"), pairs.select("hub"), several.select("a"), several.select("b")]
+    state = cut(functools.reduce(DataFrame.unionAll, ends).distinct().withColumn("comp", F.col("node")))
+    if not several.isEmpty():
+        state = _merged(state, several)
 
     def link(state: DataFrame, pairs: DataFrame) -> DataFrame:
         discard(spark)
@@ -420,19 +481,19 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
         discard(spark)
         return _merged(state, edges)
 
-    state = link(state, cut(_nearest(shared, words, percent)))
-    everything, shared = shared, _undecided(shared, state)
-    discard(spark, everything)
-    state = link(state, cut(_to_hubs(shared, state, words, percent)))
-    found = cut(_across(shared, state, words, percent, True))
+    state = link(state, cut(_nearest(pairs, words, percent)))
+    state = link(state, cut(_to_hubs(pairs, state, words, percent)))
+    members = _undecided(members, state)
+    discard(spark, shared)
+    found = cut(_across(members, state, words, percent, True))
     if not found.isEmpty():  # without any close pair nothing is left
         ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
         state = link(state, found)
         # Components that had no close pair have none now; those that have become one go by their new name.
         open_ = cut(ends.join(state, "node").select("comp").distinct())
-        state = link(state, cut(_across(shared, state, words, percent, False, open_)))
+        state = link(state, cut(_across(members, state, words, percent, False, open_)))
     labels = cut(named.join(state, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
-    discard(spark, full, shared)
+    discard(spark, full, members)
     slim = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
     return slim.join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -136,31 +136,65 @@ def copies(seed, groups=14, most=7):
     return texts
 
 
-@pytest.mark.parametrize("percent,width", [(90, 3), (80, 5)])
-def test_jaccard_brute_force(spark, monkeypatch, percent, width):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    texts = copies(percent) + WEIRD
-    got = sorted(jaccard.classes(frame(spark, texts), percent, width).collect())
+@pytest.mark.parametrize("percent,width,parts,held,hot", [(90, 3, 1, 50, 2), (90, 3, 16, 10**6, 4096), (80, 5, 5, 400, 3), (80, 5, 2, 10**6, 2)])
+def test_jaccard_brute_force(spark, monkeypatch, percent, width, parts, held, hot):
+    """Whatever the partitions, the pieces that a task groups at once and the size of groups that stay apart."""
+    for name, value in (("BLOCK", 3), ("HELD", held), ("HOT", hot)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = copies(percent + parts) + WEIRD
+    got = sorted(jaccard.classes(frame(spark, texts).repartition(parts), percent, width).collect())
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, percent, width)
 
 
-def test_jaccard_links_across_bands_and_tasks():
-    """Of pieces grouped part by part, every two nodes that share one of a band stay together, whatever the parts."""
+def test_jaccard_pieces_meet_whatever_the_parts():
+    """Every two nodes that share a piece of one's own band are a pair or two members, or each a pair with one hub where that is all of them."""
     rng = random.Random(4)
-    for _ in range(100):
+    for _ in range(200):
         rows = sorted({(rng.randrange(6), rng.randrange(9), rng.randrange(2)) for _ in range(rng.randrange(1, 30))})
         sig, node, side = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int32)))
-        part, local, passed = np.array([rng.randrange(4) for _ in rows]), set(), []
+        part, sent = np.array([rng.randrange(4) for _ in rows]), []
         for k in set(part.tolist()):
-            own, on = jaccard._groups(sig[part == k], node[part == k], side[part == k])
-            local |= set(zip(own[0].tolist(), own[1].tolist()))
-            passed.append(on)
-        own = jaccard._groups(*(np.concatenate(c) for c in zip(*passed)))[0]
-        got = local | set(zip(own[0].tolist(), own[1].tolist()))
+            own = part == k
+            sent.append(jaccard._sent(sig[own], node[own], side[own], k, rng.randrange(1, 4), 3))
+        held = {k: [np.zeros(0, t) for t in kinds] for k, kinds in jaccard._kinds.items()}
+        for b in sent:
+            for _, kind, n, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[kind] = [np.concatenate(x) for x in zip(held[kind], jaccard.buckets.unpack(payload, n, jaccard._kinds[kind]), strict=True)]
+        s, n, d = held[jaccard.ALL]
+        out = [*jaccard._met(s, n, s, d, True)]
+        key, s, n, d = held[jaccard.APART]
+        out += jaccard._met(key, n, s, d, False)
+        found = [r for b in out for r in b.to_pylist()]
+        pairs = {frozenset((r["node"], r["hub"])) for r in found if r["hub"] is not None}
         for s in set(sig.tolist()):
-            at = [r for r in rows if r[0] == s]
-            if len({r[1] for r in at}) > 1 and not all(r[2] for r in at):
-                assert {n for _, n, _ in at} <= {n for x, n in got if x == s}
+            members = {r["node"] for r in found if r["sig"] == s}
+            at = {(n, d) for x, n, d in rows if x == s}
+            evens = {n for n, d in at if not d}
+            for x, _ in at:
+                for y in evens - {x}:
+                    assert frozenset((x, y)) in pairs or {x, y} <= members
+
+
+def test_sketches_that_link_share_a_piece_that_is_joined_on():
+    rng = np.random.default_rng(6)
+    for percent in (80, 90):
+        edges = jaccard._Bands(percent)
+        for _ in range(150):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(9, 90)), dtype=np.uint64))
+            b = np.concatenate([a[int(rng.integers(0, 1 + len(a) // 6)) :], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 12)), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            i, j = edges.of(len(a)), edges.of(len(b))
+            if 100 * both < percent * (len(a) + len(b) - both) or min(i, j) < 0:
+                continue
+            top = max(i, j)
+            x, y = (jaccard.sketch(v, edges.pieces(top)) for v in (a, b))
+            x_at, y_at = (set(jaccard.signed(v, edges.differs(top)).tolist()) for v in (x, y))
+            assert any(x[k] == y[k] for k in x_at & y_at)
+
+
+def test_jaccard_rows_of_one_id_connect(spark):
+    df = spark.createDataFrame([(5, "a b c d"), (1, "a b c d"), (5, "k l m n o p"), (9, "k l m n o p"), (7, "z")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.classes(df).collect()} == {(5, 2): 1, (1, 2): 1, (5, 4): 1, (9, 4): 1, (7, 1): 7}
 
 
 def test_jaccard_chains_across_bands(spark):
