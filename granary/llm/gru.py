@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import _Index
-from granary.llm.common import chunks, crc32, crc_bucket, cut, prepare
+from granary.llm.common import chunks, crc_bucket, cut, discard, prepare, stored
 from granary.llm.jaccard import _hashes, _words
 
 HEAD, CLASS = 1024, 32
 KNOWN = 1 << 18
 HIDDEN = 24
 #: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
-WINDOW, BATCH, FEWEST, DEALT = 16, 192, 64, 4_000_000
+WINDOW, BATCH, FEWEST, DEALT = 24, 384, 96, 4_000_000
 #: Tokens for an update, at least: windows of few streams are put together.
 STEP = 1024
 ROUNDS, LEAST_STEPS = 3, 48
@@ -53,17 +53,14 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Words:
-    """Numbers for words, with their hashes and ranks among the KNOWN words (-1: not among these)."""
+    """Numbers for words, with their hashes. It is emptied when `most` words are held."""
 
-    def __init__(self, known: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
-        if known is not None:
-            self.order = np.argsort(known)
-            self.known = known[self.order]
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.hash, self.rank = _Index(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.index, self.hash = _Index(), np.zeros(0, np.uint64)
 
     def of(self, texts: list) -> list[np.ndarray]:
         if len(self.index) > self.most:
@@ -73,38 +70,88 @@ class Words:
             w = split(t)
             out.append(np.fromiter(map(get, w), np.int64, len(w)))
         if self.index.new:
-            h = _hashes.of(self.index.new)
-            at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-            ok = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
-            self.hash = np.concatenate([self.hash, h])
-            self.rank = np.concatenate([self.rank, np.where(ok, self.order[at] if len(self.known) else 0, -1)])
+            self.hash = np.concatenate([self.hash, _hashes.of(self.index.new)])
             self.index.new.clear()
         return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the hash and the number of each word of all texts; the end token has the hash END."""
+class Ranks:
+    """Ranks of word hashes among the known ones, -1 for others."""
+
+    def __init__(self, known: np.ndarray):
+        self.order = np.argsort(known)
+        self.known = known[self.order]
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, self.order[at], -1)
+
+
+#: Documents of some CHARS characters in a row: their ids, choice and numbers of words, the hashes of their distinct words and each word's number among these.
+CHUNK, CHARS = "doc_id array<long>, held_out array<boolean>, size array<int>, words binary, ids binary", 1_000_000
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and held_out as rows of CHUNK: texts are split into words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-        ends = 0
+        words = Words()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for x, y in chunks(texts, CHARS):
+                got = words.of(texts[x:y])
+                own, ids = np.unique(np.concatenate(got), return_inverse=True)
+                part = b.slice(x, y - x)
+                row = [[part.column(0).to_pylist()], [part.column(2).to_pylist()], [[len(g) for g in got]], [words.hash[own].tobytes()], [ids.astype(np.int32).tobytes()]]
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["doc_id", "held_out", "size", "words", "ids"])
 
-        def out() -> pa.RecordBatch:
-            words = list(tally)
-            return pa.RecordBatch.from_arrays([pa.array(_hashes.of(words).view(np.int64)), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CHUNK)
+
+
+def unchunked(b: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids of documents, held out, words, distinct words' hashes, each word's number) of each row."""
+    for i in range(b.num_rows):
+        keys, held, size = (b.column(k)[i].values for k in range(3))
+        yield keys.to_pylist(), held.to_numpy(zero_copy_only=False), size.to_numpy(), np.frombuffer(b.column(3)[i].as_buffer(), np.uint64), np.frombuffer(b.column(4)[i].as_buffer(), np.int32)
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): the hash and the number of each word of the training texts; the end token has the hash END. rows: CHUNK."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held, ends = [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                words, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                own, at = np.unique(words, return_inverse=True)
+                n = np.bincount(at, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["word", "n"])
+                held.clear()
 
         for b in batches:
-            ends += b.num_rows
-            for text in b.column(0).to_pylist():
-                tally.update(split(text))
-                if len(tally) > 400_000:
-                    yield out()
-                    tally.clear()
-        if tally:
-            yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([int(END)], pa.int64()), pa.array([ends], pa.int64())], names=["word", "n"])
+            for _, away, size, words, ids in unchunked(b):
+                ends += int((~away).sum())
+                n = np.bincount(ids[np.repeat(~away, size)], minlength=len(words))
+                held.append((words[n > 0], n[n > 0]))
+                n_held += len(words)
+                if n_held > 2_000_000:
+                    yield from out()
+                    n_held = 0
+        yield from out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([int(END)], pa.int64()), pa.array([ends], pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    return rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The network's tokens of each document of a chunk, with STOP at the end."""
+    flat = np.where((rank < 0) | (rank >= HEAD), TAIL, rank).astype(np.int16)[ids]
+    return np.split(np.insert(flat, np.cumsum(size), STOP), np.cumsum(size + 1)[:-1])
 
 
 def initial(counts: np.ndarray, tail: float, ends: float) -> dict[str, np.ndarray]:
@@ -122,66 +169,74 @@ def initial(counts: np.ndarray, tail: float, ends: float) -> dict[str, np.ndarra
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def step(p: dict, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(state after the token, update gate, reset gate, candidate)."""
-    x = p["x"][token]
+def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(state after a token, update and reset gates, candidate, what the reset gate leaves of the state). x: the tokens' rows of p["x"]."""
     k = HIDDEN
-    gates = _sigmoid(x[:, : 2 * k] + h @ p["u"][:, : 2 * k])
-    z, r = gates[:, :k], gates[:, k:]
-    n = np.tanh(x[:, 2 * k :] + (r * h) @ p["u"][:, 2 * k :])
-    return h + z * (n - h), z, r, n
+    gates = h @ p["u"][:, : 2 * k]
+    gates += x[:, : 2 * k]
+    np.negative(gates, gates)
+    np.exp(gates, gates)
+    gates += 1
+    np.reciprocal(gates, gates)
+    kept = gates[:, k:] * h
+    n = kept @ p["u"][:, 2 * k :]
+    n += x[:, 2 * k :]
+    np.tanh(n, n)
+    new = n - h
+    new *= gates[:, :k]
+    new += h
+    return new, gates, n, kept
 
 
 def classes_of(target: np.ndarray) -> np.ndarray:
     return np.where(target < HEAD, target // CLASS, HEAD // CLASS + target - HEAD).astype(np.int64)
 
 
-def _exp(logit: np.ndarray) -> np.ndarray:
-    """exp; logits are moved, in place, only where they could leave the range of floats."""
-    if logit.size and (logit.max() > 80 or logit.min() < -80):
+def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log chance of each row's target t, exp of the logits, their sums); logits are moved only where they could leave the range of floats."""
+    if not safe:
         logit -= logit.max(axis=1, keepdims=True)
-    return np.exp(logit)
+    i = np.arange(len(t))
+    own = logit[i, t]
+    np.exp(logit, logit)
+    total = logit @ np.ones(logit.shape[1], logit.dtype)
+    return own - np.log(total), logit, total
 
 
 def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log of each target's chance in its state; with gradient also those of the negative sum."""
     c = classes_of(target)
-    rows = np.arange(len(c))
+    order = np.argsort(c, kind="stable")  # class by class, so that each is a slice
+    h, target, c = h[order], target[order], c[order]
+    # States lie within -1 and 1.
+    safe = [(np.abs(w).sum(axis=-2) + np.abs(b)).max() < 80 for w, b in ((p["wc"], p["bc"]), (p["ww"], p["bw"].reshape(-1, CLASS)))]
     logit = h @ p["wc"]
     logit += p["bc"]
-    e = _exp(logit)
-    total = e.sum(axis=1)
-    logp = logit[rows, c] - np.log(total)
+    logp, e, total = _chances(logit, c, safe[0])
     if gradient:
         e /= total[:, None]
-        e[rows, c] -= 1
+        e[np.arange(len(c)), c] -= 1
         dh = e @ p["wc"].T
         g = {"wc": h.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    order = np.argsort(c, kind="stable")
-    cut_at = np.searchsorted(c[order], np.arange(HEAD // CLASS + 1))
+    cut_at = np.searchsorted(c, np.arange(HEAD // CLASS + 1)).tolist()
     for k in range(HEAD // CLASS):
-        at = order[cut_at[k] : cut_at[k + 1]]
-        if not len(at):
+        a, b = cut_at[k], cut_at[k + 1]
+        if a == b:
             continue
-        own = h[at]
-        logit = own @ p["ww"][k]
+        logit = h[a:b] @ p["ww"][k]
         logit += p["bw"][k * CLASS : (k + 1) * CLASS]
-        e = _exp(logit)
-        total = e.sum(axis=1)
-        t = target[at] - k * CLASS
-        i = np.arange(len(at))
-        logp[at] += logit[i, t] - np.log(total)
+        t = target[a:b] - k * CLASS
+        own, e, total = _chances(logit, t, safe[1])
+        logp[a:b] += own
         if gradient:
             e /= total[:, None]
-            e[i, t] -= 1
-            g["ww"][k] = own.T @ e
+            e[np.arange(b - a), t] -= 1
+            g["ww"][k] = h[a:b].T @ e
             g["bw"][k * CLASS : (k + 1) * CLASS] = e.sum(axis=0)
-            dh[at] += e @ p["ww"][k].T
-    return (logp, dh, g) if gradient else logp
+            dh[a:b] += e @ p["ww"][k].T
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return (logp[back], dh[back], g) if gradient else logp[back]
 
 
 def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -208,7 +263,7 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     index = np.arange(len(docs))
     longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # how many documents go beyond each step
     for t, n in enumerate(longer.tolist()):
-        h = step(p, before[:n], h[:n])[0]
+        h = step(p, p["x"][before[:n]], h[:n])[0]
         before = flat[start[:n] + t]
         states.append(h)
         targets.append(before)
@@ -224,47 +279,55 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding; after STOP a document begins, with an empty state."""
+    """Summed gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding; after STOP a document begins, with an empty state."""
     rows, time = tokens.shape
     k = HIDDEN
-    saved, states = [], []
+    inputs = np.concatenate([before[:, None], np.maximum(tokens[:, :-1], 0)], axis=1).T
+    fresh = inputs == STOP
+    inputs = np.where(fresh, BEGIN, inputs)
+    anew = fresh.any(axis=1).tolist()
+    x = p["x"][inputs]
+    came, gates, cand, kept, hs = (np.empty((time, rows, n), p["u"].dtype) for n in (k, 2 * k, k, k, k))
     for t in range(time):
-        inp = before if t == 0 else np.maximum(tokens[:, t - 1], 0)
-        fresh = inp == STOP
-        inp, h = np.where(fresh, BEGIN, inp), h * ~fresh[:, None]
-        new, z, r, n = step(p, inp, h)
-        saved.append((inp, h, z, r, n, fresh))
-        states.append(new)
-        h = new
-    hs = np.stack(states, 1)
-    real = tokens >= 0
-    count = max(int(real.sum()), 1)
-    logp, d, g = output(p, hs[real], tokens[real], True)
-    dhs = np.zeros_like(hs)
+        if anew[t]:
+            h = h * ~fresh[t][:, None]
+        came[t] = h
+        hs[t], gates[t], cand[t], kept[t] = step(p, x[t], h)
+        h = hs[t]
+    flat = tokens.T.ravel()
+    real = np.flatnonzero(flat >= 0)
+    count = max(len(real), 1)
+    logp, d, g = output(p, hs.reshape(-1, k)[real], flat[real], True)
+    dhs = np.zeros((time * rows, k), hs.dtype)
     dhs[real] = d
-    dgates = np.zeros((time, rows, 3 * k), np.float32)
-    du = np.zeros_like(p["u"])
-    dh = np.zeros((rows, k), np.float32)
-    u = p["u"]
+    dhs = dhs.reshape(time, rows, k)
+    # What a change of the state makes of each gate, for all tokens at once; the loop then only carries it back.
+    z, r = gates[..., :k], gates[..., k:]
+    by_n, by_z, by_r = z * (1 - cand * cand), (cand - came) * z * (1 - z), came * r * (1 - r)
+    stay = 1 - z
+    dgates = np.empty((time, rows, 3 * k), hs.dtype)
+    dh = np.zeros((rows, k), hs.dtype)
+    u_n, u_zr = np.ascontiguousarray(p["u"][:, 2 * k :].T), np.ascontiguousarray(p["u"][:, : 2 * k].T)
     for t in range(time - 1, -1, -1):
-        inp, h0, z, r, n, fresh = saved[t]
-        dh = dh + dhs[:, t]
-        dn = dh * z * (1 - n * n)
-        dz = dh * (n - h0) * z * (1 - z)
-        drh = dn @ u[:, 2 * k :].T
-        dr = drh * h0 * r * (1 - r)
-        dgates[t] = np.concatenate([dz, dr, dn], 1)
-        du[:, :k] += h0.T @ dz
-        du[:, k : 2 * k] += h0.T @ dr
-        du[:, 2 * k :] += (r * h0).T @ dn
-        dh = (dh * (1 - z) + drh * r + dz @ u[:, :k].T + dr @ u[:, k : 2 * k].T) * ~fresh[:, None]
-    inputs = np.concatenate([s[0] for s in saved])
-    order = np.argsort(inputs, kind="stable")
-    uniq, first = np.unique(inputs[order], return_index=True)
+        dh += dhs[t]
+        dg = dgates[t]
+        np.multiply(dh, by_n[t], dg[:, 2 * k :])
+        drh = dg[:, 2 * k :] @ u_n
+        np.multiply(dh, by_z[t], dg[:, :k])
+        np.multiply(drh, by_r[t], dg[:, k : 2 * k])
+        dh *= stay[t]
+        drh *= r[t]
+        dh += drh
+        dh += dg[:, : 2 * k] @ u_zr
+        if anew[t]:
+            dh *= ~fresh[t][:, None]
+    flat_g = dgates.reshape(-1, 3 * k)
+    g["u"] = np.concatenate([came.reshape(-1, k).T @ flat_g[:, : 2 * k], kept.reshape(-1, k).T @ flat_g[:, 2 * k :]], axis=1)
+    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+    uniq, first = np.unique(inputs.ravel()[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
-    g["x"][uniq] = np.add.reduceat(dgates.reshape(-1, 3 * k)[order], first, axis=0)
-    g["u"] = du
-    return {name: v / count for name, v in g.items()}, h, float(logp.sum()) / count
+    g["x"][uniq] = np.add.reduceat(flat_g[order], first, axis=0)
+    return g, h, float(logp.sum()) / count
 
 
 class Adam:
@@ -276,10 +339,19 @@ class Adam:
     def update(self, p: dict, g: dict) -> None:
         self.t += 1
         rate = np.float32(self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
-        for k in p:
-            self.m[k] = np.float32(0.9) * self.m[k] + np.float32(0.1) * g[k]
-            self.v[k] = np.float32(0.99) * self.v[k] + np.float32(0.01) * g[k] ** 2
-            p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
+        for k, own in g.items():
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * own
+            own *= own
+            own *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += own
+            down = np.sqrt(v)
+            down += np.float32(1e-6)
+            np.divide(m, down, down)
+            down *= rate
+            p[k] -= down
 
 
 def streams(docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -312,7 +384,9 @@ def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> t
 
     def update() -> None:
         nonlocal total, count, steps
-        opt.update(p, {k: v / np.float32(max(count, STEP)) for k, v in total.items()})
+        for v in total.values():
+            v /= np.float32(max(count, STEP))
+        opt.update(p, total)
         total, count, steps = None, 0, steps + 1
 
     while docs:
@@ -329,7 +403,7 @@ def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> t
                 real = int((tokens >= 0).sum())
                 g, h, _ = gradient(p, tokens, before[:rows], h[:rows])
                 before = np.maximum(tokens[:, -1], 0)
-                total = {k: v * np.float32(real) + (total[k] if total else 0) for k, v in g.items()}
+                total = {k: v + total[k] for k, v in g.items()} if total else g
                 count += real
                 if count >= STEP:
                     update()
@@ -341,26 +415,8 @@ def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> t
     return p, steps
 
 
-def sequences(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """All tokens of each text and STOP, as a binary row of 16-bit numbers."""
-    held = prepare(docs.sparkSession).sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(held.value)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for x, y in chunks(texts):
-                rows = []
-                for w in words.of(texts[x:y]):
-                    rank = words.rank[w]
-                    rows.append(np.append(np.where((rank < 0) | (rank >= HEAD), TAIL, rank), STOP).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
-
-    return docs.select("text").mapInArrow(run, "row binary")
-
-
-def fit(rows: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The average of what the tasks have learned from their documents, of which each round takes its share, round after round: together they are one pass."""
+def fit(rows: DataFrame, head: np.ndarray, start: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The average of what the tasks have learned from their training documents, of which each round takes its share, round after round: together they are one pass. rows: CHUNK; head: the head words' hashes."""
     names = sorted(start)
     sc = prepare(rows.sparkSession).sparkContext
     parts = rows.rdd.getNumPartitions()
@@ -369,7 +425,14 @@ def fit(rows: DataFrame, start: dict[str, np.ndarray], rounds: int = ROUNDS) ->
         held = sc.broadcast(p)  # of one size, whatever the input
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r, held=held) -> Iterator[pa.RecordBatch]:
-            own = [np.frombuffer(x, "<i2") for b in batches for i, x in enumerate(b.column(0).to_pylist()) if i % rounds == r]
+            own, ranks, i = [], Ranks(head), 0
+            for b in batches:
+                for _, away, size, words, ids in unchunked(b):
+                    for d, out in zip(targets(words, ranks.of(words), ids, size), away.tolist(), strict=True):
+                        if not out:
+                            if i % rounds == r:
+                                own.append(d)
+                            i += 1
             part = TaskContext.get().partitionId()
             if own:
                 size = sum(map(len, own))
@@ -405,8 +468,8 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", crc_bucket(F.col("doc_id"), 10) == 0)
-    training = docs.filter(~F.col("held_out"))
-    counts = cut(word_counts(training))
+    chunk = stored(chunked(docs))
+    counts = cut(word_counts(chunk))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
     known, times = (top.column(c).to_numpy() for c in ("word", "n"))
@@ -414,39 +477,49 @@ def scores(docs: DataFrame) -> DataFrame:
     ends = float((counts.filter(F.col("word") == int(END)).first() or {"n": 0})["n"])
     head = float(times[:HEAD].sum())
     tail, v_tail = n_all - head - ends, v_all - min(len(times), HEAD) - (ends > 0)
-    p = fit(cut(sequences(training, known)), initial(times[:HEAD], tail, ends))
+    p = fit(chunk, known[:HEAD], initial(times[:HEAD], tail, ends))
     held = spark.sparkContext.broadcast((p, known, times))
     base_all, tail_all = n_all + SMOOTH * (v_all + 1), tail + SMOOTH * (v_tail + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, known, times = held.value
-        words = Words(known)
-        base = np.log10((np.append(times, ends) + SMOOTH) / base_all)  # the last is the end's
-        inner = np.log10((times + SMOOTH) / tail_all)
+        ranks = Ranks(known)
+        base = np.log10((np.append(times, ends) + SMOOTH) / base_all)  # the last is the end's, and of words that are not known
+        inner = np.append(np.log10((times + SMOOTH) / tail_all), 0.0)
         inner[:HEAD] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
+        wait: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            logp = log_likelihood(p, [d for w in wait for d in w[-1]]) / np.log(10)
+            key, away, size, n_known, base_score, score, rare, n = ([x for w in wait for x in w[k]] for k in range(8))
+            cols = [pa.array(c, t) for c, t in zip((range(part | row - len(key), part | row), size, n_known, base_score, logp + np.array(score), rare, n), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+            wait.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(away, pa.bool_()), *cols], names=["doc_id", "held_out", "key", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+
+        held_ids = 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for x, y in chunks(texts, 40_000_000):  # the longest documents of many go side by side
-                targets, cols = [], []
-                for a, z in chunks(texts[x:y], 4_000_000):
-                    for w in words.of(texts[x + a : x + z]):
-                        rank = words.rank[w]
-                        ok = rank >= 0
-                        rare, n = np.unique(words.hash[w[~ok]], return_counts=True)
-                        seen = rank[ok]
-                        targets.append(np.append(np.where(ok & (rank < HEAD), rank, TAIL), STOP).astype(np.int16))
-                        cols.append((part | row, len(w) + 1, int(ok.sum()) + (ends > 0), float(base[seen].sum() + base[-1]), float(inner[seen].sum()), rare.view(np.int64), n))
-                        row += 1
-                logp = log_likelihood(p, targets) / np.log(10)
-                key, size, n_known, base_score, score, rare, n = zip(*cols, strict=True)
-                own = b.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(2), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(logp + np.array(score), pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "key", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-                )
-
-    rows = cut(docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"))
+            for keys, away, size, words, ids in unchunked(b):
+                rank = ranks.of(words)
+                n, doc = len(keys), np.repeat(np.arange(len(keys)), size)
+                has = rank[ids] >= 0
+                sums = [np.bincount(doc[has], x[rank][ids[has]], n) for x in (base, inner)]
+                pairs, times_of = np.unique(doc[~has] * np.int64(len(words)) + ids[~has], return_counts=True)
+                d, w = np.divmod(pairs, max(len(words), 1))
+                at = np.searchsorted(d, np.arange(n + 1))
+                rare, often = words[w].view(np.int64), times_of
+                lists = [[x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for x in (rare, often)]
+                wait.append((keys, away.tolist(), (size + 1).tolist(), (np.bincount(doc[has], minlength=n) + (ends > 0)).tolist(), (sums[0] + base[-1]).tolist(), sums[1].tolist(), *lists, targets(words, rank, ids, size)))
+                row += n
+                held_ids += len(ids)
+                if held_ids > 6_000_000:  # the longest documents of many go side by side
+                    yield out()
+                    held_ids = 0
+        if wait:
+            yield out()
+
+    rows = cut(chunk.mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"))
+    discard(spark, chunk)
     rare = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = found.groupBy("key").agg(
