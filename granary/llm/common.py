@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets local Python workers import this package, and sets a checkpoint folder where the cluster names none."""
+    """Lets local Python workers import this package, and sets a checkpoint folder of its own in a local session that names none; a cluster has to name one that all its machines share."""
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return spark
 
@@ -62,6 +65,18 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs as one column `own`, a struct: no name of theirs meets a name that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or that of apart()'s struct for `own.name`."""
+    first, _, inner = name.partition(".") if name.startswith("own.") else (name, "", "")
+    found = batch.column(batch.schema.get_field_index(first))
+    return found.field(inner) if inner else found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,18 +23,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import chunks, crc_bucket, cut, mix, prepare
+from granary.llm.common import apart, chunks, column_of, crc_bucket, cut, mix, prepare
 
 DOCS = 1500
 LEAST = 5
 ORDER = 4
-letters = re.compile(r"[^\W\d_]+").findall
+_word_characters = re.compile(r"[^\W\d_]+").findall
 MARK = " "
 #: Of five training documents one calibrates.
 FOLDS = 5
 _P = np.uint64(0x100000001B3)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = _word_characters(text)
+    if not text.isascii() and not all(map(str.isalpha, found)):  # numbers such as a half or a Roman eight go
+        found = [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return found
+
+
 def gram_keys(code: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
     """For orders 1 to ORDER, the hash of the gram that ends at each character; 0 where it would begin before its word. upto: characters before each one in its word."""
     out = []
@@ -267,7 +275,7 @@ def identify(df: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
         for b in batches:
             for x in range(0, b.num_rows, 2000):
                 part = b.slice(x, 2000)
-                got = own.predict(part.column(part.schema.get_field_index(text)).to_pylist())
+                got = own.predict(column_of(part, text).to_pylist())
                 cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*b.schema.names, *names])
 
@@ -282,5 +290,5 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    return identify(docs, train(docs)).filter(~F.col("rejected")).select(docs.columns)
+    """The documents that are not rejected, with their own columns, whatever these are called."""
+    return identify(apart(docs), train(docs), "own.text").filter(~F.col("rejected")).select("own.*")

@@ -7,7 +7,9 @@ ends. So each line of GRAM words or more has one, and each stretch of GRAM + SPA
 short its lines. Fingerprints are joined: the first occurrence, by doc_id and position, is the
 anchor of all later ones. Each later one is compared with its anchor's surroundings and the match is extended both ways,
 REACH units far, which is as far as the neighbouring fingerprints. What matches is deleted; so of each unit deleted an
-equal one stays, in an earlier document or further up.
+equal one stays, in an earlier document or further up. The result does not depend on how rows lie in partitions. Of a
+repeated stretch that no single earlier text has whole among its anchors, the words between two fingerprints, fewer than
+SPAN, may stay.
 
 Results in special cases: null texts stay null, empty ones empty; rows with a null doc_id are passed through and are no
 one's anchor; rows with equal doc_id and text are one document and stay all alike; of texts that are equal under several
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import buckets
-from granary.llm.common import crc32, cut, discard, prepare, stored
+from granary.llm.common import apart, column_of, crc32, cut, discard, prepare, stored
 
 #: REACH: units of a word each that lie between two fingerprints, or before or after one of a stretch; AHEAD: those from a place on.
 GRAM, SPAN, REACH, AHEAD = 10, 15, 16, 32
@@ -98,22 +100,19 @@ def fingerprints(own: list[str], seps: list[str], h: np.ndarray) -> list[tuple[i
     return list(out)
 
 
-#: What is packed: later places with their anchor, within a task, and the first place of each gram.
-LATER, FIRST = 0, 1
-_place = [np.int64, np.int32, np.int32]
-_kinds = {LATER: [np.uint64, *_place, np.int32, *_place], FIRST: [np.uint64, *_place, np.int32]}
+#: What is packed: the places of grams (gram, doc_id, th, at, size).
+_kinds = {0: [np.uint64, np.int64, np.int32, np.int32, np.int32]}
 
 
-def _places(gram: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Later places (gram, doc_id, th, at, size, and the anchor's doc_id, th, at), and the first place of each gram."""
+def _later(gram: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The later places (doc_id, th, at, size, and the doc_id, th and at of the first place) of each gram; first by doc_id, text and position."""
     order = np.lexsort((at, th, doc, gram))
-    cols = [x[order] for x in (gram, doc, th, at, size)]
-    first = np.flatnonzero(np.diff(cols[0], prepend=cols[0][:1] ^ np.uint64(1)))
-    n = np.diff(first, append=len(gram))
-    anchor = np.repeat(first, n)
+    gram, doc, th, at, size = (x[order] for x in (gram, doc, th, at, size))
+    first = np.flatnonzero(np.diff(gram, prepend=gram[:1] ^ np.uint64(1)))
+    anchor = np.repeat(first, np.diff(first, append=len(gram)))
     # Rows that are alike are one document: its own places are not later than themselves.
-    later = (cols[1] != cols[1][anchor]) | (cols[2] != cols[2][anchor]) | (cols[3] != cols[3][anchor])
-    return [*(x[later] for x in cols), *(x[anchor][later] for x in cols[1:4])], [x[first] for x in cols]
+    later = (doc != doc[anchor]) | (th != th[anchor]) | (at != at[anchor])
+    return [*(x[later] for x in (doc, th, at, size)), *(x[anchor][later] for x in (doc, th, at))]
 
 
 def _prints(docs: DataFrame, n: int) -> DataFrame:
@@ -139,8 +138,9 @@ def _prints(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none.cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())] + [part.column(0), pa.array(ths, pa.int32()), pa.array(hs, pa.list_(pa.int64()))], names=names)
                 if places:
                     gram, at, size = (np.array(c, t) for c, t in zip(zip(*places, strict=True), (np.uint64, np.int32, np.int32), strict=True))
-                    later, first = _places(gram, np.repeat(part.column(0).to_numpy(), count), np.repeat(np.array(ths, np.int32), count), at, size)
-                    packed = buckets.batch([*buckets.blocks(LATER, later, bits), *buckets.blocks(FIRST, first, bits)])
+                    cols = [gram, np.repeat(part.column(0).to_numpy(), count), np.repeat(np.array(ths, np.int32), count), at, size]
+                    order = np.argsort(gram)
+                    packed = buckets.batch([*buckets.blocks(0, [c[order] for c in cols], bits)])
                     none = pa.nulls(packed.num_rows)
                     yield pa.RecordBatch.from_arrays([*packed.columns, none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.list_(pa.int64()))], names=names)
 
@@ -157,10 +157,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = both.filter("units is not null").select("doc_id", "th", "units")
 
     def each(arrays: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        across = _places(*arrays[FIRST])[0] if len(arrays[FIRST][0]) else []
-        for cols in (arrays[LATER], across) if across else (arrays[LATER],):
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[1:]], names=["doc_id", "th", "at", "size", "a_doc", "a_th", "a_at"])
+        cols = _later(*arrays[0])
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "th", "at", "size", "a_doc", "a_th", "a_at"])
 
     blocks = both.filter("payload is not null").select("bucket", "kind", "n", "payload")
     later = cut(buckets.gathered(blocks, n, _kinds, each, "doc_id long, th int, at int, size int, a_doc long, a_th int, a_at int"))
@@ -240,32 +239,34 @@ def without(text: str, gone: list[int]) -> str:
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with their text without later repeated runs, and n_deleted, the units deleted; a column of that name is replaced."""
+    own = [F.col("new").alias(c) if c == text else F.col(f"own.`{c}`").alias(c) for c in docs.columns if c.lower() != "n_deleted"]
+    return _cleaned(docs, text).select(*own, F.col("deleted").alias("n_deleted"))
+
+
+def _cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs as a struct `own`, their `new` texts and the units `deleted`."""
     prepare(docs.sparkSession)
-    docs = docs.drop("n_deleted")
-    spans = repeats(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc_id").alias("_key"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    few = spans.agg(F.sum(F.size("_gone") + 12)).first()[0] or 0
-    keyed = docs.withColumn("_th", (F.crc32(F.encode(text, "utf-8")) - (1 << 31)).cast("int")).withColumn("_key", F.col("doc_id").cast("long"))
+    spans = repeats(docs.select("doc_id", F.col(text).alias("text"))).withColumnRenamed("doc_id", "key")
+    few = spans.agg(F.sum(F.size("gone") + 12)).first()[0] or 0
+    keyed = apart(docs).withColumn("th", (F.crc32(F.encode(f"own.`{text}`", "utf-8")) - (1 << 31)).cast("int")).withColumn("key", F.col("own.doc_id").cast("long"))
     # About 4 bytes each with what a row takes: broadcast up to 16 MB, else joined by a shuffle.
-    both = keyed.join(F.broadcast(spans) if few <= 4_000_000 else spans, ["_key", "_th"], "left").select(*docs.columns, "_gone")
+    both = keyed.join(F.broadcast(spans) if few <= 4_000_000 else spans, ["key", "th"], "left").select("own", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text)
             for x in range(0, b.num_rows, 1000):
                 part = b.slice(x, 1000)
-                gone = part.column(part.num_columns - 1)
+                old, gone = column_of(part, f"own.{text}"), part.column(1)
                 mask = gone.is_valid()
                 new, deleted = [], []
-                for t, g in zip(part.column(at).filter(mask).to_pylist(), gone.filter(mask).to_pylist(), strict=True):
+                for t, g in zip(old.filter(mask).to_pylist(), gone.filter(mask).to_pylist(), strict=True):
                     hit = [i for a, z in zip(g[::2], g[1::2], strict=True) for i in range(a, z)]
                     new.append(without(t, hit))
                     deleted.append(len(hit))
-                cols = list(part.columns[:-1])
-                cols[at] = pc.replace_with_mask(cols[at], mask, pa.array(new, pa.string()))
                 n = pc.replace_with_mask(pa.array(np.zeros(part.num_rows, np.int64)), mask, pa.array(deleted, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*cols, n], names=[*b.schema.names[:-1], "n_deleted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.replace_with_mask(old.cast(pa.string()), mask, pa.array(new, pa.string())), n], names=["own", "new", "deleted"])
 
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_deleted", T.LongType())]))
+    return both.mapInArrow(run, T.StructType([both.schema["own"], T.StructField("new", T.StringType()), T.StructField("deleted", T.LongType())]))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -275,7 +276,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts and their n_chars; documents that had words and lose all go."""
-    out = cleaned(docs).filter("n_deleted = 0 or trim(text) != ''").drop("n_deleted")
+    out = _cleaned(docs).filter("deleted = 0 or trim(new) != ''")
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))

@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WordHashes, cut, prepare, words_of
+from granary.llm.common import WordHashes, apart, column_of, cut, prepare, stored, words_of
 
-WINDOW = 8
+WINDOW, BLOCK = 8, 100
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-#: What is measured of a text.
+#: What is measured of a text. n_distinct: the different words of each BLOCK words, summed, so that it does not depend on the length.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echo", "n_distinct", "n_shout", "n_stops")
 GOOD, ABSTAIN, BAD = 0, 1, 2
 _multiplier = np.random.default_rng(8).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,7 +66,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     h = _hashes.of(words)
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines,
-        sum(map(str.isupper, words)), int((h[1:] == h[:-1]).sum()), len(set(words)), text.count("!!"), text.count(". ") + text.count(".\n") + text.endswith("."),
+        sum(map(str.isupper, words)), int((h[1:] == h[:-1]).sum()), sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)), text.count("!!"), text.count(". ") + text.count(".\n") + text.endswith("."),
     )
 
 
@@ -79,7 +79,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for x in range(0, b.num_rows, 2000):
                 part = b.slice(x, 2000)
-                rows = [measure(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                rows = [measure(t) for t in column_of(part, text).to_pylist()]
                 cols = np.array(rows, np.int64).reshape(-1, len(MEASURES)).T
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, cols)], names=[*b.schema.names, *MEASURES])
 
@@ -104,7 +104,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "capitals": (share("n_upper") < 0.1, share("n_upper") > 0.3),
         "shouting": (share("n_shout") < 0.01, share("n_shout") > 0.08),
         "lines": (F.col("n_dup_lines") / lines < 0.1, F.col("n_dup_lines") / lines > 0.4),
-        "variety": (share("n_distinct") > 0.3, (share("n_distinct") < 0.12) & (n < 2000)),
+        "variety": (share("n_distinct") > 0.35, share("n_distinct") < 0.2),
         "sentences": ((F.col("n_stops") > 0) & (share("n_stops") < 0.4), F.lit(False)),
     }
 
@@ -167,8 +167,9 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return score(docs).filter("kept").select(docs.columns)
+    """The documents that are kept, with their own columns, whatever these are called. Texts are measured once, and kept with their measures below the checkpoint folder."""
+    rows = stored(measured(apart(docs), "own.text"))
+    return judged(rows, fit(rows)).filter("kept").select("own.*")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -95,6 +95,8 @@ def test_language_special(spark, docs):
     got = langid.identify(frame(spark, [*WEIRD, "123 !!", "Жизнь прекрасна и удивительна"]), model).collect()
     assert got[0].lang_pred == got[1].lang_pred == "und" and got[-2].lang_pred == "und" and got[-1].rejected
     assert got[3].score == got[4].score
+    odd = langid.identify(frame(spark, ["½ ²", "Ⅷ ³", "½ the house and the garden ²"]), model).collect()
+    assert [r.lang_pred == "und" for r in odd] == [True, True, False]
     none = langid.predictions(frame(spark, []))
     assert none.collect() == []
     assert langid.predictions(frame(spark, ["a b"]).withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
@@ -518,6 +520,73 @@ def test_line_dedup_finds_short_lines(spark):
     assert got[6:8] == [copy, ""] and len(got[8].split()) < linededup.GRAM + linededup.SPAN  # of a line repeated in place, less than a stretch stays
 
 
+def test_line_dedup_brute_force(spark):
+    """Of a run of GRAM + SPAN words and a unit more that an earlier document has, fewer than SPAN words in a row stay, and few at all; every unit that goes has an equal one further up."""
+    rng = random.Random(12)
+    vocabulary = [" ".join(f"{rng.choice('bcdfg')}{rng.randint(0, 999)}" for _ in range(rng.choice([1, 2, 3, 6, 8, 12, 30]))) for _ in range(400)]
+    docs: list[list[str]] = []
+    for _ in range(40):
+        own: list[str] = []
+        for _ in range(rng.randint(1, 6)):
+            if docs and rng.random() < 0.6:
+                source = rng.choice(docs)
+                a = rng.randrange(len(source))
+                own += source[a : a + rng.randint(1, 40)]
+            else:
+                own += rng.choices(vocabulary, k=rng.randint(1, 25))
+        docs.append([u if rng.random() < 0.97 else " " for u in own])
+    texts = ["\n".join(d) for d in docs]
+    got = {r.doc_id: r.n_deleted for r in linededup.deduplicated(frame(spark, texts).repartition(5)).collect()}
+    gone = {r.doc_id: [i for a, z in zip(r.gone[::2], r.gone[1::2]) for i in range(a, z)] for r in linededup.repeats(frame(spark, texts).repartition(3)).collect()}
+    assert {k: len(v) for k, v in gone.items()} == {k: n for k, n in got.items() if n}
+    flat = [[u.strip() for u in d] for d in docs]
+    size = [[len(u.split()) for u in d] for d in flat]
+    grams = {}
+    for k, d in enumerate(flat):
+        for i in range(len(d)):
+            n, j = 0, i
+            while j < len(d) and n < linededup.GRAM:
+                n, j = n + size[k][j], j + 1
+            if n >= linededup.GRAM:
+                for x in range(i, j):
+                    grams.setdefault((tuple(d[i:j]), x - i), []).append((k, x))
+    repeated = {place for at in grams.values() if len(at) > 1 for place in at}
+    missed = total = 0
+    for k, d in enumerate(flat):
+        drop = set(gone.get(k, []))
+        for i in drop:
+            # a unit goes with a gram of its own or beside one that it is equal next to
+            assert not d[i] or any((k, x) in repeated for x in range(max(0, i - linededup.AHEAD), min(len(d), i + linededup.AHEAD)))
+            assert not d[i] or any(d[i] in flat[e] for e in range(k)) or d.index(d[i]) < i
+        for e in range(k):
+            for off in range(1 - len(d), len(flat[e])):  # diagonals: unit i of d beside unit i + off of the earlier one
+                i = max(0, -off)
+                while i < len(d) and i + off < len(flat[e]):
+                    j, n = i, 0
+                    while j < len(d) and j + off < len(flat[e]) and d[j] == flat[e][j + off] and d[j]:
+                        n, j = n + size[k][j], j + 1
+                    if j > i and n - size[k][j - 1] >= linededup.GRAM + linededup.SPAN:
+                        missed, total = missed + len(set(range(i, j)) - drop), total + j - i
+                        stay = 0  # words in a row that stay: fewer than a stretch of the guarantee
+                        for x in range(i, j):
+                            stay = 0 if x in drop else stay + size[k][x]
+                            assert stay < linededup.SPAN
+                    i = j + 1
+    assert total > 1000 and missed <= 0.01 * total
+
+
+def test_stages_give_back_columns_of_any_name(spark):
+    text = "The quick brown fox jumps over the lazy dog while many small birds sing in the old green garden behind the house. "
+    names = [*quality.MEASURES, "base_failed", "quality", "kept", "lang_pred", "score", "bits_per_char", "rejected", "n_deleted", "deleted", "new", "gone", "_key", "key", "_th", "th", "_gone", "own", "a", "n_shingles", "component_id", "node", "digest", "_node"]
+    rows = [(i, f"{text} {' '.join(f'word{i}x{j}' for j in range(40))}.", "en", *(-7.0 for _ in names)) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    for stage in (quality.keep, langid.keep, linededup.keep, lambda d: jaccard.one_of_each(d, 80, 5)):
+        got = stage(df)
+        assert got.columns == df.columns
+        got = got.collect()
+        assert got and all(r[n] == -7.0 for r in got for n in names)
+
+
 def test_line_dedup_special(spark):
     got = sorted(linededup.cleaned(frame(spark, [*WEIRD, "same line of words that is long enough for a gram to be"] + ["same line of words that is long enough for a gram to be"])).collect())
     assert [r.text for r in got[: len(WEIRD)]] == [t if i != 8 else got[8].text for i, t in enumerate(WEIRD)] and got[-1].text == "" and got[-2].n_deleted == 0
