@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped; each block element gives one line, and what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles gives an empty line, as does a block of links. Text lengths are summed over
-sliding windows of lines. Where the sum surges over a threshold the text begins, where it falls to nothing it ends, and
-all lines between are kept. A page that marks its article (article or main) has the lines outside it emptied first, so
-that its surge and dive are the article's ends.
+Markup is stripped; each block element gives one line with a weight, its characters that are not in links. What stands
+in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles gives an empty line, as does
+a block of links outside an article. Weights are summed over sliding windows of lines. The text begins where the sum
+surges to a share of the page's largest one, and ends where it dives; the lines between are kept.
 
-Results in special cases: null and empty html, and pages without a surge, give an empty text of 0 characters; unclosed
+Marks adjust weights: on a page whose article or main elements hold a fair share of its text, each line inside weighs as
+much as a surge takes, and lines outside a quarter of their text: they are kept where that surges as the densest window
+inside does. Without marks a stretch goes on until a window sums to nothing. Elements of doubtful classes (legal, related,
+share and the like) keep their sentences and lose the rest.
+
+Results in special cases: null and empty html, and pages without text, give an empty text of 0 characters; unclosed
 and crossed tags are closed by what encloses them; equal pages give equal texts; only page_id, url and html are read.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +26,14 @@ from pyspark.sql import DataFrame
 
 from granary.llm.common import prepare
 
-#: Lines in a window, and the least sum of characters at a surge where no article is marked.
+#: Lines in a window, the share of the largest sum that is a surge, and the share of a page's text that makes its marks count.
 WINDOW = 3
-SURGE = 80
+SURGE = 0.15
+MARKED = 1 / 16
+#: Characters of a sentence in an element of a doubtful class.
+SENTENCE = 40
 
-token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s>]*|["'])?)*)>""", re.S)
 attribute = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
 DROPPED = frozenset("nav footer aside form head select button dialog menu fieldset label input option".split())
@@ -33,29 +41,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROPPED
 #: Where an end tag is left out, these begin anew.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
-boilerplate = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|banner|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side-?bar|aside|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|site-?header|page-?header|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|recommendations|more-?stories|newsletter|subscribe|subscription|signup|login|search|tags|toolbar|copyright|legal|disclaimer|skip-?link)(?:$|[\s_-]|\d)",
-    re.I,
-)
+_named = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-]|\d)"
+boilerplate = re.compile(_named % "ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|side-?bar|aside|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|site-?header|page-?header|comments?|commentlist|disqus|respond|replies|reply|signup|login|skip-?link", re.I)
+doubtful = re.compile(_named % "alert|promo(?:tion)?|rail|widget|share|sharing|social|related|recommended|recommendations|more-?stories|newsletter|subscribe|subscription|search|tags|toolbar|copyright|legal|disclaimer", re.I)
 roles = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
-def _drops(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate with all it holds."""
+def _drops(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate with all it holds, and whether it may be."""
     if tag in DROPPED:
-        return True
+        return True, False
     if tag == "header" and not in_article:
-        return True
+        return True, False
     if tag in ("html", "body", "main", "article") or not attributes:
-        return False
+        return False, False
+    maybe = False
     for name, value in attribute.findall(attributes):
         value = value.strip("\"'").lower()
         name = name.lower()
-        if name in ("class", "id") and boilerplate.search(value) or name == "role" and value in roles:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name in ("class", "id"):
+            if boilerplate.search(value):
+                return True, False
+            maybe = maybe or bool(doubtful.search(value))
+        elif name == "role" and value in roles or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, False
+    return False, maybe
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
@@ -63,24 +73,29 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     words: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, drops, article
-    dropped = articles = links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, drops, article, doubtful
+    opened: Counter = Counter()
+    dropped = articles = links = doubts = 0
 
     def flush(empty: bool = False) -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(words)).split())
+        if doubts and (len(text) < SENTENCE or 2 * linked > len(text) or text[-1] not in ".!?\u2026\"'\u201d\u00bb)"):
+            text, empty = "", empty or bool(text)
         if text or empty:
             out.append((text, max(0, len(text) - linked), articles > 0))
         words.clear()
         linked = 0
 
     def pop() -> str:
-        nonlocal dropped, articles, links
-        tag, drops, article = stack.pop()
+        nonlocal dropped, articles, links, doubts
+        tag, drops, article, maybe = stack.pop()
+        opened[tag] -= 1
         if tag in BLOCK and not dropped:
             flush()
         dropped -= drops
         articles -= article
+        doubts -= maybe
         links -= tag == "a"
         if drops and not dropped:
             flush(empty=True)
@@ -111,7 +126,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 words.append(entities.escape(m[0][9:-3]))
             continue
         if m[1]:
-            if any(x[0] == tag for x in stack):
+            if opened[tag] > 0:
                 while pop() != tag:
                     pass
             elif tag in BLOCK and not dropped:
@@ -140,18 +155,22 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[depth][0] in BLOCK and stack[depth][0] not in SELF_ENDING:
                     break
-        elif tag in BLOCK and any(x[0] == "p" for x in stack):  # a block ends an open paragraph
-            depth = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in BLOCK for x in stack[depth + 1 :]):
+        elif tag in BLOCK and opened["p"] > 0:  # a block ends an open paragraph
+            depth = len(stack) - 1
+            while stack[depth][0] not in BLOCK:
+                depth -= 1
+            if stack[depth][0] == "p":
                 while len(stack) > depth:
                     pop()
         if tag in BLOCK and not dropped:
             flush()
-        drops = _drops(tag, m[3], articles > 0)
+        drops, maybe = _drops(tag, m[3], articles > 0)
         article = tag in ("article", "main") and not dropped
-        stack.append((tag, drops, article))
+        stack.append((tag, drops, article, maybe))
+        opened[tag] += 1
         dropped += drops
         articles += article
+        doubts += maybe
         links += tag == "a"
     while stack:
         pop()
@@ -159,19 +178,19 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def spans(weights: list[int], least: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """The stretches from a surge to the dive after it: a window of lines sums to least or more, and the text goes on until a window sums to nothing."""
+def spans(weights: list[float], surge: float, dive: float, window: int = WINDOW) -> list[tuple[int, int]]:
+    """The stretches from a surge to the dive after it: a window of lines sums to `surge` or more, and the text goes on until one sums to less than `dive`. A stretch begins with a line that has a weight."""
     n = len(weights)
-    total, upto = [0], 0
+    total, upto = [0.0], 0.0
     for w in weights:
         upto += w
         total.append(upto)
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
     out, i = [], 0
     while i < n:
-        if weights[i] and sums[i] >= least:
+        if weights[i] and sums[i] >= surge:
             j = i
-            while j < n and sums[j]:
+            while j < n and sums[j] >= dive:
                 j += 1
             out.append((i, j))
             i = j
@@ -184,16 +203,21 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     lines = lines_of(html)
-    marked = any(article and size for _, size, article in lines)
+    # A line of links within an article is a part of it; a line outside is not.
+    weights = [size if 2 * size > len(text) else 0 for text, size, _ in lines]
+    inside = [bool(text) and article for text, _, article in lines]
+    ours = sum(len(text) for (text, _, _), own in zip(lines, inside, strict=True) if own)
+    marked = ours > 0 and ours >= MARKED * sum(w for w, own in zip(weights, inside, strict=True) if not own)
+    sums = lambda x: [sum(x[i : i + WINDOW]) for i in range(len(x))]
     if marked:
-        # A line of links within the article is a part of it; a line outside is not.
-        weights = [max(size, 1) if text and article else 0 for text, size, article in lines]
-        found = spans(weights, 1)
-        if found:
-            found = [(found[0][0], found[-1][1])]
-        return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
-    weights = [size if size * 2 > len(text) else 0 for text, size, _ in lines]
-    return "\n\n".join(lines[i][0] for a, b in spans(weights, SURGE) for i in range(a, b) if weights[i])
+        # Each line inside weighs enough for a surge; outside, a quarter of the text has to surge as the densest lines inside do.
+        dense = max(sums([max(size, 1) if own else 0 for (_, size, _), own in zip(lines, inside, strict=True)]))
+        parts = [spans([dense if own else 0 for own in inside], dense, dense), spans([0 if own else w / 4 for w, own in zip(weights, inside, strict=True)], dense, dense)]
+        found = sorted({i for k, part in enumerate(parts) for a, b in part for i in range(a, b) if inside[i] ^ bool(k) and lines[i][0]})
+    else:
+        largest = max(sums(weights), default=0)
+        found = [i for a, b in spans(weights, SURGE * largest, 1) for i in range(a, b) if weights[i]] if largest else []
+    return "\n\n".join(lines[i][0] for i in found)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -254,6 +254,9 @@ def test_components(spark):
         ("<article><p>A <b>b</b>c</p><div class='ad'>Buy</div><aside>S</aside><script>var a='</p>'</script><ul><li>x<li>y</ul><section id=comments><p>Nice!</p></section></article>", "A bc\n\nx\n\ny"),
         ("<main><p>only<!-- no --> this</main><p>not this</p>", "only this"),
         ("<div class=menu><a href=x>one</a></div><div><p>" + "Long text of the page. " * 6 + "<p>Short.</div><div class=comment-list><p>" + "A remark. " * 20 + "</div>", ("Long text of the page. " * 6).strip() + "\n\nShort."),
+        ("<article><p title=it's>hello</p><p>you</article>", "hello\n\nyou"), ("<p>A short page.</p>", "A short page."),
+        ("<article><p>Text.</p><div class='legal'><p>This is a paragraph about the law, a part of the article.</p><p>Terms</p></div></article>", "Text.\n\nThis is a paragraph about the law, a part of the article."),
+        ("<main></main><article>Teaser</article><form></form><form></form><form></form><div>" + "Long text. " * 40 + "</div>", ("Long text. " * 40).strip()),
         ("<article><p>1 < 2 &lt; 3", "1 < 2 < 3"), ("<article><form><p>Name</p></form><header><h2>Head</h2></header><p>x</p></article>", "Head\n\nx"),
     ],
 )
@@ -262,8 +265,37 @@ def test_main_text(page, text):
 
 
 def test_main_text_spans():
-    assert html.spans([0, 5, 0, 0, 0, 9, 9, 0, 0, 0, 3], 15) == [(5, 7)]
-    assert html.spans([], 1) == []
+    assert html.spans([0, 5, 0, 0, 0, 9, 9, 0, 0, 0, 3], 15, 1) == [(5, 7)]
+    assert html.spans([9, 0, 0, 0, 4, 0, 9, 1, 1, 1], 9, 9) == [(0, 1), (4, 7)]
+    assert html.spans([], 1, 1) == []
+
+
+def test_main_text_follows_the_windows(monkeypatch):
+    """Surge and dive decide, with and without marks; with all windows above the threshold the same pages give more."""
+    text, gap, far = "Text of the page that goes on for a while. " * 4, "<form></form>" * 4, "<div>Imprint of the house</div>"
+    pages = [f"{far}{gap}<p>{text}<p>{text}<p>End.{gap}{far}", f"{far}<article><p>{text}<p>End.</article>{far}{gap}<div>{text * 9}</div>"]
+    want = [f"{text.strip()}\n\n{text.strip()}\n\nEnd.", f"{text.strip()}\n\nEnd.\n\n{(text * 9).strip()}"]
+    assert [html.extract(p) for p in pages] == want
+    monkeypatch.setattr(html, "spans", lambda weights, *_: [(0, len(weights))])
+    assert all(html.extract(p) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_main_text_without_its_marks(spark):
+    """Pages whose article tags are taken away give the same text but for few words."""
+    import collections
+    import re
+
+    found = right = want = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        a, b = (collections.Counter(html.extract(h).split()) for h in (re.sub("</?article>", "", r.html), r.html))
+        found, want, right = found + a.total(), want + b.total(), right + (a & b).total()
+    assert right > 0.95 * found and right > 0.95 * want
+
+
+def test_main_text_takes_long_and_deep_pages():
+    assert html.extract("<div>" * 20000 + "deep" + "</p>" * 20000 + "</div>" * 20000) == "deep"
+    assert html.extract("<a " * 20000).startswith("<a <a") and html.extract('<p>x<a b="' * 20000)
+    assert html.extract("<article>" + "<p>word" * 50000) == "\n\n".join(["word"] * 50000)
 
 
 def test_main_text_query(spark):
