@@ -63,8 +63,8 @@ def bits_of(n: int) -> int:
     return max(3, (4 * n - 1).bit_length())
 
 
-def gathered(packed: DataFrame, n: int, kinds: dict[int, list[type]], each: Callable[[dict[int, list[np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """each(arrays by kind) of every bucket, over n tasks."""
+def gathered(packed: DataFrame, n: int, kinds: dict[int, list[type]], each: Callable[[dict[int, list[np.ndarray]]], Iterator[pa.RecordBatch]], schema: str, last: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """each(arrays by kind) of every bucket, over n tasks, and last() at a task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -81,5 +81,7 @@ def gathered(packed: DataFrame, n: int, kinds: dict[int, list[type]], each: Call
                     key = bucket
                 held.append((kind, size, payload))
         yield from done()
+        if last:
+            yield from last()
 
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

@@ -65,6 +65,21 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_held: list[DataFrame] = []
+
+
+def held(table: DataFrame) -> DataFrame:
+    """A stored table that a plan still needs when its function returns; release() removes it."""
+    _held.append(table)
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables of held(); called where what was made of them has been written."""
+    discard(spark, *_held)
+    _held.clear()
+
+
 def apart(docs: DataFrame) -> DataFrame:
     """docs as one column `own`, a struct: no name of theirs meets a name that an operator adds."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))

@@ -40,6 +40,8 @@ BLOCK = 1024
 FEW = 1_000_000
 #: Pieces that a task groups at once, some 80 MB with all that is made of them, and nodes of one piece that stay apart from other tasks' nodes beyond this.
 HELD, HOT = 1_000_000, 4096
+#: The natural log of 2^-64.
+CHANCE = -44.4
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _step = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -81,12 +83,17 @@ def bands(percent: int, most: int) -> list[int]:
     return out
 
 
-def sketch(h: np.ndarray, pieces: int) -> np.ndarray:
-    """A parity sketch of 64 bits for each piece."""
+def sketched(h: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """A parity sketch of 64 bits for each piece, and the elements that each piece has got."""
     at = mix(h ^ np.uint64(pieces)) % np.uint64(64 * pieces)
+    where = (at >> np.uint64(6)).astype(np.int64)
     out = np.zeros(pieces, np.uint64)
-    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    np.bitwise_xor.at(out, where, np.uint64(1) << (at & np.uint64(63)))
+    return out, np.bincount(where, minlength=pieces)
+
+
+def sketch(h: np.ndarray, pieces: int) -> np.ndarray:
+    return sketched(h, pieces)[0]
 
 
 def folded(x: np.ndarray) -> bytes:
@@ -99,7 +106,7 @@ class _Bands:
     """Bands as far as sets have needed them."""
 
     def __init__(self, percent: int):
-        self.percent, self.edges = percent, bands(percent, 1 << 12)
+        self.percent, self.edges, self.plans = percent, bands(percent, 1 << 12), {}
 
     def of(self, n: int) -> int:
         """The band of a size; -1 below the first."""
@@ -113,25 +120,55 @@ class _Bands:
             self.edges = bands(self.percent, 2 * self.edges[-1])
         return differs(2 * (self.edges[band + 1] - 1), self.percent)
 
+    def plan(self, band: int) -> tuple[int, int, np.ndarray]:
+        """(pieces, least, lost) of a band's sketches.
+
+        least: the fewest elements of a piece to join on, 0 where all are. lost: for pieces of 0, 1, 2 ... elements the
+        log of the chance that sets which link differ in such a piece, at the worst: all the elements they may differ in
+        are one's own, or all the other's. Either there are more pieces than such elements, and some for blank ones, or
+        so many that all those of `least` elements do; what has fewer pieces to join on is taken, few of them light ones,
+        which many sets have.
+        """
+        if band not in self.plans:
+            d, k = self.differs(band), np.arange(64)
+            low, mid = self.edges[max(band - 1, 0)], self.edges[band]
+            blank = d * np.exp(-low / max(d, 1))
+            enough = 1 + d + int(blank + 2 * blank**0.5)
+            factorial = np.cumsum(np.log(np.maximum(k, 1)))
+            found = []
+            for pieces in sorted({int(enough * (1 + x / 8)) for x in range(16)}):
+                own, other = (self.percent / 100) ** k, (1 - 1 / pieces) ** d
+                lost = np.log1p(-np.minimum(np.minimum(own, other), 1 - 1e-12))
+                share, usual = (np.exp(k * np.log(n / pieces) - n / pieces - factorial) for n in (low, mid))
+                sums = np.cumsum((pieces * share * lost)[::-1])[::-1]
+                for least in [0] * (pieces == enough) + [x for x in range(1, 64) if sums[x] < 1.25 * CHANCE]:
+                    found.append((pieces * (usual[least:].sum() + 8 * usual[least : max(least, 2)].sum()), pieces, least, lost))
+            self.plans[band] = min(found, key=lambda x: x[:3])[1:]
+        return self.plans[band]
+
     def pieces(self, band: int) -> int:
-        """The pieces of a band's sketches: more than the elements in which sets may differ, and some for blank pieces."""
-        d = self.differs(band)
-        blank = d * np.exp(-self.edges[max(band - 1, 0)] / max(d, 1))
-        return 1 + d + int(blank + 2 * blank**0.5)
+        return self.plan(band)[0]
 
 
-def signed(v: np.ndarray, most: int) -> np.ndarray:
-    """The pieces of a sketch to join on, where sets differ in `most` elements at most.
+def signs(v: np.ndarray, count: np.ndarray, edges: _Bands, band: int) -> np.ndarray:
+    """The pieces of a band's sketch to join on.
 
-    Sets that link have len(v) - most pieces or more in common. A set with fewer blank pieces than that has one among
-    them that is not blank, so it leaves the blank ones out; a piece that is blank in most sets joins nobody.
+    Sets that link have pieces in common. Where a set has so many pieces of `least` elements or more that the chance of
+    its differing from another in all of them is below 2^-64 (that of two hashes being equal), these are joined on, as
+    few others have them. Else all are, which never fails: two sets that link have len(v) - differs pieces or more in
+    common. With fewer blank ones than that a set leaves these out, for one that is not blank is among them.
     """
+    _, least, lost = edges.plan(band)
+    if least:
+        at = np.flatnonzero(count >= least)
+        if lost[np.minimum(count[at], 63)].sum() <= CHANCE:
+            return at
     blank = v == 0
-    return np.flatnonzero(~blank) if len(v) - most > int(blank.sum()) else np.arange(len(v))
+    return np.flatnonzero(~blank) if len(v) - edges.differs(band) > int(blank.sum()) else np.arange(len(v))
 
 
 def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest of the set, its band (-1: none), and sketches for its own band and the next one: folded (low, high) and whole (own, after)."""
+    """doc_id, n, digest of the set, its band (-1: none), and for its own band and the next one folded sketches (low, high) and signatures of the pieces to join on (own, after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _Bands(percent)
@@ -146,9 +183,14 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
                     digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                     band.append(i)
                     for k, short, whole in ((i, low, own), (i + 1, high, after)):
-                        v = sketch(h, edges.pieces(k)) if i >= 0 else None
-                        short.append(folded(v) if i >= 0 else None)
-                        whole.append(v.tobytes() if i >= 0 else None)
+                        if i < 0:
+                            short.append(None)
+                            whole.append(None)
+                            continue
+                        v, count = sketched(h, edges.pieces(k))
+                        pieces = signs(v, count, edges, k)
+                        short.append(folded(v))
+                        whole.append(mix(v[pieces] ^ mix(pieces.astype(np.uint64) + (np.uint64(k) << np.uint64(32)))).tobytes())
                 cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), *(pa.array(c, pa.binary()) for c in (low, high, own, after))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high", "own", "after"])
 
@@ -191,15 +233,15 @@ def _sent(sig: np.ndarray, node: np.ndarray, side: np.ndarray, salt: int, most:
     return buckets.batch(rows)
 
 
-def _met(key: np.ndarray, node: np.ndarray, sig: np.ndarray, side: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Of each group its pairs (hub, node, level), and the members (sig, node, level) that may link with each other.
+def _met(key: np.ndarray, node: np.ndarray, sig: np.ndarray, side: np.ndarray, whole: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each group its pairs, rows of (hub, node, level), and the members (sig, node, level) that may link with each other.
 
     The pairs with the hub say all of two nodes, and of any number all that the hub links to, so neither groups of two
     nor hubs are members, but where a group is a part of one (it stands for others, or whole is false). A group of odd
     sides alone has its links in the band they come from.
     """
     if not len(key):
-        return
+        return np.zeros((0, 3), np.int64), [sig, node, side]
     first, key, node, side, sig = _grouped(key, node, side, sig)
     size = np.diff(first, append=len(key))
     part = np.bitwise_or.reduceat(side & 2, first) > 0 if whole else np.ones(len(first), bool)
@@ -207,19 +249,16 @@ def _met(key: np.ndarray, node: np.ndarray, sig: np.ndarray, side: np.ndarray, w
     hub, level = np.repeat(node[first], size), (side >> 2).astype(np.int32)
     at = np.repeat(linked & (size > 1), size) & (node != hub)
     pairs = np.unique(np.stack([hub[at], node[at], level[at].astype(np.int64)], 1), axis=0)
-    none = pa.nulls(len(pairs)).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 0])], names=["sig", "node", "level", "hub"])
     at = np.repeat(linked & (size > 2) | part, size) & ((node != hub) | np.repeat(part, size))
-    none = pa.nulls(int(at.sum())).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(node[at]), pa.array(level[at]), none], names=["sig", "node", "level", "hub"])
+    return pairs, [sig[at], node[at], level[at]]
 
 
-def _shared(sketches: DataFrame, percent: int, n: int) -> DataFrame:
+def _shared(sketches: DataFrame, n: int) -> DataFrame:
     """Pairs (node, level, hub; no sig) and members (sig, node, level; no hub) of all pieces that nodes share, over n tasks. sketches: (doc_id, band, own, after)."""
     bits = buckets.bits_of(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, held, total, salt = _Bands(percent), [], 0, TaskContext.get().partitionId() << 20
+        held, total, salt = [], 0, TaskContext.get().partitionId() << 20
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal total, salt
@@ -231,23 +270,34 @@ def _shared(sketches: DataFrame, percent: int, n: int) -> DataFrame:
 
         for b in batches:
             for node, band, own, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for level, odd, sketch_of in ((band, 0, own), (band + 1, 1, after)):
-                    v = np.frombuffer(sketch_of, np.uint64)
-                    at = signed(v, edges.differs(level))
-                    sig = mix(v[at] ^ mix(at.astype(np.uint64) + (np.uint64(level) << np.uint64(32))))
-                    held.append((sig, np.array([len(at)]), np.array([node], np.int64), np.array([4 * level + odd], np.int32)))
-                    total += len(at)
+                for level, odd, pieces in ((band, 0, own), (band + 1, 1, after)):
+                    sig = np.frombuffer(pieces, np.uint64)
+                    held.append((sig, np.array([len(sig)]), np.array([node], np.int64), np.array([4 * level + odd], np.int32)))
+                    total += len(sig)
                 if total > HELD:
                     yield from flush()
         yield from flush()
 
+    met: list[np.ndarray] = []  # a task's own: functions come to each task anew
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        if met:
+            hub, node, level = np.unique(np.concatenate(met), axis=0).T
+            met.clear()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hub), pa.int64()), pa.array(node), pa.array(level.astype(np.int32)), pa.array(hub)], names=["sig", "node", "level", "hub"])
+
     def each(arrays: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         sig, node, side = arrays[ALL]
-        yield from _met(sig, node, sig, side, True)
-        key, sig, node, side = arrays[APART]
-        yield from _met(key, node, sig, side, False)
+        key, apart, a_node, a_side = arrays[APART]
+        for found, (sig, node, level) in (_met(sig, node, sig, side, True), _met(key, a_node, apart, a_side, False)):
+            if len(found):
+                met.append(found)
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(level), pa.nulls(len(sig), pa.int64())], names=["sig", "node", "level", "hub"])
+        if sum(map(len, met)) > HELD:
+            yield from pairs()
 
-    return buckets.gathered(sketches.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long")
+    return buckets.gathered(sketches.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long", pairs)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -460,7 +510,7 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     named = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
     nodes_of = cut(known.join(named, "digest").filter("doc_id != node").select("doc_id", "digest", "node").distinct())
     sketches = full.filter("band >= 0 and doc_id is not null").join(_few(nodes_of.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
-    shared = stored(_shared(sketches.select("doc_id", "band", "own", "after"), percent, buckets.tasks(docs, rows.count())))
+    shared = stored(_shared(sketches.select("doc_id", "band", "own", "after"), buckets.tasks(docs, rows.count())))
     pairs, members = shared.filter("sig is null").select("node", "level", "hub"), shared.filter("sig is not null").select("sig", "node", "level")
     # Rows of one doc_id with several sets connect these.
     several = known.join(known.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select("doc_id"), "doc_id", "left_semi")

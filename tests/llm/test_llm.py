@@ -163,13 +163,12 @@ def test_jaccard_pieces_meet_whatever_the_parts():
             for _, kind, n, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held[kind] = [np.concatenate(x) for x in zip(held[kind], jaccard.buckets.unpack(payload, n, jaccard._kinds[kind]), strict=True)]
         s, n, d = held[jaccard.ALL]
-        out = [*jaccard._met(s, n, s, d, True)]
-        key, s, n, d = held[jaccard.APART]
-        out += jaccard._met(key, n, s, d, False)
-        found = [r for b in out for r in b.to_pylist()]
-        pairs = {frozenset((r["node"], r["hub"])) for r in found if r["hub"] is not None}
+        key, s2, n2, d2 = held[jaccard.APART]
+        both = jaccard._met(s, n, s, d, True), jaccard._met(key, n2, s2, d2, False)
+        pairs = {frozenset(p) for found, _ in both for p in found[:, :2].tolist()}
+        rest = [x for _, m in both for x in zip(m[0].tolist(), m[1].tolist(), strict=True)]
         for s in set(sig.tolist()):
-            members = {r["node"] for r in found if r["sig"] == s}
+            members = {n for x, n in rest if x == s}
             at = {(n, d) for x, n, d in rows if x == s}
             evens = {n for n, d in at if not d}
             for x, _ in at:
@@ -181,16 +180,16 @@ def test_sketches_that_link_share_a_piece_that_is_joined_on():
     rng = np.random.default_rng(6)
     for percent in (80, 90):
         edges = jaccard._Bands(percent)
-        for _ in range(150):
-            a = np.unique(rng.integers(0, 2**63, int(rng.integers(9, 90)), dtype=np.uint64))
+        for _ in range(400):
+            a = np.unique(rng.integers(0, 2**63, int(rng.choice([20, 90, 300, 900])), dtype=np.uint64))
             b = np.concatenate([a[int(rng.integers(0, 1 + len(a) // 6)) :], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 12)), dtype=np.uint64)])
             both = len(np.intersect1d(a, b))
             i, j = edges.of(len(a)), edges.of(len(b))
             if 100 * both < percent * (len(a) + len(b) - both) or min(i, j) < 0:
                 continue
             top = max(i, j)
-            x, y = (jaccard.sketch(v, edges.pieces(top)) for v in (a, b))
-            x_at, y_at = (set(jaccard.signed(v, edges.differs(top)).tolist()) for v in (x, y))
+            (x, nx), (y, ny) = (jaccard.sketched(v, edges.pieces(top)) for v in (a, b))
+            x_at, y_at = (set(jaccard.signs(v, n, edges, top).tolist()) for v, n in ((x, nx), (y, ny)))
             assert any(x[k] == y[k] for k in x_at & y_at)
 
 
