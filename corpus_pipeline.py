@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import jaccard, langid, linededup, packing, quality
-from granary.llm.common import cut, prepare
+from granary.llm.common import cut, prepare, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no learned language go; the models learn from the documents at hand."""
+    release(spark)  # what the stage before held has been written
     return langid.keep(docs)
 
 
