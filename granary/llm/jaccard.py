@@ -83,9 +83,9 @@ def bands(percent: int, most: int) -> list[int]:
     return out
 
 
-def sketched(h: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+def sketched(h: np.ndarray, pieces: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A parity sketch of 64 bits for each piece, and the elements that each piece has got."""
-    at = mix(h ^ np.uint64(pieces)) % np.uint64(64 * pieces)
+    at = mix(h ^ np.uint64(pieces + (seed << 40))) % np.uint64(64 * pieces)
     where = (at >> np.uint64(6)).astype(np.int64)
     out = np.zeros(pieces, np.uint64)
     np.bitwise_xor.at(out, where, np.uint64(1) << (at & np.uint64(63)))
@@ -123,26 +123,30 @@ class _Bands:
     def plan(self, band: int) -> tuple[int, int, np.ndarray]:
         """(pieces, least, lost) of a band's sketches.
 
-        least: the fewest elements of a piece to join on, 0 where all are. lost: for pieces of 0, 1, 2 ... elements the
-        log of the chance that sets which link differ in such a piece, at the worst: all the elements they may differ in
-        are one's own, or all the other's. Either there are more pieces than such elements, and some for blank ones, or
-        so many that all those of `least` elements do; what has fewer pieces to join on is taken, few of them light ones,
-        which many sets have.
+        least: the fewest elements of a piece to join on; 0: all pieces of one sketch are, which are more than the
+        elements in which sets may differ. Else so many sketches are made that the chance of two sets that link
+        differing in all pieces of `least` elements or more is below 2^-64. lost: for pieces of 0, 1, 2 ... elements the
+        log of the chance of differing in one, at the worst: all elements they may differ in are one's own, or all the
+        other's. The plan with the fewest rows is taken, light pieces counting more, as many sets have them.
         """
         if band not in self.plans:
             d, k = self.differs(band), np.arange(64)
-            low, mid = self.edges[max(band - 1, 0)], self.edges[band]
-            blank = d * np.exp(-low / max(d, 1))
+            n = self.edges[band]
+            blank = d * np.exp(-self.edges[max(band - 1, 0)] / max(d, 1))
             enough = 1 + d + int(blank + 2 * blank**0.5)
-            factorial = np.cumsum(np.log(np.maximum(k, 1)))
-            found = []
-            for pieces in sorted({int(enough * (1 + x / 8)) for x in range(16)}):
-                own, other = (self.percent / 100) ** k, (1 - 1 / pieces) ** d
-                lost = np.log1p(-np.minimum(np.minimum(own, other), 1 - 1e-12))
-                share, usual = (np.exp(k * np.log(n / pieces) - n / pieces - factorial) for n in (low, mid))
-                sums = np.cumsum((pieces * share * lost)[::-1])[::-1]
-                for least in [0] * (pieces == enough) + [x for x in range(1, 64) if sums[x] < 1.25 * CHANCE]:
-                    found.append((pieces * (usual[least:].sum() + 8 * usual[least : max(least, 2)].sum()), pieces, least, lost))
+            factorial, weight = np.cumsum(np.log(np.maximum(k, 1))), 1 + 30 * 0.4**k
+            usual = lambda pieces: pieces * np.exp(k * np.log(n / pieces) - n / pieces - factorial)
+            found = [((usual(enough) * weight).sum(), enough, 0, np.zeros(64))]
+            for mean in (3, 4, 5, 6, 8, 10):
+                pieces = n // mean
+                if pieces < 8:
+                    break
+                share = usual(pieces)
+                lost = np.log1p(-np.minimum(np.minimum((self.percent / 100) ** k, (1 - 1 / pieces) ** d), 1 - 1e-12))
+                for least in range(2, 20):
+                    sketches = np.ceil(1.1 * CHANCE / (share * lost)[least:].sum())
+                    if sketches <= 8:
+                        found.append((sketches * (share * weight)[least:].sum() + sketches, pieces, least, lost))
             self.plans[band] = min(found, key=lambda x: x[:3])[1:]
         return self.plans[band]
 
@@ -150,21 +154,29 @@ class _Bands:
         return self.plan(band)[0]
 
 
-def signs(v: np.ndarray, count: np.ndarray, edges: _Bands, band: int) -> np.ndarray:
-    """The pieces of a band's sketch to join on.
+def signs(h: np.ndarray, edges: _Bands, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch, signatures): a set's sketch in a band, and the pieces to join on, as 64-bit hashes.
 
-    Sets that link have pieces in common. Where a set has so many pieces of `least` elements or more that the chance of
-    its differing from another in all of them is below 2^-64 (that of two hashes being equal), these are joined on, as
-    few others have them. Else all are, which never fails: two sets that link have len(v) - differs pieces or more in
-    common. With fewer blank ones than that a set leaves these out, for one that is not blank is among them.
+    Sets that link have one in common. Where all pieces of a sketch are joined on that is sure: they have len(v) -
+    differs pieces or more in common, and a set with fewer blank ones than that leaves these out, for one that is not
+    blank is among them. Else it is sure but for a chance of 2^-64, that of two hashes being equal: a set goes on to
+    further sketches until its own heavy pieces suffice, and each that it shares with another is one of the other's.
     """
-    _, least, lost = edges.plan(band)
-    if least:
+    pieces, least, lost = edges.plan(band)
+    v, count = sketched(h, pieces)
+    if not least:
+        blank = v == 0
+        at = np.flatnonzero(~blank) if len(v) - edges.differs(band) > int(blank.sum()) else np.arange(len(v))
+        return v, mix(v[at] ^ mix(at.astype(np.uint64) + (np.uint64(band) << np.uint64(32))))
+    out, total, seed, own = [], 0.0, 0, v
+    while True:
         at = np.flatnonzero(count >= least)
-        if lost[np.minimum(count[at], 63)].sum() <= CHANCE:
-            return at
-    blank = v == 0
-    return np.flatnonzero(~blank) if len(v) - edges.differs(band) > int(blank.sum()) else np.arange(len(v))
+        out.append(mix(own[at] ^ mix(at.astype(np.uint64) + (np.uint64(band) << np.uint64(32)) + (np.uint64(seed) << np.uint64(44)))))
+        total += lost[np.minimum(count[at], 63)].sum()
+        if total <= CHANCE:
+            return v, np.concatenate(out)
+        seed += 1
+        own, count = sketched(h, pieces, seed)
 
 
 def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -187,10 +199,9 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
                             short.append(None)
                             whole.append(None)
                             continue
-                        v, count = sketched(h, edges.pieces(k))
-                        pieces = signs(v, count, edges, k)
+                        v, sig = signs(h, edges, k)
                         short.append(folded(v))
-                        whole.append(mix(v[pieces] ^ mix(pieces.astype(np.uint64) + (np.uint64(k) << np.uint64(32)))).tobytes())
+                        whole.append(sig.tobytes())
                 cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), *(pa.array(c, pa.binary()) for c in (low, high, own, after))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high", "own", "after"])
 
