@@ -38,8 +38,8 @@ from granary.llm.common import WordHashes, cut, discard, mix, prepare, stored
 BLOCK = 1024
 #: Ids that are broadcast, 8 MB at most; more are joined by a shuffle.
 FEW = 1_000_000
-#: Pieces that a task groups at once, some 80 MB with all that is made of them, and nodes of one piece that stay apart from other tasks' nodes beyond this.
-HELD, HOT = 1_000_000, 4096
+#: Pieces that a task groups at once, some 40 MB with all that is made of them, and nodes of one piece that stay apart from other tasks' nodes beyond this.
+HELD, HOT = 400_000, 4096
 #: The natural log of 2^-64.
 CHANCE = -44.4
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
