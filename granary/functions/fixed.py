@@ -23,7 +23,7 @@ DENSITY_ENTITY = r"(?U)\b[A-Z][A-Za-z0-9\-_]{2,}\b"
 MODEL_HINTS = ("gpt", "llama", "qwen", "deepseek", "cuda", "h100", "nvidia", "openai", "claude", "gemini")
 BACKFILL_NUMBER = r"(?iU)(?:\b20\d{2}\b)|(?:\bv?\d+(?:\.\d+)?)|(?:[$¥€]\s*\d+)"
 INFO_ENTITY = r"(?U)\b[A-Za-z0-9][A-Za-z0-9\-_]{2,}\b"
-INFO_MIXED = r"(?=.*[A-Za-z])(?=.*[一-鿿])[A-Za-z0-9一-鿿]{3,}"
+INFO_RUN = r"[A-Za-z0-9一-鿿]"
 INFO_NUMBER = (
     r"(?iU)(?:\b20\d{2}\b)|(?:\bv?\d+(?:\.\d+)?(?:\.\d+)?\b)"
     r"|(?:\b\d+(?:\.\d+)?\s*(?:%|ms|s|sec|mins?|hours?|days?|gb|mb|tb|kb|tokens?|x)\b)"

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import count, first_of, has_any, hits, info_density, strip, text_of
+from granary.functions.text import count, first_of, has_any, hits, info_density, once, strip, text_of
 
 
 def hard_reject_reason(body: Column) -> Column:
@@ -55,14 +55,20 @@ def density_reason(info: Column, kind: str) -> Column:
 
 def density_tier(body: Column, kind: str = "event") -> Column:
     """A struct of tier (A, B or C), score and reasons."""
-    info = info_density(body)
-    own, signal = density_reason(info, kind), density_reason(info, "signal")
-    flagged = (info["fragment_penalty"] > 0) | (info["boilerplate_hits"] > 0)
     none = F.array().cast("array<string>")
-    a, b = ~flagged & own.isNull(), ~flagged & signal.isNull()
-    flags = F.array_compact(F.array(F.when(info["fragment_penalty"] > 0, "fragment_placeholder"), F.when(info["boilerplate_hits"] > 0, "boilerplate"), F.coalesce(signal, own)))
-    reasons = F.when(a, none).when(b, F.array_compact(F.array(own))).otherwise(F.when(F.size(flags) > 0, F.array_distinct(flags)).otherwise(F.array(F.lit("low_density_score"))))
-    return F.struct(F.when(a, "A").when(b, "B").otherwise("C").alias("tier"), info["score"].alias("score"), reasons.alias("reasons"))
+
+    def tier_of(info: Column) -> Column:
+        own, signal = density_reason(info, kind), density_reason(info, "signal")
+        flagged = (info["fragment_penalty"] > 0) | (info["boilerplate_hits"] > 0)
+        flags = F.array_compact(F.array(F.when(info["fragment_penalty"] > 0, "fragment_placeholder"), F.when(info["boilerplate_hits"] > 0, "boilerplate"), F.coalesce(signal, own)))
+
+        def tiered(x: Column) -> Column:
+            reasons = F.when(x["a"], none).when(x["b"], F.array_compact(F.array(x["own"]))).otherwise(F.when(F.size(x["flags"]) > 0, F.array_distinct(x["flags"])).otherwise(F.array(F.lit("low_density_score"))))
+            return F.struct(F.when(x["a"], "A").when(x["b"], "B").otherwise("C").alias("tier"), x["score"].alias("score"), reasons.alias("reasons"))
+
+        return once(F.struct((~flagged & own.isNull()).alias("a"), (~flagged & signal.isNull()).alias("b"), own.alias("own"), flags.alias("flags"), info["score"].alias("score")), tiered)
+
+    return once(info_density(body), tier_of)
 
 
 def _either(c: Column, patterns: tuple[str, str]) -> Column:

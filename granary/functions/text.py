@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add, or_
 
@@ -79,23 +79,39 @@ def density_score(c: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.least(F.lit(100), points)).cast("int")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it: the optimizer does not copy what a lambda is given."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def mixed_tokens(t: Column) -> Column:
+    """Runs of three or more letters, digits and CJK characters from whose beginning on a Latin letter and a CJK character are still to come, in a text on one line."""
+    upto = lambda kind: F.length(F.regexp_extract(t, rf"(?s)^.*{kind}", 0))
+    last = F.least(upto("[A-Za-z]"), upto("[一-鿿]"))
+    head = F.concat(F.substring(t, F.lit(1), last), F.regexp_extract(F.substring(t, last + 1, F.length(t)), rf"^{V.INFO_RUN}*", 0))
+    return F.when(last > 0, F.regexp_extract_all(head, F.lit(V.INFO_RUN + "{3,}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def info_density(c: Column) -> Column:
     """A struct of entity_hits, numeric_hits, sentence_count, boilerplate_hits, fragment_penalty and score."""
-    t = squeeze(c)
-    low = F.lower(t)
-    parts = sentences(t)
-    n = F.size(parts)
-    entities = hits(low, V.INFO_ENTITIES) + F.size(F.array_distinct(matches(t, V.INFO_ENTITY))) + F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(V.INFO_MIXED), F.lit(0))))
-    numbers, boiler = count(t, V.INFO_NUMBER), hits(low, V.BOILERPLATE)
-    short = (n > 0) & (F.size(F.filter(parts, lambda x: F.length(x) < 32)) * 10 > n * 6)
-    penalty = F.least(F.lit(2), t.rlike(V.INFO_DOTS).cast("int") + t.rlike(V.INFO_CONNECTOR).cast("int") + short.cast("int"))
-    score = 20 * F.least(F.lit(3), entities) + 15 * F.least(F.lit(3), numbers) + 10 * F.least(F.lit(5), F.greatest(n - 1, F.lit(0))) - 25 * F.least(F.lit(2), boiler) - 20 * penalty
-    empty = t == ""
-    pick = lambda x, e=0: F.when(empty, e).otherwise(x).cast("int")
-    return F.struct(
-        pick(entities).alias("entity_hits"), pick(numbers).alias("numeric_hits"), pick(n).alias("sentence_count"), pick(boiler, 1).alias("boilerplate_hits"), pick(penalty, 2).alias("fragment_penalty"),
-        pick(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("score"),
-    )
+
+    def parts_of(t: Column) -> Column:
+        low, parts = F.lower(t), sentences(t)
+        entities = hits(low, V.INFO_ENTITIES) + F.size(F.array_distinct(matches(t, V.INFO_ENTITY))) + F.size(F.array_distinct(mixed_tokens(t)))
+        short = once(parts, lambda p: F.struct(F.size(p).alias("n"), F.size(F.filter(p, lambda x: F.length(x) < 32)).alias("short")))
+        return F.struct((t == "").alias("empty"), entities.alias("e"), count(t, V.INFO_NUMBER).alias("num"), short.alias("s"), hits(low, V.BOILERPLATE).alias("boiler"), (t.rlike(V.INFO_DOTS).cast("int") + t.rlike(V.INFO_CONNECTOR).cast("int")).alias("cut"))
+
+    def result(x: Column) -> Column:
+        n = x["s"]["n"]
+        penalty = F.least(F.lit(2), x["cut"] + ((n > 0) & (x["s"]["short"] * 10 > n * 6)).cast("int"))
+        score = 20 * F.least(F.lit(3), x["e"]) + 15 * F.least(F.lit(3), x["num"]) + 10 * F.least(F.lit(5), F.greatest(n - 1, F.lit(0))) - 25 * F.least(F.lit(2), x["boiler"]) - 20 * penalty
+        pick = lambda v, e=0: F.when(x["empty"], e).otherwise(v).cast("int")
+        return F.struct(
+            pick(x["e"]).alias("entity_hits"), pick(x["num"]).alias("numeric_hits"), pick(n).alias("sentence_count"), pick(x["boiler"], 1).alias("boilerplate_hits"), pick(penalty, 2).alias("fragment_penalty"),
+            pick(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("score"),
+        )
+
+    return once(once(squeeze(c), parts_of), result)
 
 
 def cjk_share(c: Column) -> Column:
