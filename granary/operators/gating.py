@@ -6,12 +6,16 @@ row; top-ups rank candidates only, with a bounded number of them passing each ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import fixed as V
 from granary.functions.scores import hard_reject_reason, is_fragment_placeholder, is_on_topic
 from granary.functions.text import count, count_sentences, density_score, strip, text_of
+from granary.operators.dedupe import cut
 
 
 def reason_counts(rows: DataFrame, reason: str = "reason", most: int | None = None, order: str = "ord") -> DataFrame:
@@ -60,6 +64,33 @@ def _top(rows: DataFrame, candidate: Column, needed: Column, most: int, *order:
     return rows.join(F.broadcast(best) if most <= 1000 else best, (F.col("item_id") == F.col("_id")) & (F.col("ord") == F.col("_ord")), "left").withColumn("_take", F.col("_id").isNotNull()).drop("_id", "_ord")
 
 
+def _promoted(narrow: DataFrame, kinds: tuple[str, str, str]) -> list[dict]:
+    """The rows that thin pools are filled up with, with their new level and passes: some of the densest of each kind, so few that the driver decides."""
+    most = max(3, V.MIN_EVENTS, V.MIN_SIGNALS)
+    counts = narrow.agg(F.count_if("event_pass").alias("events"), F.count_if("signal_pass").alias("signals")).first()
+    w = Window.partitionBy("_kind").orderBy(F.desc("density"), "ord")
+    each = narrow.withColumn("_kind", F.explode(F.array_compact(F.array(*(F.when(F.col(k), k) for k in kinds)))))
+    # Each kind's first ones; others may have been taken before them.
+    best = each.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= 3 * most).collect()
+    rows = {(r["item_id"], r["ord"]): r.asDict() for r in sorted(best, key=lambda r: (-r["density"], r["ord"]))}
+    events, signals, taken = counts["events"], counts["signals"], {}
+    last, relax, proof = kinds
+
+    def promote(candidate: Callable[[dict], bool], needed: int, name: str, to_event: bool) -> None:
+        nonlocal events, signals
+        for key in [k for k, r in rows.items() if candidate(r)][: max(0, min(needed, most))]:
+            r = taken[key] = rows[key]
+            signals += not r["signal_pass"]
+            events += to_event and not r["event_pass"]
+            r |= {"level": name, "signal_pass": True, "event_pass": r["event_pass"] or to_event}
+
+    promote(lambda r: r["level"] == "split" and r[last], 3 - signals, "signal_fallback", False)
+    promote(lambda r: r["signal_pass"] and r[relax], 2 if events == 0 and signals >= 2 else 0, "event_relaxed", True)
+    promote(lambda r: r["level"] == "split" and r[proof], V.MIN_EVENTS - events, "soft_backfill", True)
+    promote(lambda r: r["level"] == "split" and r[proof], V.MIN_SIGNALS - signals, "signal_backfill", False)
+    return list(taken.values())
+
+
 def split_gate(items: DataFrame, event: tuple = V.EVENT_LEVEL, signal: tuple = V.SIGNAL_LEVEL, topic: bool = True) -> DataFrame:
     """items with event_pass, signal_pass, level, reason, low_confidence and density.
 
@@ -74,21 +105,22 @@ def split_gate(items: DataFrame, event: tuple = V.EVENT_LEVEL, signal: tuple = V
     last = (F.col("_len") >= max(80, int(sl * 0.25))) & (F.col("_n") >= 1) & (d >= 16)
     level = F.when(~ok, "hard").when(F.col("_e").isNull(), "event").when(F.col("_s").isNull(), "signal").when(soft, "signal_soft").otherwise("split")
     rows = rows.withColumn("level", level).withColumn("event_pass", level == "event").withColumn("signal_pass", level.isin("event", "signal", "signal_soft"))
-    relax = ok & (F.col("_len") >= max(520, int(el * 0.5))) & (F.col("_n") >= max(2, es - 1)) & (d >= 42) & ~F.col("level").isin("event")
-
-    def promote(rows: DataFrame, candidate: Column, needed: Column, name: str, to_event: bool) -> DataFrame:
-        got = _top(_with_counts(rows, _events=F.col("event_pass"), _signals=F.col("signal_pass")), candidate, needed, max(3, V.MIN_EVENTS, V.MIN_SIGNALS), F.desc("density"))
-        got = got.withColumn("level", F.when(F.col("_take"), name).otherwise(F.col("level"))).withColumn("signal_pass", F.col("signal_pass") | F.col("_take"))
-        if to_event:
-            got = got.withColumn("event_pass", F.col("event_pass") | F.col("_take"))
-        return got.drop("_take", "_events", "_signals")
-
-    rows = promote(rows, (F.col("level") == "split") & last, 3 - F.col("_signals"), "signal_fallback", False)
-    rows = promote(rows, F.col("signal_pass") & relax & (F.col("_events") == 0) & (F.col("_signals") >= 2), F.lit(2), "event_relaxed", True)
     both = F.concat_ws(" ", text_of("title"), F.col("_body"))
-    proof = (F.col("level") == "split") & text_of("url").rlike("^https?://") & (count(both, V.DENSITY_ENTITY) >= 2) & (count(both, V.BACKFILL_NUMBER) >= 1)
-    rows = promote(rows, proof, V.MIN_EVENTS - F.col("_events"), "soft_backfill", True)
-    rows = promote(rows, proof, V.MIN_SIGNALS - F.col("_signals"), "signal_backfill", False)
+    split = F.col("level") == "split"
+    kinds = {
+        "_last": split & last,
+        "_relax": ok & (F.col("_len") >= max(520, int(el * 0.5))) & (F.col("_n") >= max(2, es - 1)) & (d >= 42) & (F.col("level") != "event") & (F.col("signal_pass") | last),
+        "_proof": split & text_of("url").rlike("^https?://") & (count(both, V.DENSITY_ENTITY) >= 2) & (count(both, V.BACKFILL_NUMBER) >= 1),
+    }
+    narrow = cut(rows.select("item_id", "ord", "density", "level", "event_pass", "signal_pass", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items())))
+    taken = _promoted(narrow, tuple(kinds))
+    if taken:
+        spark = items.sparkSession
+        names = items.select(F.col("item_id").alias("_id"), F.col("ord").alias("_ord")).schema
+        new = spark.createDataFrame([(r["item_id"], r["ord"], r["level"], r["event_pass"], r["signal_pass"]) for r in taken], T.StructType([*names.fields, *(T.StructField(n, t) for n, t in (("_level", T.StringType()), ("_event", T.BooleanType()), ("_signal", T.BooleanType())))]))
+        rows = rows.join(F.broadcast(new), (F.col("item_id") == F.col("_id")) & (F.col("ord") == F.col("_ord")), "left")  # a few rows
+        for name, other in (("level", "_level"), ("event_pass", "_event"), ("signal_pass", "_signal")):
+            rows = rows.withColumn(name, F.coalesce(other, name))
     reason = F.when(F.col("level") == "hard", F.col("_hard")).when(F.col("level") == "split", F.col("_s"))
     return rows.withColumn("reason", reason).withColumn("low_confidence", ~F.col("level").isin("hard", "split", "event")).select(*items.columns, "density", "level", "reason", "event_pass", "signal_pass", "low_confidence")
 
