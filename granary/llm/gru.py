@@ -31,11 +31,11 @@ from granary.llm.bpe import _Index
 from granary.llm.common import chunks, crc_bucket, cut, discard, prepare, stored
 from granary.llm.jaccard import _hashes, _words
 
-HEAD, CLASS = 1024, 32
+HEAD, CLASS = 1024, 64
 KNOWN = 1 << 18
 HIDDEN = 24
 #: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
-WINDOW, BATCH, FEWEST, DEALT = 24, 384, 96, 4_000_000
+WINDOW, BATCH, FEWEST, DEALT = 32, 384, 96, 4_000_000
 #: Tokens for an update, at least: windows of few streams are put together.
 STEP = 1024
 ROUNDS, LEAST_STEPS = 3, 48
@@ -102,9 +102,13 @@ def chunked(docs: DataFrame) -> DataFrame:
             texts = b.column(1).to_pylist()
             for x, y in chunks(texts, CHARS):
                 got = words.of(texts[x:y])
-                own, ids = np.unique(np.concatenate(got), return_inverse=True)
+                flat = np.concatenate(got)
+                own = np.flatnonzero(np.bincount(flat, minlength=len(words.hash)))
+                number = np.zeros(len(words.hash), np.int32)
+                number[own] = np.arange(len(own))
+                ids = number[flat]
                 part = b.slice(x, y - x)
-                row = [[part.column(0).to_pylist()], [part.column(2).to_pylist()], [[len(g) for g in got]], [words.hash[own].tobytes()], [ids.astype(np.int32).tobytes()]]
+                row = [[part.column(0).to_pylist()], [part.column(2).to_pylist()], [[len(g) for g in got]], [words.hash[own].tobytes()], [ids.tobytes()]]
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["doc_id", "held_out", "size", "words", "ids"])
 
@@ -428,11 +432,11 @@ def fit(rows: DataFrame, head: np.ndarray, start: dict[str, np.ndarray], rounds:
             own, ranks, i = [], Ranks(head), 0
             for b in batches:
                 for _, away, size, words, ids in unchunked(b):
-                    for d, out in zip(targets(words, ranks.of(words), ids, size), away.tolist(), strict=True):
-                        if not out:
-                            if i % rounds == r:
-                                own.append(d)
-                            i += 1
+                    turn = (i + np.cumsum(~away) - 1) % rounds == r  # of the training texts one in so many
+                    i += int((~away).sum())
+                    turn &= ~away
+                    if turn.any():
+                        own += targets(words, ranks.of(words), ids[np.repeat(turn, size)], size[turn])
             part = TaskContext.get().partitionId()
             if own:
                 size = sum(map(len, own))
