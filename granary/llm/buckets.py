@@ -13,6 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from granary.llm.common import relieved
+
 #: Rows of a table for each task of the shuffle, at most.
 ROWS = 20_000
 
@@ -84,4 +86,4 @@ def gathered(packed: DataFrame, n: int, kinds: dict[int, list[type]], each: Call
         if last:
             yield from last()
 
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(relieved(run), schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -101,6 +104,29 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def relieved(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a Python worker, that lives on for other tasks, gives back the memory that it and its tables of hashes held."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for module, name in _CACHES:
+                found = sys.modules.get(module)
+                if found:
+                    getattr(found, name).clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+#: Tables of word hashes that modules keep.
+_CACHES = (("granary.llm.quality", "_hashes"), ("granary.llm.jaccard", "_hashes"))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process. It is emptied when `most` words are held, which changes no result."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import _Index
-from granary.llm.common import chunks, crc_bucket, cut, discard, prepare, stored
+from granary.llm.common import chunks, crc_bucket, cut, discard, prepare, relieved, stored
 from granary.llm.jaccard import _hashes, _words
 
 HEAD, CLASS = 1024, 64
@@ -112,7 +112,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["doc_id", "held_out", "size", "words", "ids"])
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CHUNK)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(relieved(run), CHUNK)
 
 
 def unchunked(b: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([int(END)], pa.int64()), pa.array([ends], pa.int64())], names=["word", "n"])
 
-    return rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(relieved(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -453,9 +453,9 @@ def fit(rows: DataFrame, head: np.ndarray, start: dict[str, np.ndarray], rounds:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([weight], pa.float64()), pa.array([total.tobytes()], pa.binary())], names=["part", "weight", "sum"])
 
-        sums = rows.mapInArrow(learn, "part long, weight double, sum binary")
+        sums = rows.mapInArrow(relieved(learn), "part long, weight double, sum binary")
         for n in (BEFORE, COMBINE) if parts > MANY else (COMBINE,):
-            sums = sums.repartition(n, "part").mapInArrow(combine, "part long, weight double, sum binary")
+            sums = sums.repartition(n, "part").mapInArrow(relieved(combine), "part long, weight double, sum binary")
         total, weight = 0.0, 0.0
         for row in sums.toLocalIterator():  # a row of fixed size from each of the last tasks
             total, weight = total + np.frombuffer(row["sum"], np.float32).astype(np.float64), weight + row["weight"]
@@ -522,7 +522,7 @@ def scores(docs: DataFrame) -> DataFrame:
         if wait:
             yield out()
 
-    rows = cut(chunk.mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"))
+    rows = cut(chunk.mapInArrow(relieved(run), "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"))
     discard(spark, chunk)
     rare = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))

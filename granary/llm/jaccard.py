@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import buckets
-from granary.llm.common import WordHashes, cut, discard, mix, prepare, stored
+from granary.llm.common import WordHashes, cut, discard, mix, prepare, relieved, stored
 
 #: Nodes of a bucket that are compared with each other at once.
 BLOCK = 1024
@@ -205,7 +205,7 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 cols = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.int32()), *(pa.array(c, pa.binary()) for c in (low, high, own, after))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "digest", "band", "low", "high", "own", "after"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, band int, low binary, high binary, own binary, after binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(relieved(run), "doc_id long, n long, digest binary, band int, low binary, high binary, own binary, after binary")
 
 
 #: What is packed: rows (sig, node, side) of all pieces, and those (key, sig, node, side) of groups beyond HOT within a
@@ -308,7 +308,7 @@ def _shared(sketches: DataFrame, n: int) -> DataFrame:
         if sum(map(len, met)) > HELD:
             yield from pairs()
 
-    return buckets.gathered(sketches.mapInArrow(run, buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long", pairs)
+    return buckets.gathered(sketches.mapInArrow(relieved(run), buckets.BLOCKS), n, _kinds, each, "sig long, node long, level int, hub long", pairs)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = [p for p in pairs if p[0] != p[1]]
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    e = cut(edges.select("a", "b").mapInArrow(local, "a long, b long").distinct())
+    e = cut(edges.select("a", "b").mapInArrow(relieved(local), "a long, b long").distinct())
     while True:
         # a > b throughout. Done when no node is above and below, and none has two above it.
         above = e.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
@@ -353,7 +353,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for batch in batches:
+        for batch in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             ok = []
             for i in range(len(a)):
@@ -367,7 +367,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(relieved(run), "a long, b long").distinct()
 
 
 def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
@@ -402,7 +402,7 @@ def _allowed(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: words.select(F.col("node").alias(x), "level", F.col("n").alias(f"{x}_n"), F.col("words").alias(f"{x}_words"))
     both = pairs.join(side("a"), ["a", "level"]).join(side("b"), ["b", "level"])
-    return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"), "a_words", "b_words").filter("length(a_words) = length(b_words)").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"), "a_words", "b_words").filter("length(a_words) = length(b_words)").mapInArrow(relieved(run), "a long, b long").distinct()
 
 
 def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -471,7 +471,7 @@ def _close(rows: DataFrame, percent: int, best: bool) -> DataFrame:
         yield from done()
 
     spread = rows.select("_group", "node", "comp", "n", "words", "_i", "_pair")
-    return spread.repartition("_group").sortWithinPartitions("_group").mapInArrow(run, "a long, b long").distinct()
+    return spread.repartition("_group").sortWithinPartitions("_group").mapInArrow(relieved(run), "a long, b long").distinct()
 
 
 def _nearest(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import apart, chunks, column_of, crc_bucket, cut, mix, prepare
+from granary.llm.common import apart, chunks, column_of, crc_bucket, cut, mix, prepare, relieved
 
 DOCS = 1500
 LEAST = 5
@@ -239,7 +239,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for lang, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(relieved(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, docs_per_language: int = DOCS) -> Identifier:
@@ -278,8 +278,9 @@ def identify(df: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
                 got = own.predict(column_of(part, text).to_pylist())
                 cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*b.schema.names, *names])
+        own.forget()  # a worker keeps what was broadcast
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))]))
+    return df.mapInArrow(relieved(run), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))]))
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import buckets
-from granary.llm.common import apart, column_of, crc32, cut, discard, prepare, stored
+from granary.llm.common import apart, column_of, crc32, cut, discard, prepare, relieved, stored
 
 #: REACH: units of a word each that lie between two fingerprints, or before or after one of a stretch; AHEAD: those from a place on.
 GRAM, SPAN, REACH, AHEAD = 10, 15, 16, 32
@@ -146,7 +146,7 @@ def _prints(docs: DataFrame, n: int) -> DataFrame:
 
     names = ["bucket", "kind", "n", "payload", "doc_id", "th", "units"]
     rows = docs.filter("doc_id is not null and text is not null and text != ''").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(relieved(run), schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 keep = pa.array(same & (k > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array((at - i).astype(np.int32)).filter(keep), pa.array((at + k).astype(np.int32)).filter(keep)], names=["doc_id", "th", "a", "b"])
 
-    spans = pairs.mapInArrow(extend, "doc_id long, th int, a int, b int")
+    spans = pairs.mapInArrow(relieved(extend), "doc_id long, th int, a int, b int")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "th", "gone"])
 
     grouped = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("x"))
-    out = cut(grouped.mapInArrow(merge, "doc_id long, th int, gone array<int>"))
+    out = cut(grouped.mapInArrow(relieved(merge), "doc_id long, th int, gone array<int>"))
     discard(spark, both)
     return out
 
@@ -266,7 +266,7 @@ def _cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
                 n = pc.replace_with_mask(pa.array(np.zeros(part.num_rows, np.int64)), mask, pa.array(deleted, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.replace_with_mask(old.cast(pa.string()), mask, pa.array(new, pa.string())), n], names=["own", "new", "deleted"])
 
-    return both.mapInArrow(run, T.StructType([both.schema["own"], T.StructField("new", T.StringType()), T.StructField("deleted", T.LongType())]))
+    return both.mapInArrow(relieved(run), T.StructType([both.schema["own"], T.StructField("new", T.StringType()), T.StructField("deleted", T.LongType())]))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import default_vocabulary, encoder
-from granary.llm.common import crc32, prepare
+from granary.llm.common import crc32, prepare, relieved
 
 WINDOW = 2048
 END = 1
@@ -142,4 +142,4 @@ def packed(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | No
             yield shard(keys, texts)
 
     schema = ", ".join(f"{n} long" for n in names[:7]) + ", ids array<long>" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(relieved(run), schema)

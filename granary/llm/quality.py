@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WordHashes, apart, column_of, cut, held, prepare, stored, words_of
+from granary.llm.common import WordHashes, apart, column_of, cut, held, prepare, relieved, stored, words_of
 
 WINDOW, BLOCK = 8, 100
 SYMBOLS = "#*$%&|<>"
@@ -83,7 +83,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
                 cols = np.array(rows, np.int64).reshape(-1, len(MEASURES)).T
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, cols)], names=[*b.schema.names, *MEASURES])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    return df.mapInArrow(relieved(run), T.StructType([*df.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def base_failed() -> Column:
