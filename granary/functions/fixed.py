@@ -204,3 +204,32 @@ SOURCE_SHARE, PROOF_COVERAGE = 0.45, 0.85
 POOL_TOTAL, POOL_FRESH = 800, 10
 LONG_TEXT, LONG_NEEDED = 800, 4
 FUZZY = 85.0
+
+# Entities: fixed values, which decide results
+ENTITY_STOPS = (
+    "a", "an", "the", "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they",
+    "them", "their", "theirs", "themselves", "this", "that", "these", "those", "is", "am", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "will", "would", "shall",
+    "should", "may", "might", "must", "can", "could", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "over", "after", "out", "off", "and", "but", "or", "nor", "not", "no", "so", "if", "then",
+    "than", "too", "very", "just", "also", "now", "here", "there", "when", "where", "why", "how", "what", "which", "who", "whom", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "only", "own",
+    "same", "as", "while", "during", "hi", "hey", "hello", "show", "ask", "tell", "hn", "hn,", "yes", "yeah", "ok", "okay", "oh", "please", "thanks", "thank", "new", "like", "use", "get", "make", "made", "way", "via", "still",
+    "yet", "already", "since", "before", "because", "much", "well", "really", "actually", "quite", "though", "however", "one", "two", "three", "first", "second", "third", "last", "built", "using", "want", "need", "think", "know",
+    "let", "see", "try", "look", "find", "take", "give", "work", "call", "come", "go", "run", "set", "put", "say", "said", "told", "many", "any", "simple", "enjoy", "free", "kind", "part", "lot", "bit", "even", "back", "down",
+    "through", "between", "against", "under", "around", "without", "within", "along", "across", "per", "once",
+)
+ENTITY_ZH_STOPS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一個", "上", "也", "很", "到", "說", "要", "去", "你", "會", "著", "沒有", "看", "好", "自己", "這", "他", "她", "它", "們", "那", "些", "什麼", "吧", "但", "與", "及", "或", "等", "被", "把", "讓",
+    "用", "對", "為", "從", "所", "而", "以", "其", "中", "將", "之", "更", "最", "已", "能", "可以",
+)
+ENTITY_ACRONYMS = (
+    "AI", "ML", "AR", "VR", "XR", "5G", "6G", "IoT", "EV", "US", "UK", "EU", "UN", "WHO", "FDA", "FCC", "EPA", "SEC", "ICE", "NSA", "CIA", "FBI", "DOJ", "IRS", "FTC", "DOD", "AWS", "GCP", "API", "SDK", "GPU", "CPU", "TPU", "NPU",
+    "USB", "LED", "LCD", "SSD", "RAM", "ROM", "DNS", "TCP", "IP", "HTTP", "LLM", "NLP", "CV", "RL", "DL", "CEO", "CTO", "CFO", "COO", "VP", "IPO", "M&A", "VC", "PE", "LP", "GP", "MIT", "CMU", "ETH", "TSMC", "ASML", "AMD", "ARM",
+    "IBM",
+)
+ENTITY_SUFFIXES = (
+    "inc", "inc.", "corp", "corp.", "co", "co.", "ltd", "ltd.", "llc", "plc", "gmbh", "ag", "foundation", "labs", "lab", "studio", "studios", "technologies", "technology", "tech", "ventures", "capital", "partners", "group",
+    "holdings",
+)
+ENTITY_ALIASES = {
+    "u.s.": "US", "u.s": "US", "united states": "US", "usa": "US", "america": "US", "u.k.": "UK", "united kingdom": "UK", "britain": "UK", "e.u.": "EU", "european union": "EU", "google's": "Google", "googles": "Google",
+    "apple's": "Apple", "apples": "Apple", "microsoft's": "Microsoft", "microsofts": "Microsoft", "amazon's": "Amazon", "amazons": "Amazon", "meta's": "Meta", "metas": "Meta", "openai's": "OpenAI", "openais": "OpenAI",
+}
