@@ -15,7 +15,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no learned language go; the models learn from the documents at hand."""
-    release(spark)  # what the stage before held has been written
     return langid.keep(docs)
 
 
@@ -43,4 +42,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release(spark)  # what the stage held has been read
     return STAGES[-1][1](spark, docs, sf_dir)
