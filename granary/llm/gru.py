@@ -17,8 +17,8 @@ counts as an empty text in the choice of training documents); equal texts of one
 
 from __future__ import annotations
 
+import functools
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bpe import _Index
-from granary.llm.common import chunks, crc_bucket, cut, discard, prepare, relieved, stored
-from granary.llm.jaccard import _hashes, _words
+from granary.llm.common import chunks, crc_bucket, cut, discard, mix, prepare, relieved, stored
 
 HEAD, CLASS = 1024, 64
 KNOWN = 1 << 18
@@ -48,31 +46,53 @@ TAIL, STOP, BEGIN = HEAD, HEAD + 1, HEAD + 2
 N_CLASSES = HEAD // CLASS + 2
 
 
-def split(text: str | None) -> list[bytes]:
-    return _words(text.encode().lower()) if text else []
-
-
-class Words:
-    """Numbers for words, with their hashes. It is emptied when `most` words are held."""
-
-    def __init__(self, most: int = 300_000):
-        self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        self.index, self.hash = _Index(), np.zeros(0, np.uint64)
-
-    def of(self, texts: list) -> list[np.ndarray]:
-        if len(self.index) > self.most:
-            self.forget()
-        get, out = self.index.__getitem__, []
-        for t in texts:
-            w = split(t)
-            out.append(np.fromiter(map(get, w), np.int64, len(w)))
-        if self.index.new:
-            self.hash = np.concatenate([self.hash, _hashes.of(self.index.new)])
-            self.index.new.clear()
-        return out
+#: What a byte adds to its word's hash, A-Z like a-z, and which bytes stand between words.
+_BYTE = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes that are hashed at once.
+SPAN = 1 << 17
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the factor and of its inverse, modulo 2^64."""
+    return tuple(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]).cumprod() for x in (_POWER, _INVERSE))
+
+
+def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the words of `data`: polynomials in a word's bytes, from sums that run over whole spans of it, so that no word is an object."""
+    codes = np.frombuffer(data, np.uint8)
+    space = _SPACE[codes]
+    out, where, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(codes):
+        b = min(a + SPAN, len(codes))
+        if b < len(codes):  # a span ends at a space; one that has none goes on to the next
+            at = np.flatnonzero(space[a:b])
+            b = a + int(at[-1]) + 1 if len(at) else b + (int(space[b:].argmax()) if space[b:].any() else len(codes) - b)
+        edge = np.flatnonzero(np.diff(space[a:b].view(np.int8), prepend=1, append=1))
+        first, last = edge[::2], edge[1::2]
+        power, inverse = _powers(SPAN) if b - a <= SPAN else _powers.__wrapped__(b - a)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.multiply(_BYTE[codes[a:b]], power[: b - a], sums[1:])
+        np.cumsum(sums, out=sums)
+        out.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        where.append(first + a)
+        a = b
+    return np.concatenate(out), np.concatenate(where)
+
+
+def words_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, hashes of the distinct words, the most frequent first, each word's number among these)."""
+    data = [t.encode() if t else b"" for t in texts]
+    end = np.cumsum([len(d) + 1 for d in data])
+    flat, at = hashed(b" ".join(data))
+    own, ids, n = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(own), np.int32)
+    number[order] = np.arange(len(own))
+    return np.diff(np.searchsorted(at, end), prepend=0), own[order], number[ids]
 
 
 class Ranks:
@@ -97,18 +117,12 @@ def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, text and held_out as rows of CHUNK: texts are split into words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
             texts = b.column(1).to_pylist()
             for x, y in chunks(texts, CHARS):
-                got = words.of(texts[x:y])
-                flat = np.concatenate(got)
-                own = np.flatnonzero(np.bincount(flat, minlength=len(words.hash)))
-                number = np.zeros(len(words.hash), np.int32)
-                number[own] = np.arange(len(own))
-                ids = number[flat]
+                size, words, ids = words_in(texts[x:y])
                 part = b.slice(x, y - x)
-                row = [[part.column(0).to_pylist()], [part.column(2).to_pylist()], [[len(g) for g in got]], [words.hash[own].tobytes()], [ids.tobytes()]]
+                row = [[part.column(0).to_pylist()], [part.column(2).to_pylist()], [size], [words.tobytes()], [ids.tobytes()]]
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["doc_id", "held_out", "size", "words", "ids"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -467,10 +468,28 @@ def test_gru_scores_sum_to_one_and_carry_the_state():
         assert abs(total - x) < 1e-2
 
 
+def test_lm_words_brute_force(monkeypatch):
+    """Words, their order and their texts are those of the pattern, whatever the span; equal words have equal hashes, others differ."""
+    rng = np.random.default_rng(5)
+    signs = list("aAbBzZ \t\n\x0b\x85é漢字0.\x1c")
+    for span in (7, 64, 1 << 17):
+        monkeypatch.setattr(gru, "SPAN", span)
+        gru._powers.cache_clear()
+        hash_of, word_of = {}, {}
+        for _ in range(60):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice(signs, rng.choice([0, 1, 5, 40, 300]))) for _ in range(4)]
+            size, words, ids = gru.words_in(texts)
+            want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+            assert size.tolist() == [len(x) for x in want]
+            for w, h in zip((x for y in want for x in y), words[ids].tolist(), strict=True):
+                assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
+    gru._powers.cache_clear()
+
+
 def test_lm_trains_on_every_token(spark, monkeypatch):
     """One pass meets every token of every text once, with the state that the text before it leaves."""
     texts = [" ".join(f"w{(i * j) % 50}" for j in range(n)) for i, n in enumerate([0, 1, 15, 16, 17, 500, 3000])]
-    known = gru._hashes.of([f"w{i}".encode() for i in range(50)])
+    known = gru.hashed(" ".join(f"w{i}" for i in range(50)).encode())[0]
     ranks, rows = gru.Ranks(known), []
     for b in gru.chunked(frame(spark, texts).withColumn("held_out", F.lit(False))).toArrow().to_batches():
         for _, _, size, words, ids in gru.unchunked(b):
