@@ -233,3 +233,46 @@ ENTITY_ALIASES = {
     "u.s.": "US", "u.s": "US", "united states": "US", "usa": "US", "america": "US", "u.k.": "UK", "united kingdom": "UK", "britain": "UK", "e.u.": "EU", "european union": "EU", "google's": "Google", "googles": "Google",
     "apple's": "Apple", "apples": "Apple", "microsoft's": "Microsoft", "microsofts": "Microsoft", "amazon's": "Amazon", "amazons": "Amazon", "meta's": "Meta", "metas": "Meta", "openai's": "OpenAI", "openais": "OpenAI",
 }
+
+# Pages that report no event, banners and placeholders: fixed values, which decide results
+INDEX_WORDS = (
+    "curated list", "curated", "rss feed", "rss", "entries for the year", "collecting", "archive", "overview", "stats", "year in review",
+    "changelog", "release notes list", "index of", "table of contents", "as part of its mission", "newsletter",
+)
+NON_EVENT_TITLES = (
+    "^as part of its mission", "^overview", "^archive", "^curated", "^table of contents", "^newsletter", "^a list of", "^collection of", "^for this year", "^i love ",
+    "you must be signed", "sign(ed)? in to", "notification settings", "^show hn:",
+)
+EVENT_VERBS = (
+    "推出|收購|禁用|發布|漏洞|裁員|上調|下調|立法|訴訟|投資|併購|開源|下架|召回|罰款|合併|關閉|暫停|擴張|"
+    "launch|acquir|ban|releas|vulnerabilit|layoff|raise|lower|legislat|sued|invest|merg|open.?source|remov|recall|fine|shut|suspend|expand|block|hide|filter|maintain|operat|"
+    "announc|introduc|report|discover|breach|hack|leak|partner|fund|grant|approve|reject|delay|cancel|happen|develop|reveal|confirm|warn|impact|affect|change"
+)
+EVENT_TIMES = (
+    "20[0-9]{2}|本週|昨日|今日|近日|日前|上週|本月|今年|yesterday|today|this week|last week|recently|Monday|Tuesday|Wednesday|Thursday|Friday|Q[1-4]|"
+    "January|February|March|April|May|June|July|August|September|October|November|December"
+)
+EVENT_SUBJECT = "[A-Z][a-z]{2,}"
+BANNERS = (
+    "you signed in", "you signed out", "you switched accounts", "reload to refresh your session", "cookie", "accept all cookies", "sign in to", "log in to", "dismiss alert",
+    "copy file name to clipboard", "display the source diff", "display the rich diff", "lines changed", "expand all lines",
+)
+BANNER_BELOW, INVALID_BELOW, SCRAPED_LEAST = 200, 80, 50
+PLACEHOLDERS = (
+    "fallback monitoring signal", "desktop smoke signal", "signals_insufficient=true", "last july was", "weekly roundup", "top links", "subscribe", "sign in", "低信心事件候選", "source=platform",
+    "本次無有效新聞；本次掃描統計",
+)
+NO_SOURCES = ("", "unknown", "none", "platform", "source=unknown", "source=platform")
+THREAD_SOURCES = ("hackernews", "hn", "hacker news")
+
+# Sentences cut short and evidence in a block: fixed values, which decide results
+MARKS = "[.!?。！？;；]"
+ZH_LAST = "[的了而與來記是在和或及對從向把被讓給]$"
+EN_LAST = r"\b(?:to|and|or|by|the|a|an|of|in|on|at|for|with|is|was|are|were|that|this|it|but|as)\s*$"
+COMMA_LAST = r"[,，、]\s*$"
+BLOCK_TERM = (
+    r"\b(?:AI|LLM|GPU|model|agent|launch|release|acquire|fund|partner|inference|training|deploy|benchmark|patent|regulation|vulnerability|"
+    r"API|SDK|SaaS|token|parameter|context|fine.?tune|RLHF|RAG|vector|transformer|diffusion|multimodal|copilot|chatbot)\b|"
+    "(?:人工智慧|大模型|算力|推理|訓練|部署|漏洞|收購|發布|推出|合作|開源|專利|監管|裁員|融資)"
+)
+BLOCK_NUMBER = r"\$[\d,.]+[BMKbmk]?|\d+%|\bv?\d+\.\d+|\d{2,}[\s]*(?:billion|million|thousand|M|B|K|GB|TB|萬|億|兆)|\d+/\d+"

@@ -198,3 +198,44 @@ def card(title: Column, summary: Column, b: Column, source_name: Column, url: Co
 def traffic_light(success: Column, p95: Column) -> Column:
     return F.when((success >= 80) & (p95 < 30), "green").when((success >= 50) | (p95 < 60), "yellow").otherwise("red")
 
+
+def is_index_page(title: Column, body: Column) -> Column:
+    return has_any(F.lower(F.concat_ws(" ", text_of(title), text_of(body))), V.INDEX_WORDS)
+
+
+def is_non_event(title: Column, body: Column, line: Column | None = None) -> Column:
+    """By its title, as an index, or because it has less than two of an action, a time and a subject."""
+    head = strip(text_of(title))
+    t = F.concat_ws(" ", head, strip(text_of(body)), F.lit("") if line is None else text_of(line))
+    elements = t.rlike(f"(?iu){V.EVENT_VERBS}").cast("int") + t.rlike(f"(?iu){V.EVENT_TIMES}").cast("int") + t.rlike(V.EVENT_SUBJECT).cast("int")
+    return head.rlike("(?i)" + "|".join(V.NON_EVENT_TITLES)) | is_index_page(title, body) | (elements <= 1)
+
+
+def is_banner(body: Column) -> Column:
+    """Two phrases of a site's interface, or one in a short text."""
+    t = text_of(body)
+    n = hits(F.lower(t), V.BANNERS)
+    return (n >= 2) | ((n >= 1) & (F.length(strip(t)) < V.BANNER_BELOW))
+
+
+def is_invalid(body: Column) -> Column:
+    """A banner, or a short text with fewer than two words of some length."""
+    t = strip(text_of(body))
+    return is_banner(body) | ((F.length(t) < V.INVALID_BELOW) & (count(t, "[\\u4e00-\\u9fff]{2,}") + count(t, "[a-zA-Z]{4,}") < 2))
+
+
+def needs_fulltext(title: Column, body: Column, source_name: Column) -> Column:
+    """The text is no more than data about the item: addresses of a thread, the title, or little from a site of threads."""
+    b, s = text_of(body), strip(text_of(body))
+    thread = b.contains("Comments URL:") & b.contains("ycombinator.com")
+    return thread | ((s == strip(text_of(title))) & (s != "")) | (F.lower(text_of(source_name)).isin(*V.THREAD_SOURCES) & (F.length(b) < 200))
+
+
+def is_placeholder(c: Column) -> Column:
+    low = F.lower(text_of(c))
+    return (strip(low) == "") | has_any(low, V.PLACEHOLDERS)
+
+
+def has_source(url: Column, source_name: Column) -> Column:
+    """There is an address, or the name of a source that says something."""
+    return strip(text_of(url)).rlike("^https?://") | ~F.lower(strip(text_of(source_name))).isin(*V.NO_SOURCES)

@@ -269,3 +269,26 @@ def normalized_bullets(bullets: Column, least: int = 12) -> Column:
 
     done = F.aggregate(clean, state, fold)
     return F.filter(F.when(done["held"].isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(done["held"]))), lambda x: F.length(x) >= least)
+
+
+def sentence_marks(c: Column) -> Column:
+    """How many marks end sentences or clauses, 1 at least where there is text."""
+    t = text_of(c)
+    return F.when(strip(t) == "", 0).otherwise(F.greatest(F.lit(1), count(t, V.MARKS)))
+
+
+def block_terms(c: Column) -> Column:
+    return count(text_of(c), f"(?iU){V.BLOCK_TERM}")
+
+
+def block_numbers(c: Column) -> Column:
+    return count(text_of(c), f"(?iU){V.BLOCK_NUMBER}")
+
+
+def trim_fragment(c: Column) -> Column:
+    """A text that ends in the middle of a sentence is cut after the last mark; without one it stays, less commas at its end."""
+    s = strip(text_of(c))
+    comma = s.rlike(f"(?U){V.COMMA_LAST}")
+    loose = s.rlike(V.ZH_LAST) | s.rlike(f"(?iU){V.EN_LAST}") | comma
+    upto = F.regexp_extract(s, f"(?s)^.*{V.MARKS}", 0)
+    return F.when(loose & (upto != ""), upto).when(comma, F.regexp_replace(s, "[,，、 ]+$", "")).otherwise(s)

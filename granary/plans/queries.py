@@ -236,6 +236,84 @@ def j61_evidence_share(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.round(evidence.evidence_share(F.col("body")), 6).alias("share"))
 
 
+# Predicates of items and blocks -----------------------------------------------------------------------------------------
+_TITLED = f"(SELECT *, regexp_replace(split_part(coalesce(text, ''), chr(10), 1), {WS}, '', 'g') AS h FROM {DOCS})"
+_INDEX = f"{_hits('lower(h || chr(32) || b)', V.INDEX_WORDS)} > 0"
+_ELEMENTS = f"(regexp_matches(b, {_q('(?i)' + V.EVENT_VERBS)})::int + regexp_matches(b, {_q('(?i)' + V.EVENT_TIMES)})::int + regexp_matches(b, {_q(V.EVENT_SUBJECT)})::int)"
+_BANNER = f"({_hits('lower(b)', V.BANNERS)} >= 2 OR ({_hits('lower(b)', V.BANNERS)} >= 1 AND length(b) < {V.BANNER_BELOW}))"
+_W = r"\p{L}\p{N}\p{M}_"  # DuckDB's own word boundaries know ASCII alone
+_WORDS = tuple(x for x in V.BLOCK_TERM.split(")")[0].split("(?:")[1].lower().split("|") if "." not in x)
+_BLOCK_TERMS = (
+    f"len(list_filter(regexp_extract_all(b, '[{_W}]+'), lambda x: lower(x) IN ({', '.join(map(_q, _WORDS))}) OR regexp_matches(x, '(?i)^fine.?tune$'))) "
+    f"+ len(regexp_extract_all(b, '(?i)(^|[^{_W}])fine[^{_W}\\n]tune($|[^{_W}])')) + len(regexp_extract_all(b, {_q(V.BLOCK_TERM.split('|', V.BLOCK_TERM.split(')')[0].count('|') + 1)[-1])}))"
+)
+_LOOSE = f"(regexp_matches(b, {_q(V.ZH_LAST)}) OR regexp_matches(b, {_q('(?i)' + V.EN_LAST.replace(chr(92) + 'b', f'(?:^|[^{_W}])'))}) OR regexp_matches(b, {_q(V.COMMA_LAST)}))"
+
+
+@query(f"SELECT doc_id, {_INDEX} AS index_page FROM {_TITLED}")
+def c16_index_page(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_index_page(F.col("title"), F.col("body")).alias("index_page"))
+
+
+@query(f"SELECT doc_id, regexp_matches(h, {_q('(?i)' + '|'.join(V.NON_EVENT_TITLES))}) OR {_INDEX} OR {_ELEMENTS} <= 1 AS non_event FROM {_TITLED}")
+def c15_non_event(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_non_event(F.col("title"), F.col("body")).alias("non_event"))
+
+
+@query(f"SELECT doc_id, {_BANNER} AS banner FROM {DOCS}")
+def c17_system_banner(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_banner(F.col("body")).alias("banner"))
+
+
+@query(rf"SELECT doc_id, {_BANNER} OR (length(b) < {V.INVALID_BELOW} AND len(regexp_extract_all(b, '[\x{{4e00}}-\x{{9fff}}]{{2,}}')) + len(regexp_extract_all(b, '[a-zA-Z]{{4,}}')) < 2) AS invalid FROM {DOCS}")
+def c18_invalid_item(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_invalid(F.col("body")).alias("invalid"))
+
+
+@query(f"SELECT doc_id, (contains(text, 'Comments URL:') AND contains(text, 'ycombinator.com')) OR (b <> '' AND b = h) OR (lower(source) IN ('hackernews', 'hn', 'hacker news') AND length(text) < 200) AS needed FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, b, h FROM {_TITLED})")
+def c19_needs_fulltext(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.needs_fulltext(F.col("title"), F.col("body"), F.col("source_name")).alias("needed"))
+
+
+@query(f"SELECT doc_id, b = '' OR {_hits('lower(b)', V.PLACEHOLDERS)} > 0 AS placeholder FROM {DOCS}")
+def c25_placeholder(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_placeholder(F.col("body")).alias("placeholder"))
+
+
+@query("SELECT page_id, regexp_matches(trim(coalesce(url, '')), '^https?://') AS anchored FROM pages")
+def c26_has_source(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", scores.has_source(F.col("url"), F.lit("")).alias("anchored"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE length(text) >= {V.SCRAPED_LEAST}")
+def c38_long_enough(spark, sf_dir):
+    return items(spark, sf_dir).filter(F.length("body") >= V.SCRAPED_LEAST).select(F.col("ord").alias("doc_id"))
+
+
+@query(f"SELECT doc_id, CASE WHEN b = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(text, {_q(V.MARKS)}))) END AS n FROM {DOCS}")
+def j20_j23_sentence_marks(spark, sf_dir):
+    """One rule for both of these counts of sentences."""
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.sentence_marks(F.col("body")).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {_BLOCK_TERMS} AS n FROM {DOCS}")
+def j21_block_terms(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.block_terms(F.col("body")).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(b, {_q('(?i)' + V.BLOCK_NUMBER.replace(chr(92) + 'b', f'(?:^|[^{_W}])'))})) AS n FROM {DOCS}")
+def j22_block_numbers(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.block_numbers(F.col("body")).cast("long").alias("n"))
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN {_LOOSE} AND regexp_matches(b, {_q(V.MARKS)}) THEN regexp_replace(b, '[^.!?。！？;；]*$', '') "
+    f"WHEN regexp_matches(b, {_q(V.COMMA_LAST)}) THEN regexp_replace(b, '[,，、 ]+$', '') ELSE b END AS text FROM {DOCS}"
+)
+def j24_trim_fragment(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.trim_fragment(F.col("body")).alias("text"))
+
+
 # Addresses ------------------------------------------------------------------------------------------------------------
 @query("SELECT page_id, substr(sha256(trim(url)), 1, 16) AS url_hash, substr(sha256(trim(regexp_extract(html, '<title>(.*?)</title>', 1)) || '|' || trim(url)), 1, 16) AS item_id FROM pages")
 def j05_ids(spark, sf_dir):

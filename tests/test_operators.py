@@ -434,3 +434,26 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_recency(spark):
     df = spark.createDataFrame([(1, dt.datetime(2026, 2, 19, 12)), (2, dt.datetime(2026, 2, 1)), (3, None), (4, dt.datetime(2026, 2, 17))], "i int, published_ts timestamp").withColumn("collected_ts", F.lit(None).cast("timestamp"))
     assert sorted(r.i for r in runs.recent(df, as_of()).collect()) == [1, 3] and [r.i for r in runs.age_band(df, as_of()).collect()] == [4]
+
+
+def test_item_predicates(spark):
+    a, b = F.col("a"), F.col("b")
+    two = lambda c, *rows: values(spark, c, *rows, names=("a", "b"))
+    assert two(scores.is_index_page(a, b), ("Model news", "An Archive of posts"), ("Model", "ships"), (None, None)) == [True, False, False]
+    assert two(scores.is_non_event(a, b), ("Show HN: x", "Acme launches Foo today"), ("Acme", "launches a chip"), ("acme", "launches a chip"), ("acme", "launches a chip today"), (None, None)) == [True, False, True, False, True]
+    one = lambda c, *rows: values(spark, c, *rows)
+    assert one(scores.is_banner(a), "You signed in", "cookie " + "x" * 200, "cookie; sign in to " + "x" * 200, "", None) == [True, False, True, False, False]
+    assert one(scores.is_invalid(a), "a b c", "large models", "發布 模型", None, "x " * 60) == [True, False, False, True, False]
+    assert two(scores.needs_fulltext(a, b, F.lit("HN")), ("t", "t"), ("t", "short"), ("t", "x" * 200), ("", "")) == [True, True, False, True]
+    assert two(scores.needs_fulltext(a, b, F.lit("x")), ("", ""), ("t", "Comments URL: https://news.ycombinator.com/"), (None, None)) == [False, True, False]
+    assert one(scores.is_placeholder(a), "Subscribe now", "A model", "  ", None) == [True, False, True, True]
+    assert two(scores.has_source(a, b), ("https://x", None), (" http://x", "none"), ("ftp://x", "Unknown "), (None, "Wire"), (None, None)) == [True, True, False, True, False]
+
+
+def test_block_measures(spark):
+    a = F.col("a")
+    assert values(spark, text.sentence_marks(a), "One. Two; three", "none", " \n", None, "完。好；") == [2, 1, 0, 0, 2]
+    assert values(spark, text.block_terms(a), "An AI model, a modeling agent", "大模型發布", "", None) == [3, 2, 0, 0]
+    assert values(spark, text.block_numbers(a), "$3.5B, 40% and v2.1; 12 million, 4/5; 7", "", None) == [5, 0, 0]
+    cut = {"It ships. Then the": "It ships.", "It ships. Then，": "It ships.", "no mark, ": "no mark", "no mark the": "no mark the", "它發布了。這是": "它發布了。", "It ships. Then more": "It ships. Then more", "A.\nB and": "A.", "": ""}
+    assert values(spark, text.trim_fragment(a), *cut, None) == [*cut.values(), ""]
