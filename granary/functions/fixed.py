@@ -276,3 +276,12 @@ BLOCK_TERM = (
     "(?:人工智慧|大模型|算力|推理|訓練|部署|漏洞|收購|發布|推出|合作|開源|專利|監管|裁員|融資)"
 )
 BLOCK_NUMBER = r"\$[\d,.]+[BMKbmk]?|\d+%|\bv?\d+\.\d+|\d{2,}[\s]*(?:billion|million|thousand|M|B|K|GB|TB|萬|億|兆)|\d+/\d+"
+TERMINATORS, PAUSES, COMMAS = "[。！？!?]+", "[；;：:\n]", "[，,、]"
+
+# Texts that reports may not have, and sources of first rank: fixed values, which decide results
+REPORT_BANNED = (
+    "的趨勢，解決方 記", "詳見原始來源", "監控中 本欄暫無事件", "Evidence summary: sources=", "Key terms: ", "validate source evidence and related numbers",
+    "run small-scope checks against current workflow", "escalate only if next scan confirms sustained", "現有策略與資源配置", "高關注度", "新穎性", "此欄暫無資料；持續掃描來源中", "本欄暫無資料",
+)
+FIRST_SOURCE = r"openai|anthropic|hugging\s*face|huggingface|google\s+research|google\s+ai|deepmind|model\s+release|research\s+blog|official\s+blog"
+FIRST_URL = r"openai\.com/blog|anthropic\.com/news|huggingface\.co/blog|ai\.googleblog\.com|blog\.google/.*/ai|research\.google|deepmind\.google/.*/blog|google-research"

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import count, first_of, has_any, hits, info_density, once, strip, text_of
+from granary.functions.text import count, first_of, has_any, hits, info_density, once, squeeze, strip, text_of
 
 
 def hard_reject_reason(body: Column) -> Column:
@@ -239,3 +239,12 @@ def is_placeholder(c: Column) -> Column:
 def has_source(url: Column, source_name: Column) -> Column:
     """There is an address, or the name of a source that says something."""
     return strip(text_of(url)).rlike("^https?://") | ~F.lower(strip(text_of(source_name))).isin(*V.NO_SOURCES)
+
+
+def is_banned(c: Column) -> Column:
+    return has_any(text_of(c), V.REPORT_BANNED)
+
+
+def is_first_rank(source_name: Column, url: Column, title: Column) -> Column:
+    """By the names of laboratories in source, address or title, or by the address of a blog of theirs."""
+    return squeeze(F.concat_ws(" ", text_of(source_name), text_of(url), text_of(title))).rlike(f"(?i){V.FIRST_SOURCE}") | squeeze(url).rlike(f"(?i){V.FIRST_URL}")

@@ -292,3 +292,27 @@ def trim_fragment(c: Column) -> Column:
     loose = s.rlike(V.ZH_LAST) | s.rlike(f"(?iU){V.EN_LAST}") | comma
     upto = F.regexp_extract(s, f"(?s)^.*{V.MARKS}", 0)
     return F.when(loose & (upto != ""), upto).when(comma, F.regexp_replace(s, "[,，、 ]+$", "")).otherwise(s)
+
+
+def lenient_sentences(c: Column) -> Column:
+    """Pieces between terminators; if these are fewer than two, those between pauses and line ends if there are two or more of them."""
+    t = text_of(c)
+    for pattern, by in (("\r\n?", "\n"), ("[ \t]+", " "), ("\n+", "\n")):
+        t = F.regexp_replace(t, pattern, by)
+    pieces = lambda t: F.struct(
+        sentences(t, V.TERMINATORS).alias("a"), F.filter(F.transform(F.split(t, V.PAUSES), lambda x: strip(F.regexp_replace(x, V.TERMINATORS, ""))), lambda x: x != "").alias("b")
+    )
+    pick = lambda x: F.when(F.size(x["a"]) >= 2, x["a"]).when((F.size(x["b"]) >= 2) | (F.size(x["a"]) == 0), x["b"]).otherwise(x["a"])
+    return once(once(strip(t), pieces), pick)
+
+
+def two_sentences(c: Column) -> Column:
+    """A struct of the first lenient sentence and the rest, or of what lies before and behind the first comma of a single one; null where there is no second."""
+
+    def pair(p: Column) -> Column:
+        halves = F.transform(F.split(p[0], V.COMMAS, 2), strip)
+        rest = strip(F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))), " "))
+        struct = lambda a, b: F.struct(a.alias("first"), b.alias("second"))
+        return F.when(F.size(p) >= 2, struct(p[0], rest)).when((F.size(p) == 1) & (F.size(halves) == 2) & ~F.array_contains(halves, ""), struct(F.get(halves, F.lit(0)), F.get(halves, F.lit(1))))
+
+    return once(lenient_sentences(c), lambda p: pair(F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(p)))

@@ -314,6 +314,39 @@ def j24_trim_fragment(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.trim_fragment(F.col("body")).alias("text"))
 
 
+@query(f"SELECT doc_id, {_hits('b', V.REPORT_BANNED)} > 0 AS banned FROM {DOCS}")
+def c32_banned(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_banned(F.col("body")).alias("banned"))
+
+
+@query(rf"SELECT doc_id, regexp_matches(regexp_replace(u || ' ' || h, '\s+', ' ', 'g'), {_q('(?i)' + V.FIRST_SOURCE)}) OR regexp_matches(u, {_q('(?i)' + V.FIRST_URL)}) AS first_rank FROM (SELECT doc_id, h, source || ' https://' || source || '.example.com/' || doc_id AS u FROM {_TITLED})")
+def j101_first_rank(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_first_rank(F.col("source_name"), F.col("url"), F.col("title")).alias("first_rank"))
+
+
+_FLAT = rf"regexp_replace(regexp_replace(regexp_replace(b, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g')"
+_TRIM = f"regexp_replace(x, {WS}, '', 'g')"
+_LENIENT = (
+    f"(SELECT doc_id, CASE WHEN len(p) >= 2 THEN p WHEN len(q) >= 2 OR len(p) = 0 THEN q ELSE p END AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, {_q(V.TERMINATORS)}), lambda x: {_TRIM}), lambda x: x <> '') AS p, "
+    f"list_filter(list_transform(list_transform(regexp_split_to_array(t, {_q(V.PAUSES)}), lambda x: regexp_replace(x, {_q(V.TERMINATORS)}, '', 'g')), lambda x: {_TRIM}), lambda x: x <> '') AS q FROM (SELECT doc_id, {_FLAT} AS t FROM {DOCS})))"
+)
+
+
+@query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS parts FROM {_LENIENT}")
+def j143_lenient_sentences(spark, sf_dir):
+    d = items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.lenient_sentences(F.col("body")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("parts"))
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN len(s) >= 2 THEN s[1] WHEN k THEN h[1] END AS first, CASE WHEN len(s) >= 2 THEN {_TRIM.replace('(x,', '(array_to_string(s[2:], chr(32)),')} WHEN k THEN h[2] END AS second "
+    f"FROM (SELECT *, coalesce(len(s) = 1 AND len(h) = 2 AND NOT list_contains(h, ''), false) AS k FROM (SELECT *, [{_TRIM.replace('(x,', '(regexp_extract(s[1], ' + _q('(?s)^(.*?)' + V.COMMAS + '(.*)$') + ', 1),')}, "
+    f"{_TRIM.replace('(x,', '(regexp_extract(s[1], ' + _q('(?s)^(.*?)' + V.COMMAS + '(.*)$') + ', 2),')}] AS h FROM {_LENIENT}))"
+)
+def j102_two_sentences(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.two_sentences(F.col("body")).alias("x")).select("doc_id", "x.first", "x.second")
+
+
 # Addresses ------------------------------------------------------------------------------------------------------------
 @query("SELECT page_id, substr(sha256(trim(url)), 1, 16) AS url_hash, substr(sha256(trim(regexp_extract(html, '<title>(.*?)</title>', 1)) || '|' || trim(url)), 1, 16) AS item_id FROM pages")
 def j05_ids(spark, sf_dir):

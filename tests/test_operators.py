@@ -457,3 +457,13 @@ def test_block_measures(spark):
     assert values(spark, text.block_numbers(a), "$3.5B, 40% and v2.1; 12 million, 4/5; 7", "", None) == [5, 0, 0]
     cut = {"It ships. Then the": "It ships.", "It ships. Then，": "It ships.", "no mark, ": "no mark", "no mark the": "no mark the", "它發布了。這是": "它發布了。", "It ships. Then more": "It ships. Then more", "A.\nB and": "A.", "": ""}
     assert values(spark, text.trim_fragment(a), *cut, None) == [*cut.values(), ""]
+
+
+def test_report_predicates_and_lenient_sentences(spark):
+    a, b = F.col("a"), F.col("b")
+    assert values(spark, scores.is_banned(a), "x 高關注度", "Key terms: y", "key terms", None) == [True, True, False, False]
+    rank = scores.is_first_rank(a, b, F.lit("t"))
+    assert values(spark, rank, ("Hugging  Face", None), ("x", "https://x/google-research/y"), ("x", "https://y"), (None, None), names=("a", "b")) == [True, True, False, False]
+    assert values(spark, text.lenient_sentences(a), "A! B? C", "a; b:c!\r\nd", "one, two", " ! ", None) == [["A", "B", "C"], ["a; b:c", "d"], ["one, two"], [], []]
+    assert values(spark, text.lenient_sentences(a), "a; b", "x\ny") == [["a", "b"], ["x", "y"]]
+    assert values(spark, text.two_sentences(a), "A! B? C", "one, two, three", "one,", "one", "", None) == [("A", "B C"), ("one", "two, three"), None, None, None, None]
