@@ -10,6 +10,7 @@ EVENT_LEVEL, SIGNAL_LEVEL = (1200, 3), (300, 2)
 ADAPTIVE_LEVELS, ADAPTIVE_KEEP = ((1200, 3), (600, 2)), 12
 MIN_EVENTS, MIN_SIGNALS = 6, 6
 SENTENCE_END = "[.!?。？！]+"
+SENTENCE = r"(?U)[^.!?。？！\s][^.!?。？！]*+"
 HARD_TOKENS = ("enable javascript", "javascript is required", "javascript required", "please enable javascript")
 NEWSLETTER_TOKENS = ("roundup", "digest", "weekly", "top links")
 WEAK_TOKENS = ("subscribe", "sign in", "login")

