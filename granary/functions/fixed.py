@@ -286,3 +286,18 @@ REPORT_BANNED = (
 )
 FIRST_SOURCE = r"openai|anthropic|hugging\s*face|huggingface|google\s+research|google\s+ai|deepmind|model\s+release|research\s+blog|official\s+blog"
 FIRST_URL = r"openai\.com/blog|anthropic\.com/news|huggingface\.co/blog|ai\.googleblog\.com|blog\.google/.*/ai|research\.google|deepmind\.google/.*/blog|google-research"
+
+# Articles of pages: fixed values, which decide results
+ARTICLE_PARAGRAPHS, ARTICLE_LEAST, FULLTEXT_LEAST, ENRICH_LEAST, ENRICH_MOST = 40, 40, 300, 300, 5000
+PRICE = r"\$\s*\d{2,}"
+AGGREGATORS = ("news.google.com", "google.com")
+AGGREGATOR_HOSTS = ("news.google.com", "www.news.google.com", "google.com")
+SCRIPT_SIGNS = ("enable javascript", "javascript is required", "javascript required", "please turn on javascript", "please enable javascript")
+ARTICLE_FURNITURE = (
+    "sign in to", "sign up", "subscribe", "log in", "login", "cookie policy", "privacy policy", "terms of service", "terms of use", "please enable", "advertisement", "newsletter", "follow us on", "share this article",
+    "hear from", "sessions", "sponsors", "sponsored by", "brought to you by", "click that", "click here", "bottom right", "manage preferences", "accept all cookies", "free trial", "try it free", "get started for free",
+    "promo code", "discount code", "limited time offer", "register now", "buy tickets", "join us", "already a subscriber", "become a member", "get it in your inbox", "forwarded this email", "view in browser",
+    "unsubscribe", "manage subscription", "this is a free post", "paid subscribers", "upgrade to paid", "if you're reading this", "subscribe now", "type your email", "start a 14-day", "this post is for",
+    "subscribe to read", "listen to this post", "subscribe for access", "read in app", "open in app", "you're receiving this", "you received this", "share this post", "leave a comment", "top picks", "like this post", "restack",
+)
+BLOCKED_STATUS = (401, 403, 429, 451)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions import evidence, links, scores, text
+from granary.functions import article, evidence, links, scores, text
 from granary.operators import dedupe, entities, gating, select, stats
+from granary.sources import fulltext
 from granary.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,11 +419,52 @@ def j07_normalize_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", links.normalize_url(F.col("url")).alias("url"))
 
 
-@query()
+_UNESCAPED = "x"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, {_q(_name)}, {_q(_char)})"
+#: The tables' pages have one article each, whose paragraphs begin with <p>; one that another begins within is not closed.
+_ARTICLE = (
+    "(SELECT page_id, url, html, list_filter(list_transform(list_filter(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:], lambda x: contains(x, '</p>')), "
+    rf"lambda x: trim(regexp_replace({_UNESCAPED.replace('(x,', '(regexp_replace(split_part(x, chr(60) || chr(47) || chr(112) || chr(62), 1), chr(60) || chr(91) || chr(94) || chr(62) || chr(93) || chr(43) || chr(62), chr(32), chr(103)),')}, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '') AS p FROM pages)"
+)
+_ADVERT = f"({_hits('lower(x)', V.ARTICLE_FURNITURE)} > 0 OR regexp_matches(x, {_q(V.PRICE)}))"
+_FULL_TEXT = (
+    f"(SELECT page_id, url, html, len(f) AS raw_paragraph_count, len(c) AS cleaned_paragraph_count, len(f) - len(c) AS removed_paragraphs_count, len(k) - len(c) AS cta_hits_count, length(array_to_string(k, chr(10) || chr(10))) AS raw_text_len, substr(array_to_string(c, chr(10) || chr(10)), 1, {V.CLEAN_LIMIT}) AS text "
+    f"FROM (SELECT *, list_filter(k, lambda x: NOT {_ADVERT}) AS c FROM (SELECT *, list_filter(f, lambda x: length(x) >= {V.ARTICLE_LEAST}) AS k FROM (SELECT *, p[1:{V.ARTICLE_PARAGRAPHS}] AS f FROM {_ARTICLE}))))"
+)
+
+
+@query(f"SELECT page_id, text, raw_paragraph_count, cleaned_paragraph_count, removed_paragraphs_count, cta_hits_count, raw_text_len FROM {_FULL_TEXT}")
 def j59_paragraphs(spark, sf_dir):
-    """The first 40 paragraphs of 40 characters or more of each page, whose reports show that many."""
-    p = F.filter(F.transform(F.regexp_extract_all(F.col("html"), F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), text.strip_tags), lambda x: F.length(x) >= 40)
-    return pages(spark, sf_dir).select("page_id", F.slice(p, 1, 40).alias("p")).select("page_id", F.size("p").alias("n"), F.array_join("p", "\n\n").alias("text"))
+    """Article text of each page from its first 40 paragraphs, as reports show it, and counts of what was left out."""
+    p = pages(spark, sf_dir).select("page_id", article.article(F.col("html")).alias("x")).withColumn("x", article.article_text(F.col("x")))
+    return p.select("page_id", "x.text", "x.raw_paragraph_count", "x.cleaned_paragraph_count", "x.removed_paragraphs_count", "x.cta_hits_count", "x.raw_text_len")
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page three times: by its address, by that with blanks, and by one that leads nowhere."""
+    p = pages(spark, sf_dir)
+    return p.select(F.explode(F.array(*(F.struct(F.lit(k).alias("visit"), "page_id", "title", u.alias("url"), F.lit("").alias("body")) for k, u in enumerate((F.col("url"), F.concat(F.lit(" "), F.col("url"), F.lit(" ")), F.concat(F.lit("ftp://"), F.col("page_id")), F.concat(F.lit("https://gone.example/"), F.col("page_id") % 5))))) ).alias("x")).select("x.*")
+
+
+@query(
+    f"WITH t AS {_FULL_TEXT}, v AS (SELECT page_id, unnest([0, 1]) AS visit, CASE WHEN length(text) >= 300 THEN 'ok' ELSE 'extract_too_short' END AS reason, CASE WHEN length(text) >= 300 THEN length(text) ELSE 0 END AS n, CASE WHEN length(text) >= 300 THEN length(substr(text, 1, 5000)) + 2 ELSE 0 END AS body_chars, cta_hits_count FROM t "
+    "UNION ALL SELECT page_id, 2, 'no_url', 0, 0, NULL FROM pages UNION ALL SELECT page_id, 3, 'http_404', 0, 0, NULL FROM pages) SELECT page_id, visit, CASE WHEN reason = 'ok' THEN 'ok' ELSE 'fail' END AS status, reason, n AS fulltext_len, body_chars, cta_hits_count FROM v"
+)
+def a33_hydration(spark, sf_dir):
+    """Full texts for items, several of which share an address, from an archive of pages."""
+    p = table(spark, sf_dir, "pages")
+    h = fulltext.hydrate(_visits(spark, sf_dir), fulltext.archived(p))
+    return h.select("page_id", "visit", F.col("fulltext_status").alias("status"), F.col("fulltext_reason").alias("reason"), "fulltext_len", F.length("body").alias("body_chars"), "fidelity.cta_hits_count")
+
+
+@query(
+    f"WITH t AS (SELECT count(*) AS n, count(*) FILTER (length(text) >= 300) AS ok, sum(length(text)) FILTER (length(text) >= 300) AS chars FROM {_FULL_TEXT}) SELECT n * 4 AS events_total, n * 4 AS fulltext_applied, 2 * ok AS fulltext_ok_count, round(2 * ok / (4 * n), 3) AS coverage_ratio, round_even(chars / ok, 0)::bigint AS avg_fulltext_len, "
+    "array_to_string(list_transform(list_sort(list_filter([{'n': -n, 'r': 'http_404'}, {'n': -n, 'r': 'no_url'}, {'n': -2 * (n - ok), 'r': 'extract_too_short'}], lambda x: x.n < 0)), lambda x: x.r || '=' || (-x.n)), ',') AS reasons FROM t"
+)
+def f23_hydration_meta(spark, sf_dir):
+    m = fulltext.hydration_meta(fulltext.hydrate(_visits(spark, sf_dir), fulltext.archived(table(spark, sf_dir, "pages"))))
+    return m.select("events_total", "fulltext_applied", "fulltext_ok_count", "coverage_ratio", "avg_fulltext_len", F.array_join(F.transform("fail_reasons_top", lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ",").alias("reasons"))
 
 
 # De-duplication and joins ---------------------------------------------------------------------------------------------
