@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions import article, evidence, links, scores, text
+from granary.functions import article, evidence, links, mining, scores, text
 from granary.operators import dedupe, entities, gating, select, stats
 from granary.sources import fulltext
 from granary.streaming import runs
@@ -403,6 +403,68 @@ def j102_two_sentences(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.two_sentences(F.col("body")).alias("x")).select("doc_id", "x.first", "x.second")
 
 
+# Sentences worth quoting ------------------------------------------------------------------------------------------------
+_LIST = lambda words: "(" + ", ".join(map(_q, words)) + ")"
+_SQUEEZE = lambda c: rf"trim(regexp_replace({c}, '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda t: t NOT IN {_LIST(mining.FRAME_STOPS)}))".replace("\\\\", "\\")
+_SHARED = lambda a, b: f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) ELSE 0 END"
+#: (doc_id, i, x): the sentences and clauses of documents in order.
+_MINED = (
+    f"WITH para AS (SELECT doc_id, unnest(string_split_regex(replace(coalesce(text, ''), chr(13), chr(10)), '\\n+')) AS raw, generate_subscripts(string_split_regex(replace(coalesce(text, ''), chr(13), chr(10)), '\\n+'), 1) AS i FROM documents), "
+    f"sent AS (SELECT doc_id, i, unnest(l) AS s, generate_subscripts(l, 1) AS j, item FROM (SELECT doc_id, i, regexp_matches(raw, {_q(mining.BULLET)}) AS item, CASE WHEN item THEN [{_SQUEEZE(f'regexp_replace(raw, {_q(mining.BULLET)}, {_q(chr(0x27)[:0])})')}] "
+    f"ELSE list_transform(string_split(regexp_replace({_SQUEEZE('raw')}, '([.!?;]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_SQUEEZE('trim(x, chr(32) || chr(45) || chr(9))')}) END AS l FROM para)), "
+    f"part AS (SELECT doc_id, i, j, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, i, j, CASE WHEN item THEN [s] ELSE list_concat([s], list_filter(list_transform(string_split_regex(s, {_q(mining.CLAUSES)}), lambda c: {_SQUEEZE('c')}), lambda c: length(c) >= 40 AND c <> s AND {_SHARED(_TOKENS('c'), 't')} <= 0.98)) END AS l "
+    f"FROM (SELECT *, {_TOKENS('s')} AS t FROM sent))), mined AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS i, CASE WHEN length(x) <= 360 THEN x ELSE rtrim(substr(x, 1, 360)) END AS x FROM (SELECT * FROM part WHERE x <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i, j, k) = 1)) "
+)
+
+
+@query(f"{_MINED} SELECT doc_id, count(x) AS n, md5(coalesce(string_agg(x, chr(10) ORDER BY i), '')) AS digest FROM documents LEFT JOIN mined USING (doc_id) GROUP BY doc_id")
+def j97_source_sentences(spark, sf_dir):
+    s = items(spark, sf_dir).select(F.col("ord").alias("doc_id"), mining.source_sentences(F.col("body")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n").cast("binary")).alias("digest"))
+
+
+_WORDS3 = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]{{3,}}'), lambda w: lower(w)))"
+
+
+@query(
+    f"{_MINED}, f AS (SELECT doc_id, i, x, regexp_matches({_ascii('x')}, {_re(mining.INFORMATIONAL)}) AS info, len(list_intersect({_WORDS3('x')}, w)) AS n, len(w) AS total FROM mined JOIN (SELECT doc_id, {_WORDS3('split_part(text, chr(10), 1)')} AS w FROM documents) USING (doc_id) "
+    f"WHERE length(x) BETWEEN 40 AND 600 AND NOT regexp_matches({_ascii('x')}, {_re(mining.GATE_CALL)})), t AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY info DESC, i) AS r FROM f WHERE n >= CASE WHEN info OR total <= 2 THEN 1 ELSE 2 END) "
+    "SELECT doc_id, count(x) AS n, min(x) FILTER (r = 1) AS first FROM documents LEFT JOIN (SELECT * FROM t WHERE r <= 15) USING (doc_id) GROUP BY doc_id"
+)
+def w12_fact_candidates(spark, sf_dir):
+    """Fifteen at most, which is the feature."""
+    none = F.array().cast("array<string>")
+    s = items(spark, sf_dir).select(F.col("ord").alias("doc_id"), mining.fact_candidates(F.col("body"), F.col("title"), F.lit(""), none).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.try_element_at("s", F.lit(1)).alias("first"))
+
+
+@query()
+def w09_sentence_candidates(spark, sf_dir):
+    d = items(spark, sf_dir)
+    c = mining.sentence_candidates(F.col("body"), F.col("title"), F.col("source_name"), F.array("lang"))
+    return d.select(F.col("ord").alias("doc_id"), F.posexplode_outer(c).alias("rank", "x")).select("doc_id", "rank", "x.text", "x.score", "x.index")
+
+
+@query()
+def w08_fact_pack(spark, sf_dir):
+    d = items(spark, sf_dir)
+    c = mining.fact_pack(F.col("body"), F.col("title"), F.col("source_name"), F.array("lang"))
+    return d.select(F.col("ord").alias("doc_id"), F.posexplode_outer(c).alias("rank", "x")).select("doc_id", "rank", "x.text", "x.score", "x.strong", "x.title", "x.anchor", "x.index")
+
+
+@query()
+def w11_relevant_quotes(spark, sf_dir):
+    q = mining.relevant_quotes(F.col("body"), F.col("title"), F.col("source_name"), F.array("lang"))
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.posexplode_outer(q).alias("rank", "quote"))
+
+
+@query()
+def w13_quote_window(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", mining.quote_window(F.col("text")).alias("window"))
+    return t
+
+
 # Addresses ------------------------------------------------------------------------------------------------------------
 @query("SELECT page_id, substr(sha256(trim(url)), 1, 16) AS url_hash, substr(sha256(trim(regexp_extract(html, '<title>(.*?)</title>', 1)) || '|' || trim(url)), 1, 16) AS item_id FROM pages")
 def j05_ids(spark, sf_dir):
