@@ -11,6 +11,7 @@ judged alike; an empty table gives no rows; other columns are passed through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from granary.llm.common import WordHashes, apart, column_of, cut, held, prepare,
 WINDOW, BLOCK = 8, 100
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: Words that end in a symbol.
+_tailed = re.compile(r"[#*$%&|<>](?![^\x20\x09-\x0D])").findall
 #: What is measured of a text. n_distinct: the different words of each BLOCK words, summed, so that it does not depend on the length.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echo", "n_distinct", "n_shout", "n_stops")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echo", "n_distinct", "n_shout", "n_stops", "n_tailed")
 GOOD, ABSTAIN, BAD = 0, 1, 2
 _multiplier = np.random.default_rng(8).integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _hashes = WordHashes(150_000)
@@ -67,6 +70,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated_words(h), lines,
         sum(map(str.isupper, words)), int((h[1:] == h[:-1]).sum()), sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)), text.count("!!"), text.count(". ") + text.count(".\n") + text.endswith("."),
+        len(_tailed(text)),
     )
 
 
@@ -99,6 +103,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "length": (F.col("n_words") >= 60, F.col("n_words") < 20),
         "word_size": (size.between(2.5, 9), (size < 1.8) | (size > 14)),
         "symbols": (share("n_symbols") < 0.02, share("n_symbols") > 0.1),
+        "letters": (F.col("n_symbols") < 0.02 * F.col("word_chars"), F.col("n_symbols") > 0.08 * F.col("word_chars")),
+        "tails": (share("n_tailed") < 0.02, share("n_tailed") > 0.1),
         "windows": (share("n_repeat_words") < 0.05, share("n_repeat_words") > 0.25),
         "echo": (share("n_echo") < 0.05, share("n_echo") > 0.15),
         "capitals": (share("n_upper") < 0.1, share("n_upper") > 0.3),
