@@ -1,9 +1,10 @@
 """Document log-likelihood by a gated recurrent language model, trained by truncated backpropagation in numpy.
 
-Words are counted over all training documents. The HEAD most frequent ones have entries of their own in the network; all
-others share the class `tail`, within which a word's probability follows from its count. The output is factored: first
-a softmax over classes of words of similar frequency, then one within the class. A document is scored whole, in windows
-between which the state is carried.
+Words are counted over all training documents. The most frequent ones, a number that grows with the square root of the
+vocabulary, have entries of their own in the network. All others have an entry for their ending: their last two bytes
+choose one of TAILS classes, which the network reads and predicts like a word, and within which a word's probability
+follows from its count. The output is factored: first a softmax over classes, of words of similar frequency or of one kind
+of endings, then one within the class. A document is scored whole, in windows between which the state is carried.
 
 Training is local stochastic gradient descent: in each round every task trains on its own documents from the common
 parameters, and the results are averaged. Each training document is trained on whole, in the windows of one round, with
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import chunks, crc_bucket, cut, discard, mix, prepare, relieved, stored
 
-HEAD, CLASS = 1024, 64
+#: Words of a class, classes of words with entries of their own, at least, and how many of these words there are for the square root of the vocabulary.
+CLASS, LEAST_CLASSES, SHARE = 64, 16, 4
+#: Classes of all other words, by their endings: a power of two, as the lowest bits of a word's hash say which.
+TAILS = 64
 KNOWN = 1 << 18
 HIDDEN = 24
 #: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
@@ -42,14 +46,14 @@ RATE = 0.02
 COMBINE, BEFORE, MANY = 16, 256, 1024
 SMOOTH = 0.1
 END = np.uint64(0x454E44)
-TAIL, STOP, BEGIN = HEAD, HEAD + 1, HEAD + 2
-N_CLASSES = HEAD // CLASS + 2
-
-
 #: What a byte adds to its word's hash, A-Z like a-z, and which bytes stand between words.
 _BYTE = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: The class of a word that ends in two bytes; one of a single byte has a blank before it.
+_ENDING = np.random.default_rng(31).integers(0, TAILS, (256, 256)).astype(np.uint64)
+_ENDING[65:91] = _ENDING[97:123]
+_ENDING[:, 65:91] = _ENDING[:, 97:123]
 _POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes that are hashed at once.
 SPAN = 1 << 17
@@ -62,7 +66,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the words of `data`: polynomials in a word's bytes, from sums that run over whole spans of it, so that no word is an object."""
+    """(hashes, places) of the words of `data`: polynomials in a word's bytes, from sums that run over whole spans of it, so that no word is an object. The lowest bits are the class of a word's ending; the others tell some 10^8 words apart."""
     codes = np.frombuffer(data, np.uint8)
     space = _SPACE[codes]
     out, where, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -77,7 +81,10 @@ def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(b - a + 1, np.uint64)
         np.multiply(_BYTE[codes[a:b]], power[: b - a], sums[1:])
         np.cumsum(sums, out=sums)
-        out.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        h = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        own = codes[a:b]
+        before = np.where(last - first > 1, own[np.maximum(last - 2, 0)], 32)
+        out.append(h - (h & np.uint64(TAILS - 1)) + _ENDING[before, own[last - 1]])
         where.append(first + a)
         a = b
     return np.concatenate(out), np.concatenate(where)
@@ -166,22 +173,33 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(relieved(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """The network's tokens of each document of a chunk, with STOP at the end."""
-    flat = np.where((rank < 0) | (rank >= HEAD), TAIL, rank).astype(np.int16)[ids]
-    return np.split(np.insert(flat, np.cumsum(size), STOP), np.cumsum(size + 1)[:-1])
+def head_size(vocabulary: int) -> int:
+    """How many words have entries of their own."""
+    return CLASS * max(LEAST_CLASSES, int(np.ceil(SHARE * vocabulary**0.5 / CLASS)))
+
+
+def ends_of(p: dict) -> tuple[int, int]:
+    """(the token that ends a document, what stands before its first one). Tokens are head words, then TAILS classes of endings, then these."""
+    return p["bw"].size + TAILS, p["bw"].size + TAILS + 1
+
+
+def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarray, head: int) -> list[np.ndarray]:
+    """The network's tokens of each document of a chunk, with its end."""
+    kind = np.int16 if head + TAILS + 2 < 1 << 15 else np.int32
+    flat = np.where((rank < 0) | (rank >= head), head + (words & np.uint64(TAILS - 1)).astype(np.int64), rank).astype(kind)[ids]
+    return np.split(np.insert(flat, np.cumsum(size), head + TAILS), np.cumsum(size + 1)[:-1])
 
 
-def initial(counts: np.ndarray, tail: float, ends: float) -> dict[str, np.ndarray]:
-    """Parameters that give each head word its relative frequency in any state. counts: of the head words, at most HEAD."""
+def initial(counts: np.ndarray, tails: np.ndarray, ends: float, head: int) -> dict[str, np.ndarray]:
+    """Parameters that give each head word, and each class of other words, its relative frequency in any state. counts: of the head words, at most `head`."""
     rng = np.random.default_rng(11)
-    c = np.full(HEAD, SMOOTH)
+    c = np.full(head, SMOOTH)
     c[: len(counts)] += counts
-    groups = np.concatenate([c.reshape(-1, CLASS).sum(axis=1), [tail + SMOOTH, ends + SMOOTH]])
+    groups = np.concatenate([c.reshape(-1, CLASS).sum(axis=1), tails + SMOOTH, [ends + SMOOTH]])
     p = {
-        "x": rng.normal(0, 0.3, (HEAD + 3, 3 * HIDDEN)), "u": rng.normal(0, 1 / HIDDEN**0.5, (HIDDEN, 3 * HIDDEN)),
-        "wc": rng.normal(0, 0.05, (HIDDEN, N_CLASSES)), "bc": np.log(groups / groups.sum()),
-        "ww": rng.normal(0, 0.05, (HEAD // CLASS, HIDDEN, CLASS)), "bw": np.log(c / c.max()),
+        "x": rng.normal(0, 0.3, (head + TAILS + 2, 3 * HIDDEN)), "u": rng.normal(0, 1 / HIDDEN**0.5, (HIDDEN, 3 * HIDDEN)),
+        "wc": rng.normal(0, 0.05, (HIDDEN, len(groups))), "bc": np.log(groups / groups.sum()),
+        "ww": rng.normal(0, 0.05, (head // CLASS, HIDDEN, CLASS)), "bw": np.log(c / c.max()),
     }
     p["x"][:, :HIDDEN] -= 1.0  # slow gates: the state keeps what it has met
     return {k: v.astype(np.float32) for k, v in p.items()}
@@ -206,8 +224,8 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return new, gates, n, kept
 
 
-def classes_of(target: np.ndarray) -> np.ndarray:
-    return np.where(target < HEAD, target // CLASS, HEAD // CLASS + target - HEAD).astype(np.int64)
+def classes_of(target: np.ndarray, head: int) -> np.ndarray:
+    return np.where(target < head, target // CLASS, head // CLASS + target - head).astype(np.int64)
 
 
 def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +241,7 @@ def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray,
 
 def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log of each target's chance in its state; with gradient also those of the negative sum."""
-    c = classes_of(target)
+    c, n_classes = classes_of(target, p["bw"].size), p["bw"].size // CLASS
     order = np.argsort(c, kind="stable")  # class by class, so that each is a slice
     h, target, c = h[order], target[order], c[order]
     # States lie within -1 and 1.
@@ -236,8 +254,8 @@ def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
         e[np.arange(len(c)), c] -= 1
         dh = e @ p["wc"].T
         g = {"wc": h.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    cut_at = np.searchsorted(c, np.arange(HEAD // CLASS + 1)).tolist()
-    for k in range(HEAD // CLASS):
+    cut_at = np.searchsorted(c, np.arange(n_classes + 1)).tolist()
+    for k in range(n_classes):
         a, b = cut_at[k], cut_at[k + 1]
         if a == b:
             continue
@@ -266,7 +284,7 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     start = np.cumsum(size) - size
     out = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
-    before = np.full(len(docs), BEGIN, np.int16)
+    before = np.full(len(docs), ends_of(p)[1])
     states, targets, which, held = [], [], [], 0
 
     def settle() -> None:
@@ -297,12 +315,13 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Summed gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding; after STOP a document begins, with an empty state."""
+    """Summed gradients of a window (rows x time) from the state h, the state after it, and its mean log chance. Targets below 0 are padding; after its end a document begins, with an empty state."""
     rows, time = tokens.shape
     k = HIDDEN
     inputs = np.concatenate([before[:, None], np.maximum(tokens[:, :-1], 0)], axis=1).T
-    fresh = inputs == STOP
-    inputs = np.where(fresh, BEGIN, inputs)
+    stop, begin = ends_of(p)
+    fresh = inputs == stop
+    inputs = np.where(fresh, begin, inputs)
     anew = fresh.any(axis=1).tolist()
     x = p["x"][inputs]
     came, gates, cand, kept, hs = (np.empty((time, rows, n), p["u"].dtype) for n in (k, 2 * k, k, k, k))
@@ -341,7 +360,7 @@ def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) ->
             dh *= ~fresh[t][:, None]
     flat_g = dgates.reshape(-1, 3 * k)
     g["u"] = np.concatenate([came.reshape(-1, k).T @ flat_g[:, : 2 * k], kept.reshape(-1, k).T @ flat_g[:, 2 * k :]], axis=1)
-    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+    order = np.argsort(inputs.ravel().astype(np.int16 if begin < 1 << 15 else np.int32), kind="stable")
     uniq, first = np.unique(inputs.ravel()[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
     g["x"][uniq] = np.add.reduceat(flat_g[order], first, axis=0)
@@ -395,7 +414,7 @@ def windows(docs: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> tuple[dict, int]:
-    """Parameters after passes over whole documents (tokens, with STOP at the end), and the updates made. One pass, or as many as LEAST_STEPS take."""
+    """Parameters after passes over whole documents (tokens, with their ends), and the updates made. One pass, or as many as LEAST_STEPS take."""
     p = {k: v.copy() for k, v in p.items()}
     rng, opt, steps = np.random.default_rng(seed), Adam(p, rate), 0
     total, count = None, 0
@@ -417,7 +436,7 @@ def trained(p: dict, docs: list[np.ndarray], seed: int, rate: float = RATE) -> t
             for tokens in windows(mixed[a:b]):
                 rows = len(tokens)
                 if h is None:
-                    h, before = np.zeros((rows, HIDDEN), np.float32), np.full(rows, BEGIN)
+                    h, before = np.zeros((rows, HIDDEN), np.float32), np.full(rows, ends_of(p)[1])
                 real = int((tokens >= 0).sum())
                 g, h, _ = gradient(p, tokens, before[:rows], h[:rows])
                 before = np.maximum(tokens[:, -1], 0)
@@ -450,7 +469,7 @@ def fit(rows: DataFrame, head: np.ndarray, start: dict[str, np.ndarray], rounds:
                     i += int((~away).sum())
                     turn &= ~away
                     if turn.any():
-                        own += targets(words, ranks.of(words), ids[np.repeat(turn, size)], size[turn])
+                        own += targets(words, ranks.of(words), ids[np.repeat(turn, size)], size[turn], start["bw"].size)
             part = TaskContext.get().partitionId()
             if own:
                 size = sum(map(len, own))
@@ -493,9 +512,16 @@ def scores(docs: DataFrame) -> DataFrame:
     known, times = (top.column(c).to_numpy() for c in ("word", "n"))
     known, times = known.astype(np.int64).view(np.uint64), times.astype(np.float64)
     ends = float((counts.filter(F.col("word") == int(END)).first() or {"n": 0})["n"])
-    head = float(times[:HEAD].sum())
-    tail, v_tail = n_all - head - ends, v_all - min(len(times), HEAD) - (ends > 0)
-    p = fit(chunk, known[:HEAD], initial(times[:HEAD], tail, ends))
+    head = head_size(v_all)
+    # What the classes of endings have, less the words with entries of their own.
+    ending = F.col("word").bitwiseAND(TAILS - 1)
+    tail, v_tail = np.zeros(TAILS), np.zeros(TAILS)
+    for row in counts.filter(F.col("word") != int(END)).groupBy(ending.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # TAILS rows
+        tail[row["k"]], v_tail[row["k"]] = row["n"], row["v"]
+    kinds = (known & np.uint64(TAILS - 1)).astype(np.int64)
+    tail -= np.bincount(kinds[:head], times[:head], TAILS)
+    v_tail -= np.bincount(kinds[:head], minlength=TAILS)
+    p = fit(chunk, known[:head], initial(times[:head], tail, ends, head))
     held = spark.sparkContext.broadcast((p, known, times))
     base_all, tail_all = n_all + SMOOTH * (v_all + 1), tail + SMOOTH * (v_tail + 1)
 
@@ -503,8 +529,8 @@ def scores(docs: DataFrame) -> DataFrame:
         p, known, times = held.value
         ranks = Ranks(known)
         base = np.log10((np.append(times, ends) + SMOOTH) / base_all)  # the last is the end's, and of words that are not known
-        inner = np.append(np.log10((times + SMOOTH) / tail_all), 0.0)
-        inner[:HEAD] = 0
+        inner = np.append(np.log10((times + SMOOTH) / tail_all[(known & np.uint64(TAILS - 1)).astype(np.int64)]), 0.0)
+        inner[:head] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
         wait: list[tuple] = []
 
@@ -527,7 +553,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 at = np.searchsorted(d, np.arange(n + 1))
                 rare, often = words[w].view(np.int64), times_of
                 lists = [[x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for x in (rare, often)]
-                wait.append((keys, away.tolist(), (size + 1).tolist(), (np.bincount(doc[has], minlength=n) + (ends > 0)).tolist(), (sums[0] + base[-1]).tolist(), sums[1].tolist(), *lists, targets(words, rank, ids, size)))
+                wait.append((keys, away.tolist(), (size + 1).tolist(), (np.bincount(doc[has], minlength=n) + (ends > 0)).tolist(), (sums[0] + base[-1]).tolist(), sums[1].tolist(), *lists, targets(words, rank, ids, size, head)))
                 row += n
                 held_ids += len(ids)
                 if held_ids > 6_000_000:  # the longest documents of many go side by side
@@ -543,7 +569,7 @@ def scores(docs: DataFrame) -> DataFrame:
     more = found.groupBy("key").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / F.lit(float(base_all)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / F.lit(float(tail_all)))).alias("more_score"),
+        F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / F.element_at(F.array(*map(F.lit, tail_all.tolist())), (ending + 1).cast("int")))).alias("more_score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.drop("rare", "times").join(more, "key", "left").select(
