@@ -260,7 +260,7 @@ def test_components(spark):
         ("<main><p>only<!-- no --> this</main><p>not this</p>", "only this"),
         ("<div class=menu><a href=x>one</a></div><div><p>" + "Long text of the page. " * 6 + "<p>Short.</div><div class=comment-list><p>" + "A remark. " * 20 + "</div>", ("Long text of the page. " * 6).strip() + "\n\nShort."),
         ("<article><p title=it's>hello</p><p>you</article>", "hello\n\nyou"), ("<p>A short page.</p>", "A short page."),
-        ("<article><p>Text.</p><div class='legal'><p>This is a paragraph about the law, a part of the article.</p><p>Terms</p></div></article>", "Text.\n\nThis is a paragraph about the law, a part of the article."),
+        ("<article><p>Text.</p><div class='legal'><p>This is a paragraph about the law, a part of the article.</p><p>Terms</p></div></article>", "Text.\n\nThis is a paragraph about the law, a part of the article.\n\nTerms"),
         ("<main></main><article>Teaser</article><form></form><form></form><form></form><div>" + "Long text. " * 40 + "</div>", ("Long text. " * 40).strip()),
         ("<article><p>1 < 2 &lt; 3", "1 < 2 < 3"), ("<article><form><p>Name</p></form><header><h2>Head</h2></header><p>x</p></article>", "Head\n\nx"),
     ],
@@ -297,6 +297,49 @@ def test_main_text_without_its_marks(spark):
     assert right > 0.95 * found and right > 0.95 * want
 
 
+LONG_LINE = "A long text that goes on for some time, as texts of pages do. " * 5
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<h1>Title</h1><p>By Ann.<p>x<p>y<p>{LONG_LINE}<p>{LONG_LINE}", ["Title", "By Ann.", "x", "y", LONG_LINE, LONG_LINE]),
+        (f"<nav>Menu</nav><h1>Title</h1><p>{LONG_LINE}<p><a href=x>the whole report</a><p>{LONG_LINE}<p>z<footer>F</footer>", ["Title", LONG_LINE, "the whole report", LONG_LINE, "z"]),
+        (f"<article><p>{LONG_LINE}<div class='related'><h2>Section on related work</h2><p>Prose.</div></article>", [LONG_LINE, "Section on related work", "Prose."]),
+        (f"<article><p>{LONG_LINE}<div class='search'><pre>a b</pre><ul><li>one<li>two</ul></div><div class='legal'><p>Short legal text</div></article>", [LONG_LINE, "a b", "one", "two", "Short legal text"]),
+        (f"<article><p>{LONG_LINE}<div class='menu-review'><p>On menus.</div><div class='navigation-systems'>On ships.</div></article>", [LONG_LINE, "On menus.", "On ships."]),
+        (f"<article><p>{LONG_LINE}<div class='comment-list'><p>{LONG_LINE}</div><div id='site-nav-2'>no</div><p class='ad_box'>no</article>", [LONG_LINE]),
+        (f"<article><p>{LONG_LINE}<div class='related-stories'><h2>Related</h2><ul><li><a href=x>One story</a><li><a href=y>Another</a></ul></div></article>", [LONG_LINE]),
+        (f"<main></main><article>teaser</article><div>{LONG_LINE}</div>", [LONG_LINE]),
+        (f"<main><h1>Head</h1><article><p>{LONG_LINE}</article></main><article>Another teaser</article>", ["Head", LONG_LINE]),
+        (f"<main><p>{LONG_LINE}<p>short</main><p>outside", [LONG_LINE, "short"]),
+    ],
+)
+def test_main_text_keeps_what_belongs_to_it(page, text):
+    assert html.extract(page) == "\n\n".join(t.strip() for t in text)
+
+
+def test_main_text_believes_marks_by_windows(monkeypatch):
+    """With windows that say nothing a teaser's marks count as much as those of the text."""
+    page = f"<article>teaser</article><div>{LONG_LINE}</div>"
+    assert html.extract(page) == LONG_LINE.strip()
+    monkeypatch.setattr(html, "_sums", lambda weights: [1.0] * len(weights))
+    assert html.extract(page) != LONG_LINE.strip()
+
+
+def test_main_text_blocks_without_marks(spark):
+    """Blocks of pages whose article tags are taken away: all of the article's, and no others."""
+    import re
+
+    found = right = want = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        own = [t for t, *_ in html.lines_of(re.search("(?s)<article>.*</article>", r.html)[0]) if t]
+        assert html.extract(r.html).split("\n\n") == own
+        got = html.extract(re.sub("</?article>", "", r.html)).split("\n\n")
+        found, want, right = found + len(set(got)), want + len(set(own)), right + len(set(got) & set(own))
+    assert right >= 0.99 * found and right >= 0.999 * want
+
+
 def test_main_text_takes_long_and_deep_pages():
     assert html.extract("<div>" * 20000 + "deep" + "</p>" * 20000 + "</div>" * 20000) == "deep"
     assert html.extract("<a " * 20000).startswith("<a <a") and html.extract('<p>x<a b="' * 20000)
