@@ -41,6 +41,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        release(spark)  # what the stage held has been read
+        out = stage(spark, docs, sf_dir)
+        docs = cut(out)
+        release(out)  # what the stage held has been read
     return STAGES[-1][1](spark, docs, sf_dir)

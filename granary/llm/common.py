@@ -68,19 +68,25 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_held: list[DataFrame] = []
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, whose plan reads stored tables: release(df) removes them. They are its own, whatever else runs in the session."""
+    df._granary_held = tables
+    return df
 
 
-def held(table: DataFrame) -> DataFrame:
-    """A stored table that a plan still needs when its function returns; release() removes it."""
-    _held.append(table)
-    return table
+def release(df: DataFrame) -> None:
+    """Removes the stored tables that df reads; called where what was made of it has been written."""
+    discard(df.sparkSession, *getattr(df, "_granary_held", ()))
+    df._granary_held = ()
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the tables of held(); called where what was made of them has been written."""
-    discard(spark, *_held)
-    _held.clear()
+#: Rows that are broadcast, 8 MB of ids at most; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Narrow rows, to be broadcast if they are at most FEW."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def apart(docs: DataFrame) -> DataFrame:

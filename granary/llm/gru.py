@@ -2,8 +2,8 @@
 
 Words are counted over all training documents. The most frequent ones, a number that grows with the square root of the
 vocabulary, have entries of their own in the network. All others have an entry for their ending: their last two bytes
-choose one of TAILS classes, which the network reads and predicts like a word, and within which a word's probability
-follows from its count. The output is factored: first a softmax over classes, of words of similar frequency or of one kind
+choose one of TAILS kinds, which the network reads and predicts like words of one more class, and within which a word's
+probability follows from its count. The output is factored: first a softmax over classes, of words of similar frequency or of one kind
 of endings, then one within the class. A document is scored whole, in windows between which the state is carried.
 
 Training is local stochastic gradient descent: in each round every task trains on its own documents from the common
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import chunks, crc_bucket, cut, discard, mix, prepare, relieved, stored
 
 #: Words of a class, classes of words with entries of their own, at least, and how many of these words there are for the square root of the vocabulary.
-CLASS, LEAST_CLASSES, SHARE = 64, 16, 4
-#: Classes of all other words, by their endings: a power of two, as the lowest bits of a word's hash say which.
-TAILS = 64
+CLASS, LEAST_CLASSES, SHARE = 64, 16, 2
+#: Kinds of all other words, by their endings: a power of two, as the lowest bits of a word's hash say which, and whole classes.
+TAILS = 256
 KNOWN = 1 << 18
 HIDDEN = 24
 #: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
@@ -179,8 +179,8 @@ def head_size(vocabulary: int) -> int:
 
 
 def ends_of(p: dict) -> tuple[int, int]:
-    """(the token that ends a document, what stands before its first one). Tokens are head words, then TAILS classes of endings, then these."""
-    return p["bw"].size + TAILS, p["bw"].size + TAILS + 1
+    """(the token that ends a document, what stands before its first one). Tokens are head words, then TAILS kinds of endings, then these."""
+    return p["bw"].size, p["bw"].size + 1
 
 
 def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarray, head: int) -> list[np.ndarray]:
@@ -191,15 +191,16 @@ def targets(words: np.ndarray, rank: np.ndarray, ids: np.ndarray, size: np.ndarr
 
 
 def initial(counts: np.ndarray, tails: np.ndarray, ends: float, head: int) -> dict[str, np.ndarray]:
-    """Parameters that give each head word, and each class of other words, its relative frequency in any state. counts: of the head words, at most `head`."""
+    """Parameters that give each head word, and each kind of other words, its relative frequency in any state. counts: of the head words, at most `head`."""
     rng = np.random.default_rng(11)
-    c = np.full(head, SMOOTH)
+    c = np.full(head + TAILS, SMOOTH)
     c[: len(counts)] += counts
-    groups = np.concatenate([c.reshape(-1, CLASS).sum(axis=1), tails + SMOOTH, [ends + SMOOTH]])
+    c[head:] += tails
+    groups = np.append(c.reshape(-1, CLASS).sum(axis=1), ends + SMOOTH)
     p = {
         "x": rng.normal(0, 0.3, (head + TAILS + 2, 3 * HIDDEN)), "u": rng.normal(0, 1 / HIDDEN**0.5, (HIDDEN, 3 * HIDDEN)),
         "wc": rng.normal(0, 0.05, (HIDDEN, len(groups))), "bc": np.log(groups / groups.sum()),
-        "ww": rng.normal(0, 0.05, (head // CLASS, HIDDEN, CLASS)), "bw": np.log(c / c.max()),
+        "ww": rng.normal(0, 0.05, (len(c) // CLASS, HIDDEN, CLASS)), "bw": np.log(c / c.max()),
     }
     p["x"][:, :HIDDEN] -= 1.0  # slow gates: the state keeps what it has met
     return {k: v.astype(np.float32) for k, v in p.items()}
@@ -224,10 +225,6 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return new, gates, n, kept
 
 
-def classes_of(target: np.ndarray, head: int) -> np.ndarray:
-    return np.where(target < head, target // CLASS, head // CLASS + target - head).astype(np.int64)
-
-
 def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log chance of each row's target t, exp of the logits, their sums); logits are moved only where they could leave the range of floats."""
     if not safe:
@@ -241,7 +238,7 @@ def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray,
 
 def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log of each target's chance in its state; with gradient also those of the negative sum."""
-    c, n_classes = classes_of(target, p["bw"].size), p["bw"].size // CLASS
+    c, n_classes = (target // CLASS).astype(np.int64), p["bw"].size // CLASS  # the end is a class by itself, behind the others
     order = np.argsort(c, kind="stable")  # class by class, so that each is a slice
     h, target, c = h[order], target[order], c[order]
     # States lie within -1 and 1.
@@ -469,7 +466,7 @@ def fit(rows: DataFrame, head: np.ndarray, start: dict[str, np.ndarray], rounds:
                     i += int((~away).sum())
                     turn &= ~away
                     if turn.any():
-                        own += targets(words, ranks.of(words), ids[np.repeat(turn, size)], size[turn], start["bw"].size)
+                        own += targets(words, ranks.of(words), ids[np.repeat(turn, size)], size[turn], start["bw"].size - TAILS)
             part = TaskContext.get().partitionId()
             if own:
                 size = sum(map(len, own))
@@ -556,7 +553,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 wait.append((keys, away.tolist(), (size + 1).tolist(), (np.bincount(doc[has], minlength=n) + (ends > 0)).tolist(), (sums[0] + base[-1]).tolist(), sums[1].tolist(), *lists, targets(words, rank, ids, size, head)))
                 row += n
                 held_ids += len(ids)
-                if held_ids > 6_000_000:  # the longest documents of many go side by side
+                if held_ids > 3_000_000:  # the longest documents of many go side by side
                     yield out()
                     held_ids = 0
         if wait:

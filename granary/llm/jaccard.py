@@ -32,12 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import buckets
-from granary.llm.common import WordHashes, cut, discard, mix, prepare, relieved, stored
+from granary.llm.common import WordHashes, cut, discard, few, mix, prepare, relieved, stored
 
 #: Nodes of a bucket that are compared with each other at once.
 BLOCK = 1024
-#: Ids that are broadcast, 8 MB at most; more are joined by a shuffle.
-FEW = 1_000_000
 #: Pieces that a task groups at once, some 40 MB with all that is made of them, and nodes of one piece that stay apart from other tasks' nodes beyond this.
 HELD, HOT = 400_000, 4096
 #: The natural log of 2^-64.
@@ -105,8 +103,8 @@ def folded(x: np.ndarray) -> bytes:
 class _Bands:
     """Bands as far as sets have needed them."""
 
-    def __init__(self, percent: int):
-        self.percent, self.edges, self.plans = percent, bands(percent, 1 << 12), {}
+    def __init__(self, percent: int, exact: bool = False):
+        self.percent, self.exact, self.edges, self.plans = percent, exact, bands(percent, 1 << 12), {}
 
     def of(self, n: int) -> int:
         """The band of a size; -1 below the first."""
@@ -127,7 +125,8 @@ class _Bands:
         elements in which sets may differ. Else so many sketches are made that the chance of two sets that link
         differing in all pieces of `least` elements or more is below 2^-64. lost: for pieces of 0, 1, 2 ... elements the
         log of the chance of differing in one, at the worst: all elements they may differ in are one's own, or all the
-        other's. The plan with the fewest rows is taken, light pieces counting more, as many sets have them.
+        other's. The plan with the fewest rows is taken, light pieces counting more, as many sets have them; if exact is
+        asked for it is always that of all pieces.
         """
         if band not in self.plans:
             d, k = self.differs(band), np.arange(64)
@@ -137,7 +136,7 @@ class _Bands:
             factorial, weight = np.cumsum(np.log(np.maximum(k, 1))), 1 + 30 * 0.4**k
             usual = lambda pieces: pieces * np.exp(k * np.log(n / pieces) - n / pieces - factorial)
             found = [((usual(enough) * weight).sum(), enough, 0, np.zeros(64))]
-            for mean in (3, 4, 5, 6, 8, 10):
+            for mean in () if self.exact else (3, 4, 5, 6, 8, 10):
                 pieces = n // mean
                 if pieces < 8:
                     break
@@ -179,11 +178,11 @@ def signs(h: np.ndarray, edges: _Bands, band: int) -> tuple[np.ndarray, np.ndarr
         own, count = sketched(h, pieces, seed)
 
 
-def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _sketched(docs: DataFrame, percent: int, width: int, exact: bool = False) -> DataFrame:
     """doc_id, n, digest of the set, its band (-1: none), and for its own band and the next one folded sketches (low, high) and signatures of the pieces to join on (own, after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _Bands(percent)
+        edges = _Bands(percent, exact)
         for b in batches:
             for x in range(0, b.num_rows, 500):
                 part = b.slice(x, 500)
@@ -503,16 +502,15 @@ def _across(members: DataFrame, state: DataFrame, words: DataFrame, percent: int
     return _close(own.join(mixed, "sig").join(words, ["node", "level"]).select("sig", "node", "comp", "n", "words", "m"), percent, best)
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if they are at most FEW."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def classes(docs: DataFrame, percent: int = 90, width: int = 3, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row: the smallest doc_id reachable by links, itself included.
 
-
-def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row: the smallest doc_id reachable by links, itself included."""
+    exact: join on all pieces of one sketch in every band, which cannot fail, in place of heavy pieces of several, which
+    miss a link with a chance below 2^-64; it costs more rows where sets are large.
+    """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    full = stored(_sketched(docs, percent, width))
+    full = stored(_sketched(docs, percent, width, exact))
     rows = cut(full.select("doc_id", "n", "digest"))
     words = full.filter("band >= 0").select(F.col("doc_id").alias("node"), "n", F.col("band").alias("level"), F.col("low").alias("words"))
     words = words.unionAll(full.filter("band >= 0").select("doc_id", "n", F.col("band") + 1, "high"))
@@ -520,7 +518,7 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     known = rows.filter("n > 0 and doc_id is not null")
     named = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node")))
     nodes_of = cut(known.join(named, "digest").filter("doc_id != node").select("doc_id", "digest", "node").distinct())
-    sketches = full.filter("band >= 0 and doc_id is not null").join(_few(nodes_of.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
+    sketches = full.filter("band >= 0 and doc_id is not null").join(few(nodes_of.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
     shared = stored(_shared(sketches.select("doc_id", "band", "own", "after"), buckets.tasks(docs, rows.count())))
     pairs, members = shared.filter("sig is null").select("node", "level", "hub"), shared.filter("sig is not null").select("sig", "node", "level")
     # Rows of one doc_id with several sets connect these.
@@ -537,7 +535,7 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
         if pairs.isEmpty():
             return state
         wanted = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        texts = docs.join(_few(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+        texts = docs.join(few(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
         edges = cut(_verified(pairs, texts, percent, width))
         discard(spark)
         return _merged(state, edges)
@@ -562,8 +560,8 @@ def classes(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """docs without the near copies: of each component the document of the smallest doc_id stays, once. Rows with a null doc_id or no words all stay."""
     found = cut(classes(docs, percent, width))
-    gone = _few(cut(found.filter("doc_id != component_id").select("doc_id").distinct()))
-    again = _few(cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
+    gone = few(cut(found.filter("doc_id != component_id").select("doc_id").distinct()))
+    again = few(cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
     rest = docs.join(gone, "doc_id", "left_anti")
     once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rest.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, discard, held, prepare, stored
+from granary.llm.common import discard, holding, prepare, stored
 
 #: Vectors of a block, and up to what component float64 products and sums of 64 squares are exact.
 BLOCK, SMALL = 4096, 1 << 22
@@ -196,7 +196,7 @@ def fitted(vectors: DataFrame, k: int = 16, dims: int = 64, rounds: int = 3, see
 
     out = stored(state.select("ids", "kind", "vectors", "owner").mapInArrow(last, f"ids array<{id_type}>, owner array<int>, distance array<decimal(38,0)>"))
     discard(spark, state)
-    return held(out), now
+    return out, now
 
 
 def digest(centroid: np.ndarray) -> str:
@@ -215,7 +215,8 @@ def clusters(vectors: DataFrame, k: int = 16, dims: int = 64, rounds: int = 3, s
     whole_ = lambda v: v if v is not None and v <= LONG else None
     rows = [(c, whole_(v), whole_(total), digest(centroids[c])) for c, v in known.items()]
     one = each.sparkSession.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return each.join(F.broadcast(one), "cluster").select("vec_id", "cluster", long(F.col("distance")).alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")  # k rows
+    rows = each.join(F.broadcast(one), "cluster").select("vec_id", "cluster", long(F.col("distance")).alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")  # k rows
+    return holding(rows, blocks) if hasattr(blocks, "_granary_path") else rows
 
 
 def _sql() -> str:

@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import default_vocabulary, encoder
-from granary.llm.common import chunks, cut, mix, prepare
+from granary.llm.common import chunks, cut, few, mix, prepare
 
 LENGTH = 2048
 END = 50256
@@ -85,19 +85,17 @@ def sequences(docs: DataFrame, length: int = LENGTH, end: int = END, path: str |
 def shards(docs: DataFrame, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, end: int = END, path: str | None = None) -> DataFrame:
     """(shard, first_slot, n_slots, stride, data): the bytes of each shard; slot s is data[(s - first_slot) * stride:][:stride]."""
     rows = cut(sequences(docs, length, end, path))
-    # One row for each input partition comes to the driver.
-    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
-    start, total = {}, 0
-    for part, n in counts:
-        start[part] = total
-        total += n
+    # A row for each input partition.
+    counts = cut(rows.groupBy("part").agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    rows = rows.join(few(starts), "part").select((F.col("start") + F.col("number")).alias("number"), "tokens")
     stride = 2 * length
 
     def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number = b.column(1).to_numpy() + np.array([start[p] for p in b.column(0).to_pylist()], np.int64)
-            s = permuted(number, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(s // per_shard), pa.array(s), b.column(2)], names=["shard", "slot", "tokens"])
+            s = permuted(b.column(0).to_numpy(), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(s // per_shard), pa.array(s), b.column(1)], names=["shard", "slot", "tokens"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo = zstandard.ZstdDecompressor().decompress

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WordHashes, apart, column_of, cut, held, prepare, relieved, stored, words_of
+from granary.llm.common import WordHashes, apart, column_of, cut, holding, prepare, relieved, stored, words_of
 
 WINDOW, BLOCK = 8, 100
 SYMBOLS = "#*$%&|<>"
@@ -173,9 +173,9 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns, whatever these are called. Texts are measured once, and held with their measures below the checkpoint folder until release()."""
-    rows = held(stored(measured(apart(docs), "own.text")))
-    return judged(rows, fit(rows)).filter("kept").select("own.*")
+    """The documents that are kept, with their own columns, whatever these are called. Texts are measured once, and held with their measures below the checkpoint folder until release() of the result."""
+    rows = stored(measured(apart(docs), "own.text"))
+    return holding(judged(rows, fit(rows)).filter("kept").select("own.*"), rows)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
