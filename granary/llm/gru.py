@@ -238,7 +238,7 @@ def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray,
 
 def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log of each target's chance in its state; with gradient also those of the negative sum."""
-    c, n_classes = (target // CLASS).astype(np.int64), p["bw"].size // CLASS  # the end is a class by itself, behind the others
+    c, n_classes = (target // CLASS).astype(np.int16 if p["bw"].size // CLASS < 1 << 15 else np.int32), p["bw"].size // CLASS  # the end is a class by itself, behind the others
     order = np.argsort(c, kind="stable")  # class by class, so that each is a slice
     h, target, c = h[order], target[order], c[order]
     # States lie within -1 and 1.
@@ -358,9 +358,10 @@ def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) ->
     flat_g = dgates.reshape(-1, 3 * k)
     g["u"] = np.concatenate([came.reshape(-1, k).T @ flat_g[:, : 2 * k], kept.reshape(-1, k).T @ flat_g[:, 2 * k :]], axis=1)
     order = np.argsort(inputs.ravel().astype(np.int16 if begin < 1 << 15 else np.int32), kind="stable")
-    uniq, first = np.unique(inputs.ravel()[order], return_index=True)
+    own = inputs.ravel()[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
     g["x"] = np.zeros_like(p["x"])
-    g["x"][uniq] = np.add.reduceat(flat_g[order], first, axis=0)
+    g["x"][own[first]] = np.add.reduceat(flat_g[order], first, axis=0)
     return g, h, float(logp.sum()) / count
 
 
