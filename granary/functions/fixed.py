@@ -301,3 +301,11 @@ ARTICLE_FURNITURE = (
     "subscribe to read", "listen to this post", "subscribe for access", "read in app", "open in app", "you're receiving this", "you received this", "share this post", "leave a comment", "top picks", "like this post", "restack",
 )
 BLOCKED_STATUS = (401, 403, 429, 451)
+
+# Companies that reports watch, in order, and kinds of signals: fixed values, which decide results
+WATCHED = ("OpenAI", "Google", "Microsoft", "Amazon", "Meta", "Apple", "NVIDIA")
+WATCHED_MORE = ("Alibaba", "Tencent", "ByteDance", "Baidu", "Huawei")
+SIGNALS = {"TOOL_ADOPTION": "工具採用", "USER_PAIN": "使用者痛點", "WORKFLOW_CHANGE": "工作流變化", "COST_PRESSURE": "成本壓力", "COMPETITION_SIGNAL": "競爭訊號"}
+IMPACT_LABELS = ("MINIMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+TAG_PREFIX = r"(?iU)^(?:WATCH|TEST|MOVE|FIX|TODO|NOTE)\b\s*[：:]\s*"
+SAFE_SENTENCE = "持續監控此事件後續發展（T+7）。"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
 from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, squeeze, strip, text_of
+from granary.operators.matching import class_hits
 
 
 def _hard(t: Column, low: Column) -> Column:
@@ -164,18 +165,22 @@ def frontier_score(title: Column, summary: Column, content: Column, url: Column,
     return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
 
 
+def _head(title: Column, body: Column) -> Column:
+    return F.lower(F.concat_ws(" ", text_of(title), F.substring(text_of(body), 1, 1000)))
+
+
 def category(title: Column, body: Column, source_category: Column) -> Column:
-    """A struct of category and confidence: the most keywords in title and first 1000 characters, else what the source is mapped to."""
-    low = F.lower(F.concat_ws(" ", text_of(title), F.substring(text_of(body), 1, 1000)))
-    scores = {k: hits(low, words) for k, words in V.CATEGORIES.items()}
+    """A struct of category and confidence: the most keywords in title and first 1000 characters, else what the source is mapped to. One automaton looks for all keywords."""
+    found = class_hits(_head(title, body), V.CATEGORIES)
+    scores = {k: found[f"c{i}"] for i, k in enumerate(V.CATEGORIES)}
     most = F.greatest(*scores.values())
     mapped = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.SOURCE_CATEGORIES.items() for x in kv]), text_of(source_category)), F.lit(V.OTHER_CATEGORY))
     return F.struct(F.when(most > 0, first_of(scores)).otherwise(mapped).alias("category"), F.when(most > 0, F.bround(F.least(F.lit(1.0), most / 5.0), 2)).otherwise(0.3).alias("confidence"))
 
 
 def mechanism(title: Column, body: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", text_of(title), F.substring(text_of(body), 1, 1000)))
-    scores = {k: hits(low, words) for k, words in V.MECHANISMS.items()}
+    found = class_hits(_head(title, body), V.MECHANISMS)
+    scores = {k: found[f"c{i}"] for i, k in enumerate(V.MECHANISMS)}
     return F.when(F.greatest(*scores.values()) > 0, first_of(scores)).otherwise(V.DEFAULT_MECHANISM)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import proof_tokens, text_of
+from granary.functions.scores import impact
+from granary.functions.text import proof_tokens, strip, text_of
+from granary.operators.matching import first_mentions
 
 
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -112,9 +114,73 @@ def funnel(rows: DataFrame, **stages: Column) -> DataFrame:
 
 
 def cooccurring(rows: DataFrame, array: str, key: str = "ord", least: int = 2) -> DataFrame:
-    """(i, j, shared): pairs of keys, i < j, that share at least `least` elements. An element that a third of all rows have makes as many pairs; give rare signatures."""
-    e = rows.select(F.col(key).alias("i"), F.explode(F.array_distinct(array)).alias("s"))
-    return e.join(e.withColumnRenamed("i", "j"), "s").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    """(i, j, shared): pairs of keys, i < j, that share at least `least` different elements.
+
+    Prefix filtering: elements are ranked by how many rows have them, the rarest first; two rows that share `least` have one in
+    common within the first size - least + 1 of each, and only these are joined. An element that a third of all rows have
+    comes last, so it pairs rows only where nothing rarer is left to tell them apart. Candidates are counted on the whole arrays.
+    """
+    own = rows.select(F.col(key).alias("k"), F.array_distinct(F.col(array)).alias("s")).filter(F.size("s") >= least)
+    each = own.select("k", F.explode("s").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "e").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("s"))  # a row's own elements
+    first = ranked.select("k", F.explode(F.slice(F.col("s"), F.lit(1), F.size("s") - F.lit(least - 1))).alias("x")).select("k", F.col("x.e").alias("e"))
+    pairs = first.join(first.withColumnRenamed("k", "j"), "e").filter("k < j").select(F.col("k").alias("i"), "j").distinct()
+    left, right = own.select(F.col("k").alias("i"), F.col("s").alias("a")), own.select(F.col("k").alias("j"), F.col("s").alias("b"))
+    shared = F.size(F.array_intersect("a", "b")).cast("long")
+    return pairs.join(left, "i").join(right, "j").select("i", "j", shared.alias("shared")).filter(F.col("shared") >= least)
+
+
+def company_watch(cards: DataFrame, text: Column, score: Column, richness: Column, names: dict[str, tuple[str, ...]] | None = None, most: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(companies, summary) of cards with ord, title and is_valid.
+
+    companies: (tier, rank, name, ord, title, impact, impact_label): each watched company with the first valid card that
+    names it, those of a tier in order of cards and then of the list, `most` of them. summary: mentions, impact_score_avg,
+    trend_direction, success_count and fail_count of all cards; all mentions count, those beyond `most`, too.
+    """
+    names = names or {"tier_a": V.WATCHED, "tier_b": V.WATCHED_MORE}
+    most = most or {"tier_a": 7, "tier_b": 5}
+    flat = [n for own in names.values() for n in own]
+    tier = F.element_at(F.create_map(*[F.lit(x) for t, own in names.items() for n in own for x in (n, t)]), F.col("name"))
+    rows = cards.withColumn("_text", text).withColumn("_impact", impact(score, richness))
+    found = first_mentions(rows.filter("is_valid"), flat, F.col("_text")).withColumn("tier", tier)  # a row for each name, at most
+    w = Window.partitionBy("tier").orderBy("first", "place")
+    named = F.broadcast(found.withColumn("rank", F.row_number().over(w)))
+    label = F.get(F.array(*map(F.lit, V.IMPACT_LABELS)), F.col("_impact") - 1)
+    all_ = rows.join(named, rows["ord"] == named["first"]).select("tier", "rank", "name", "ord", "title", F.col("_impact").alias("impact"), label.alias("impact_label"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("tier"))
+    counts = cards.agg(F.count_if("is_valid").alias("success_count"), F.count_if(~F.col("is_valid")).alias("fail_count"))
+    one = all_.agg(F.count("*").alias("mentions"), F.coalesce(F.round(F.avg("impact"), 2), F.lit(0.0)).alias("impact_score_avg")).crossJoin(F.broadcast(counts))  # one row
+    trend = F.when(F.col("mentions") == 0, "STABLE").when((F.col("impact_score_avg") >= 3.8) | (F.col("mentions") >= 3), "UP").when(F.col("impact_score_avg") <= 2.0, "DOWN").otherwise("STABLE")
+    return all_.filter(F.col("rank") <= limit), one.select("mentions", "impact_score_avg", trend.alias("trend_direction"), "success_count", "fail_count")
+
+
+def signal_summary(cards: DataFrame, source: str = "source_name", score: str = "final_score", order: str = "ord", rows: int = 3, signals: dict[str, str] | None = None) -> DataFrame:
+    """Exactly `rows` rows, whatever the number of cards: kinds of signals in turn, each dealt the next card by order, over again when there are fewer.
+
+    (position, signal, label, title, source_name, platform_count, heat_score, heat, signals_insufficient, passed_total_count):
+    heat follows from the card's score, platform_count is how many cards its source has; a card's title is used once, then
+    the signal's label stands for it. Without cards the rows have a score of 3, no source (scan) and count 1.
+    """
+    signals = signals or V.SIGNALS
+    name = F.coalesce(F.nullif(strip(text_of(source)), F.lit("")), F.lit("scan"))
+    counts = cards.groupBy(name.alias("source_name")).agg(F.count("*").alias("platform_count"))
+    total = counts.agg(F.coalesce(F.sum("platform_count"), F.lit(0)).alias("passed_total_count"))
+    first = cards.orderBy(order).limit(rows).select(F.col(order).alias("_o"), text_of("title").alias("title"), name.alias("source_name"), F.col(score).alias("_score"))
+    dealt = first.agg(F.array_sort(F.collect_list(F.struct("_o", "title", "source_name", "_score"))).alias("dealt"))  # `rows` cards
+    kinds = F.array(*[F.struct(F.lit(k).alias("signal"), F.lit(v).alias("label")) for k, v in signals.items()])
+    seats = dealt.crossJoin(F.broadcast(total)).withColumn("kinds", kinds).select("*", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("position"))  # one row
+    n = F.size("dealt")
+    seats = seats.withColumn("kind", F.get("kinds", F.col("position") % F.lit(len(signals)))).withColumn("card", F.when(n > 0, F.get("dealt", F.col("position") % F.greatest(n, F.lit(1)))))
+    own = seats.select("position", "kind", "card", n.alias("n"), "passed_total_count", F.coalesce("card.source_name", F.lit("scan")).alias("source_name"))
+    own = own.join(counts, "source_name", "left")
+    heat = F.least(F.lit(100), F.greatest(F.lit(30), F.bround(F.coalesce(F.nullif(F.col("card._score"), F.lit(0.0)), F.lit(3.0)) * 12, 0).cast("int")))
+    title = F.when((F.col("position") < F.col("n")) & (strip(F.col("card.title")) != ""), strip(F.col("card.title"))).otherwise(F.col("kind.label"))
+    out = own.withColumn("heat_score", heat)
+    return out.select(
+        "position", "kind.signal", "kind.label", F.substring(title, 1, 80).alias("title"), "source_name", F.coalesce("platform_count", F.lit(1)).alias("platform_count"), "heat_score",
+        F.when(F.col("heat_score") >= 75, "hot").when(F.col("heat_score") >= 50, "warm").otherwise("cool").alias("heat"), (F.col("passed_total_count") < rows).alias("signals_insufficient"), "passed_total_count",
+    ).orderBy("position")
 
 
 def verdict(gate: str, metric: str, value: Column, threshold: float, at_least: bool = True, waived: Column | None = None) -> Column:

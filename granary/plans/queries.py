@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
 from granary.functions import article, evidence, links, mining, scores, text
-from granary.operators import dedupe, entities, gating, select, stats
+from granary.operators import align, brief, dedupe, entities, gating, matching, metrics, narrative, select, stats
 from granary.sources import fulltext
 from granary.streaming import runs
 
@@ -577,6 +577,122 @@ def d14_turn_overlap(spark, sf_dir):
     return t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("z")), ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.overlap_ratio(F.col("s"), F.col("z")), 6).alias("overlap"))
 
 
+_DICT = "(SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark))"
+
+
+@query(f"SELECT word, min(doc_id) AS first, count(*) AS n FROM documents JOIN {_DICT} ON contains(lower(text), word) GROUP BY word")
+def d17_dictionary(spark, sf_dir):
+    """A dictionary that is a table: the long words of the benchmark, looked for in all documents at once."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("word"))
+    found = matching.dictionary_matches(table(spark, sf_dir, "documents"), words, key="doc_id")
+    return found.groupBy("word").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
+#: Companies, and fragments that the tables' texts have.
+_TIERS = {"tier_a": V.WATCHED, "tier_b": ("Tionstea", "Ungbe", "Enelle", "Qui la", "Zzz")}
+_NAMES = ", ".join(f"({i}, {_q(t)}, {_q(n)})" for i, (t, n) in enumerate((t, n) for t, own in _TIERS.items() for n in own))
+_MENTIONS = (
+    f"WITH w(place, tier, name) AS (VALUES {_NAMES}), c AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS t, length(text) >= 100 AS is_valid, greatest(1, least(5, round_even(length(coalesce(text, '')) / 500 / 2.0 + 0.3, 0)))::int AS impact FROM documents), "
+    "f AS (SELECT place, tier, name, min(doc_id) AS doc_id FROM w JOIN c ON is_valid AND contains(lower(t), lower(name)) GROUP BY ALL), "
+    "m AS (SELECT tier, row_number() OVER (PARTITION BY tier ORDER BY doc_id, place) AS rank, name, doc_id, title, impact FROM f JOIN c USING (doc_id)) "
+)
+
+
+def _watched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cards = items(spark, sf_dir).withColumn("is_valid", F.length("body") >= 100)
+    return stats.company_watch(cards, F.col("body"), F.length("body") / 500, F.lit(1), _TIERS, {"tier_a": 7, "tier_b": 3})
+
+
+@query(_MENTIONS + "SELECT tier, rank, name, doc_id, title, impact, ['MINIMAL', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][impact] AS impact_label FROM m WHERE rank <= CASE tier WHEN 'tier_a' THEN 7 ELSE 3 END")
+def d16_company_watch(spark, sf_dir):
+    """The first card that names a company; so many of each tier, which is the feature."""
+    return _watched(spark, sf_dir)[0].withColumnRenamed("ord", "doc_id")
+
+
+@query(
+    _MENTIONS + ", s AS (SELECT count(*) AS mentions, coalesce(round(avg(impact), 2), 0.0) AS impact_score_avg FROM m) SELECT mentions, impact_score_avg, CASE WHEN mentions = 0 THEN 'STABLE' WHEN impact_score_avg >= 3.8 OR mentions >= 3 THEN 'UP' WHEN impact_score_avg <= 2.0 THEN 'DOWN' ELSE 'STABLE' END AS trend_direction, "
+    "(SELECT count(*) FILTER (is_valid) FROM c) AS success_count, (SELECT count(*) FILTER (NOT is_valid) FROM c) AS fail_count FROM s"
+)
+def f17_company_summary(spark, sf_dir):
+    return _watched(spark, sf_dir)[1]
+
+
+_SIGNAL = (
+    "WITH c AS (SELECT doc_id, trim(split_part(coalesce(text, ''), chr(10), 1)) AS title, source, length(coalesce(text, '')) / 1000.0 AS score, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS platform_count, count(*) OVER () AS total FROM documents{where}), "
+    f"k AS (SELECT unnest([0, 1, 2]) AS position, unnest([{', '.join(_q(x) for x in list(V.SIGNALS)[:3])}]) AS signal, unnest([{', '.join(_q(x) for x in list(V.SIGNALS.values())[:3])}]) AS label) "
+    "SELECT position, signal, label, CASE WHEN position = i AND title <> '' THEN substr(title, 1, 80) ELSE label END AS title, coalesce(source, 'scan') AS source_name, coalesce(platform_count, 1) AS platform_count, h AS heat_score, CASE WHEN h >= 75 THEN 'hot' WHEN h >= 50 THEN 'warm' ELSE 'cool' END AS heat, coalesce(total, 0) < 3 AS signals_insufficient, coalesce(total, 0) AS passed_total_count "
+    "FROM (SELECT k.*, c.*, least(100, greatest(30, round_even(coalesce(nullif(score, 0), 3) * 12, 0)))::int AS h FROM k LEFT JOIN c ON c.i = k.position % least(3, greatest((SELECT count(*) FROM c), 1)))"
+)
+
+
+def _signals(where: str | None):
+    def run(spark, sf_dir):
+        d = items(spark, sf_dir).withColumn("final_score", F.length("body") / 1000)
+        return stats.signal_summary(d.filter(where) if where else d)
+
+    return run
+
+
+@query(_SIGNAL.format(where=""))
+def f14_signal_summary(spark, sf_dir):
+    """Three rows, which is the feature."""
+    return _signals(None)(spark, sf_dir)
+
+
+@query(
+    f"SELECT 'run' AS run_id, count(*) AS loaded_rows, sum(length(coalesce(text, '')))::bigint AS loaded_chars, count(*) FILTER (r IS NULL) AS gate_passed, count(*) FILTER (r = 'content_too_short') AS gate_rejected_content_too_short, count(*) FILTER (r = 'insufficient_sentences') AS gate_rejected_insufficient_sentences, "
+    f"count(*) FILTER (r = 'fragment_placeholder') AS gate_rejected_fragment_placeholder, count(*) FILTER (r IS NULL) AS passed_rows, max(length(b)) FILTER (r IS NULL) AS passed_max_chars FROM (SELECT *, {_article(300, 2)} AS r FROM {DOCS})"
+)
+def f09_run_metrics(spark, sf_dir):
+    """Counters of three stages, taken by one job that reads the documents once."""
+    m = metrics.RunMetrics("run")
+    d = m.observe(items(spark, sf_dir).select("ord", "body"), "loaded", rows=F.count("*"), chars=F.sum(F.length("body")))
+    d = d.withColumn("reason", scores.article_reason(F.col("body"), *V.SIGNAL_LEVEL)).withColumn("n", F.length(text.strip(F.col("body"))))
+    d = m.observe(d, "gate", **metrics.reason_counters(F.col("reason"), ("content_too_short", "insufficient_sentences", "fragment_placeholder")))
+    d = m.observe(d.filter("reason is null"), "passed", rows=F.count("*"), max_chars=F.max("n").cast("long"))
+    d.write.format("noop").mode("overwrite").save()
+    return m.row(spark).drop("total_runtime_seconds")
+
+
+@query()
+def d09_alignment(spark, sf_dir):
+    """Labels take documents: by id where it is divisible by 3, else by what is left of a source."""
+    left = table(spark, sf_dir, "labels").withColumn("ord", F.col("doc_id"))
+    right = table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id"))
+    third = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))
+    return align.aligned(left, right, [(third, F.col("doc_id")), (F.col("doc_id") % 101, F.col("doc_id") % 101)])
+
+
+@query()
+def j65_narratives(spark, sf_dir):
+    """Narratives of documents whose key sentences stand for a card's fields."""
+    s = text.key_sentences(F.col("body"), 10)
+    d = items(spark, sf_dir).withColumn("s", s)
+    at = lambda i: F.coalesce(F.get("s", F.lit(i)), F.lit(""))
+    none = F.array().cast("array<string>")
+    cards = d.select("ord", "title", "source_name", F.lit("2026-02-20").alias("published_at"), at(0).alias("what_happened"), at(1).alias("technical"), at(2).alias("why_important"), F.slice("s", 4, 3).alias("evidence"), F.slice("s", 1, 2).alias("confirmed"), F.slice("s", 7, 4).alias("effects"), none.alias("actions"))
+    return narrative.narratives(cards).select(F.col("ord").alias("doc_id"), "narrative", F.array_join("bullets", "|").alias("bullets"), "proof_line", "dedup_ratio", "sentences_used", "zh_ratio")
+
+
+@query()
+def f38_narrative_meta(spark, sf_dir):
+    return narrative.narrative_meta(j65_narratives(spark, sf_dir))
+
+
+@query()
+def j66_near_repeats(spark, sf_dir):
+    """Near-repeats among the turns of each conversation."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    d = c.select("conv_id", F.size("texts").alias("n"), narrative.near_dedup(F.col("texts"), 0.6).alias("d"))
+    return d.select("conv_id", "n", F.size("d.kept").alias("kept"), "d.ratio")
+
+
+@query()
+def w22_brief_selection(spark, sf_dir):
+    d = items(spark, sf_dir).withColumn("actor", F.col("source_name")).withColumn("anchors", F.array("lang")).withColumn("relevant", F.col("ord") % 7 != 0)
+    return brief.selection(d).select(F.col("ord").alias("doc_id"), "reason", "place", "n_facts", "quote_1", "quote_2")
+
+
 # Gates ----------------------------------------------------------------------------------------------------------------
 _LEVEL = f"(SELECT doc_id, coalesce({HARD}, CASE WHEN {FRAGMENT} THEN 'fragment_placeholder' END) AS hard, length(b) AS n, {SENT} AS s FROM {DOCS})"
 
