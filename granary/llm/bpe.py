@@ -54,7 +54,7 @@ def byte_alphabet() -> dict[str, int]:
 class Bpe:
     """An encoder with a bounded memory of words; `most` words are held before it is emptied."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -84,9 +84,9 @@ class Bpe:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = _Index()
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.start = np.zeros(1 << 17, np.int64)
-        self.count = np.zeros(1 << 17, np.int64)
+        self.flat = np.zeros(1 << 17, np.int32)
+        self.start = np.zeros(1 << 15, np.int64)
+        self.count = np.zeros(1 << 15, np.int64)
         self.used = self.known = 0
 
     def _hash_ranks(self) -> None:
@@ -287,10 +287,22 @@ class _Index(dict):
         return i
 
 
-@functools.lru_cache(maxsize=2)
+class _Encoders(dict):
+    """Encoders by path, for a Python worker to keep over its tasks; clear() lets go of the words that they hold, not of their tables."""
+
+    def clear(self) -> None:
+        for own in self.values():
+            own._forget()
+
+
+_encoders = _Encoders()
+
+
 def encoder(path: str) -> Bpe:
     """One for each Python worker, which keeps it over its tasks."""
-    return Bpe(path)
+    if path not in _encoders:
+        _encoders[path] = Bpe(path)
+    return _encoders[path]
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:

@@ -129,8 +129,8 @@ def relieved(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return task
 
 
-#: Tables of word hashes that modules keep.
-_CACHES = (("granary.llm.quality", "_hashes"), ("granary.llm.jaccard", "_hashes"))
+#: What modules keep of words.
+_CACHES = (("granary.llm.quality", "_hashes"), ("granary.llm.jaccard", "_hashes"), ("granary.llm.bpe", "_encoders"))
 
 
 class WordHashes(dict):

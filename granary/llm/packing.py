@@ -130,7 +130,7 @@ def packed(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | No
         keys: list = []
         texts: list = []
         size = 0
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(key)
                 texts.append(text)
