@@ -133,7 +133,8 @@ def long_enough(s: Column) -> Column:
 
 def signals(s: Column) -> Column:
     """A struct of what a sentence has: number, money, percent, model, upper_token and impact."""
-    return F.struct(s.rlike(r"\d").alias("number"), s.rlike(FACT_MONEY).alias("money"), s.rlike(FACT_PERCENT).alias("percent"), s.rlike(FACT_MODEL).alias("model"), (s.rlike(UPPER_TOKEN) | s.rlike(PROPER_NAME)).alias("upper_token"), s.rlike(IMPACT_CUE).alias("impact"))
+    digit = s.rlike(r"\d")
+    return F.struct(digit.alias("number"), (digit & s.rlike(FACT_MONEY)).alias("money"), ((digit | F.contains(F.lower(s), F.lit("percent"))) & s.rlike(FACT_PERCENT)).alias("percent"), s.rlike(FACT_MODEL).alias("model"), (s.rlike(UPPER_TOKEN) | s.rlike(PROPER_NAME)).alias("upper_token"), s.rlike(IMPACT_CUE).alias("impact"))
 
 
 def strong(x: Column) -> Column:
@@ -164,16 +165,18 @@ def sentence_candidates(text: Column, title: Column, actor: Column, anchors: Col
     """
 
     def scored(f: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            low = F.lower(s)
+        # Lengths first, then points, then calls: the next test sees what the one before leaves.
+        def one(x: Column) -> Column:
+            s, low = x["s"], F.lower(x["s"])
             title_hits = F.size(F.filter(f["words"], lambda t: F.contains(low, t)))
             points = (
                 2 * s.rlike(NUMBER_MARK).cast("int") + 2 * (((f["actor"] != "") & F.contains(low, F.lower(f["actor"]))) | (title_hits >= 2)).cast("int") + 2 * (named(s, low, f["names"]) > 0).cast("int")
                 + s.rlike(IMPACT_WORDS).cast("int") + s.rlike(ACTION_WORDS).cast("int")
             )
-            return F.struct((-points).alias("r"), i.alias("index"), s.alias("text"), (~is_call(s) & long_enough(s)).alias("ok"))
+            return F.struct((-points).alias("r"), x["i"].alias("index"), s.alias("text"))
 
-        every = F.filter(F.transform(f["span"]["items"], one), lambda x: x["ok"] & (x["r"] < 0))
+        numbered = F.filter(F.transform(f["span"]["items"], lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: long_enough(x["s"]))
+        every = F.filter(F.transform(numbered, one), lambda x: (x["r"] < 0) & ~is_call(x["text"]))
         ranked = F.transform(F.array_sort(every), lambda x: F.struct(x["text"].alias("text"), (-x["r"]).alias("score"), x["index"].alias("index"), token_set(x["text"]).alias("tokens")))
         return F.transform(apart(ranked, most, overlap), lambda x: F.struct(x["text"], x["score"], x["index"]))
 
@@ -188,26 +191,30 @@ def fact_pack(text: Column, title: Column, actor: Column, anchors: Column, most:
     """
 
     def mined(f: Column) -> Column:
-        def facts_of(s: Column, clause: bool, index: Column) -> Column:
-            low = F.lower(s)
-            own = F.struct(signals(s).alias("g"), F.size(F.filter(f["words"], lambda t: F.contains(low, t))).alias("title"), named(s, low, f["names"]).alias("anchor"))
-            opener = F.lit(False) if clause else s.rlike(OPENER) & ~s.rlike(r"\d|[$€£¥]")
+        def facts_of(x: Column, clause: bool) -> Column:
+            s, low = x["s"], F.lower(x["s"])
+            own = F.struct(strong(x["g"]).alias("n"), F.size(F.filter(f["words"], lambda t: F.contains(low, t))).alias("title"), named(s, low, f["names"]).alias("anchor"))
 
-            def ranked(x: Column) -> Column:
-                n = strong(x["g"])
-                score = (n if clause else 2 * n + x["g"]["impact"].cast("int")) + x["title"] + x["anchor"]
-                ok = (F.length(s) >= (20 if clause else 24)) & ~is_blocked(s) & ~opener & (n > 0)
-                return F.struct((-score).alias("r"), (-n).alias("r2"), (-x["title"]).alias("r3"), (-x["anchor"]).alias("r4"), index.alias("index"), s.alias("text"), ok.alias("ok"))
+            def ranked(y: Column) -> Column:
+                score = (y["n"] if clause else 2 * y["n"] + x["g"]["impact"].cast("int")) + y["title"] + y["anchor"]
+                return F.struct((-score).alias("r"), (-y["n"]).alias("r2"), (-y["title"]).alias("r3"), (-y["anchor"]).alias("r4"), x["i"].alias("index"), s.alias("text"))
 
             return once(own, ranked)
 
+        def evident(numbered: Column, clause: bool) -> Column:
+            """Facts of structs (s, i): of some length, with evidence, no opening phrase and not blocked; each test sees what the one before leaves."""
+            long = F.filter(numbered, lambda x: F.length(x["s"]) >= (20 if clause else 24))
+            strong_ = F.filter(F.transform(long, lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"), signals(x["s"]).alias("g"))), lambda x: strong(x["g"]) > 0)
+            opener = lambda s: s.rlike(OPENER) & ~s.rlike(r"\d|[$€£¥]")
+            return F.transform(F.filter(strong_, lambda x: (F.lit(True) if clause else ~opener(x["s"])) & ~is_blocked(x["s"])), lambda x: facts_of(x, clause))
+
         start = f["span"]["start"]
-        whole = F.filter(F.transform(f["span"]["items"], lambda s, i: facts_of(s, False, start + i)), lambda x: x["ok"])
-        pieces = F.flatten(F.transform(f["span"]["items"], lambda s: F.transform(F.split(s, FEWER_CLAUSES), squeeze)))
-        new = lambda w: F.filter(pieces, lambda c: ~F.exists(w, lambda x: F.lower(x["text"]) == F.lower(c)))
-        good = lambda w: distinct_by(F.filter(F.transform(new(w), lambda s: facts_of(s, True, F.lit(0))), lambda x: x["ok"]), lambda x: F.lower(x["text"]))
+        whole = evident(F.transform(f["span"]["items"], lambda s, i: F.struct(s.alias("s"), (start + i).alias("i"))), False)
+        pieces = F.flatten(F.transform(f["span"]["items"], lambda s: F.transform(F.split(s, FEWER_CLAUSES), lambda c: F.struct(squeeze(c).alias("s"), F.lit(0).alias("i")))))
+        new = lambda w: F.filter(pieces, lambda c: ~F.exists(w, lambda x: F.lower(x["text"]) == F.lower(c["s"])))
+        good = lambda w: distinct_by(evident(new(w), True), lambda x: F.lower(x["text"]))
         clauses = lambda w: F.slice(good(w), F.lit(1), F.lit(3 * most) - F.size(w))
-        later = lambda w: F.transform(clauses(w), lambda x, i: F.struct(x["r"], x["r2"], x["r3"], x["r4"], (F.lit(2000) + F.size(w) + i).alias("index"), x["text"], x["ok"]))
+        later = lambda w: F.transform(clauses(w), lambda x, i: F.struct(x["r"], x["r2"], x["r3"], x["r4"], (F.lit(2000) + F.size(w) + i).alias("index"), x["text"]))
         every = once(whole, lambda w: F.when(F.size(w) >= least, w).otherwise(F.concat(w, later(w))))
         order = F.transform(F.array_sort(every), lambda x: F.struct(x["text"].alias("text"), (-x["r"]).alias("score"), (-x["r2"]).alias("strong"), (-x["r3"]).alias("title"), (-x["r4"]).alias("anchor"), x["index"].alias("index"), token_set(x["text"]).alias("tokens")))
         return F.transform(apart(order, most, overlap), lambda x: F.struct(x["text"], x["score"], x["strong"], x["title"], x["anchor"], x["index"]))
@@ -234,17 +241,23 @@ def quote_candidates(text: Column, seed: Column | None = None, spans: tuple = ((
 
 def is_relevant(quote: Column, title: Column, actor: Column, anchors: Column) -> Column:
     """A quote that names the actor, two words of the title or an anchor, or one word of the title with a number, an impact or an action."""
-    low, own = F.lower(quote), F.lower(squeeze(actor))
-    hits = F.size(F.filter(url_and_title_tokens(title), lambda t: F.contains(low, t)))
+    return _near(quote, url_and_title_tokens(title), F.lower(squeeze(actor)), names_of(anchors))
+
+
+def _near(quote: Column, words: Column, actor: Column, names: Column) -> Column:
+    low = F.lower(quote)
+    hits = F.size(F.filter(words, lambda t: F.contains(low, t)))
     said = quote.rlike(NUMBER_MARK) | quote.rlike(IMPACT_WORDS) | quote.rlike(ACTION_WORDS)
-    return (quote != "") & (((own != "") & F.contains(low, own)) | (hits >= 2) | (named(quote, low, names_of(anchors)) > 0) | ((hits >= 1) & said))
+    return (quote != "") & (((actor != "") & F.contains(low, actor)) | (hits >= 2) | (named(quote, low, names) > 0) | ((hits >= 1) & said))
 
 
 def relevant_quotes(text: Column, title: Column, actor: Column, anchors: Column, seed: Column | None = None, avoid: Column | None = None, most: int = 8, spans: tuple = ((0.15, 0.75), (0.10, 0.85))) -> Column:
     """The first quotes of 80 characters and more that are relevant, no call, and not to be avoided."""
     gone = F.transform(F.coalesce(avoid, F.array().cast(NONE)), lambda x: F.lower(squeeze(x))) if avoid is not None else F.array().cast(NONE)
-    good = lambda q: (F.length(q) >= QUOTE_LEAST) & ~F.array_contains(gone, F.lower(q)) & ~is_call(q) & is_relevant(q, title, actor, anchors)
-    return F.slice(F.filter(quote_candidates(text, seed, spans), good), 1, most)
+    words, own, names = url_and_title_tokens(title), F.lower(squeeze(actor)), names_of(anchors)
+    good = lambda q, f: (F.length(q) >= QUOTE_LEAST) & ~F.array_contains(f["gone"], F.lower(q)) & _near(q, f["words"], f["actor"], f["names"]) & ~is_call(q)
+    # What the row's title, actor and anchors give is made once, not for each quote.
+    return once(F.struct(quote_candidates(text, seed, spans).alias("q"), gone.alias("gone"), words.alias("words"), own.alias("actor"), names.alias("names")), lambda f: F.slice(F.filter(f["q"], lambda q: good(q, f)), 1, most))
 
 
 def fact_candidates(text: Column, title: Column, actor: Column, anchors: Column, most: int = 15) -> Column:
@@ -254,8 +267,9 @@ def fact_candidates(text: Column, title: Column, actor: Column, anchors: Column,
 
     def of(f: Column) -> Column:
         need = F.when(F.size(f["topic"]) <= 2, 1).otherwise(2)
-        judged = F.transform(f["s"], lambda s: F.struct(s.alias("s"), s.rlike(INFORMATIONAL).alias("info"), F.size(F.array_intersect(F.array_distinct(words(s)), f["topic"])).alias("n"), (F.length(s).between(40, 600) & ~s.rlike(GATE_CALL)).alias("ok")))
-        take = lambda j, info, n: F.transform(F.filter(j, lambda x: x["ok"] & (x["info"] == info) & (x["n"] >= n)), lambda x: x["s"])
+        near = F.filter(F.transform(F.filter(f["s"], lambda s: F.length(s).between(40, 600)), lambda s: F.struct(s.alias("s"), F.size(F.array_intersect(F.array_distinct(words(s)), f["topic"])).alias("n"))), lambda x: (x["n"] >= 1) & ~x["s"].rlike(GATE_CALL))
+        judged = F.transform(near, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["s"].rlike(INFORMATIONAL).alias("info")))
+        take = lambda j, info, n: F.transform(F.filter(j, lambda x: (x["info"] == info) & (x["n"] >= n)), lambda x: x["s"])
         return once(judged, lambda j: F.slice(F.concat(take(j, F.lit(True), F.lit(1)), take(j, F.lit(False), need)), 1, most))
 
     return once(F.struct(source_sentences(text).alias("s"), topic.alias("topic")), of)
