@@ -51,6 +51,14 @@ def _atom(root: ET.Element) -> Iterator[tuple[str, ...]]:
         yield _plain(_text(e, f"{_ATOM}title", "title")), link, *date, _plain(_text(e, f"{_ATOM}summary", f"{_ATOM}content", "summary", "content"))
 
 
+def parses(xml: str) -> bool:
+    try:
+        ET.fromstring(xml.lstrip("\ufeff\ufffe").encode("utf-8", "replace"))
+    except ET.ParseError:
+        return False
+    return True
+
+
 def entries(xml: str | None, most: int = 30, summary: int = 500) -> list[tuple[str, ...]]:
     """ENTRY tuples of a feed's first entries that have a title and an http address; none of a text that is no feed."""
     try:
@@ -81,14 +89,17 @@ def parse_feeds(feeds: DataFrame, as_of, most: int = 30) -> DataFrame:
 
 
 class FeedSource(DataSource):
-    """`spark.read.format("feed").option("paths", a JSON list of files).load()`: the entries of feed files, a partition for each. A file that can't be read or parsed gives no row."""
+    """`spark.read.format("feed").option("paths", a JSON list of files).load()`: the entries of feed files, a partition for each.
+
+    Each file has rows whose `status` is ok, or one row that says what became of it: empty, unreadable or malformed.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "feed"
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("path", T.StringType()), *ENTRY.fields])
+        return T.StructType([T.StructField("path", T.StringType()), *ENTRY.fields, T.StructField("status", T.StringType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return FeedReader(json.loads(self.options.get("paths", "[]")), int(self.options.get("most", "30")))
@@ -108,10 +119,14 @@ class FeedReader(DataSourceReader):
             fs, path = pyarrow.fs.FileSystem.from_uri(partition.value) if "://" in partition.value else (pyarrow.fs.LocalFileSystem(), partition.value)
             with fs.open_input_stream(path) as f:
                 text = f.read().decode("utf-8", "replace")
-        except OSError:  # a source that fails degrades to no rows
+        except OSError:  # a source that fails is a row that says so
+            yield (partition.value, *[None] * len(ENTRY.fields), "unreadable")
             return
-        for e in entries(text, self.most):
-            yield (partition.value, *e)
+        found = entries(text, self.most)
+        for e in found:
+            yield (partition.value, *e, "ok")
+        if not found:
+            yield (partition.value, *[None] * len(ENTRY.fields), "empty" if parses(text) else "malformed")
 
 
 class Source(ABC):

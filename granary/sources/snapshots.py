@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.operators.dedupe import first_of_each
 
 COLLECTED = "id string, title string, url string, domain string, published_at string, summary string, content_text string, frontier_score int, source struct<platform: string, feed_name: string, feed_url: string, tag: string>, collected_at string"
 ZH_PLATFORMS = ("36kr", "csdn", "bilibili", "xiaohongshu", "dcard", "ithome_tw")
@@ -46,45 +51,110 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 class Store:
-    """A keyed table in a folder. Each write makes a new version beside the old one and then names it in `current`; readers see one or the other."""
+    """A keyed table in a folder, as a log of versions: version n is a file, named by its number, that lists the data folders it is made of.
+
+    A write first puts its rows in a folder of their own and then names a new version by one rename, which fails where another
+    writer was faster; it is then tried again on what that one left. A crash in between leaves a folder that no version names.
+    Readers take the highest version, whole; the data of the last KEEP versions stay for those that still read them. Inserts
+    add a folder; upserts add one, too, whose rows count in place of older ones of their keys. Every COMPACT folders are put
+    together.
+    """
+
+    KEEP, COMPACT = 8, 32
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _current(self) -> str | None:
-        fs, p = _hadoop(self.spark, f"{self.path}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current", wholetext=True).first()[0].strip()
-
-    def read(self) -> DataFrame:
-        name = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], self.schema)
-
-    def _write(self, rows: DataFrame) -> None:
-        old, name = self._current(), f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        fs, p = _hadoop(self.spark, f"{self.path}/current.new")
-        out = fs.create(p, True)
-        out.write(bytearray(name.encode()))
+    def _list(self, folder: str) -> list[str]:
+        fs, p = _hadoop(self.spark, f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._list("log") if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _folders(self, version: int | None) -> list[str]:
+        if version is None:
+            return []
+        return json.loads(self.spark.read.text(f"{self.path}/log/{version:012d}.json", wholetext=True).first()[0])["folders"]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The latest version, or one of those kept."""
+        known = self.versions()
+        return self._read(self._folders(version if version is not None else known[-1] if known else None))
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        empty = self.spark.createDataFrame([], self.schema)
+        if not folders:
+            return empty
+        own = self.spark.read.schema(T.StructType([*empty.schema.fields, T.StructField("_seq", T.IntegerType())])).parquet(*(f"{self.path}/{f}" for f in folders))
+        if all(f.startswith("i-") for f in folders[1:]):  # only new keys were added
+            return own.drop("_seq")
+        last = own.groupBy(self.key).agg(F.max("_seq").alias("_seq"))
+        return own.join(last, [self.key, "_seq"], "left_semi").select(empty.columns)
+
+    def _commit(self, base: int, folders: list[str]) -> bool:
+        fs, new = _hadoop(self.spark, f"{self.path}/log/.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(bytearray(json.dumps({"folders": folders}).encode()))
         out.close()
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs.delete(target, False)
-        fs.rename(p, target)
-        if old:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
-
-    def insert(self, rows: DataFrame) -> int:
-        """Adds rows of new keys, the first of each; returns how many."""
-        new = rows.dropDuplicates([self.key]).join(self.read().select(self.key), self.key, "left_anti").select(self.read().columns)
-        before = self.read().count()
-        self._write(self.read().unionByName(new))
-        return self.read().count() - before
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Replaces rows by key and adds new ones."""
-        own = rows.dropDuplicates([self.key]).select(self.read().columns)
-        self._write(self.read().join(own.select(self.key), self.key, "left_anti").unionByName(own))
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{base + 1:012d}.json")
+        try:
+            done = not fs.exists(target) and fs.rename(new, target)
+        except Py4JJavaError:  # a file system that raises where the name is taken
+            done = False
+        if not done:
+            fs.delete(new, False)
+        return done
+
+    def _write(self, make: Callable[[DataFrame], DataFrame], kind: str, tries: int = 20) -> int:
+        """Adds the rows that make() gives for the table as it stands; returns how many."""
+        for _ in range(tries):
+            known = self.versions()
+            base, old = (known[-1], self._folders(known[-1])) if known else (0, [])
+            seq, name = len(old) and 1 + max(int(f.split("-")[1]) for f in old), uuid.uuid4().hex
+            count = Observation()
+            folder = f"{kind}-{seq}-{name}"
+            make(self._read(old)).withColumn("_seq", F.lit(seq).cast("int")).observe(count, F.count("*").alias("n")).write.parquet(f"{self.path}/{folder}")
+            folders = [*old, folder]
+            if len(folders) > self.COMPACT:
+                whole = f"i-{seq + 1}-{name}"
+                self._read(folders).withColumn("_seq", F.lit(seq + 1).cast("int")).write.parquet(f"{self.path}/{whole}")
+                folders = [whole]
+            if self._commit(base, folders):
+                self._clean()
+                return count.get["n"]
+        raise RuntimeError("other writers were always faster")
+
+    def _clean(self) -> None:
+        """Removes versions beyond the last KEEP, and folders that only they name."""
+        known = self.versions()
+        gone, stay = known[: -self.KEEP], known[-self.KEEP :]
+        if not gone:
+            return
+        used = {f for v in stay for f in self._folders(v)}
+        for f in {f for v in gone for f in self._folders(v)} - used:
+            fs, p = _hadoop(self.spark, f"{self.path}/{f}")
+            fs.delete(p, True)
+        for v in gone:
+            fs, p = _hadoop(self.spark, f"{self.path}/log/{v:012d}.json")
+            fs.delete(p, False)
+
+    def _one_each(self, rows: DataFrame, order: str | None) -> DataFrame:
+        if order is None:
+            return rows.dropDuplicates([self.key])
+        return first_of_each(rows, self.key, order=(order,))
+
+    def insert(self, rows: DataFrame, order: str | None = None) -> int:
+        """Adds rows of new keys, the first of each by `order` (any one without it); returns how many."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        own = self._one_each(rows, order)
+        return self._write(lambda now: own.join(now.select(self.key), self.key, "left_anti").select(columns), "i")
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        """Replaces rows by key and adds new ones, the first of each by `order` (any one without it)."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        own = self._one_each(rows, order).select(columns)
+        self._write(lambda now: own, "u")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         return self.read().join(keys.select(self.key), self.key, "left_semi")
@@ -106,9 +176,10 @@ def write_snapshot(rows: DataFrame, path: str, meta: DataFrame | None = None) ->
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def markdown(rows: DataFrame, line: Column, title: str, most: int = 200) -> DataFrame:
-    """One document of the first rows' lines, in order. A report: it has a length that people read."""
-    return rows.orderBy("ord").limit(most).select("ord", line.alias("_l")).agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_l"))), lambda x: x["_l"]), "\n")).alias("text"))
+def markdown(rows: DataFrame, line: Column, title: str, most: int | None = None) -> DataFrame:
+    """One document of the rows' lines, in order; of the first `most` ones, if a report is to have a length that people read. For a selection: the document is one value."""
+    rows = rows.orderBy("ord").limit(most) if most is not None else rows
+    return rows.select("ord", line.alias("_l")).agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_l"))), lambda x: x["_l"]), "\n")).alias("text"))
 
 
 def digest_line() -> Column:
@@ -120,9 +191,10 @@ def webhook_payload() -> Column:
     return F.to_json(F.struct(F.lit("interactive").alias("msg_type"), F.struct(F.struct(F.struct("title").alias("title")).alias("header"), F.col("card_md").alias("text")).alias("card")))
 
 
-def outline(rows: DataFrame, title: str) -> str:
-    """A mind map as JSON: a topic for each category, below it the titles. For a selection, whose rows come to the driver."""
+def outline(rows: DataFrame, title: str, most: int | None = None) -> str:
+    """A mind map as JSON: a topic for each category, below it the titles; of the first `most` rows, if given. For a selection, whose rows come to the driver."""
     topics: dict[str, list[str]] = {}
-    for r in rows.orderBy("ord").limit(200).collect():
+    rows = rows.select("ord", "category", "title").orderBy("ord")
+    for r in (rows.limit(most) if most is not None else rows).toLocalIterator():
         topics.setdefault(r["category"], []).append(r["title"])
     return json.dumps({"title": title, "topics": [{"title": k, "topics": [{"title": t} for t in v]} for k, v in topics.items()]}, ensure_ascii=False)

@@ -368,11 +368,13 @@ def test_feeds(spark, tmp_path):
     assert set(got) == {"https://e.com/1", "https://e.com/2", "https://e.com/a", "https://e.com/p"}
     assert got["https://e.com/1"].title == "One & two" and got["https://e.com/1"].summary == "Text more" and got["https://e.com/1"].published_source == "rss_pubDate"
     assert got["https://e.com/2"].published_source == "fallback_collected_at" and got["https://e.com/a"].published_source == "atom_published" and got["https://e.com/p"].published_source == "atom_updated"
-    for name, x in (("a.xml", RSS), ("b.xml", ATOM)):
+    for name, x in (("a.xml", RSS), ("b.xml", ATOM), ("c.xml", "broken <"), ("d.xml", "<rss><channel></channel></rss>")):
         (tmp_path / name).write_text(x)
     spark.dataSource.register(feeds.FeedSource)
-    paths = json.dumps([str(tmp_path / n) for n in ("a.xml", "b.xml", "missing.xml")])
-    assert spark.read.format("feed").option("paths", paths).load().count() == 3
+    paths = json.dumps([str(tmp_path / n) for n in ("a.xml", "b.xml", "missing.xml", "c.xml", "d.xml")])
+    loaded = spark.read.format("feed").option("paths", paths).load()
+    assert loaded.filter("status = 'ok'").count() == 3
+    assert {r.path[-9:]: r.status for r in loaded.filter("status != 'ok'").collect()} == {"ssing.xml": "unreadable", str(tmp_path / "c.xml")[-9:]: "malformed", str(tmp_path / "d.xml")[-9:]: "empty"}
 
 
 def test_registry(spark):
@@ -407,6 +409,67 @@ def test_store(spark, tmp_path):
     assert [r.v for r in s.lookup(frame(("a", 0))).collect()] == [5]
 
 
+def _frame(spark, *rows):
+    return spark.createDataFrame(rows, "item_id string, v int")
+
+
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    """Rows that were written but not named are not there, and the version before is whole."""
+    s = snapshots.Store(spark, str(tmp_path / "t"), "item_id string, v int", "item_id")
+    s.insert(_frame(spark, ("a", 1), ("b", 2)))
+    real = snapshots.Store._commit
+
+    def crash(*_):
+        raise SystemError("lost")
+
+    monkeypatch.setattr(snapshots.Store, "_commit", crash)
+    for write in (s.insert, s.upsert):
+        with pytest.raises(SystemError):
+            write(_frame(spark, ("a", 7), ("c", 3)))
+        assert {r.item_id: r.v for r in s.read().collect()} == {"a": 1, "b": 2}
+    monkeypatch.setattr(snapshots.Store, "_commit", real)
+    s.upsert(_frame(spark, ("a", 7)))
+    assert {r.item_id: r.v for r in s.read().collect()} == {"a": 7, "b": 2} and s.versions() == [1, 2]
+
+
+def test_store_takes_writers_in_turn(spark, tmp_path, monkeypatch):
+    """A writer that another one overtakes starts again from what that one left; neither's rows are lost."""
+    path = str(tmp_path / "t")
+    one, two = (snapshots.Store(spark, path, "item_id string, v int", "item_id") for _ in range(2))
+    real, done = snapshots.Store._commit, []
+
+    def overtaken(self, base, folders):
+        if self is one and not done:
+            done.append(two.insert(_frame(spark, ("a", 2), ("b", 2))))
+        return real(self, base, folders)
+
+    monkeypatch.setattr(snapshots.Store, "_commit", overtaken)
+    assert one.insert(_frame(spark, ("a", 1), ("c", 1))) == 1 and done == [2]
+    assert {r.item_id: r.v for r in one.read().collect()} == {"a": 2, "b": 2, "c": 1}
+
+
+def test_store_keeps_versions_and_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots.Store, "KEEP", 3)
+    monkeypatch.setattr(snapshots.Store, "COMPACT", 4)
+    s = snapshots.Store(spark, str(tmp_path / "t"), "item_id string, v int", "item_id")
+    assert s.insert(_frame(spark, ("a", 3), ("a", 1), ("a", 2)), order="v") == 1 and s.read().first().v == 1
+    reader, want = s.read(), {"a": 1}
+    for k in range(2, 9):
+        (s.upsert if k % 2 else s.insert)(_frame(spark, (f"k{k}", k), ("a", k)))
+        want |= {f"k{k}": k} | ({"a": k} if k % 2 else {})
+        assert {r.item_id: r.v for r in s.read().collect()} == want
+        if k == 3:
+            assert reader.first().v == 1  # an old reader reads what it had
+    assert len(s.versions()) == 3 and {r.item_id: r.v for r in s.read(s.versions()[0]).collect()} != want
+    assert len(list((tmp_path / "t").glob("[iu]-*"))) < 9
+
+
+def test_reports_have_no_caps(spark):
+    df = spark.range(300).select(F.col("id").alias("ord"), F.concat(F.lit("T"), "id").alias("title"), F.lit(1.0).alias("final_score"), F.lit("s").alias("source_name"), F.lit("u").alias("url"), F.lit("c").alias("category"))
+    assert snapshots.markdown(df, snapshots.digest_line(), "D").first().text.count("\n- ") == 300 and snapshots.markdown(df, snapshots.digest_line(), "D", most=7).first().text.count("\n- ") == 7
+    assert len(json.loads(snapshots.outline(df, "M"))["topics"][0]["topics"]) == 300
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([(2, "B", 8.5, "s", "u", "x"), (1, "A", 7.0, "s", "u", "y")], "ord long, title string, final_score double, source_name string, url string, category string")
     md = snapshots.markdown(df, snapshots.digest_line(), "Digest").first().text
