@@ -84,6 +84,10 @@ def _re(pattern: str) -> str:
     return _q(pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\-_]", r"\-]"))
 
 
+def _listed(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(map(_q, words)) + ")"
+
+
 def _n(c: str, pattern: str) -> str:
     return f"len(regexp_extract_all({c}, {_re(pattern)}))"
 
@@ -95,6 +99,9 @@ FRAGMENT = (
 DOCS = f"(SELECT *, {BODY} AS b FROM documents)"
 
 
+_BODY_ASCII = f"(SELECT *, {_ascii('b')} AS a FROM (SELECT *, coalesce(text, '') AS b FROM documents))"
+
+
 def _article(least: int, n: int) -> str:
     return f"coalesce({HARD}, CASE WHEN {FRAGMENT} THEN 'fragment_placeholder' WHEN length(b) < {least} THEN 'content_too_short' WHEN {SENT} < {n} THEN 'insufficient_sentences' END)"
 
@@ -186,7 +193,14 @@ def j56_symbol_density(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.round(text.symbol_density(F.col("body")), 6).alias("density"), F.round(text.junk_ratio(F.col("body")), 6).alias("junk"))
 
 
-@query()
+_UI_ALL = [*V.UI_STRONG, *V.UI_SHORT]
+_UI_WEIGHT = " + ".join(f"CASE WHEN regexp_matches(x, {_re(p)}) THEN {w} ELSE 0 END" for p, w in _UI_ALL)
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN len(w) > 0 THEN round(least(1.0, len(list_filter(w, lambda x: x > 0)) / len(w) * 0.6 + least(1.0, list_sum(w) / {sum(w for _, w in _UI_ALL)}) * 0.4), 4) ELSE 0.0 END AS score, {' OR '.join(f'regexp_matches(a, {_re(p)})' for p, _ in V.UI_STRONG)} AS ui_tokens "
+    f"FROM (SELECT doc_id, a, list_transform(list_filter(string_split(a, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''), lambda x: ({_UI_WEIGHT})::double) AS w FROM {_BODY_ASCII})"
+)
 def j55_ui_garbage(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.ui_garbage_score(F.col("body")).alias("score"), text.has_ui_tokens(F.col("body")).alias("ui_tokens"))
 
@@ -196,7 +210,18 @@ def j54_clean_raw_text(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.clean_raw_text(F.col("body")).alias("text"))
 
 
-@query()
+_NOUNS = f"list_filter(regexp_extract_all(a, {_re(V.PROPER_NOUN)}), lambda x: x NOT IN ({', '.join(map(_q, V.NOT_PROPER))}))"
+_TERMS = f"len(list_distinct(list_transform(list_concat(regexp_extract_all(a, {_re(V.DOMAIN_TERMS)}), {_NOUNS}), lambda x: lower(x))))"
+_HOLLOW = (
+    f"(b = '' OR regexp_matches(b, {_re(V.LONE_BULLET)}) OR regexp_matches(a, {_re(V.TEMPLATE_REMNANT)}) OR (length(replace(b, ' ', '')) < 8 AND NOT regexp_matches(b, '[0-9]') AND NOT regexp_matches(b, '[A-Z][a-zA-Z]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) "
+    f"OR (length(b) < 40 AND NOT regexp_matches(b, '[.!?。！？;；]') AND (regexp_matches(b, {_q(V.ZH_START)}) OR regexp_matches(b, {_q(V.ZH_TAIL)}) OR regexp_matches(a, {_re(V.EN_TAIL)}))))"
+)
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN hollow THEN 0 ELSE CASE WHEN short THEN least(40, p) ELSE p END END::int AS score, terms::int AS terms, numbers::int AS numbers FROM (SELECT *, CASE WHEN terms >= 2 THEN 30 WHEN terms >= 1 THEN 15 ELSE 0 END + CASE WHEN numbers >= 1 THEN 30 ELSE 0 END + 40 AS p FROM "
+    f"(SELECT doc_id, {_HOLLOW} AS hollow, length(replace(b, ' ', '')) < 40 AS short, {_TERMS} AS terms, {_n('a', V.EVIDENCE_NUMBER)} AS numbers FROM (SELECT *, {_ascii('b')} AS a FROM {DOCS})))"
+)
 def j17_semantic_density(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.semantic_density(F.col("body")).alias("score"), text.evidence_terms(F.col("body")).alias("terms"), text.evidence_numbers(F.col("body")).alias("numbers"))
 
@@ -253,7 +278,17 @@ def c14_relevance(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.relevance(F.col("body"), F.col("url")).alias("x")).select("doc_id", "x.*")
 
 
-@query()
+_FRONT = "(SELECT *, a AS head, CASE WHEN pos > 0 THEN substr(a, greatest(pos - 80, 1), least(pos - 1, 80) + length(name) + 80) ELSE '' END AS near FROM (SELECT *, coalesce(instr(a, nullif(name, '')), 0) AS pos FROM (SELECT *, regexp_extract(a, {name}) AS name FROM (SELECT doc_id, u, p, {ascii} AS a, lower(t) AS low FROM (SELECT doc_id, u, p, h || ' ' || b || '  ' || u AS f, h || ' ' || b AS t FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS h, coalesce(text, '') AS b, 'https://' || source || '.example.com/' || doc_id AS u, lower(coalesce(source, '')) AS p FROM documents))))))"
+_FRONT = _FRONT.format(name=_re(V.BENCHMARK_NAME), ascii=_ascii("f"))
+_ANY = lambda *patterns: "(" + " OR ".join(f"regexp_matches(a, {_re(x)})" for x in patterns) + ")"
+_POINTS = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
+
+
+@query(
+    f"SELECT doc_id, greatest(0, least(100, {V.RECENCY_UNKNOWN} + CASE WHEN p IN {_listed(V.HIGH_PLATFORMS)} THEN 20 WHEN p IN {_listed(V.MEDIUM_PLATFORMS)} THEN 12 WHEN p IN {_listed(V.COMMUNITY_PLATFORMS)} THEN 8 ELSE 4 END + least(3 * {_hits('low', V.FRONTIER_HIGH)} + {_hits('low', V.FRONTIER_LOW)}, 30) "
+    f"+ least({_POINTS(_ANY(V.ARXIV), 15)} + {_POINTS(_ANY(V.VERSION_TAG), 10)} + {_POINTS(f'pos > 0 AND regexp_matches(near, {_re(V.SCORE_NEAR)})', 15)} + {_POINTS(_ANY(V.PARAM_SCALE), 10)} + {_POINTS(_ANY(V.RELEASE_WORDS), 15)}, 40) + least({_POINTS(_ANY(V.BIG_TECH), 15)} + {_POINTS(_ANY(V.BUSINESS_TERMS, V.MONEY_AMOUNT), 10)}, 25) "
+    f"+ least({_POINTS(_ANY(V.LAUNCH_WORDS), 12)} + {_POINTS(_ANY(V.DATED_VERSION, V.VERSION_TAG), 8)}, 20)))::int AS score FROM {_FRONT}"
+)
 def j40_frontier_score(spark, sf_dir):
     none = F.lit("")
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.frontier_score(F.col("title"), F.col("body"), none, F.col("url"), F.col("source_name"), F.col("published_ts"), F.lit("2026-01-01").cast("timestamp")).alias("score"))
@@ -288,10 +323,24 @@ _SENTS = f"(SELECT doc_id, b, list_filter(list_transform(regexp_split_to_array(b
 
 
 @query(f"SELECT doc_id, CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) / len(s), 6) ELSE 0.0 END AS share FROM {_SENTS}")
-def j61_evidence_share(spark, sf_dir):
+def evidence_share(spark, sf_dir):
+    """The share of sentences with a number."""
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.round(evidence.evidence_share(F.col("body")), 6).alias("share"))
 
 
+_PROOF = " + ".join(_n("a", p) for p in V.STRICT_PROOF)
+
+
+@query(f"SELECT doc_id, {_PROOF} AS n FROM {_BODY_ASCII}")
+def j61_proof_tokens(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.proof_tokens(F.col("body")).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {' + '.join(_n('a', p) for p in V.HARD_EVIDENCE)} AS n FROM {_BODY_ASCII}")
+def j62_hard_evidence(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.hard_evidence(F.col("body")).cast("long").alias("n"))
+
+
 # Predicates of items and blocks -----------------------------------------------------------------------------------------
 _TITLED = f"(SELECT *, regexp_replace(split_part(coalesce(text, ''), chr(10), 1), {WS}, '', 'g') AS h FROM {DOCS})"
 _INDEX = f"{_hits('lower(h || chr(32) || b)', V.INDEX_WORDS)} > 0"
@@ -404,9 +453,8 @@ def j102_two_sentences(spark, sf_dir):
 
 
 # Sentences worth quoting ------------------------------------------------------------------------------------------------
-_LIST = lambda words: "(" + ", ".join(map(_q, words)) + ")"
 _SQUEEZE = lambda c: rf"trim(regexp_replace({c}, '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
-_TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda t: t NOT IN {_LIST(mining.FRAME_STOPS)}))".replace("\\\\", "\\")
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda t: t NOT IN {_listed(mining.FRAME_STOPS)}))".replace("\\\\", "\\")
 _SHARED = lambda a, b: f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) ELSE 0 END"
 #: (doc_id, i, x): the sentences and clauses of documents in order.
 _MINED = (
@@ -476,7 +524,15 @@ def j08_domain(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", links.domain(F.col("url")).alias("domain"))
 
 
-@query()
+#: The tables' addresses have no repeated, encoded or blank parameters.
+_URL = (
+    "(SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p, "
+    f"array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: contains(x, '=') AND split_part(x, '=', 2) <> '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(map(_q, V.TRACKING))}) AND NOT starts_with(lower(x), 'utm_')), '&') AS q FROM (SELECT page_id, trim(coalesce(url, '')) AS u FROM pages))"
+)
+_URL = f"(SELECT page_id, lower(s) || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM {_URL})"
+
+
+@query(f"SELECT page_id, url FROM {_URL}")
 def j07_normalize_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", links.normalize_url(F.col("url")).alias("url"))
 
@@ -535,7 +591,7 @@ def k02_text_exact_dedupe(spark, sf_dir):
     return dedupe.first_of_each(items(spark, sf_dir), F.sha2(F.col("body").cast("binary"), 256)).select(F.col("ord").alias("doc_id"))
 
 
-@query()
+@query(f"SELECT min(page_id) AS page_id FROM {_URL} GROUP BY url")
 def w03_url_dedupe(spark, sf_dir):
     return dedupe.by_url(pages(spark, sf_dir).withColumn("source_name", F.lit(""))).select("page_id")
 
@@ -783,7 +839,7 @@ def f13_top_sources(spark, sf_dir):
     return stats.top_sources(d.withColumn("event_pass", scores.reason_of(F.col("x")).isNull()).withColumn("signal_pass", scores.reason_of(F.col("x"), *V.SIGNAL_LEVEL).isNull()))
 
 
-@query()
+@query(f"SELECT count(*) AS n, count(*) FILTER (k > 0) AS with_proof, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (k > 0) / count(*), 4) ELSE 0.0 END AS coverage FROM (SELECT {_PROOF} AS k FROM {_BODY_ASCII})")
 def f19_proof_coverage(spark, sf_dir):
     return stats.proof_coverage(items(spark, sf_dir))
 
@@ -805,7 +861,12 @@ def f07_frequency(spark, sf_dir):
     return stats.frequency(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.array("event_type").alias("a")), "a")
 
 
-@query()
+@query(
+    f"WITH p AS (SELECT source, count(*) AS c, count(*) FILTER ({_PROOF} > 0) AS proof, count(*) FILTER (length(b) >= {V.LONG_TEXT}) AS l FROM {_BODY_ASCII} GROUP BY source), o AS (SELECT sum(c) AS n, round(max(c) / sum(c), 4) AS share, round(sum(proof) / sum(c), 4) AS coverage, sum(l) AS l FROM p) "
+    f"SELECT 'SOURCE_DIVERSITY' AS gate, 'max_share' AS metric, share::double AS value, {V.SOURCE_SHARE}::double AS threshold, CASE WHEN share <= {V.SOURCE_SHARE} THEN 'PASS' WHEN n < {V.SPARSE_DAY} THEN 'SKIP' ELSE 'FAIL' END AS status FROM o "
+    f"UNION ALL SELECT 'PROOF_COVERAGE', 'coverage', coverage, {V.PROOF_COVERAGE}, CASE WHEN coverage >= {V.PROOF_COVERAGE} THEN 'PASS' WHEN n < {V.SPARSE_DAY} THEN 'SKIP' ELSE 'FAIL' END FROM o "
+    f"UNION ALL SELECT 'POOL_SUFFICIENCY', 'selected', n, {V.MIN_EVENTS}, CASE WHEN n >= {V.MIN_EVENTS} THEN 'PASS' ELSE 'FAIL' END FROM o UNION ALL SELECT 'POOL_SUFFICIENCY', 'long_texts', l, {V.LONG_NEEDED}, CASE WHEN l >= {V.LONG_NEEDED} THEN 'PASS' ELSE 'FAIL' END FROM o"
+)
 def h01_run_verdicts(spark, sf_dir):
     return stats.run_verdicts(items(spark, sf_dir))
 
