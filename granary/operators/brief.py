@@ -39,9 +39,18 @@ def _more(f: Column, texts: Column, own: Column, first: int, most: int, loose: b
     return F.concat(own, F.transform(taken, lambda x, i: F.struct(x["text"].alias("text"), x["score"].alias("score"), (F.lit(first) + F.size(own) + i).alias("index"))))
 
 
-def facts(text: Column, title: Column, actor: Column, anchors: Column) -> Column:
-    """Structs of text, score and index, the best first: the fact pack, and where that is thin what the other miners find, then any sentence with evidence."""
-
+def with_facts(rows: DataFrame, wanted: Column, name: str = "facts") -> DataFrame:
+    """rows with an array of structs of text, score and index, the best first: the fact pack, and where that is thin what the other miners find, then any sentence with evidence. Rows that are not wanted have null."""
+    text, title, actor, anchors = (F.col(c) for c in ("body", "title", "actor", "anchors"))
+    only = lambda c: F.when(wanted, c)
+    # Step by step: one expression of all this is more than the analyzer takes in its rounds.
+    rows = rows.withColumn("_pack", only(M.fact_pack(text, title, actor, anchors))).withColumn("_mined", only(M.sentence_candidates(text, title, actor, anchors)))
+    rows = rows.withColumn("_candidates", only(M.fact_candidates(text, title, actor, anchors))).withColumn("_every", only(M.source_sentences(text)))
+    own = F.struct(F.col("_pack").alias("pack"), F.col("_mined").alias("mined"), F.col("_candidates").alias("candidates"), F.col("_every").alias("all"), url_and_title_tokens(title).alias("words"), M.names_of(anchors).alias("names"))
+    return rows.withColumn("_own", only(own)).withColumn(name, only(_facts(F.col("_own")))).drop("_pack", "_mined", "_candidates", "_every", "_own")
+
+
+def _facts(own: Column) -> Column:
     def of(f: Column) -> Column:
         second = lambda own: F.when(F.size(own) >= LEAST_FACTS, own).otherwise(_more(f, F.concat(F.transform(f["mined"], lambda x: x["text"]), f["candidates"]), own, 1000, MOST_FACTS, False))
         third = lambda own: F.when(F.size(own) >= LEAST_FACTS, own).otherwise(_more(f, f["all"], own, 1500, LEAST_FACTS, True))
@@ -49,10 +58,6 @@ def facts(text: Column, title: Column, actor: Column, anchors: Column) -> Column
         order = F.array_sort(F.transform(every, lambda x: F.struct((-x["score"]).alias("r"), x["index"].alias("index"), x["text"].alias("text"))))
         return F.transform(order, lambda x: F.struct(x["text"].alias("text"), (-x["r"]).alias("score"), x["index"].alias("index")))
 
-    own = F.struct(
-        M.fact_pack(text, title, actor, anchors).alias("pack"), M.sentence_candidates(text, title, actor, anchors).alias("mined"), M.fact_candidates(text, title, actor, anchors).alias("candidates"), M.source_sentences(text).alias("all"),
-        url_and_title_tokens(title).alias("words"), M.names_of(anchors).alias("names"),
-    )
     return once(own, of)
 
 
@@ -76,7 +81,7 @@ def selection(cards: DataFrame, most: int = 10) -> DataFrame:
     early = (
         F.when(~F.coalesce(F.col("relevant"), F.lit(False)), "non_ai").when((actor == "") | numeric, "actor_invalid").when(F.length(body) < LEAST_TEXT, "fulltext_too_short").when(F.size(anchors) == 0, "anchor_missing")
     )
-    rows = cards.withColumn("_early", early).withColumn("_facts", F.when(F.col("_early").isNull(), facts(F.col("body"), F.col("title"), F.col("actor"), F.col("anchors"))))
+    rows = with_facts(cards.withColumn("_early", early), F.col("_early").isNull(), "_facts")
     rows = rows.withColumn("_quotes", two_quotes(F.col("_facts")))
     calls = F.exists("_quotes", M.is_call)
     reason = F.coalesce(F.col("_early"), F.when(F.size("_facts") < LEAST_FACTS, "fact_pack_insufficient").when(F.size("_quotes") < 2, "fact_pack_quote_missing").when(calls, "quote_cta_hit"))
