@@ -215,3 +215,17 @@ def evidence_share(text: Column) -> Column:
 
 def total_proof(*texts: Column) -> Column:
     return reduce(add, [count(text_of(t), p) for t in texts for p in V.STRICT_PROOF])
+
+
+def narrative_faults(first: Column, second: Column, window_1: Column, window_2: Column, quote_1: Column, quote_2: Column) -> Column:
+    """What is wrong with two narratives that show windows of quotes in corner brackets: codes in a fixed order, none if all is well."""
+    q, w, src = ([text_of(c) for c in pair] for pair in ((first, second), (window_1, window_2), (quote_1, quote_2)))
+    zh = lambda t: count(t, "[\\u4e00-\\u9fff]")
+    both = F.concat(q[0], F.lit(" "), q[1])
+    each = lambda rule: [rule(i) for i in (0, 1)]
+    rules = [
+        *each(lambda i: (w[i] == "", f"QW{i + 1}_EMPTY")), *each(lambda i: ((w[i] != "") & ~F.contains(q[i], F.concat(F.lit("「"), w[i], F.lit("」"))), f"Q{i + 1}_ZH_NO_WINDOW")),
+        *each(lambda i: (zh(q[i]) < V.NARRATIVE_ZH, f"Q{i + 1}_ZH_CHARS_LOW")), *each(lambda i: ((q[i] != "") & (count(q[i], "[a-zA-Z]") / F.greatest(F.length(q[i]), F.lit(1)) > V.NARRATIVE_EN), f"Q{i + 1}_EN_RATIO_HIGH")),
+        *each(lambda i: ((w[i] != "") & ~F.contains(src[i], w[i]), f"QW{i + 1}_NOT_SUBSTRING")), (both.rlike(V.NARRATIVE_STYLE), "STYLE_SANITY"), (both.rlike(V.NARRATIVE_NAMES), "NAMING"),
+    ]
+    return _codes(*rules)

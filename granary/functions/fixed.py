@@ -309,3 +309,19 @@ SIGNALS = {"TOOL_ADOPTION": "工具採用", "USER_PAIN": "使用者痛點", "WOR
 IMPACT_LABELS = ("MINIMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 TAG_PREFIX = r"(?iU)^(?:WATCH|TEST|MOVE|FIX|TODO|NOTE)\b\s*[：:]\s*"
 SAFE_SENTENCE = "持續監控此事件後續發展（T+7）。"
+
+# Topic words, fragments and narratives with quotes: fixed values, which decide results
+TOPIC_TERMS = (
+    "AI", "LLM", "GPT", "Claude", "Anthropic", "OpenAI", "Gemini", "model", "models", "machine learning", "deep learning", "neural", "transformer", "transformers", "diffusion", "embedding", "encoder", "inference", "quantization",
+    "text-to-image", "multimodal", "agent", "agents", "foundation model", "foundation models", "fine-tune", "fine-tuning", "fine_tune", "fine_tuning", "benchmark", "benchmarks", "benchmarking", "CUDA", "GPU", "TPU",
+    "reasoning", "chain-of-thought", "autonomous", "autonomy", "synthetic data", "synthetic", "hallucin", "Hugging Face", "HuggingFace", "RAG", "retrieval-augmented", "RLHF", "reinforcement learning",
+    "pre-train", "pre-training", "pretrain", "pretraining", "tokenizer", "tokenization", "vector database", "vector store", "prompt", "prompting", "parameter", "parameters", "compute", "FLOPs", "safety", "alignment",
+    "Llama", "Mistral", "Falcon", "Stable Diffusion", "NVIDIA", "A100", "H100",
+)
+TOPIC_PREFIXES = ("hallucin",)
+ZH_FIRST = "^[的了而與來記是在和或及對從向把被讓給]"
+NARRATIVE_ZH, NARRATIVE_EN = 40, 0.5
+NARRATIVE_STYLE = (
+    "(?i)引發.*(?:討論|關注|熱議)|具有.*(?:實質|重大).*(?:影響|意義)|(?:各方|業界).*(?:著手|正).*(?:評估|追蹤).*(?:後續|影響|動向)|料將影響.*(?:格局|走向|市場)|最新公告顯示|確認.*原文出處|原文已提供.*依據|避免基於推測"
+)
+NARRATIVE_NAMES = "克勞德|克劳德|柯勞德|可勞德|可劳德|克洛德"

@@ -280,3 +280,10 @@ def is_banned(c: Column) -> Column:
 def is_first_rank(source_name: Column, url: Column, title: Column) -> Column:
     """By the names of laboratories in source, address or title, or by the address of a blog of theirs."""
     return squeeze(F.concat_ws(" ", text_of(source_name), text_of(url), text_of(title))).rlike(f"(?i){V.FIRST_SOURCE}") | squeeze(url).rlike(f"(?i){V.FIRST_URL}")
+
+
+def names_topic(*texts: Column) -> Column:
+    """Whether one of the texts has a term of the topic as a word of its own, or a word that begins with one of some."""
+    words = sorted(V.TOPIC_TERMS, key=len, reverse=True)
+    pattern = "|".join(rf"(?<!\w)\Q{w}\E" + ("" if w in V.TOPIC_PREFIXES else r"(?!\w)") for w in words)
+    return squeeze(F.concat_ws(" ", *[text_of(t) for t in texts])).rlike(f"(?iU)(?:{pattern})")

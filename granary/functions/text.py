@@ -329,3 +329,35 @@ def two_sentences(c: Column) -> Column:
         return F.when(F.size(p) >= 2, struct(p[0], rest)).when((F.size(p) == 1) & (F.size(halves) == 2) & ~F.array_contains(halves, ""), struct(F.get(halves, F.lit(0)), F.get(halves, F.lit(1))))
 
     return once(lenient_sentences(c), lambda p: pair(F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(p)))
+
+
+def is_loose_fragment(c: Column) -> Column:
+    """Whether a text says nothing by itself: below 12 characters without a number, an address or a name, or below 40 with an open end."""
+
+    def of(s: Column) -> Column:
+        short = ~s.rlike(r"\d") & ~s.rlike("(?i)https?://") & (s.rlike(V.ZH_FIRST) | ~s.rlike("[A-Z][a-z]{2,}|[\\u4e00-\\u9fff]{2,}"))
+        open_end = ~s.rlike(V.MARKS) & (s.rlike(f"(?iU){V.EN_LAST}") | s.rlike(V.ZH_LAST))
+        return F.when(s == "", True).when(F.length(s) < 12, short).when(F.length(s) < 40, open_end).otherwise(False)
+
+    return once(strip(text_of(c)), of)
+
+
+def smart_truncate(c: Column, limit: int) -> Column:
+    """A text cut behind a sentence, a clause or a word beyond half of `limit` characters, whichever kind there is first; at the limit if there is none."""
+
+    def of(cut: Column) -> Column:
+        last = lambda mark: F.when(F.contains(cut, F.lit(mark)), F.length(cut) - F.length(F.substring_index(cut, mark, -1)) - len(mark)).otherwise(-1)
+        out = None
+        for mark in ("。", "！", "？", "；", ". ", "，"):
+            hit, value = last(mark) > limit * 0.5, F.regexp_replace(F.substring(cut, F.lit(1), last(mark) + len(mark)), r"(?U)\s+$", "")
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.when(last(" ") > limit * 0.5, F.regexp_replace(F.substring(cut, F.lit(1), last(" ")), r"(?U)\s+$", "")).otherwise(F.regexp_replace(cut, r"(?U)\s+$", ""))
+
+    return F.when(F.length(text_of(c)) <= limit, text_of(c)).otherwise(once(F.substring(text_of(c), 1, limit), of))
+
+
+def candidate_text(fields: list[Column], arrays: list[Column], most: int = 5) -> Column:
+    """The fields of a card that say something, then the first elements of its lists, as one text."""
+    kept = lambda a: F.filter(F.transform(a, lambda x: strip(text_of(x))), lambda x: x != "")
+    lists = [kept(F.slice(F.coalesce(a, F.array().cast("array<string>")), 1, most)) for a in arrays]
+    return squeeze(F.array_join(F.concat(kept(F.array(*fields)), *lists), " "))

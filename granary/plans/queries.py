@@ -452,6 +452,67 @@ def j102_two_sentences(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.two_sentences(F.col("body")).alias("x")).select("doc_id", "x.first", "x.second")
 
 
+_LINE = "trim(split_part(coalesce(text, ''), chr(10), 1))"
+_LINE_DOCS = f"(SELECT *, {_ascii('b')} AS a FROM (SELECT *, {BODY.replace('coalesce(text, ' + chr(39) * 2 + ')', _LINE)} AS b FROM documents))"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN b = '' THEN true WHEN length(b) < 12 THEN NOT regexp_matches(b, '[0-9]') AND NOT regexp_matches(b, '(?i)https?://') AND (regexp_matches(b, {_q(V.ZH_FIRST)}) OR NOT regexp_matches(b, '[A-Z][a-z]{{2,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) "
+    f"WHEN length(b) < 40 THEN NOT regexp_matches(b, {_q(V.MARKS)}) AND (regexp_matches(a, {_re('(?i)' + V.EN_LAST)}) OR regexp_matches(b, {_q(V.ZH_LAST)})) ELSE false END AS fragment FROM {_LINE_DOCS}"
+)
+def c23_loose_fragment(spark, sf_dir):
+    """First lines of documents."""
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.is_loose_fragment(F.col("title")).alias("fragment"))
+
+
+_TOPIC = "|".join(("(^|[^0-9A-Za-z_])" + w.replace("-", "[-]")) + ("" if w in V.TOPIC_PREFIXES else "($|[^0-9A-Za-z_])") for w in sorted(V.TOPIC_TERMS, key=len, reverse=True))
+
+
+@query(f"SELECT doc_id, regexp_matches({_ascii('coalesce(text, ' + chr(39) * 2 + ')')}, {_q('(?i)' + _TOPIC)}) AS topic FROM documents")
+def c24_names_topic(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.names_topic(F.col("body")).alias("topic"))
+
+
+@query(f"SELECT conv_id, turn, b = '' OR regexp_matches({_ascii('b')}, {_re(mining.EMAIL)}) OR regexp_matches(b, {_q(mining.CALL_TO_ACTION)}) AS call FROM (SELECT *, trim(coalesce(text, '')) AS b FROM conversations)")
+def c29_calls(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mining.is_call(text.squeeze(F.col("text"))).alias("call"))
+
+
+@query(
+    f"SELECT conv_id, turn, ((t = '')::int + (t <> '' AND NOT contains(q, '「' || t || '」'))::int + (length(regexp_replace(q, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) < {V.NARRATIVE_ZH})::int + (q <> '' AND length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) / greatest(length(q), 1) > {V.NARRATIVE_EN})::int)::int AS n "
+    "FROM (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 25) AS t, '報導指出「' || substr(coalesce(text, ''), 1, 25) || '」' || CASE WHEN turn % 2 = 0 THEN repeat('這是一段足夠長的敘述文字', 4) ELSE '' END AS q FROM conversations)"
+)
+def c36_narrative_faults(spark, sf_dir):
+    """Narratives made of the turns' beginnings; half of them lack text."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.text_of("text").alias("text")).withColumn("w", F.substring("text", 1, 25))
+    q = F.concat(F.lit("報導指出「"), F.col("w"), F.lit("」"), F.when(F.col("turn") % 2 == 0, F.repeat(F.lit("這是一段足夠長的敘述文字"), F.lit(4))).otherwise(""))
+    return c.select("conv_id", "turn", F.size(evidence.narrative_faults(q, F.lit("「w」" + "這是一段足夠長的敘述文字" * 4), F.col("w"), F.lit("w"), F.col("text"), F.lit("w"))).alias("n"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN length(b) <= 120 THEN b WHEN p > 60 THEN rtrim(substr(c, 1, p + 1)) WHEN s > 60 THEN rtrim(substr(c, 1, s)) ELSE rtrim(c) END AS text FROM (SELECT doc_id, b, c, CASE WHEN contains(c, '. ') THEN length(c) - length(list_last(string_split(c, '. '))) - 2 ELSE -1 END AS p, "
+    "CASE WHEN contains(c, ' ') THEN length(c) - length(list_last(string_split(c, ' '))) - 1 ELSE -1 END AS s FROM (SELECT doc_id, b, substr(b, 1, 120) AS c FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS b FROM documents)))"
+)
+def j51_smart_truncate(spark, sf_dir):
+    """The SQL has the marks that the tables' languages use."""
+    b = F.regexp_replace(F.col("body"), r"\s+", " ")
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.smart_truncate(b, 120).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_hits('x', V.REPORT_BANNED)} > 0 THEN {_q(V.SAFE_SENTENCE)} ELSE x END AS text FROM (SELECT doc_id, replace(replace(regexp_replace({BODY}, {_q(V.TAG_PREFIX.replace('(?iU)', '(?i)'))}, ''), '…', ''), '...', '') AS x FROM documents)")
+def j52_for_reports(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), narrative.for_reports(F.col("body")).alias("text"))
+
+
+@query(
+    "SELECT doc_id, trim(regexp_replace(array_to_string(list_concat(list_filter([t, source, lang], lambda x: x <> ''), list_filter(list_transform(string_split(coalesce(text, ''), chr(10))[1:5], lambda x: trim(x)), lambda x: x <> '')), ' '), '\\s+', ' ', 'g')) AS text "
+    f"FROM (SELECT doc_id, text, {_LINE} AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)"
+)
+def c13_candidate_text(spark, sf_dir):
+    lines = F.split("body", "\n")
+    return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.candidate_text([F.col("title"), F.col("source_name"), F.col("lang")], [lines]).alias("text"))
+
+
 # Sentences worth quoting ------------------------------------------------------------------------------------------------
 _SQUEEZE = lambda c: rf"trim(regexp_replace({c}, '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 _TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda t: t NOT IN {_listed(mining.FRAME_STOPS)}))".replace("\\\\", "\\")
