@@ -7,8 +7,9 @@ probability follows from its count. The output is factored: first a softmax over
 of endings, then one within the class. A document is scored whole, in windows between which the state is carried.
 
 Training is local stochastic gradient descent: in each round every task trains on its own documents from the common
-parameters, and the results are averaged. Each training document is trained on whole, in the windows of one round, with
-the state carried from window to window; only the gradient ends with a window. Counts of the KNOWN most frequent words go to all tasks, a bounded
+parameters, and the results are averaged. Each training document is trained on whole, in the windows of one round:
+documents stand end to end, are cut into streams of one length, and the state is carried from window to window of a stream;
+only the gradient ends with a window. A stream that begins within a document begins with an empty state. Counts of the KNOWN most frequent words go to all tasks, a bounded
 table; the counts of all other words are joined.
 
 Results in special cases: null and empty texts have the end token alone; without training documents all words are
@@ -19,7 +20,6 @@ counts as an empty text in the choice of training documents); equal texts of one
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,12 @@ CLASS, LEAST_CLASSES, SHARE = 64, 16, 2
 TAILS = 256
 KNOWN = 1 << 18
 HIDDEN = 24
-#: Tokens of a window of backpropagation, streams of documents side by side, fewest of them, and tokens that are dealt to streams at once.
+#: Tokens of a window of backpropagation, streams side by side, fewest of them, and tokens that are dealt to streams at once.
 WINDOW, BATCH, FEWEST, DEALT = 32, 384, 96, 4_000_000
 #: Tokens for an update, at least: windows of few streams are put together.
 STEP = 1024
 ROUNDS, LEAST_STEPS = 3, 48
-RATE = 0.02
+RATE = 0.04
 #: Tasks whose sums of parameters come to the driver, and those that sum up before them where there are many parts.
 COMBINE, BEFORE, MANY = 16, 256, 1024
 SMOOTH = 0.1
@@ -390,14 +390,10 @@ class Adam:
 
 
 def streams(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """Documents, end to end, in streams of about one length, the longest first."""
-    n = min(max(sum(map(len, docs)) // max(map(len, docs)), FEWEST), BATCH, len(docs))
-    loads, out = [(0, i) for i in range(n)], [[] for _ in range(n)]
-    for d in sorted(docs, key=len, reverse=True):
-        load, i = loads[0]
-        out[i].append(d)
-        heapq.heapreplace(loads, (load + len(d), i))
-    return sorted((np.concatenate(x) for x in out), key=len, reverse=True)
+    """Documents, end to end, cut into streams of one length, the longer first; so many that a pass has LEAST_STEPS windows where it can."""
+    flat = np.concatenate(docs)
+    n = min(max(len(flat) // (WINDOW * max(LEAST_STEPS, 1)), FEWEST), BATCH, len(flat))
+    return np.array_split(flat, n)
 
 
 def windows(docs: list[np.ndarray]) -> Iterator[np.ndarray]:
