@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
 from granary.functions.text import sentences, text_of
+from granary.operators.dedupe import cut
 
 
 def ranked(rows: DataFrame, by: list[Column], key: str | None = None, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -34,7 +35,8 @@ def executive(rows: DataFrame, quotas: dict[str, int] = V.QUOTAS, most: int = V.
     the best rows of each bucket and channel, a few dozen whatever the input, go through the later steps.
     """
     rank = F.greatest(*[F.col(f"{k}_score") for k in V.CHANNELS]) * 0.7 + F.col("final_score") * 3 + F.when(F.coalesce(F.col("fulltext_len"), F.lit(0)) >= V.LONG_TEXT, 30).otherwise(0)
-    rows = rows.withColumn("_rank", rank)
+    # Scores are worked out in one scan; what follows reads these narrow rows.
+    rows = cut(rows.select("item_id", "ord", "best_channel", *[f"{k}_score" for k in V.CHANNELS], rank.alias("_rank"), "frontier_score", "age_h"))
     total = sum(quotas.values())
     by = [F.desc("_rank")]
     pool = ranked(rows, by, "best_channel", most + total, "_in_bucket")
@@ -72,7 +74,7 @@ def executive(rows: DataFrame, quotas: dict[str, int] = V.QUOTAS, most: int = V.
                     bucket[r.item_id], have[name] = (name, "backfill"), have[name] + 1
         yield pd.DataFrame([(k, b, s) for k, (b, s) in bucket.items()], columns=["item_id", "bucket", "step"])
 
-    return pool.select("item_id", "ord", "best_channel", *[f"{k}_score" for k in V.CHANNELS], "_rank", "frontier_score", "age_h").coalesce(1).mapInPandas(pick, "item_id string, bucket string, step string")
+    return pool.select(rows.columns).coalesce(1).mapInPandas(pick, "item_id string, bucket string, step string")
 
 
 def tracks(rows: DataFrame, first: int = 50, others: int = 4) -> DataFrame:
