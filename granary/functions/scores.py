@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, squeeze, strip, text_of
+from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, rounded, squeeze, strip, text_of
 from granary.operators.matching import class_hits
 
 
@@ -192,13 +192,13 @@ def rule_scores(title: Column, body: Column, source_name: Column, source_categor
     """A struct of novelty, utility, heat, feasibility, final_score, dup_risk, is_ad and tags. Rounding is half-even."""
     t = text_of(body)
     n = F.length(t)
-    cap = lambda x: F.bround(F.least(F.lit(10.0), x), 1)
+    cap = lambda x: rounded(F.least(F.lit(10.0), x), 1)
     lookup = lambda values, c, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), text_of(c)), F.lit(other))
     novelty, utility = cap(3 + n / 500 + n_entities * 0.5), cap(4 + n_points * 1.5 + n_entities * 0.5)
     heat, feasible = cap(lookup(V.SOURCE_HEAT, source_name, 5) + n / 1000), lookup(V.FEASIBILITY, source_category, 5).cast("double")
     ad = is_ad(title, t)
     return F.struct(
-        novelty.alias("novelty"), utility.alias("utility"), heat.alias("heat"), feasible.alias("feasibility"), F.bround((novelty + utility + heat + feasible) / 4, 2).alias("final_score"), F.lit(0.0).alias("dup_risk"),
+        novelty.alias("novelty"), utility.alias("utility"), heat.alias("heat"), feasible.alias("feasibility"), rounded((novelty + utility + heat + feasible) / 4, 2).alias("final_score"), F.lit(0.0).alias("dup_risk"),
         ad.alias("is_ad"), F.array_compact(F.array(source_category, source_name, F.when(ad, "ad"))).alias("tags"),
     )
 
@@ -209,7 +209,7 @@ def passes(b: Column, score: float = V.GATE_SCORE, dup_risk: float = V.GATE_DUP_
 
 def signal_strength(b: Column, evidence: Column) -> Column:
     raw = b["novelty"] * 0.2 + b["utility"] * 0.15 + b["heat"] * 0.15 + b["feasibility"] * 0.15 + b["final_score"] * 0.15 + evidence * 2.0
-    return F.bround(F.least(F.lit(10.0), raw), 2)
+    return rounded(F.least(F.lit(10.0), raw), 2)
 
 
 def impact(score: Column, richness: Column) -> Column:

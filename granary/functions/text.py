@@ -361,3 +361,18 @@ def candidate_text(fields: list[Column], arrays: list[Column], most: int = 5) ->
     kept = lambda a: F.filter(F.transform(a, lambda x: strip(text_of(x))), lambda x: x != "")
     lists = [kept(F.slice(F.coalesce(a, F.array().cast("array<string>")), 1, most)) for a in arrays]
     return squeeze(F.array_join(F.concat(kept(F.array(*fields)), *lists), " "))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A number from 1/16 up to 100 rounded by its exact binary value, ties to the even digit: 8.925, which is a little more, gives 8.93, and 8.125 gives 8.12."""
+    one = 1 << 56
+
+    def of(p: Column) -> Column:
+        rest = p % F.lit(one).cast("decimal(38,0)")
+        down = ((p - rest) / F.lit(one).cast("decimal(38,0)")).cast("long")
+        twice = (rest * 2).cast("decimal(38,0)")
+        up = (twice > one) | ((twice == one) & (down % 2 == 1))
+        return (down + up.cast("long")) / F.lit(float(10**digits))
+
+    # A double below 128 times 2^56 is a long, exactly.
+    return once(((c.cast("double") * float(one)).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(4,0)")).cast("decimal(38,0)"), of)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.functions import fixed as V
 from granary.functions.links import normalize_url
@@ -100,8 +103,9 @@ def similar_pairs(rows: DataFrame, text: str = "title", least: float = V.FUZZY,
     long = spread.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("n").alias("na"), cut_at(F.col("i")).alias("at"), (cut_at(F.col("i") + 1) - cut_at(F.col("i"))).alias("size"))
     long = long.withColumn("piece", F.substring(F.col("ta"), F.col("at") + 1, F.col("size"))).filter("size > 0")
     # Any place of the other text may start a piece of one of the sizes that longer texts have.
-    sizes = long.select("size", "na").distinct().groupBy("size").agg(F.min("na").alias("lo"), F.max("na").alias("hi"))
-    other = texts.join(F.broadcast(sizes), (F.col("n") <= F.col("hi")) & (F.col("n") >= F.col("lo") * least / (200 - least) - 1))  # one row for each size of a piece, a handful
+    sizes = cut(long.select("size", "na").distinct().groupBy("size").agg(F.min("na").alias("lo"), F.max("na").alias("hi")))
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    other = texts.join(sizes, (F.col("n") <= F.col("hi")) & (F.col("n") >= F.col("lo") * least / (200 - least) - 1))  # one row for each size of a piece
     other = other.filter("n >= size").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
     other = other.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("n").alias("nb"), "p", "size", F.substring(F.col("t"), F.col("p") + 1, F.col("size")).alias("piece"))
     found = long.join(other, ["size", "piece"]).filter("ka != kb and nb <= na and abs(p - at) <= floor(na * 2 * %r)" % share)
@@ -109,13 +113,34 @@ def similar_pairs(rows: DataFrame, text: str = "title", least: float = V.FUZZY,
     return pairs.filter(indel_ratio("ta", "tb") > least).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
 
-def keep_first(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Pairs that one task decides in order, some 16 MB; more are decided in rounds.
+IN_ORDER = 1_000_000
+
+
+def _passed_over(pairs: DataFrame) -> DataFrame:
+    """(k): what a pass in order drops, from pairs that one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((b, a) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        gone: set = set()
+        for b, a in own:  # all that is earlier has been decided
+            if a not in gone:
+                gone.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), kind)], names=["k"])
+
+    kind = to_arrow_type(pairs.schema["b"].dataType)
+    return pairs.select("a", "b").coalesce(1).mapInArrow(run, T.StructType([T.StructField("k", pairs.schema["b"].dataType)]))
+
+
+def keep_first(keys: DataFrame, pairs: DataFrame, in_order: int = IN_ORDER) -> DataFrame:
     """The keys that a pass in order keeps: one is kept unless an earlier kept one is similar. keys: (k); pairs: (a, b), a < b.
 
-    Rounds: what has no undecided earlier neighbour is kept, what has a kept one goes. Each round decides the first of
-    every chain, so a chain of n similar texts takes n / 2 rounds at most.
+    Up to `in_order` pairs are decided by one task. More are in rounds: what has no undecided earlier neighbour is kept, what
+    has a kept one goes. Each round decides the first of every chain, so a chain of n similar texts takes n / 2 rounds at most.
     """
     open_, gone = cut(pairs.select("a", "b").distinct()), None
+    if open_.count() <= in_order:
+        return keys.join(_passed_over(open_), "k", "left_anti")
     while not open_.isEmpty():
         kept = open_.select(F.col("a").alias("k")).distinct().join(open_.select(F.col("b").alias("k")), "k", "left_anti")
         dropped = cut(open_.join(kept.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct())

@@ -205,7 +205,19 @@ def j55_ui_garbage(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.ui_garbage_score(F.col("body")).alias("score"), text.has_ui_tokens(F.col("body")).alias("ui_tokens"))
 
 
-@query()
+_UI_STRONG, _UI_SHORT = ("|".join(f"(?:{p.replace('(?iU)', '').replace('(?i)', '')})" for p, _ in own) for own in (V.UI_STRONG, V.UI_SHORT))
+_LINE_OF = f"regexp_replace(x, {WS}, '', 'g')"
+_KEEP = (
+    f"NOT (regexp_matches({_ascii(_LINE_OF)}, {_q('(?i)' + _UI_STRONG)}) OR (length({_LINE_OF}) <= 40 AND regexp_matches({_ascii(_LINE_OF)}, {_q('(?i)' + _UI_SHORT)})) "
+    f"OR ({_LINE_OF} <> '' AND length({_LINE_OF}) < 60 AND 1 - length(regexp_replace({_LINE_OF}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length({_LINE_OF}) > 0.5))"
+)
+_CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[^\S\n]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {WS}, '', 'g')"
+_CLEAN = f"regexp_replace(array_to_string(list_filter(string_split({_CLEAN}, chr(10)), lambda x: {_KEEP}), chr(10)), {WS}, '', 'g')"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN length(o) <= {V.CLEAN_LIMIT} THEN o WHEN contains(c, chr(10)) AND k > {int(V.CLEAN_LIMIT * 0.8)} THEN substr(c, 1, k) ELSE c END AS text FROM (SELECT *, length(c) - length(list_last(string_split(c, chr(10)))) - 1 AS k FROM (SELECT doc_id, o, substr(o, 1, {V.CLEAN_LIMIT}) AS c FROM (SELECT doc_id, {_CLEAN} AS o FROM documents)))"
+)
 def j54_clean_raw_text(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), text.clean_raw_text(F.col("body")).alias("text"))
 
@@ -247,7 +259,19 @@ def j36_ad_flag(spark, sf_dir):
     return items(spark, sf_dir).select(F.col("ord").alias("doc_id"), scores.is_ad(F.col("title"), F.col("body")).alias("is_ad"))
 
 
-@query()
+_KEYS = f"list_filter(list_transform(regexp_split_to_array(t, '[.。!！?？;；\\n]+'), lambda x: regexp_replace(x, {WS}, '', 'g')), lambda x: length(x) > 15)"
+#: Rounded by the exact binary value, ties to the even digit.
+_P = lambda x, d: f"((({x})::double * {1 << 56}::double)::hugeint * {10**d}::hugeint)"
+_ROUND = lambda x, d: f"(({_P(x, d)} // {1 << 56} + CASE WHEN 2 * ({_P(x, d)} % {1 << 56}) > {1 << 56} OR (2 * ({_P(x, d)} % {1 << 56}) = {1 << 56} AND {_P(x, d)} // {1 << 56} % 2 = 1) THEN 1 ELSE 0 END)::double / {10**d})"
+_CAP = lambda x: _ROUND(f"least(10.0::double, {x})", 1)
+_HEATS = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in V.SOURCE_HEAT.items())
+
+
+@query(
+    f"SELECT doc_id, novelty, utility, heat, 7.0::double AS feasibility, final AS final_score, ad AS is_ad, brief, final >= {V.GATE_SCORE} AND NOT ad AS passed FROM (SELECT *, {_ROUND('(novelty + utility + heat + 7.0::double) / 4', 2)} AS final FROM "
+    f"(SELECT doc_id, {_CAP('3 + n / 500 + names * 0.5::double')} AS novelty, {_CAP('4 + points * 1.5::double + names * 0.5::double')} AS utility, {_CAP(f'CASE source {_HEATS} ELSE 5 END + n / 1000')} AS heat, {_hits('lower(t || chr(32) || h)', V.AD_WORDS)} >= 2 AS ad, CASE WHEN n > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS brief FROM "
+    f"(SELECT doc_id, source, t, split_part(t, chr(10), 1) AS h, length(t)::double AS n, least(8, len({_KEYS})) AS points, least(8, len(list_distinct(regexp_extract_all(a, {_re('(?U)' + chr(92) + 'b[A-Z][a-z]{2,}' + chr(92) + 'b')})))) AS names FROM (SELECT *, {_ascii('substr(t, 1, 2000)')} AS a FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)))))"
+)
 def j38_item_results(spark, sf_dir):
     """Extraction, scores, card and gate of each item; the number of names is that of different title-case words."""
     d = items(spark, sf_dir)

@@ -409,6 +409,19 @@ def test_store(spark, tmp_path):
     assert [r.v for r in s.lookup(frame(("a", 0))).collect()] == [5]
 
 
+@pytest.mark.parametrize("in_order", [0, 10**6])
+def test_keep_first_in_order_and_in_rounds(spark, in_order):
+    rng = random.Random(3)
+    for n, m in ((1, 0), (30, 40), (60, 25)):
+        pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}) if n > 1 else []
+        gone = set()
+        for b in range(n):
+            if any(a not in gone for a, x in pairs if x == b):
+                gone.add(b)
+        got = dedupe.keep_first(spark.range(n).withColumnRenamed("id", "k"), spark.createDataFrame(pairs, "a long, b long"), in_order)
+        assert sorted(r.k for r in got.collect()) == sorted(set(range(n)) - gone)
+
+
 def _frame(spark, *rows):
     return spark.createDataFrame(rows, "item_id string, v int")
 

@@ -76,3 +76,11 @@ def test_narrative_faults(spark):
     cols = "abcdef"
     assert values(spark, evidence.narrative_faults(*(F.col(c) for c in cols)), rows, cols) == [plain_faults(*r) for r in rows]
     assert values(spark, evidence.narrative_faults(*(F.col(c) for c in cols)), [(None,) * 6], cols) == [plain_faults(*[""] * 6)]
+
+
+def test_rounding_is_that_of_binary_values(spark):
+    rng = random.Random(2)
+    rows = [i / 40 for i in range(3, 400)] + [3 + n / 500 for n in range(0, 3500, 7)] + [rng.uniform(0.07, 10) for _ in range(300)] + [10.0, 8.925, 8.125, 8.075, 0.0]
+    for digits in (1, 2):
+        got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x double").select("i", text.rounded(F.col("x"), digits).alias("r")).orderBy("i").collect()
+        assert [r.r for r in got] == [round(x, digits) for x in rows]
