@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import chunks, prepare
+from granary.llm.common import chunks, prepare, relieved
 
 #: The pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -308,7 +308,7 @@ def encoder(path: str) -> Bpe:
 def _with(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(relieved(fn), schema)
 
 
 def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
