@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
 from granary.functions import article, evidence, links, mining, scores, text
-from granary.operators import align, brief, dedupe, entities, gating, matching, metrics, narrative, select, stats
+from granary.operators import align, brief, cards, dedupe, entities, gating, matching, metrics, narrative, select, stats
 from granary.sources import fulltext
 from granary.streaming import runs
 
@@ -718,6 +718,7 @@ def d14_turn_overlap(spark, sf_dir):
     return t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("z")), ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.overlap_ratio(F.col("s"), F.col("z")), 6).alias("overlap"))
 
 
+_SPLIT = f"(SELECT doc_id, coalesce({HARD}, CASE WHEN {FRAGMENT} THEN 'fragment_placeholder' END) AS hard, length(b) AS n, {SENT} AS s, {_DENSITY} AS density FROM (SELECT *, {_ascii('b')} AS a FROM {DOCS}))"
 _DICT = "(SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark))"
 
 
@@ -828,6 +829,32 @@ def j66_near_repeats(spark, sf_dir):
     return d.select("conv_id", "n", F.size("d.kept").alias("kept"), "d.ratio")
 
 
+@query(
+    f"SELECT doc_id, CASE WHEN h = '' THEN {_q(cards.NO_TITLE)} ELSE h END AS title, CASE WHEN b = '' THEN {_q(cards.NO_TEXT)} ELSE substr(b, 1, {cards.SUMMARY}) END AS what_happened, 'Source ' || source || '; reference https://' || source || '.example.com/' || doc_id || '.' AS why_important, "
+    f"greatest(3.0::double, least(10.0::double, density / 10)) AS final_score, level = 'event' AS event_pass, density, CASE WHEN level = 'event' THEN 'A' ELSE 'B' END AS density_tier, length(b) AS fulltext_len FROM "
+    f"(SELECT doc_id, source, b, h, density, CASE WHEN hard IS NOT NULL THEN 'hard' WHEN n >= 1200 AND s >= 3 THEN 'event' ELSE 'other' END AS level FROM {_SPLIT} JOIN (SELECT doc_id, source, b, {_LINE} AS h FROM {DOCS}) USING (doc_id))"
+)
+def m02_soft_cards(spark, sf_dir):
+    d = gating.split_gate(items(spark, sf_dir).withColumn("full_text", F.lit("")).withColumn("fulltext_len", F.lit(0)), topic=False)
+    c = cards.soft_cards(d.withColumn("item_id", F.col("ord").cast("string")))
+    return c.select(F.col("item_id").cast("long").alias("doc_id"), "title", "what_happened", "why_important", "final_score", "event_pass", "density", "density_tier", F.col("fulltext_len").cast("long").alias("fulltext_len"))
+
+
+@query(
+    "SELECT d.doc_id, l.quality = 1 AS is_valid, CASE WHEN l.quality = 1 THEN '' ELSE 'failed_gate' END AS invalid_reason, CASE WHEN d.doc_id % 3 = 0 THEN 'https://own.example/' || d.doc_id WHEN d.doc_id % 2 = 0 THEN 'https://' || d.source || '.example.com/' || d.doc_id ELSE '' END AS source_url, "
+    "d.doc_id % 10 / 1.0::double AS final_score, CASE WHEN d.doc_id % 2 = 0 THEN length(coalesce(text, '')) ELSE 0 END AS fulltext_len FROM labels l JOIN documents d USING (doc_id)"
+)
+def m01_result_cards(spark, sf_dir):
+    """Results made of labelled documents; every second one has an item, every third an address of its own."""
+    d = items(spark, sf_dir).withColumn("item_id", F.col("ord").cast("string"))
+    r = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality"), "ord")
+    a = F.struct("title", F.col("body").alias("summary"), F.lit("tech").alias("category"), F.col("source_name").alias("source_id"))
+    own = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("https://own.example/"), F.col("ord"))).otherwise("none")
+    r = r.select("item_id", a.alias("a"), F.struct((F.col("ord") % 10).cast("double").alias("final_score")).alias("b"), F.struct(own.alias("cta_url")).alias("c"), (F.col("quality") == 1).alias("passed_gate"))
+    out = cards.result_cards(r, d.filter("ord % 2 = 0").select("item_id", "url", "fulltext_len"))
+    return out.select(F.col("item_id").cast("long").alias("doc_id"), "is_valid", "invalid_reason", "source_url", "final_score", "fulltext_len")
+
+
 @query()
 def w22_brief_selection(spark, sf_dir):
     d = items(spark, sf_dir).withColumn("actor", F.col("source_name")).withColumn("anchors", F.array("lang")).withColumn("relevant", F.col("ord") % 7 != 0)
@@ -847,7 +874,6 @@ def c04_adaptive_gate(spark, sf_dir):
     return gating.adaptive_gate(items(spark, sf_dir), topic=False).select(F.col("ord").alias("doc_id"), "level", "reason")
 
 
-_SPLIT = f"(SELECT doc_id, coalesce({HARD}, CASE WHEN {FRAGMENT} THEN 'fragment_placeholder' END) AS hard, length(b) AS n, {SENT} AS s, {_DENSITY} AS density FROM (SELECT *, {_ascii('b')} AS a FROM {DOCS}))"
 
 
 @query(
