@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import evidence as E
 from granary.functions import fixed as V
-from granary.functions.scores import impact
+from granary.functions.scores import impact, names_topic
 from granary.functions.text import proof_tokens, strip, text_of
 from granary.operators.matching import first_mentions
 
@@ -210,6 +211,32 @@ def run_verdicts(selected: DataFrame, source: str = "source_name", text: str = "
     )
 
 
+def fault_verdicts(rows: DataFrame, none: dict[str, Column], some: dict[str, Column], enough: int = 10, spare: int = 2) -> DataFrame:
+    """Verdicts (gate, metric, value, threshold, status) on how many rows have a fault, from one pass.
+
+    Gates of `none` fail with the first such row. Gates of `some` pass when `enough` rows, or all of fewer, are without
+    fault, or when no more than `spare` have one. A fault is a boolean, or an array of codes; null counts as a fault of `none`.
+    """
+    bad = lambda c, null: F.coalesce(c, F.lit(null))
+    one = rows.agg(F.count("*").alias("_n"), *[F.count_if(bad(c, True)).alias(k) for k, c in none.items()], *[F.count_if(bad(c, False)).alias(k) for k, c in some.items()])
+    strict = [verdict(k, "failed", F.col(k), 0, at_least=False) for k in none]
+    passed = lambda k: (F.col("_n") - F.col(k) >= F.least(F.lit(enough), F.col("_n"))) | (F.col(k) <= spare)
+    lenient = [F.struct(F.lit(k).alias("gate"), F.lit("failed").alias("metric"), F.col(k).cast("double").alias("value"), F.lit(float(spare)).alias("threshold"), F.when(passed(k), "PASS").otherwise("FAIL").alias("status")) for k in some]
+    return verdicts(one, *strict, *lenient)
+
+
+def narrative_verdicts(cards: DataFrame) -> DataFrame:
+    """fault_verdicts() of cards with title, q1, q2, actor, anchors, quote_1, quote_2, moves and risks: topic, boilerplate and anchored bullets for all, the structure of both narratives for ten."""
+    both = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("moves", "risks")])
+    anchors = F.coalesce(F.col("anchors"), F.array().cast("array<string>"))
+    has = lambda codes: F.size(codes) > 0
+    none = {
+        "AI_PURITY": ~names_topic(F.col("title"), F.col("quote_1"), F.col("quote_2"), F.array_join(anchors, " ")), "NO_BOILERPLATE": has(E.check_boilerplate(F.col("q1"), F.col("q2"))), "MOVES_ANCHORED": has(E.check_anchored(both, anchors)),
+    }
+    some = {"Q1_STRUCTURE": has(E.check_structure(F.col("q1"), "Q1", anchors, actor=F.col("actor"))), "Q2_STRUCTURE": has(E.check_structure(F.col("q2"), "Q2", anchors, quote=F.col("quote_2")))}
+    return fault_verdicts(cards, none, some)
+
+
 def acceptance(spark: SparkSession) -> DataFrame:
     """The gates and their thresholds as a table."""
     rows = [("POOL_HEALTH", "total", float(V.POOL_TOTAL)), ("POOL_HEALTH", "ge85_72h", float(V.POOL_FRESH)), ("EXEC_KPI", "events", float(V.MIN_EVENTS)), ("SOURCE_DIVERSITY", "max_share", V.SOURCE_SHARE), ("PROOF_COVERAGE", "coverage", V.PROOF_COVERAGE)]

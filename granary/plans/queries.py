@@ -987,6 +987,18 @@ def h04_pool_verdicts(spark, sf_dir):
     return stats.pool_verdicts(stats.pool_stats(_pool(spark, sf_dir)))
 
 
+_FRAGMENTS = ORACLE["c23_loose_fragment"]
+_TOPICS = ORACLE["c24_names_topic"]
+
+
+@query(
+    f"WITH f AS (SELECT count(*) AS n, count(*) FILTER (NOT topic) AS a, count(*) FILTER (fragment) AS b FROM ({_TOPICS}) JOIN ({_FRAGMENTS}) USING (doc_id)) SELECT 'AI_PURITY' AS gate, 'failed' AS metric, a::double AS value, 0.0::double AS threshold, CASE WHEN a = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM f "
+    "UNION ALL SELECT 'TITLES', 'failed', b, 2.0, CASE WHEN n - b >= least(10, n) OR b <= 2 THEN 'PASS' ELSE 'FAIL' END FROM f"
+)
+def h06_fault_verdicts(spark, sf_dir):
+    return stats.fault_verdicts(items(spark, sf_dir), {"AI_PURITY": ~scores.names_topic(F.col("body"))}, {"TITLES": text.is_loose_fragment(F.col("title"))})
+
+
 # Ranking --------------------------------------------------------------------------------------------------------------
 @query("SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 WHEN 'de' THEN 2 ELSE 0 END")
 def w01_quota_topk(spark, sf_dir):

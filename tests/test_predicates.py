@@ -84,3 +84,24 @@ def test_rounding_is_that_of_binary_values(spark):
     for digits in (1, 2):
         got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x double").select("i", text.rounded(F.col("x"), digits).alias("r")).orderBy("i").collect()
         assert [r.r for r in got] == [round(x, digits) for x in rows]
+
+
+def test_fault_verdicts(spark):
+    from granary.operators import stats
+
+    rows = lambda bad, n: spark.range(n).select((F.col("id") < bad).alias("bad"))
+    for bad, n, strict, lenient in ((0, 0, "PASS", "PASS"), (0, 5, "PASS", "PASS"), (1, 5, "FAIL", "PASS"), (3, 5, "FAIL", "FAIL"), (3, 12, "FAIL", "FAIL"), (2, 12, "FAIL", "PASS"), (5, 15, "FAIL", "PASS"), (6, 15, "FAIL", "FAIL")):
+        got = {r.gate: (r.value, r.status) for r in stats.fault_verdicts(rows(bad, n), {"A": F.col("bad")}, {"B": F.col("bad")}).collect()}
+        assert got == {"A": (float(bad), strict), "B": (float(bad), lenient)}, (bad, n)
+
+
+def test_narrative_verdicts(spark):
+    from granary.operators import stats
+
+    zh = "這是一段足夠長而且清楚的敘述文字"
+    good = ("OpenAI model", f"OpenAI {zh}「a window of it」", f"OpenAI {zh}「a window of it」", "OpenAI", ["OpenAI"], "q", "q", ["OpenAI moves"], [])
+    bad = ("Gardens", "", f"{zh}最新公告顯示", None, ["Rose"], None, None, ["nothing"], None)
+    df = lambda *rows: spark.createDataFrame(rows, "title string, q1 string, q2 string, actor string, anchors array<string>, quote_1 string, quote_2 string, moves array<string>, risks array<string>")
+    assert {r.status for r in stats.narrative_verdicts(df(good, good)).collect()} == {"PASS"}
+    got = {r.gate: (r.value, r.status) for r in stats.narrative_verdicts(df(good, bad, bad, bad)).collect()}
+    assert got == {"AI_PURITY": (3.0, "FAIL"), "NO_BOILERPLATE": (3.0, "FAIL"), "MOVES_ANCHORED": (3.0, "FAIL"), "Q1_STRUCTURE": (3.0, "FAIL"), "Q2_STRUCTURE": (3.0, "FAIL")}
