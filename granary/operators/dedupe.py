@@ -87,30 +87,81 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
 
 
+#: Texts, and 64-character stretches of texts, that a block of similar_pairs() has at most; buckets of its counts of characters and of pairs of them.
+BLOCK_TEXTS, BUCKETS = 2048, (32, 128)
+
+
+def _histogram(texts: list[str], width: int, size: int) -> np.ndarray:
+    """Counts of the texts' substrings of `width` characters, dealt into buckets."""
+    out = np.zeros((len(texts), size), np.int32)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(codes) >= width:
+            mixed = codes if width == 1 else codes[:-1] * np.uint64(31) + codes[1:]
+            out[i] = np.bincount((mixed % np.uint64(size)).astype(np.int64), minlength=size)
+    return out if out.max(initial=0) > 255 else out.astype(np.uint8)
+
+
+def _distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    if others.dtype == np.uint8:
+        return (np.maximum(one, others) - np.minimum(one, others)).sum(1, dtype=np.int64)
+    return np.abs(others - one).sum(1, dtype=np.int64)
+
+
+def _similar_within(left: list[str], right: list[str], least: float, same: bool) -> Iterator[tuple[int, int]]:
+    """Places of texts of two blocks, or of one block before and behind each other, with an indel ratio over `least`.
+
+    An edit inserts or deletes a character, so it changes one count of characters and three counts of neighbours at most: pairs
+    whose counts differ by more are decided without their common subsequence. Buckets only bring counts closer together.
+    """
+    n = np.array([len(t) for t in right])
+    chars, pairs = ((_histogram(left, w, k), _histogram(right, w, k)) for w, k in ((1, BUCKETS[0]), (2, BUCKETS[1])))
+    # Kinds that differ in width of their counts are compared in the wider one.
+    chars, pairs = ((x, y) if x.dtype == y.dtype else (x.astype(np.int32), y.astype(np.int32)) for x, y in (chars, pairs))
+    for i, t in enumerate(left):
+        at = np.arange(i + 1 if same else 0, len(right))
+        edits = (len(t) + n[at]) * (1 - least / 100)
+        at = at[np.abs(len(t) - n[at]) <= edits]
+        for own, other, each in ((*chars, 1), (*pairs, 3)):
+            at = at[_distances(own[i], other[at]) <= (len(t) + n[at]) * (1 - least / 100) * each] if len(at) else at
+        for j in at.tolist():
+            if 200.0 * _common(t, right[j]) / (len(t) + len(right[j])) > least:
+                yield i, j
+
+
 def similar_pairs(rows: DataFrame, text: str = "title", least: float = V.FUZZY, key: str = "ord") -> DataFrame:
     """(a, b): pairs of keys, a < b, of different texts with an indel ratio over `least`.
 
-    Exact: two texts can only be that similar if they agree in one of the pieces into which the longer one is cut, more
-    pieces than edits, at a place that differs by at most the edits. Pieces are joined at such places by length band.
+    Exact. Texts are put into blocks by length, and blocks meet where lengths allow such a ratio, a pair of blocks at a time:
+    the number of comparisons is the square of that of texts of about one length, memory that of two blocks.
     """
+    from granary.operators.select import numbered
+
     texts = rows.select(F.col(key).alias("k"), text_of(text).alias("t")).groupBy("t").agg(F.min("k").alias("k")).filter("t != ''").withColumn("n", F.length("t"))
-    # With lengths m <= n and a ratio over r, m > n r / (200 - r) and the edits are fewer than (m + n)(1 - r / 100).
-    share = 1 - least / 100
-    edits = F.floor(F.col("n") * 2 * share).cast("int")
-    pieces = edits + 1
-    cut_at = lambda i: F.floor(i * F.col("n") / pieces).cast("int")
-    spread = texts.withColumn("i", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    long = spread.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("n").alias("na"), cut_at(F.col("i")).alias("at"), (cut_at(F.col("i") + 1) - cut_at(F.col("i"))).alias("size"))
-    long = long.withColumn("piece", F.substring(F.col("ta"), F.col("at") + 1, F.col("size"))).filter("size > 0")
-    # Any place of the other text may start a piece of one of the sizes that longer texts have.
-    sizes = cut(long.select("size", "na").distinct().groupBy("size").agg(F.min("na").alias("lo"), F.max("na").alias("hi")))
-    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
-    other = texts.join(sizes, (F.col("n") <= F.col("hi")) & (F.col("n") >= F.col("lo") * least / (200 - least) - 1))  # one row for each size of a piece
-    other = other.filter("n >= size").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
-    other = other.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("n").alias("nb"), "p", "size", F.substring(F.col("t"), F.col("p") + 1, F.col("size")).alias("piece"))
-    found = long.join(other, ["size", "piece"]).filter("ka != kb and nb <= na and abs(p - at) <= floor(na * 2 * %r)" % share)
-    pairs = found.select("ka", "ta", "kb", "tb").distinct()
-    return pairs.filter(indel_ratio("ta", "tb") > least).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    kind = F.floor(F.log2(F.greatest(F.col("n"), F.lit(64)))).cast("int")
+    ranked = numbered(texts.withColumn("_by", F.struct("n", "t")), "_by").withColumn("kind", kind)
+    per = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_TEXTS * 64) / F.pow(F.lit(2.0), F.col("kind")))).cast("int")
+    blocks = ranked.withColumn("block", F.floor(F.col("ord") / per).cast("int")).groupBy("kind", "block").agg(F.collect_list("k").alias("k"), F.collect_list("t").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = cut(blocks)  # at most BLOCK_TEXTS texts each
+    a = blocks.select(*(F.col(c).alias(f"{c}_a") for c in blocks.columns))
+    b = blocks.select(*(F.col(c).alias(f"{c}_b") for c in blocks.columns))
+    # Only numbers of blocks meet all others; their texts follow.
+    ids = lambda x, s: x.select(*(f"{c}_{s}" for c in ("kind", "block", "lo", "hi")))
+    met = ids(a, "a").join(F.broadcast(ids(b, "b")), (F.struct("kind_a", "block_a") <= F.struct("kind_b", "block_b")) & (F.col("hi_a") >= F.col("lo_b") * least / (200 - least) - 1))  # one row for each block
+    met = met.select("kind_a", "block_a", "kind_b", "block_b").join(a.select("kind_a", "block_a", "k_a", "t_a"), ["kind_a", "block_a"]).join(b.select("kind_b", "block_b", "k_b", "t_b"), ["kind_b", "block_b"])
+    met = met.withColumn("same", (F.col("kind_a") == F.col("kind_b")) & (F.col("block_a") == F.col("block_b"))).select("same", "k_a", "t_a", "k_b", "t_b")
+    own = T.StructType([T.StructField(c, texts.schema["k"].dataType) for c in "ab"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, ka, ta, kb, tb = (c[i].as_py() for c in batch.columns)
+                found = [sorted((ka[x], kb[y])) for x, y in _similar_within(ta, tb, least, same)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[s] for p in found], to_arrow_type(own[s].dataType)) for s in (0, 1)], names=["a", "b"])
+
+    # A pair of blocks is a piece of work of its own, dealt round.
+    parallel = max(rows.sparkSession.sparkContext.defaultParallelism * 4, 32)
+    return met.repartition(parallel).mapInArrow(run, own)
 
 
 #: Pairs that one task decides in order, some 16 MB; more are decided in rounds.

@@ -5,6 +5,7 @@ import difflib
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,25 @@ def test_fuzzy_titles(spark):
     assert sorted(r.ord for r in got) == kept
 
 
+def test_similar_titles_of_common_pieces_are_compared_once(spark, monkeypatch):
+    """Titles of few different words share pieces of three letters nearly always; blocks do not make a row for each of them."""
+    rng = random.Random(5)
+    words = ["the", "tion", "ing", "and", "her", "ent", "ere", "on"]
+    titles = ["".join(rng.choice(words) for _ in range(rng.randint(12, 20)))[:60] for _ in range(150)]
+    titles += [t[:20] + "x" + t[20:] for t in titles[::5]] + [t * 40 for t in titles[::50]] + [t * 40 + "y" for t in titles[::50]]
+    monkeypatch.setattr(dedupe, "BLOCK_TEXTS", 16)
+    pairs = [tuple(r) for r in dedupe.similar_pairs(spark.createDataFrame(list(enumerate(titles)), "ord long, title string")).collect()]
+    assert len(set(pairs)) == len(pairs)
+    firsts = {t: i for i, t in reversed(list(enumerate(titles)))}
+    same = {(i, j) for t, i in firsts.items() for u, j in firsts.items() if i < j and abs(len(t) - len(u)) <= 0.15 * (len(t) + len(u)) and 200 * dedupe._common(t, u) / (len(t) + len(u)) > 85}
+    assert set(pairs) == same and len(same) >= 30
+    # What decides most pairs is work on arrays: 1 500 titles within some seconds in one process.
+    many = ["".join(rng.choice(words) for _ in range(20))[:60] for _ in range(1500)]
+    began = time.time()
+    list(dedupe._similar_within(many, many, 85.0, True))
+    assert time.time() - began < 20
+
+
 def test_keep_first_is_greedy(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (1, 9)]
     keys = spark.createDataFrame([(k,) for k in range(1, 10)], "k long")
