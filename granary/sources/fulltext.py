@@ -108,8 +108,8 @@ def calls(client: Callable[[], Client], spacing: float = 0.5, lanes: int = 1, tr
 
 
 def archived(pages: DataFrame, url: str = "url", html: str = "html") -> Fetch:
-    """Reads pages from a table with one row of an address; one that is not there is http_404."""
-    own = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
+    """Reads pages from a table; an address that is not there is http_404, one that has several pages is the first of their texts."""
+    own = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).groupBy("url").agg(F.min("html").alias("html"))
 
     def fetch(urls: DataFrame) -> DataFrame:
         found = urls.select("url").join(own, "url", "left")

@@ -139,3 +139,18 @@ def test_enrich(spark, tmp_path):
     bodies = {r.ord: r.body for r in got.collect()}
     assert bodies[0].startswith("A sentence") and bodies[1] == rows[1][3] and bodies[2] == "same" and bodies[3] == "x" and bodies[4] is None
     assert {r.url[14:]: (r.status, r.reason) for r in attempts.collect()} == {"1": ("ok", ""), "403": ("fail", "blocked"), "thin": ("fail", "extract_empty"), "slow": ("fail", "timeout")}
+
+
+def test_pages_that_share_an_address(spark, tmp_path):
+    """An archive gives one page for an address; the queries tell pages that share one apart, as their SQL does."""
+    from granary.plans import queries
+
+    text = ["<article>" + f"<p>{LONG * n}</p>" * 4 + "</article>" for n in (2, 3)]
+    p = spark.createDataFrame([(1, "https://a.org/1", text[0]), (2, "https://a.org/1", text[1]), (3, "https://a.org/3", text[0])], "page_id long, url string, html string")
+    got = fulltext.hydrate(items(spark, ["https://a.org/1", "https://a.org/3"]), fulltext.archived(p)).select("url", "fulltext_len").collect()
+    assert len(got) == 2 and len({r.url for r in got}) == 2
+    p.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.QUERIES["a33_hydration"](spark, str(tmp_path)).filter("visit < 2").collect()
+    n = {(r.page_id, r.visit): r.fulltext_len for r in rows}
+    assert len(rows) == 6 and n[1, 0] == n[1, 1] == n[3, 0] and n[2, 0] == n[2, 1] > n[1, 0]
+    assert queries.QUERIES["f23_hydration_meta"](spark, str(tmp_path)).first().events_total == 12
