@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import cjk_share, count, matches, sentences, squeeze, strip, text_of
+from granary.functions.sieve import Sieve
+from granary.functions.text import cjk_share, count, matches, once, sentences, squeeze, strip, text_of
 
 # Fixed values
 COMPANY = (
@@ -61,27 +63,33 @@ def event_anchors(title: Column, *texts: Column, most: int = 8) -> Column:
     return F.slice(distinct_ci(F.filter(F.transform(found, strip), lambda x: F.length(x) >= 2)), 1, most)
 
 
+_NAMED = {k: rf"(?iU)\b\Q{k}\E\b" for k in BENCHMARKS}
+ANCHOR_SIEVE = Sieve(V.MODELS, GENERIC_VERSION, MONEY, PARAMS, COMPANY, *((p, "(?i)" + re.escape(k)) for k, p in _NAMED.items()))
+
+
 def typed_anchors(title: Column, text: Column, most: int = 5) -> Column:
     """Structs of (type, value) by rank of type: model, benchmark, money, params, version, company; none within another."""
     src = strip(F.concat_ws(" ", strip(text_of(title)), strip(text_of(text))))
     clean = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(strip(x), "[.,;:!?]+$", "")), lambda x: F.length(x) >= 2)
-    model = clean(matches(src, V.MODELS))
-    bench = F.slice(F.array_compact(F.array(*[F.when(src.rlike(rf"(?iU)\b\Q{k}\E\b"), F.lit(k)) for k in BENCHMARKS])), 1, 1)
-    version = F.when(F.size(model) > 0, F.array().cast("array<string>")).otherwise(clean(matches(src, GENERIC_VERSION)))
-    kinds = [("product", 6, model), ("benchmark", 5, bench), ("money", 4, clean(matches(src, MONEY))), ("params", 3, clean(matches(src, PARAMS))), ("version", 2, version)]
+    none = F.array().cast("array<string>")
 
     def ranked(name: str, points: int, found: Column) -> Column:
         longer = name in ("product", "money")
         return F.transform(found, lambda x, i: F.struct((-F.lit(points * 100) - (F.length(x) if longer else F.lit(0))).alias("r"), i.alias("i"), F.lit(name).alias("type"), x.alias("value")))
 
-    typed = F.concat(*[ranked(*k) for k in kinds])
-    company = F.transform(clean(matches(src, COMPANY)), lambda x, i: F.struct(F.lit(0).alias("r"), i.alias("i"), F.lit("company").alias("type"), x.alias("value")))
-    best = F.slice(F.array_sort(F.when(F.size(typed) > 0, typed).otherwise(company)), 1, most)
+    def found(x: Column) -> Column:
+        own = lambda p: clean(ANCHOR_SIEVE.matches(x["bits"], x["src"], p))
+        bench = F.slice(F.array_compact(F.array(*[F.when(ANCHOR_SIEVE.has(x["bits"], x["src"], p), F.lit(k)) for k, p in _NAMED.items()])), 1, 1)
+        version = lambda model: F.when(F.size(model) > 0, none).otherwise(own(GENERIC_VERSION))
+        typed = lambda model: F.concat(*[ranked(*k) for k in [("product", 6, model), ("benchmark", 5, bench), ("money", 4, own(MONEY)), ("params", 3, own(PARAMS)), ("version", 2, version(model))]])
+        company = F.transform(own(COMPANY), lambda x, i: F.struct(F.lit(0).alias("r"), i.alias("i"), F.lit("company").alias("type"), x.alias("value")))
+        return once(once(own(V.MODELS), typed), lambda t: F.slice(F.array_sort(F.when(F.size(t) > 0, t).otherwise(company)), 1, most))
 
     def fold(out: Column, x: Column) -> Column:
         inside = F.exists(out, lambda y: F.contains(F.lower(y["value"]), F.lower(x["value"])) | F.contains(F.lower(x["value"]), F.lower(y["value"])))
         return F.when(inside, out).otherwise(F.concat(out, F.array(F.struct(x["type"], x["value"]))))
 
+    best = once(F.struct(src.alias("src"), ANCHOR_SIEVE.of(src).alias("bits")), found)
     return F.aggregate(best, F.array().cast("array<struct<type: string, value: string>>"), fold)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import fixed as V
-from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, rounded, squeeze, strip, text_of
+from granary.functions.sieve import Sieve, widened
+from granary.functions.text import count, count_sentences, first_of, has_any, hits, info_density, lowered, once, rounded, sieved, squeeze, strip, text_of
 from granary.operators.matching import class_hits
 
 
@@ -29,18 +31,24 @@ def _fragment(t: Column, low: Column) -> Column:
 
 def hard_reject_reason(body: Column) -> Column:
     """rejected_keyword:<token> of the first token that rejects a text; null if none."""
-    return lowered(strip(text_of(body)), _hard)
+    return sieved(strip(text_of(body)), text_of(body), GATE_SIEVE, lambda t, low, bits: F.when(GATE_SIEVE.can(bits, "hard"), _hard(t, low)))
 
 
 def is_fragment_placeholder(body: Column) -> Column:
     return lowered(strip(text_of(body)), _fragment)
 
 
+#: Whether a text can have a token that rejects it.
+GATE_SIEVE = Sieve(("hard", "(?i)" + "|".join(map(re.escape, (*V.HARD_TOKENS, *V.NEWSLETTER_TOKENS, *V.WEAK_TOKENS)))))
+
+
 def body_facts(body: Column) -> Column:
     """A struct of what gates ask of a text: hard (the reason that rejects it, or fragment_placeholder), length and sentences. The stripped text and its lower-cased form are made once."""
-    return lowered(
-        strip(text_of(body)), lambda t, low: F.struct(F.coalesce(_hard(t, low), F.when(_fragment(t, low), "fragment_placeholder")).alias("hard"), F.length(t).alias("length"), count_sentences(t).alias("sentences"))
-    )
+    gate = sieved(
+        strip(text_of(body)), text_of(body), GATE_SIEVE,
+        lambda t, low, bits: F.struct(F.coalesce(F.when(GATE_SIEVE.can(bits, "hard"), _hard(t, low)), F.when(_fragment(t, low), "fragment_placeholder")).alias("hard"), F.length(t).alias("length")),
+    )
+    return once(F.struct(gate.alias("g"), count_sentences(body).alias("n")), lambda x: F.struct(x["g"]["hard"].alias("hard"), x["g"]["length"].alias("length"), x["n"].alias("sentences")))
 
 
 def reason_of(facts: Column, least: int = V.EVENT_LEVEL[0], sentences: int = V.EVENT_LEVEL[1]) -> Column:
@@ -86,19 +94,21 @@ def density_tier(body: Column, kind: str = "event") -> Column:
     return once(info_density(body), tier_of)
 
 
-def _either(c: Column, patterns: tuple[str, str]) -> Column:
-    return c.rlike(patterns[0]) | c.rlike(patterns[1])
+#: The patterns of channels and of relevance. An amount's end may be a sign, so the wider form goes without a boundary there.
+_IN_CHANNELS = (*(p for own in V.CHANNELS.values() for p in own), V.STRONG_TECH, (V.NUMBER_BOOST, widened(V.NUMBER_BOOST.replace(r"?B?\b", "?B?"))))
+CHANNEL_SIEVE = Sieve(*_IN_CHANNELS)
+RELEVANCE_SIEVE = Sieve(*_IN_CHANNELS, *V.AI_CORE, *V.BUILDING, V.COMPANIES, V.MODELS)
 
 
-def _channels(full: Column, url: Column) -> Column:
+def _channels(full: Column, url: Column, bits: Column, sieve: Sieve) -> Column:
     at = lambda host, n: F.when(F.contains(url, F.lit(host)), n).otherwise(0)
     more = {"tech": at("arxiv.org", 3) + at("huggingface.co", 1), "dev": at("github.com", 3) + at("huggingface.co", 2)}
-    raw = F.struct(*((count(full, en) + count(full, zh) + more.get(k, F.lit(0))).alias(k) for k, (en, zh) in V.CHANNELS.items()), full.rlike(V.NUMBER_BOOST).alias("_numbers"))
+    raw = F.struct(*((sieve.count(bits, full, en) + sieve.count(bits, full, zh) + more.get(k, F.lit(0))).alias(k) for k, (en, zh) in V.CHANNELS.items()), sieve.has(bits, full, V.NUMBER_BOOST).alias("_numbers"))
 
     def scored(r: Column) -> Column:
         first = first_of({k: r[k] for k in V.CHANNELS})
         lead = F.greatest(*(r[k] for k in V.CHANNELS))
-        best = once(first, lambda b: F.when(b.isin("business", "dev") & (r["tech"] >= lead - 2) & full.rlike(V.STRONG_TECH), "tech").otherwise(b))
+        best = once(first, lambda b: F.when(b.isin("business", "dev") & (r["tech"] >= lead - 2) & sieve.has(bits, full, V.STRONG_TECH), "tech").otherwise(b))
         boost = F.when(r["_numbers"], 20).otherwise(0)
         return F.struct(*(F.when(r[k] == 0, 0).otherwise(F.least(r[k] * 25 + boost, F.lit(100))).cast("int").alias(f"{k}_score") for k in V.CHANNELS), best.alias("best_channel"))
 
@@ -109,18 +119,21 @@ def channels(text: Column, url: Column | None = None, platform: Column | None =
     """A struct of product, tech, business and dev scores and the best channel."""
     url = text_of(url if url is not None else F.lit(""))
     full = F.concat_ws(" ", text_of(text), url, text_of(platform if platform is not None else F.lit("")))
-    return once(F.struct(full.alias("full"), F.lower(url).alias("url")), lambda x: _channels(x["full"], x["url"]))
+    return once(F.struct(full.alias("full"), F.lower(url).alias("url"), CHANNEL_SIEVE.of(full).alias("bits")), lambda x: _channels(x["full"], x["url"], x["bits"], CHANNEL_SIEVE))
 
 
 def relevance(text: Column, url: Column | None = None) -> Column:
     """A struct of relevant and its reason: buildings without the topic's core are out, known names and the core are in."""
     url = text_of(url if url is not None else F.lit(""))
+    full, sieve = F.concat_ws(" ", text_of(text), url), RELEVANCE_SIEVE
 
     def facts(x: Column) -> Column:
         full = x["full"]
+        has = lambda p: sieve.has(x["bits"], full, p)
+        either = lambda patterns: has(patterns[0]) | has(patterns[1])
         # The channels read an empty platform behind the address, and so a blank; the other patterns do not.
-        top = once(_channels(F.concat(full, F.lit(" ")), x["url"]), lambda ch: F.greatest(*(ch[f"{k}_score"] for k in V.CHANNELS)))
-        return F.struct(_either(full, V.AI_CORE).alias("core"), _either(full, V.BUILDING).alias("building"), (full.rlike(V.COMPANIES) | full.rlike(V.MODELS)).alias("known"), top.alias("top"))
+        top = once(_channels(F.concat(full, F.lit(" ")), x["url"], x["bits"], sieve), lambda ch: F.greatest(*(ch[f"{k}_score"] for k in V.CHANNELS)))
+        return F.struct(either(V.AI_CORE).alias("core"), either(V.BUILDING).alias("building"), (has(V.COMPANIES) | has(V.MODELS)).alias("known"), top.alias("top"))
 
     def result(x: Column) -> Column:
         core, known, top = x["core"], x["known"], x["top"]
@@ -131,7 +144,7 @@ def relevance(text: Column, url: Column | None = None) -> Column:
         )
         return F.struct((~out & (known | core)).alias("relevant"), reason.alias("reason"))
 
-    return once(once(F.struct(F.concat_ws(" ", text_of(text), url).alias("full"), F.lower(url).alias("url")), facts), result)
+    return once(once(F.struct(full.alias("full"), F.lower(url).alias("url"), sieve.of(F.concat(full, F.lit(" "))).alias("bits")), facts), result)
 
 
 def recency_points(ts: Column, as_of: Column) -> Column:
@@ -235,11 +248,15 @@ def is_index_page(title: Column, body: Column) -> Column:
     return has_any(F.lower(F.concat_ws(" ", text_of(title), text_of(body))), V.INDEX_WORDS)
 
 
+EVENT_SIEVE = Sieve(f"(?iu){V.EVENT_VERBS}", f"(?iu){V.EVENT_TIMES}")
+
+
 def is_non_event(title: Column, body: Column, line: Column | None = None) -> Column:
     """By its title, as an index, or because it has less than two of an action, a time and a subject."""
     head = strip(text_of(title))
     t = F.concat_ws(" ", head, strip(text_of(body)), F.lit("") if line is None else text_of(line))
-    elements = t.rlike(f"(?iu){V.EVENT_VERBS}").cast("int") + t.rlike(f"(?iu){V.EVENT_TIMES}").cast("int") + t.rlike(V.EVENT_SUBJECT).cast("int")
+    bits, (verbs, times) = EVENT_SIEVE.of(t), EVENT_SIEVE.at
+    elements = once(F.struct(t.alias("t"), bits.alias("bits")), lambda x: EVENT_SIEVE.has(x["bits"], x["t"], verbs).cast("int") + EVENT_SIEVE.has(x["bits"], x["t"], times).cast("int") + x["t"].rlike(V.EVENT_SUBJECT).cast("int"))
     return head.rlike("(?i)" + "|".join(V.NON_EVENT_TITLES)) | is_index_page(title, body) | (elements <= 1)
 
 
@@ -282,8 +299,13 @@ def is_first_rank(source_name: Column, url: Column, title: Column) -> Column:
     return squeeze(F.concat_ws(" ", text_of(source_name), text_of(url), text_of(title))).rlike(f"(?i){V.FIRST_SOURCE}") | squeeze(url).rlike(f"(?i){V.FIRST_URL}")
 
 
+_WORDS = sorted(V.TOPIC_TERMS, key=len, reverse=True)
+#: Terms begin and end with ASCII letters or digits, so what is no word character beside them is a boundary to ASCII, too.
+TOPIC = r"(?iU)(?<!\w)(?:" + "|".join(rf"\Q{w}\E" + ("" if w in V.TOPIC_PREFIXES else r"(?!\w)") for w in _WORDS) + ")"
+TOPIC_SIEVE = Sieve((TOPIC, "(?i)" + "|".join(rf"\b{re.escape(w)}" + ("" if w in V.TOPIC_PREFIXES else r"\b") for w in _WORDS)))
+
+
 def names_topic(*texts: Column) -> Column:
     """Whether one of the texts has a term of the topic as a word of its own, or a word that begins with one of some."""
-    words = sorted(V.TOPIC_TERMS, key=len, reverse=True)
-    pattern = "|".join(rf"(?<!\w)\Q{w}\E" + ("" if w in V.TOPIC_PREFIXES else r"(?!\w)") for w in words)
-    return squeeze(F.concat_ws(" ", *[text_of(t) for t in texts])).rlike(f"(?iU)(?:{pattern})")
+    every = squeeze(F.concat_ws(" ", *[text_of(t) for t in texts]))
+    return once(F.struct(every.alias("t"), TOPIC_SIEVE.of(every).alias("bits")), lambda x: TOPIC_SIEVE.has(x["bits"], x["t"], TOPIC))

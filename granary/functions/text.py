@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+import re
 from functools import reduce
 from operator import add, or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from granary.functions import fixed as V
+from granary.functions.sieve import Sieve
 
 
 def text_of(c: Column | str) -> Column:
@@ -20,6 +26,10 @@ def text_of(c: Column | str) -> Column:
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: V.SENTENCE for RE2.
+PIECE = r"[^.!?。？！\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][^.!?。？！]*"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at its ends; linear, whatever runs of it stand inside."""
     return F.btrim(c, F.lit(BLANKS))
@@ -82,19 +92,41 @@ def sentences(c: Column, ends: str = V.SENTENCE_END) -> Column:
 
 
 def count_sentences(c: Column) -> Column:
-    """How many pieces between sentence ends hold more than white space; none of them is built."""
-    return count(text_of(c), V.SENTENCE)
+    """How many pieces between sentence ends hold more than white space; none of them is built. Counted in Arrow batches, so not for lambdas."""
+    return _pieces(text_of(c))
+
+
+@arrow_udf(T.IntegerType())
+def _pieces(t: pa.Array) -> pa.Array:
+    return pc.count_substring_regex(t, PIECE)
+
+
+def sieved(t: Column, raw: Column, sieve: Sieve, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f(t, lower-cased t, bits), each computed once: the bits of the raw text that t was made of, whose matches are those of t but for white space."""
+    return once(once(F.struct(t.alias("t"), sieve.of(raw).alias("bits")), lambda x: F.struct(x["t"].alias("t"), F.lower(x["t"]).alias("low"), x["bits"].alias("bits"))), lambda x: f(x["t"], x["low"], x["bits"]))
+
+
+_ANY = lambda words: "(?i)" + "|".join(map(re.escape, words))
+DENSITY_SIEVE = Sieve(V.DENSITY_NUMBER, ("hints", _ANY(V.MODEL_HINTS)))
+INFO_SIEVE = Sieve(("entities", _ANY(V.INFO_ENTITIES)), ("boiler", _ANY(V.BOILERPLATE).replace(r"\ ", r"[\s\x0b\x1c-\x1f\x{85}\pZ]+")), V.INFO_NUMBER, V.INFO_DOTS, V.INFO_CONNECTOR, "[一-鿿]")
+SEMANTIC_SIEVE = Sieve(V.DOMAIN_TERMS, V.EVIDENCE_NUMBER, V.TEMPLATE_REMNANT)
+UI_SIEVE = Sieve(*(p for p, _ in (*V.UI_STRONG, *V.UI_SHORT)))
 
 
 def density_score(c: Column) -> Column:
     """Numbers, names and sentences as points from 0 to 100."""
 
-    def score(t: Column, low: Column) -> Column:
-        names = count(t, V.DENSITY_ENTITY) + hits(low, V.MODEL_HINTS)
-        points = F.least(F.lit(40), count(t, V.DENSITY_NUMBER) * 12) + F.least(F.lit(35), names * 8) + F.least(F.lit(25), F.greatest(count_sentences(t) - 1, F.lit(0)) * 7)
-        return F.when(t == "", 0).otherwise(F.least(F.lit(100), points)).cast("int")
+    def score(t: Column, low: Column, bits: Column) -> Column:
+        names = count(t, V.DENSITY_ENTITY) + F.when(DENSITY_SIEVE.can(bits, "hints"), hits(low, V.MODEL_HINTS)).otherwise(0)
+        points = F.least(F.lit(40), DENSITY_SIEVE.count(bits, t, V.DENSITY_NUMBER) * 12) + F.least(F.lit(35), names * 8)
+        return F.struct((t == "").alias("empty"), points.alias("points"))
+
+    def result(x: Column) -> Column:
+        points = x["d"]["points"] + F.least(F.lit(25), F.greatest(x["n"] - 1, F.lit(0)) * 7)
+        return F.when(x["d"]["empty"], 0).otherwise(F.least(F.lit(100), points)).cast("int")
 
-    return lowered(strip(text_of(c)), score)
+    # Sentences do not change with blanks at a text's ends.
+    return once(F.struct(sieved(strip(text_of(c)), text_of(c), DENSITY_SIEVE, score).alias("d"), count_sentences(c).alias("n")), result)
 
 
 def mixed_tokens(t: Column) -> Column:
@@ -108,11 +140,14 @@ def mixed_tokens(t: Column) -> Column:
 def info_density(c: Column) -> Column:
     """A struct of entity_hits, numeric_hits, sentence_count, boilerplate_hits, fragment_penalty and score."""
 
-    def parts_of(t: Column, low: Column) -> Column:
+    def parts_of(t: Column, low: Column, bits: Column) -> Column:
         parts = sentences(t)
-        entities = hits(low, V.INFO_ENTITIES) + F.size(F.array_distinct(matches(t, V.INFO_ENTITY))) + F.size(F.array_distinct(mixed_tokens(t)))
+        has = lambda p: INFO_SIEVE.has(bits, t, p).cast("int")
+        mixed = F.when(INFO_SIEVE.can(bits, "[一-鿿]"), F.size(F.array_distinct(mixed_tokens(t)))).otherwise(0)
+        found = lambda kind, words: F.when(INFO_SIEVE.can(bits, kind), hits(low, words)).otherwise(0)
+        entities = found("entities", V.INFO_ENTITIES) + F.size(F.array_distinct(matches(t, V.INFO_ENTITY))) + mixed
         short = once(parts, lambda p: F.struct(F.size(p).alias("n"), F.size(F.filter(p, lambda x: F.length(x) < 32)).alias("short")))
-        return F.struct((t == "").alias("empty"), entities.alias("e"), count(t, V.INFO_NUMBER).alias("num"), short.alias("s"), hits(low, V.BOILERPLATE).alias("boiler"), (t.rlike(V.INFO_DOTS).cast("int") + t.rlike(V.INFO_CONNECTOR).cast("int")).alias("cut"))
+        return F.struct((t == "").alias("empty"), entities.alias("e"), INFO_SIEVE.count(bits, t, V.INFO_NUMBER).alias("num"), short.alias("s"), found("boiler", V.BOILERPLATE).alias("boiler"), (has(V.INFO_DOTS) + has(V.INFO_CONNECTOR)).alias("cut"))
 
     def result(x: Column) -> Column:
         n = x["s"]["n"]
@@ -124,7 +159,7 @@ def info_density(c: Column) -> Column:
             pick(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("score"),
         )
 
-    return once(lowered(squeeze(c), parts_of), result)
+    return once(sieved(squeeze(c), text_of(c), INFO_SIEVE, parts_of), result)
 
 
 def cjk_share(c: Column) -> Column:
@@ -171,20 +206,22 @@ def _lines(c: Column) -> Column:
 
 def ui_garbage_score(c: Column) -> Column:
     """The share of lines of user interfaces and the weight of what they say, from 0 to 1."""
-    lines = _lines(c)
     every = [*V.UI_STRONG, *V.UI_SHORT]
-    weight = lambda x: reduce(add, [F.when(x.rlike(p), F.lit(w)).otherwise(0.0) for p, w in every])
-    weights = F.transform(lines, weight)
-    n = F.size(lines)
-    hit = F.size(F.filter(weights, lambda w: w > 0))
-    total = F.aggregate(weights, F.lit(0.0), add)
-    score = hit / n * 0.6 + F.least(F.lit(1.0), total / sum(w for _, w in every)) * 0.4
-    return F.when(n > 0, F.round(F.least(F.lit(1.0), score), 4)).otherwise(0.0)
+
+    def of(f: Column) -> Column:
+        weight = lambda x: reduce(add, [F.when(UI_SIEVE.has(f["bits"], x, p), F.lit(w)).otherwise(0.0) for p, w in every])
+        return once(F.struct(F.size(f["lines"]).alias("n"), F.when(f["bits"] != 0, F.transform(f["lines"], weight)).otherwise(F.array().cast("array<double>")).alias("w")), score_of)
+
+    def score_of(x: Column) -> Column:
+        hit, total = F.size(F.filter(x["w"], lambda w: w > 0)), F.aggregate(x["w"], F.lit(0.0), add)
+        score = hit / x["n"] * 0.6 + F.least(F.lit(1.0), total / sum(w for _, w in every)) * 0.4
+        return F.when(x["n"] > 0, F.round(F.least(F.lit(1.0), score), 4)).otherwise(0.0)
+
+    return once(F.struct(_lines(c).alias("lines"), UI_SIEVE.of(text_of(c)).alias("bits")), of)
 
 
 def has_ui_tokens(c: Column) -> Column:
-    t = text_of(c)
-    return reduce(or_, [t.rlike(p) for p, _ in V.UI_STRONG])
+    return once(F.struct(text_of(c).alias("t"), UI_SIEVE.of(text_of(c)).alias("bits")), lambda x: reduce(or_, [UI_SIEVE.has(x["bits"], x["t"], p) for p, _ in V.UI_STRONG]))
 
 
 def clean_raw_text(c: Column, limit: int = V.CLEAN_LIMIT) -> Column:
@@ -214,19 +251,36 @@ def evidence_numbers(c: Column) -> Column:
 def is_fragment(c: Column) -> Column:
     """Whether a text is hollow: empty, a lone bullet, a remnant of a template, too short or left dangling."""
     s = strip(text_of(c))
+    return _hollow(s, s.rlike(V.TEMPLATE_REMNANT))
+
+
+def _hollow(s: Column, remnant: Column) -> Column:
     bare = F.replace(s, F.lit(" "), F.lit(""))
     tiny = (F.length(bare) < 8) & ~s.rlike(r"\d") & ~s.rlike("[A-Z][a-zA-Z]+|[\\u4e00-\\u9fff]{2,}")
     open_end = (F.length(s) < 40) & ~s.rlike("[.!?。！？;；]")
-    return (s == "") | s.rlike(V.LONE_BULLET) | s.rlike(V.TEMPLATE_REMNANT) | tiny | (open_end & (s.rlike(V.ZH_START) | s.rlike(V.ZH_TAIL) | s.rlike(V.EN_TAIL)))
+    return (s == "") | s.rlike(V.LONE_BULLET) | remnant | tiny | (open_end & (s.rlike(V.ZH_START) | s.rlike(V.ZH_TAIL) | s.rlike(V.EN_TAIL)))
+
+
+def semantic_parts(c: Column) -> Column:
+    """A struct of score, terms and numbers: points for terms, numbers and sentences, from 0 to 100, 0 for fragments, at most 40 below 40 characters; what evidence_terms() and evidence_numbers() count."""
+
+    def facts(s: Column, _: Column, bits: Column) -> Column:
+        nouns = F.array_except(matches(s, V.PROPER_NOUN), F.array(*map(F.lit, V.NOT_PROPER)))
+        terms = F.size(F.array_distinct(F.transform(F.concat(SEMANTIC_SIEVE.matches(bits, s, V.DOMAIN_TERMS), nouns), F.lower)))
+        short = F.length(F.replace(s, F.lit(" "), F.lit(""))) < 40
+        return F.struct(terms.alias("terms"), SEMANTIC_SIEVE.count(bits, s, V.EVIDENCE_NUMBER).alias("numbers"), _hollow(s, SEMANTIC_SIEVE.has(bits, s, V.TEMPLATE_REMNANT)).alias("hollow"), short.alias("short"))
+
+    def result(x: Column) -> Column:
+        score = F.when(x["terms"] >= 2, 30).when(x["terms"] >= 1, 15).otherwise(0) + F.when(x["numbers"] >= 1, 30).otherwise(0) + 40
+        score = F.when(x["hollow"], 0).otherwise(F.when(x["short"], F.least(score, F.lit(40))).otherwise(score)).cast("int")
+        return F.struct(score.alias("score"), x["terms"].alias("terms"), x["numbers"].alias("numbers"))
+
+    return once(sieved(strip(text_of(c)), text_of(c), SEMANTIC_SIEVE, facts), result)
 
 
 def semantic_density(c: Column) -> Column:
-    """Points for terms, numbers and sentences, from 0 to 100; 0 for fragments, at most 40 below 40 characters."""
-    s = strip(text_of(c))
-    terms = evidence_terms(s)
-    score = F.when(terms >= 2, 30).when(terms >= 1, 15).otherwise(0) + F.when(evidence_numbers(s) >= 1, 30).otherwise(0) + 40
-    score = F.when(F.length(F.replace(s, F.lit(" "), F.lit(""))) < 40, F.least(score, F.lit(40))).otherwise(score)
-    return F.when(is_fragment(s), 0).otherwise(score).cast("int")
+    """The score of semantic_parts()."""
+    return semantic_parts(c)["score"]
 
 
 def proof_tokens(c: Column) -> Column:
