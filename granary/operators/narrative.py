@@ -28,7 +28,7 @@ IMPACT = (
 )
 NEXT = r"(?iU)\bwill\b|\bplan\b|\bnext\b|rollout|roadmap|schedul|expect|target|aim|預計|下一步|計畫|規劃|接下來|未來|預期|即將|下月|下季|年底|正在|準備"
 NEAR, BULLET_NEAR, NO_SOURCE = 0.86, 0.80, "未知來源"
-STRINGS = "array<string>"
+STRINGS, SLICE = "array<string>", 128
 
 
 def near_distinct(texts: list[str], least: float) -> list[str]:
@@ -64,7 +64,8 @@ def _repeats_out(rows: DataFrame, least: float, bullet_least: float, enough: int
     """rows with _kept and _ratio of _sentences, and _bullets: the first points of _points that do not repeat each other, and where fewer than `enough` are left those of _more on the same terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # Some rows at a time, so that their texts as Python's do not grow with a batch.
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             sentences, points, more = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_sentences", "_points", "_more"))
             kept = [near_distinct(s, least) for s in sentences]
             ratio = [round(1 - len(k) / len(s), 3) if s else 0.0 for k, s in zip(kept, sentences, strict=True)]
