@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions.evidence import url_and_title_tokens
-from granary.functions.text import once, squeeze, text_of
+from granary.functions.text import once, squeeze, strip, text_of
 
 # Fixed values
 BULLET = r"^\s*(?:[-*]|\d+\.)\s+"
@@ -84,11 +84,12 @@ def source_sentences(text: Column) -> Column:
 
     def of_sentence(piece: Column) -> Column:
         def with_clauses(s: Column) -> Column:
-            clauses = F.filter(F.transform(F.split(s, CLAUSES), squeeze), lambda c: (F.length(c) >= SENTENCE_LEAST) & (c != s))
+            clauses = F.filter(F.transform(F.split(s, CLAUSES), strip), lambda c: (F.length(c) >= SENTENCE_LEAST) & (c != s))
             fewer = once(token_set(s), lambda own: F.filter(clauses, lambda c: shared_ratio(token_set(c), own) <= 0.98))
             return F.concat(F.array(s), fewer)
 
-        return once(squeeze(F.btrim(piece, F.lit(" -\t"))), with_clauses)
+        # A piece of a squeezed text has blanks to lose at its ends only, and so has a clause of it.
+        return once(strip(F.btrim(piece, F.lit(" -\t"))), with_clauses)
 
     def of_paragraph(p: Column) -> Column:
         item = F.array(squeeze(F.regexp_replace(p, BULLET, "")))
