@@ -75,22 +75,30 @@ class Sieve:
         self.wide = {p: widened(p) for p in patterns if isinstance(p, str)} | {p[0]: p[1] for p in patterns if not isinstance(p, str)}
         self.at = {p: i for i, p in enumerate(self.wide)}
         assert len(self.at) < 64
+        self.all = (1 << len(self.at)) - 1
+
+    def bits(self, text: pa.Array) -> pa.Array:
+        """What of() gives, for a batch."""
+        odd = pc.fill_null(pc.match_substring_regex(text, ODD), True)
+        out = pc.if_else(odd, pa.scalar(self.all, pa.int64()), pa.scalar(0, pa.int64()))
+        for i, p in enumerate(self.wide.values()):
+            hit = pc.fill_null(pc.match_substring_regex(text, p), True)
+            out = pc.bit_wise_or(out, pc.if_else(hit, pa.scalar(1 << i, pa.int64()), pa.scalar(0, pa.int64())))
+        return out
 
     def of(self, text: Column) -> Column:
         """A number whose bits tell which patterns a text can match."""
-        wide = list(self.wide.values())
 
         @arrow_udf(T.LongType())
         def bits(text: pa.Array) -> pa.Array:
-            odd = pc.fill_null(pc.match_substring_regex(text, ODD), True)
-            out = pc.if_else(odd, pa.scalar((1 << len(wide)) - 1, pa.int64()), pa.scalar(0, pa.int64()))
-            for i, p in enumerate(wide):
-                hit = pc.fill_null(pc.match_substring_regex(text, p), True)
-                out = pc.bit_wise_or(out, pc.if_else(hit, pa.scalar(1 << i, pa.int64()), pa.scalar(0, pa.int64())))
-            return out
+            return self.bits(text)
 
         return bits(text)
 
+    def any(self, bits: Column, *patterns: str) -> Column:
+        """Whether a text can match one of the patterns."""
+        return bits.bitwiseAND(F.lit(sum(1 << self.at[p] for p in patterns))) != 0
+
     def can(self, bits: Column, pattern: str) -> Column:
         return bits.bitwiseAND(F.lit(1 << self.at[pattern])) != 0
 

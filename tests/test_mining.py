@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import mining as M
+from granary.functions.text import BLANKS
 
 WORDS = "the model GPT-4 OpenAI raises $5 revenue will launch 2024 12% and which subscribe policy latency A100 Berlin for risk x of Zürich été cost customers Paris Lyon NVIDIA v2.1 with".split()
 MARKS = [". ", "! ", "? ", "; ", ", ", ": ", " - ", " ", " ", " ", "\n", "\n- ", "\n\n"]
@@ -226,3 +227,29 @@ def test_long_texts_take_linear_time(spark):
     df.select(M.quote_window(F.col("text"))).collect()
     assert len(df.select(M.source_sentences(F.col("text"))).first()[0]) == 3000
     assert time.time() - began < 40
+
+
+def test_clauses_without_tokens_and_odd_blanks(spark):
+    long = "а б в г д е ж з и к л м н о п р с т у ф х ц ч ш"
+    rows = [f"The {long}, {long}: the and for with from, seen by A\x1cB\x1c, tail. Next\x85line - {long}!", f"{long}; {long} and {long}\x0b{long}", "1. item\x1c one\x1c\r\r* two　 three", "\x1c, x", "ΑΣ. ας. İ. i̇"]
+    assert got(frame(spark, [(r, "", "", []) for r in rows]), M.source_sentences(F.col("text"))) == [plain_pieces(r) for r in rows]
+
+
+def plain_pieces(text):
+    """As sentences(), but of Java's blanks."""
+    blank = f"[{BLANKS}]+"
+    found, seen = [], set()
+    for line in re.split(r"\n+", text.replace("\r", "\n")):
+        q = lambda s: re.sub(blank, " ", s).strip(BLANKS)
+        if re.match(M.BULLET, line, re.A):
+            group = [q(re.sub(M.BULLET, "", line, flags=re.A))]
+        else:
+            group = []
+            for piece in re.split("(?<=[.!?;]) +", q(line)):
+                s = piece.strip(" -\t")
+                group += [s, *(c for c in (x.strip(" ") for x in re.split(M.CLAUSES, s, flags=re.A)) if len(c) >= 40 and c != s and shared(c, s) <= 0.98)]
+        for s in group:
+            if s and s.lower() not in seen:
+                seen.add(s.lower())
+                found.append(s[:360].rstrip(" "))
+    return found

@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from granary.functions import evidence, scores, sieve, text
+from granary.functions import evidence, mining, scores, sieve, text
 from granary.functions import fixed as V
 
 SIEVES = [scores.RELEVANCE_SIEVE, scores.EVENT_SIEVE, scores.TOPIC_SIEVE, evidence.ANCHOR_SIEVE, text.DENSITY_SIEVE, text.INFO_SIEVE, text.SEMANTIC_SIEVE, text.UI_SIEVE]
@@ -32,3 +32,15 @@ def test_texts_without_a_word_pass_no_sieve(spark):
     for own in SIEVES[:4]:
         assert plain.select(own.of(F.col("t"))).first()[0] == 0
     assert sieve.widened(r"(?iU)\b(?:a|b\s)\b(?!x)c*+") == r"(?i)\b(?:a|b[\s\x0b\x1c-\x1f\x{85}\pZ])c*"
+
+
+def test_miners_sieve_loses_nothing_and_leaves_plain_sentences_alone(spark):
+    words = (*WORDS, "a.b@c.de", ".@y.com", "sign-up", "sign　up", "percent", "٣ percent", "5 percent", "USD 5", "US$5", "H100", "RTX 4090", "Claude 3", "UPPER-2", "Paris Lyon", "He said", "We're asking", "terms", "sessions", "Q3", "May", "??", "a~b")
+    rows = [(a + w + b,) for w, a, b in itertools.product(words, ("", "é", "x ", "x", "_", "準"), ("", "é", " é", ".", "_", "準", "́"))]
+    df = spark.createDataFrame(rows, "t string").repartition(4).cache()
+    own = mining.SIEVE
+    x = df.select("t", own.of(F.col("t")).alias("bits"))
+    bad = x.select(*(F.count_if(own.has(F.col("bits"), F.col("t"), p) != F.col("t").rlike(p)).alias(str(i)) for i, p in enumerate(own.at))).first()
+    assert not any(bad), [p for p, n in zip(own.at, bad, strict=True) if n]
+    plain = spark.createDataFrame([("Thonre was anly hend oftionnten, enti wherer anhe ntedin thhe é. And so it goes on and on.",)], "t string")
+    assert [y.g for y in plain.select(mining.sieved_sentences(F.col("t"))).first()[0]] == [0, 0]
