@@ -17,45 +17,59 @@ from granary.operators.stats import cooccurring
 NUMERIC_ACTOR = (r"^[0-9.,%mbkMBKxXvV\-_/\s]+$", r"^[vV]?\d+(?:\.\d+){0,4}[A-Za-z]{0,4}$")
 LEAST_TEXT, LEAST_FACTS, MOST_FACTS, SHARED_FRAMES = 200, 6, 12, 2
 FACT = "array<struct<text: string, score: int, index: int>>"
+JUDGED = "array<struct<s: string, low: string, n: int, title: int, anchor: int>>"
 
 
 def _more(f: Column, texts: Column, own: Column, first: int, most: int, loose: bool) -> Column:
-    """Facts from texts that are not among the own ones yet: with evidence, a word of the title, an anchor or two key words; if loose, long ones with evidence or two key words."""
+    """Facts from texts (structs of s and g, its bits) that are not among the own ones yet: with evidence, a word of the title, an anchor or two key words; if loose, long ones with evidence or two key words. No more texts are looked at than it takes."""
+    shown = F.transform(own, lambda y: F.lower(y["text"]))
 
-    def judged(s: Column) -> Column:
-        low = F.lower(s)
-        x = F.struct(M.strong(M.signals(s)).alias("n"), F.size(F.filter(f["words"], lambda t: F.contains(low, t))).alias("title"), F.size(F.filter(f["names"], lambda a: F.contains(low, F.lower(a)))).alias("anchor"), F.size(M.key_tokens(s)).alias("keys"))
+    def judged(x: Column) -> Column:
+        s, low = x["s"], F.lower(x["s"])
 
-        def of(x: Column) -> Column:
-            near = (x["n"] > 0) | (x["keys"] >= 2) if loose else (x["n"] > 0) | (x["title"] >= 1) | (x["anchor"] >= 1) | (x["keys"] >= 2)
-            extra = (x["keys"] >= 3).cast("int") if loose else F.lit(0)
-            ok = near & ~M.is_blocked(s) & (F.length(s) >= (24 if loose else 1)) & ~F.exists(own, lambda y: F.lower(y["text"]) == F.lower(s))
-            return F.struct(s.alias("text"), F.greatest(F.lit(1), x["n"] + x["title"] + x["anchor"] + extra).alias("score"), ok.alias("ok"))
+        def of(y: Column) -> Column:
+            return F.struct(y["s"], y["low"], M.strong(M.signals(y["s"], y["g"])).alias("n"), M.within(y["low"], f["words"]).alias("title"), F.size(F.filter(f["names"], lambda a: F.contains(y["low"], a["low"]))).alias("anchor"))
 
-        return once(x, of)
+        return once(F.struct(s.alias("s"), x["g"], low.alias("low")), of)
 
-    good = M.distinct_by(F.filter(F.transform(texts, judged), lambda x: x["ok"]), lambda x: F.lower(x["text"]))
-    taken = F.slice(good, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size(own)))
-    return F.concat(own, F.transform(taken, lambda x, i: F.struct(x["text"].alias("text"), x["score"].alias("score"), (F.lit(first) + F.size(own) + i).alias("index"))))
+    def taking(own: Column, shown: Column) -> Column:
+        need = F.greatest(F.lit(0), F.lit(most) - F.size(own))
+        keys = lambda x: F.size(M.key_tokens(x["s"]))
+
+        def step(out: Column, x: Column) -> Column:
+            near = lambda y: (y["n"] > 0) | (keys(y) >= 2) if loose else (y["n"] > 0) | (y["title"] >= 1) | (y["anchor"] >= 1) | (keys(y) >= 2)
+            new = lambda y: ~F.array_contains(shown, y["low"]) & ~F.exists(out, lambda z: z["low"] == y["low"]) & near(y)
+            added = lambda y: F.when(new(y), F.concat(out, F.array(y))).otherwise(out)
+            ok = (F.length(x["s"]) >= (24 if loose else 1)) & ~M.is_blocked(x["s"], x["g"])
+            return F.when(F.size(out) >= need, out).when(ok, once(judged(x), added)).otherwise(out)
+
+        none = F.array().cast(JUDGED)
+        extra = lambda x: (keys(x) >= 3).cast("int") if loose else F.lit(0)
+        taken = F.transform(F.aggregate(texts, none, step), lambda x: F.struct(x["s"].alias("text"), F.greatest(F.lit(1), x["n"] + x["title"] + x["anchor"] + extra(x)).alias("score")))
+        return F.concat(own, F.transform(taken, lambda x, i: F.struct(x["text"], x["score"], (F.lit(first) + F.size(own) + i).alias("index"))))
+
+    return once(F.struct(own.alias("own"), shown.alias("shown")), lambda x: taking(x["own"], x["shown"]))
 
 
 def with_facts(rows: DataFrame, wanted: Column, name: str = "facts") -> DataFrame:
     """rows with an array of structs of text, score and index, the best first: the fact pack, and where that is thin what the other miners find, then any sentence with evidence. Rows that are not wanted have null."""
-    text, title, actor, anchors = (F.col(c) for c in ("body", "title", "actor", "anchors"))
+    text, title, actor, anchors, every = (F.col(c) for c in ("body", "title", "actor", "anchors", "_every"))
     only = lambda c: F.when(wanted, c)
-    # Step by step: one expression of all this is more than the analyzer takes in its rounds.
-    rows = rows.withColumn("_pack", only(M.fact_pack(text, title, actor, anchors))).withColumn("_mined", only(M.sentence_candidates(text, title, actor, anchors)))
-    rows = rows.withColumn("_candidates", only(M.fact_candidates(text, title, actor, anchors))).withColumn("_every", only(M.source_sentences(text)))
-    own = F.struct(F.col("_pack").alias("pack"), F.col("_mined").alias("mined"), F.col("_candidates").alias("candidates"), F.col("_every").alias("all"), url_and_title_tokens(title).alias("words"), M.names_of(anchors).alias("names"))
+    # Step by step: one expression of all this is more than the analyzer takes in its rounds. A text is split once for all miners.
+    rows = rows.withColumn("_every", M.sieved_sentences(only(text)))
+    rows = rows.withColumn("_pack", only(M.fact_pack(text, title, actor, anchors, mined=every))).withColumn("_mined", only(M.scored_candidates(text, title, actor, anchors, mined=every)))
+    rows = rows.withColumn("_candidates", only(M.told_candidates(text, title, actor, anchors, mined=every)))
+    own = F.struct(F.col("_pack").alias("pack"), F.col("_mined").alias("mined"), F.col("_candidates").alias("candidates"), every.alias("all"), url_and_title_tokens(title).alias("words"), M.marked(M.names_of(anchors)).alias("names"))
     return rows.withColumn("_own", only(own)).withColumn(name, only(_facts(F.col("_own")))).drop("_pack", "_mined", "_candidates", "_every", "_own")
 
 
 def _facts(own: Column) -> Column:
     def of(f: Column) -> Column:
-        second = lambda own: F.when(F.size(own) >= LEAST_FACTS, own).otherwise(_more(f, F.concat(F.transform(f["mined"], lambda x: x["text"]), f["candidates"]), own, 1000, MOST_FACTS, False))
+        others = F.concat(F.transform(f["mined"], lambda x: F.struct(x["text"].alias("s"), x["g"].alias("g"))), f["candidates"])
+        second = lambda own: F.when(F.size(own) >= LEAST_FACTS, own).otherwise(_more(f, others, own, 1000, MOST_FACTS, False))
         third = lambda own: F.when(F.size(own) >= LEAST_FACTS, own).otherwise(_more(f, f["all"], own, 1500, LEAST_FACTS, True))
         every = once(once(F.transform(f["pack"], lambda x: F.struct(x["text"].alias("text"), x["score"].cast("int").alias("score"), x["index"].cast("int").alias("index"))).cast(FACT), second), third)
-        order = F.array_sort(F.transform(every, lambda x: F.struct((-x["score"]).alias("r"), x["index"].alias("index"), x["text"].alias("text"))))
+        order = F.sort_array(F.transform(every, lambda x: F.struct((-x["score"]).alias("r"), x["index"].alias("index"), x["text"].alias("text"))))
         return F.transform(order, lambda x: F.struct(x["text"].alias("text"), (-x["r"]).alias("score"), x["index"].alias("index")))
 
     return once(own, of)

@@ -102,9 +102,9 @@ def batches(rows: DataFrame, size: int = 20) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with ord from 1 on, by key, without one task that sorts all: ranges are counted, then numbered each by itself."""
+    """rows with ord from 1 on, by key, without one task that sorts all: ranges are counted, then numbered each by itself. Ranges are drawn once and stored, as Spark would sample others the second time."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     own = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
