@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -34,19 +35,32 @@ STRINGS, SLICE = "array<string>", 128
 def near_distinct(texts: list[str], least: float) -> list[str]:
     """The texts in order, without those that are as similar to one kept before as `least`: twice the characters in matching blocks against both lengths.
 
-    Lengths bound that ratio, and then the characters that two texts have in common, so most pairs are decided without blocks.
+    Equal texts are as similar as can be. Lengths bound that ratio, and then the characters that two texts have in common, so
+    most pairs are decided without blocks; what these need of a kept text is made when they are first looked for.
     """
-    kept: list[SequenceMatcher] = []
-    out = []
+    kept: list[tuple[str, Counter]] = []
+    blocks: dict[int, SequenceMatcher] = {}
+    seen: set[str] = set()
+
+    def near(i: int, text: str, own: Counter) -> bool:
+        other, counts = kept[i]
+        both = len(text) + len(other)
+        if both and (2.0 * min(len(text), len(other)) / both < least or 2.0 * sum(min(n, counts[c]) for c, n in own.items() if c in counts) / both < least):
+            return False
+        if i not in blocks:
+            blocks[i] = SequenceMatcher(None, "", other)
+        m = blocks[i]
+        m.set_seq1(text)
+        return m.ratio() >= least
+
     for text in texts:
-        for m in reversed(kept):  # a repeat mostly follows what it repeats
-            m.set_seq1(text)
-            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
-                break
-        else:
-            kept.append(SequenceMatcher(None, "", text))
-            out.append(text)
-    return out
+        if text in seen and least <= 1:
+            continue
+        seen.add(text)
+        own = Counter(text)
+        if not any(near(i, text, own) for i in range(len(kept) - 1, -1, -1)):  # a repeat mostly follows what it repeats
+            kept.append((text, own))
+    return [text for text, _ in kept]
 
 
 def near_dedup(texts: Column, least: float = NEAR) -> Column:
