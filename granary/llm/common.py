@@ -129,8 +129,8 @@ def relieved(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return task
 
 
-#: What modules keep of words.
-_CACHES = (("granary.llm.quality", "_hashes"), ("granary.llm.jaccard", "_hashes"), ("granary.llm.bpe", "_encoders"))
+#: What modules keep of words, and arrays that they use again.
+_CACHES = (("granary.llm.quality", "_hashes"), ("granary.llm.jaccard", "_hashes"), ("granary.llm.bpe", "_encoders"), ("granary.llm.gru", "_room"))
 
 
 class WordHashes(dict):

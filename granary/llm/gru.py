@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import chunks, crc_bucket, cut, discard, mix, prepare, relieved, stored
 
-#: Words of a class, classes of words with entries of their own, at least, and how many of these words there are for the square root of the vocabulary.
+#: Words with entries of their own come in so many, at least so many times, and there are so many of them for the square root of the vocabulary.
 CLASS, LEAST_CLASSES, SHARE = 64, 16, 2
+#: Words of the first class, by how many more the next one has, and kinds of endings of a class: where frequencies fall as ranks grow, as Zipf has it, a token's class and its place there take few outputs.
+FIRST, MORE, KINDS = 8, 6, 32
 #: Kinds of all other words, by their endings: a power of two, as the lowest bits of a word's hash say which, and whole classes.
 TAILS = 256
 KNOWN = 1 << 18
@@ -40,6 +42,8 @@ HIDDEN = 24
 WINDOW, BATCH, FEWEST, DEALT = 32, 384, 96, 4_000_000
 #: Tokens for an update, at least: windows of few streams are put together.
 STEP = 1024
+#: States whose outputs are held at once, so that a core's cache has them, documents scored side by side, and rows of a token that are summed one by one.
+BLOCK, BESIDE, FEW_ROWS = 2048, 2048, 32
 ROUNDS, LEAST_STEPS = 3, 48
 RATE = 0.04
 #: Tasks whose sums of parameters come to the driver, and those that sum up before them where there are many parts.
@@ -178,6 +182,17 @@ def head_size(vocabulary: int) -> int:
     return CLASS * max(LEAST_CLASSES, int(np.ceil(SHARE * vocabulary**0.5 / CLASS)))
 
 
+@functools.lru_cache(maxsize=4)
+def classes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each class of n head words and kinds begins, and the last one ends; the class of each of these, and of the end, a class by itself behind the others)."""
+    i = np.arange(int((n / MORE) ** 0.5 * 2) + 2)
+    at = FIRST * i + MORE * i * (i - 1) // 2
+    at = at[at + (FIRST + MORE * i) // 2 <= n - TAILS]  # what is left is a class if it has half of its words, else the last one's
+    at = np.concatenate([at, np.arange(n - TAILS, n + 1, KINDS)])
+    size = np.append(np.diff(at), 1)
+    return at, np.repeat(np.arange(len(size)), size).astype(np.int16 if len(size) < 1 << 15 else np.int32)
+
+
 def ends_of(p: dict) -> tuple[int, int]:
     """(the token that ends a document, what stands before its first one). Tokens are head words, then TAILS kinds of endings, then these."""
     return p["bw"].size, p["bw"].size + 1
@@ -196,92 +211,120 @@ def initial(counts: np.ndarray, tails: np.ndarray, ends: float, head: int) -> di
     c = np.full(head + TAILS, SMOOTH)
     c[: len(counts)] += counts
     c[head:] += tails
-    groups = np.append(c.reshape(-1, CLASS).sum(axis=1), ends + SMOOTH)
+    groups = np.append(np.add.reduceat(c, classes(len(c))[0][:-1]), ends + SMOOTH)
     p = {
         "x": rng.normal(0, 0.3, (head + TAILS + 2, 3 * HIDDEN)), "u": rng.normal(0, 1 / HIDDEN**0.5, (HIDDEN, 3 * HIDDEN)),
         "wc": rng.normal(0, 0.05, (HIDDEN, len(groups))), "bc": np.log(groups / groups.sum()),
-        "ww": rng.normal(0, 0.05, (len(c) // CLASS, HIDDEN, CLASS)), "bw": np.log(c / c.max()),
+        "ww": rng.normal(0, 0.05, (len(c), HIDDEN)), "bw": np.log(c / c.max()),
     }
     p["x"][:, :HIDDEN] -= 1.0  # slow gates: the state keeps what it has met
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(state after a token, update and reset gates, candidate, what the reset gate leaves of the state). x: the tokens' rows of p["x"]."""
-    k = HIDDEN
-    gates = h @ p["u"][:, : 2 * k]
-    gates += x[:, : 2 * k]
+class Room(dict):
+    """Arrays that are used again from window to window: memory that is given back and asked for again is cleared each time, which took a third of the training."""
+
+    def of(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size = int(np.prod(shape))
+        held = self.get((name, kind))
+        if held is None or held.size < size:
+            held = self[name, kind] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+
+#: A worker has it during a task.
+_room = Room()
+
+
+def _taken(name: str, rows: np.ndarray, at: np.ndarray, axis: int = 0) -> np.ndarray:
+    """Rows by their numbers, in the room."""
+    return rows.take(at, axis=axis, out=_room.of(name, (*rows.shape[:axis], *at.shape, *rows.shape[axis + 1 :]), rows.dtype), mode="clip")
+
+
+def _gates(w: np.ndarray) -> np.ndarray:
+    """Rows of all three gates as one contiguous block for each gate."""
+    return np.ascontiguousarray(w.reshape(-1, 3, HIDDEN).swapaxes(0, 1))
+
+
+def _step(u: np.ndarray, x: np.ndarray, h: np.ndarray, kept: np.ndarray, new: np.ndarray) -> None:
+    """A token's step, gate by gate: x, what the tokens give to update gate, reset gate and candidate, becomes these; `kept` and `new` what the reset gate leaves of the state h and the state after it."""
+    gates, n = x[:2], x[2]
+    gates += h @ u[:2]
     np.negative(gates, gates)
     np.exp(gates, gates)
     gates += 1
     np.reciprocal(gates, gates)
-    kept = gates[:, k:] * h
-    n = kept @ p["u"][:, 2 * k :]
-    n += x[:, 2 * k :]
+    np.multiply(gates[1], h, kept)
+    n += kept @ u[2]
     np.tanh(n, n)
-    new = n - h
-    new *= gates[:, :k]
+    np.subtract(n, h, new)
+    new *= gates[0]
     new += h
-    return new, gates, n, kept
 
 
-def _chances(logit: np.ndarray, t: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log chance of each row's target t, exp of the logits, their sums); logits are moved only where they could leave the range of floats."""
+def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(state after a token, update gate, reset gate and candidate, what the reset gate leaves of the state). x: the tokens' rows of p["x"]."""
+    x, kept, new = _gates(x), np.empty_like(h), np.empty_like(h)
+    _step(_gates(p["u"]), x, h, kept, new)
+    return new, x, kept
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, t: np.ndarray, safe: bool, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """(log chance of each row's target t, gradient of h of the negative sum); that of w is added to g. The last column of h is one, that of w the bias; logits are moved only where they could leave the range of floats."""
+    e = h @ w.T
     if not safe:
-        logit -= logit.max(axis=1, keepdims=True)
-    i = np.arange(len(t))
-    own = logit[i, t]
-    np.exp(logit, logit)
-    total = logit @ np.ones(logit.shape[1], logit.dtype)
-    return own - np.log(total), logit, total
+        e -= e.max(axis=1, keepdims=True)
+    flat, at = e.reshape(-1), np.arange(0, e.size, e.shape[1]) + t
+    own = flat.take(at)
+    np.exp(e, e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    own -= np.log(total)
+    if g is None:
+        return own, None
+    flat[at] -= total  # chances, less one for the target, are these by the sums; states have fewer columns to divide
+    g += e.T @ (h / total[:, None])
+    dh = e @ w[:, :-1]
+    dh /= total[:, None]
+    return own, dh
 
 
 def output(p: dict, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log of each target's chance in its state; with gradient also those of the negative sum."""
-    c, n_classes = (target // CLASS).astype(np.int16 if p["bw"].size // CLASS < 1 << 15 else np.int32), p["bw"].size // CLASS  # the end is a class by itself, behind the others
+    (begin, class_of), k = classes(p["bw"].size), h.shape[1]
+    c = class_of.take(target)
     order = np.argsort(c, kind="stable")  # class by class, so that each is a slice
-    h, target, c = h[order], target[order], c[order]
+    own, target, c = _room.of("own", (len(order), k + 1), h.dtype), target.take(order), c.take(order)
+    own[:, :k] = _taken("states", h, order)
+    own[:, k] = 1
     # States lie within -1 and 1.
-    safe = [(np.abs(w).sum(axis=-2) + np.abs(b)).max() < 80 for w, b in ((p["wc"], p["bc"]), (p["ww"], p["bw"].reshape(-1, CLASS)))]
-    logit = h @ p["wc"]
-    logit += p["bc"]
-    logp, e, total = _chances(logit, c, safe[0])
-    if gradient:
-        e /= total[:, None]
-        e[np.arange(len(c)), c] -= 1
-        dh = e @ p["wc"].T
-        g = {"wc": h.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    cut_at = np.searchsorted(c, np.arange(n_classes + 1)).tolist()
-    for k in range(n_classes):
-        a, b = cut_at[k], cut_at[k + 1]
-        if a == b:
-            continue
-        logit = h[a:b] @ p["ww"][k]
-        logit += p["bw"][k * CLASS : (k + 1) * CLASS]
-        t = target[a:b] - k * CLASS
-        own, e, total = _chances(logit, t, safe[1])
-        logp[a:b] += own
+    wc, ww = np.concatenate([p["wc"].T, p["bc"][:, None]], axis=1), np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+    safe = [np.abs(w).sum(axis=1).max() < 80 for w in (wc, ww)]
+    gc, gw = (np.zeros_like(wc), np.zeros_like(ww)) if gradient else (None, None)
+    logp, dh = np.empty(len(order), h.dtype), _room.of("dh", (len(order), k), h.dtype) if gradient else None
+    for a in range(0, len(order), BLOCK):
+        logp[a : a + BLOCK], d = _softmax(own[a : a + BLOCK], wc, c[a : a + BLOCK], safe[0], gc)
         if gradient:
-            e /= total[:, None]
-            e[np.arange(b - a), t] -= 1
-            g["ww"][k] = h[a:b].T @ e
-            g["bw"][k * CLASS : (k + 1) * CLASS] = e.sum(axis=0)
-            dh[a:b] += e @ p["ww"][k].T
+            dh[a : a + BLOCK] = d
+    cut_at = np.searchsorted(c, np.arange(len(begin))).tolist()
+    for i, (first, last) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        for a in range(cut_at[i], cut_at[i + 1], BLOCK):
+            b = min(a + BLOCK, cut_at[i + 1])
+            x, d = _softmax(own[a:b], ww[first:last], target[a:b] - first, safe[1], gw[first:last] if gradient else None)
+            logp[a:b] += x
+            if gradient:
+                dh[a:b] += d
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return (logp[back], dh[back], g) if gradient else logp[back]
+    if not gradient:
+        return logp.take(back)
+    return logp.take(back), _taken("states", dh, back), {"wc": np.ascontiguousarray(gc[:, :-1].T), "bc": gc[:, -1].copy(), "ww": gw[:, :-1].copy(), "bw": gw[:, -1].copy()}
 
 
 def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log of the chance of each document, a sequence of targets; states are carried through it whole."""
     size = np.array([len(d) for d in docs])
     order = np.argsort(-size, kind="stable")
-    flat = np.concatenate([docs[i] for i in order]) if len(docs) else np.zeros(0, np.int64)
-    size = size[order]
-    start = np.cumsum(size) - size
-    out = np.zeros(len(docs))
-    h = np.zeros((len(docs), HIDDEN), np.float32)
-    before = np.full(len(docs), ends_of(p)[1])
+    out, u, rows = np.zeros(len(docs)), _gates(p["u"]), _gates(p["x"])
     states, targets, which, held = [], [], [], 0
 
     def settle() -> None:
@@ -293,22 +336,41 @@ def log_likelihood(p: dict, docs: list[np.ndarray]) -> np.ndarray:
         which.clear()
         held = 0
 
-    index = np.arange(len(docs))
-    longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # how many documents go beyond each step
-    for t, n in enumerate(longer.tolist()):
-        h = step(p, p["x"][before[:n]], h[:n])[0]
-        before = flat[start[:n] + t]
-        states.append(h)
-        targets.append(before)
-        which.append(index[:n])
-        held += n
-        if held > 60_000:
-            settle()
+    for a in range(0, len(docs), BESIDE):  # documents of about one length, side by side
+        index = order[a : a + BESIDE]
+        flat, own = np.concatenate([docs[i] for i in index]), size[index]
+        start = np.cumsum(own) - own
+        h, before = np.zeros((len(index), HIDDEN), np.float32), np.full(len(index), ends_of(p)[1])
+        longer = np.searchsorted(-own, -np.arange(int(own[0])), "left")  # how many documents go beyond each step
+        for t, n in enumerate(longer.tolist()):
+            new = np.empty((n, HIDDEN), np.float32)
+            _step(u, _taken("x", rows, before[:n], 1), h[:n], np.empty_like(new), new)
+            h, before = new, flat.take(start[:n] + t)
+            states.append(h)
+            targets.append(before)
+            which.append(index[:n])
+            held += n
+            if held > 60_000:
+                settle()
     if held:
         settle()
-    back = np.empty(len(docs))
-    back[order] = out
-    return back
+    return out
+
+
+def _by_token(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows, put in order, from each of `first` to the next: the first FEW_ROWS of all sums one after the other, as most have no more, and the rest of each at once."""
+    size = np.diff(first, append=len(order))
+    by = np.argsort(-size, kind="stable")
+    rows, first, size = _taken("ordered", rows, order), first[by], size[by]
+    own, ones = rows.take(first, axis=0), np.ones(size[0], rows.dtype)
+    for i, n in enumerate(np.searchsorted(-size, -np.arange(1, FEW_ROWS), "left").tolist(), 1):
+        own[:n] += _taken("rows", rows, first[:n] + i)
+    many = int(np.searchsorted(-size, -FEW_ROWS, "left"))
+    for i, (a, n) in enumerate(zip(first[:many].tolist(), size[:many].tolist(), strict=True)):
+        own[i] += ones[FEW_ROWS:n] @ rows[a + FEW_ROWS : a + n]
+    out = np.empty_like(own)
+    out[by] = own
+    return out
 
 
 def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -320,49 +382,58 @@ def gradient(p: dict, tokens: np.ndarray, before: np.ndarray, h: np.ndarray) ->
     fresh = inputs == stop
     inputs = np.where(fresh, begin, inputs)
     anew = fresh.any(axis=1).tolist()
-    x = p["x"][inputs]
-    came, gates, cand, kept, hs = (np.empty((time, rows, n), p["u"].dtype) for n in (k, 2 * k, k, k, k))
+    u, x = _gates(p["u"]), _taken("x", _gates(p["x"]), inputs, 1)  # x becomes gates and candidates
+    came, kept, hs = (_room.of(name, (time, rows, k), u.dtype) for name in ("came", "kept", "hs"))
     for t in range(time):
-        if anew[t]:
-            h = h * ~fresh[t][:, None]
         came[t] = h
-        hs[t], gates[t], cand[t], kept[t] = step(p, x[t], h)
+        if anew[t]:
+            came[t] *= ~fresh[t][:, None]
+        _step(u, x[:, t], came[t], kept[t], hs[t])
         h = hs[t]
     flat = tokens.T.ravel()
     real = np.flatnonzero(flat >= 0)
     count = max(len(real), 1)
-    logp, d, g = output(p, hs.reshape(-1, k)[real], flat[real], True)
-    dhs = np.zeros((time * rows, k), hs.dtype)
-    dhs[real] = d
+    if len(real) == len(flat):
+        logp, dhs, g = output(p, hs.reshape(-1, k), flat, True)
+    else:
+        logp, d, g = output(p, hs.reshape(-1, k)[real], flat[real], True)
+        dhs = np.zeros((time * rows, k), hs.dtype)
+        dhs[real] = d
     dhs = dhs.reshape(time, rows, k)
-    # What a change of the state makes of each gate, for all tokens at once; the loop then only carries it back.
-    z, r = gates[..., :k], gates[..., k:]
-    by_n, by_z, by_r = z * (1 - cand * cand), (cand - came) * z * (1 - z), came * r * (1 - r)
-    stay = 1 - z
-    dgates = np.empty((time, rows, 3 * k), hs.dtype)
+    dgates = _room.of("dgates", x.shape, x.dtype)
     dh = np.zeros((rows, k), hs.dtype)
-    u_n, u_zr = np.ascontiguousarray(p["u"][:, 2 * k :].T), np.ascontiguousarray(p["u"][:, : 2 * k].T)
+    back = np.ascontiguousarray(u.swapaxes(1, 2))
     for t in range(time - 1, -1, -1):
         dh += dhs[t]
-        dg = dgates[t]
-        np.multiply(dh, by_n[t], dg[:, 2 * k :])
-        drh = dg[:, 2 * k :] @ u_n
-        np.multiply(dh, by_z[t], dg[:, :k])
-        np.multiply(drh, by_r[t], dg[:, k : 2 * k])
-        dh *= stay[t]
-        drh *= r[t]
+        (z, r, n), (dz, dr, dn) = x[:, t], dgates[:, t]
+        move = dh * z
+        np.multiply(n, n, dn)
+        np.subtract(1, dn, dn)
+        dn *= move
+        drh = dn @ back[2]
+        stay = 1 - z
+        np.subtract(n, came[t], dz)
+        dz *= move
+        dz *= stay
+        np.subtract(1, r, dr)
+        dr *= kept[t]
+        dr *= drh
+        dh *= stay
+        drh *= r
         dh += drh
-        dh += dg[:, : 2 * k] @ u_zr
+        dh += dz @ back[0]
+        dh += dr @ back[1]
         if anew[t]:
             dh *= ~fresh[t][:, None]
-    flat_g = dgates.reshape(-1, 3 * k)
+    flat_g = _room.of("flat", (time * rows, 3 * k), u.dtype)
+    flat_g.reshape(-1, 3, k)[:] = dgates.reshape(3, -1, k).swapaxes(0, 1)
     g["u"] = np.concatenate([came.reshape(-1, k).T @ flat_g[:, : 2 * k], kept.reshape(-1, k).T @ flat_g[:, 2 * k :]], axis=1)
     order = np.argsort(inputs.ravel().astype(np.int16 if begin < 1 << 15 else np.int32), kind="stable")
     own = inputs.ravel()[order]
     first = np.flatnonzero(np.diff(own, prepend=-1))
     g["x"] = np.zeros_like(p["x"])
-    g["x"][own[first]] = np.add.reduceat(flat_g[order], first, axis=0)
-    return g, h, float(logp.sum()) / count
+    g["x"][own[first]] = _by_token(flat_g, order, first)
+    return g, h.copy(), float(logp.sum()) / count
 
 
 class Adam:

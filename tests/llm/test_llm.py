@@ -518,6 +518,46 @@ def test_gru_scores_sum_to_one_and_carry_the_state():
         assert abs(total - x) < 1e-2
 
 
+def test_gru_classes_take_few_outputs():
+    """Each word and kind has one class; where frequencies are Zipf's, a token takes fewer outputs than with classes of one size."""
+    for head in (1024, 1088, 1280, 3840, 14080):
+        n = head + gru.TAILS
+        begin, class_of = gru.classes(n)
+        size = np.diff(begin)
+        assert begin[0] == 0 and begin[-1] == n and head in begin and (size > 0).all()
+        assert np.array_equal(class_of, np.append(np.repeat(np.arange(len(size)), size), len(size)))
+        often = 1 / np.arange(1, head + 1)
+        share = np.append(0.6 * often / often.sum(), np.full(gru.TAILS, 0.4 / gru.TAILS))
+        assert len(size) + 1 + (share * size[class_of[:-1]]).sum() < 0.85 * (n // gru.CLASS + 1 + gru.CLASS)
+
+
+def test_gru_sums_by_token_brute_force():
+    rng = np.random.default_rng(2)
+    for n in (1, 40, 3000):
+        token, rows = (rng.pareto(0.7, n) * 3).astype(int) % 90, rng.normal(size=(n, 6))
+        order = np.argsort(token, kind="stable")
+        own = token[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        want = np.zeros((90, 6))
+        np.add.at(want, token, rows)
+        assert np.allclose(gru._by_token(rows, order, first), want[own[first]])
+
+
+def test_gru_windows_use_their_memory_again():
+    """A second window asks for little memory, and gives what the first one gave."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    p = gru.initial(np.arange(1, 1025)[::-1].astype(float), np.full(gru.TAILS, 9.0), 9.0, 1024)
+    tokens, before, h = rng.integers(0, 1281, (gru.BATCH, gru.WINDOW)), rng.integers(0, 1281, gru.BATCH), rng.normal(0, 0.3, (gru.BATCH, gru.HIDDEN)).astype(np.float32)
+    g, after, logp = gru.gradient(p, tokens, before, h)
+    tracemalloc.start()
+    again, other, mean = gru.gradient(p, tokens, before, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6e6 and logp == mean and np.array_equal(after, other) and all(np.array_equal(g[k], again[k]) for k in g)
+
+
 def test_lm_words_brute_force(monkeypatch):
     """Words, their order and their texts are those of the pattern, whatever the span; equal words have equal hashes, others differ."""
     rng = np.random.default_rng(5)
