@@ -222,7 +222,7 @@ def initial(counts: np.ndarray, tails: np.ndarray, ends: float, head: int) -> di
 
 
 class Room(dict):
-    """Arrays that are used again from window to window: memory that is given back and asked for again is cleared each time, which took a third of the training."""
+    """Arrays that are used again from window to window: memory that is given back and asked for again is cleared each time, a third of a window's seconds in a process that does nothing else."""
 
     def of(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
         size = int(np.prod(shape))
